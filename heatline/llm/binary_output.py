@@ -10,7 +10,7 @@ Documents are dealt by ranges of doc_id and sorted in each task; a task writes f
 files. Where a file starts in the corpus follows from the manifest of file sizes, not from the writer.
 
 Defined results: null text is empty (just the end id); null doc_ids come first, ties in doc_id are
-ordered by text; repeated rows are written as often as they come; an empty table gives no files.
+ordered by the text's hash, then by the text; repeated rows are written as often as they come; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -152,7 +152,7 @@ def _write(folder: str, path: str, end_id: int, file_ids: int):
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS) -> list:
     """Write the files in ascending doc_id order; their manifest (a row for each file), in corpus order, with each file's start."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    ordered = documents(docs).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = documents(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
     rows = ordered.mapInArrow(_write(folder, path, end_id, file_ids), "part long, seq long, name string, n_docs long, n_ids long, n_bytes long").collect()
     start, out = 0, []
     for r in sorted(rows, key=lambda r: (r["part"], r["seq"])):

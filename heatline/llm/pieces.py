@@ -17,7 +17,7 @@ import numpy as np
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: White space by the Unicode property, which the tokenizers' engines use.
 WHITE = set("\t\n\x0b\x0c\r \x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 
 
 @cache
