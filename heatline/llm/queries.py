@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import binary_output, bpe, packing
+from . import binary_output, bpe, packing, pii, quality, secrets, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.query,
     "op3_byte_bpe": bpe.query,
     "op6_best_fit_packing": packing.query,
+    "op7_secrets": secrets.query,
+    "op8_pii": pii.query,
     "op9_binary_output": binary_output.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
