@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.package import ship
 from .arx import MOMENTS, moments, solved
 
 FEATURES = ("p", "dp", "t", "lag_p", "lag_t")
@@ -72,11 +75,12 @@ def residual_model(train: DataFrame, test: DataFrame, kind: str = "linear", y: s
     return model.fit(assembled(train)).transform(assembled(test)).drop("features")
 
 
-def permutation_null(predicted: DataFrame, y: str, prediction: str, order: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """The R2 of y permuted against fixed predictions, for each draw. Each draw pairs ranks by key with ranks by hash."""
+def permutation_null(predicted: DataFrame, y: str, prediction: str, order: str, draws: int = 200, seed: int = 0, shuffle: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The R2 of y permuted against fixed predictions, for each draw. Each draw pairs ranks by key with ranks by a hash of it."""
+    mix = shuffle or (lambda k, draw: F.xxhash64(k, draw, F.lit(seed)))
     rows = predicted.select(F.col(order).alias("_k"), F.col(y).alias("_y"), F.col(prediction).alias("_p")).crossJoin(F.broadcast(predicted.sparkSession.range(draws).withColumnRenamed("id", "draw")))
     by_key = rows.withColumn("i", F.row_number().over(Window.partitionBy("draw").orderBy("_k"))).select("draw", "i", "_p")
-    mixed = rows.withColumn("i", F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64("_k", "draw", F.lit(seed)), "_k"))).select("draw", "i", "_y")
+    mixed = rows.withColumn("i", F.row_number().over(Window.partitionBy("draw").orderBy(mix(F.col("_k"), F.col("draw")), "_k"))).select("draw", "i", "_y")
     return r2(by_key.join(mixed, ["draw", "i"]), "_y", F.col("_p"), ["draw"])
 
 
@@ -123,5 +127,6 @@ def _mlp(hidden: int, epochs: int, decay: float, rate: float, inputs: list[str],
 
 def neural_residual(rows: DataFrame, inputs: list[str], y: str = "r", hidden: int = 16, epochs: int = 6, decay: float = 1e-2, rate: float = 3e-3) -> DataFrame:
     """A small tanh network fitted on the capped training rows of each group `grp` and applied to its test rows."""
+    ship(rows.sparkSession)
     return rows.groupBy("grp").applyInPandas(_mlp(hidden, epochs, decay, rate, inputs, y), f"unit long, {y} double, prediction double")
 

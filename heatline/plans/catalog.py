@@ -2,5 +2,587 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import arx, clean, evaluate, monitor, population, profile, report, resample, runs
+from ..streaming import rolling
+from .fixture import BASE, DT, EV, FITS, MOMENTS, PAIRS, RESID, RUNS, corr, events, hourly, rounded, seg, segmented, solve, tau, unit_fits, unit_pairs, unit_runs, with_faults
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+U = ["unit"]
+
+
+def register(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def rd(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
+
+
+# -- bins, profiles, audits
+
+HOURLY = "h AS (SELECT event_type, CAST(floor(us / 3600000000) AS BIGINT) * 3600000000 AS us, sum(t) / count(*) AS t, max(t) AS t_max, sum(p) / count(*) AS p, count(*) AS n_merged FROM ev GROUP BY 1, 2)"
+
+
+@register("bin_dedupe", f"WITH {EV}, {HOURLY} SELECT event_type, us, round(t, 6) AS t, t_max, round(p, 6) AS p, n_merged FROM h")
+def bin_dedupe(spark, d):
+    return rounded(hourly(events(spark, d), "event_type"))
+
+
+@register("quality_mask", f"WITH {EV}, {HOURLY}, {seg('h', 'event_type', 7200)} SELECT event_type, us, n_merged, segment_id, coalesce(dt_s, -1) AS dt_s, n_merged > 1 AS was_merged FROM s")
+def quality_mask(spark, d):
+    return clean.quality_mask(segmented(hourly(events(spark, d), "event_type"), "event_type", 7200), ["event_type"], "us").withColumn("dt_s", F.coalesce("dt_s", F.lit(-1).cast("long")))
+
+
+@register("null_counts", "WITH e AS (SELECT CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value, CASE WHEN user_id % 7 = 0 THEN NULL ELSE props END AS props, event_id FROM events), c AS (SELECT count(*) AS n, count(*) - count(value) AS a, count(*) - count(props) AS b, count(*) - count(event_id) AS c FROM e) SELECT col AS \"column\", nulls, n AS rows, round(100.0::DOUBLE * nulls / greatest(n, 1), 3) AS null_pct FROM (SELECT 'value' AS col, a AS nulls, n FROM c UNION ALL SELECT 'props', b, n FROM c UNION ALL SELECT 'event_id', c, n FROM c)")
+def null_counts(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    faulty = e.select(F.when(F.col("event_type") != "error", F.col("value")).alias("value"), F.when(F.col("user_id") % 7 != 0, F.col("props")).alias("props"), "event_id")
+    return profile.null_counts(faulty, ["value", "props", "event_id"])
+
+
+@register("range_violations", f"WITH {EV} SELECT unit, count(*) AS rows, count(*) FILTER (t < 500 OR t > 12500) AS temp_out_of_range, count(*) FILTER (p - 10 < 0) AS power_negative, min(t) AS temp_min, max(t) AS temp_max FROM ev GROUP BY unit")
+def range_violations(spark, d):
+    return profile.range_violations(events(spark, d).withColumn("p", F.col("p") - 10), U, "t", "p", 500.0, 12500.0)
+
+
+@register("duplicate_identity", "WITH e AS (SELECT event_type, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS us, user_id % 5 AS v FROM events), a AS (SELECT event_type, count(*) AS rows, count(DISTINCT us) AS distinct_ts FROM e GROUP BY 1), b AS (SELECT event_type, count(*) AS distinct_rows FROM (SELECT DISTINCT * FROM e) GROUP BY 1) SELECT event_type, rows, distinct_ts, distinct_rows, rows - distinct_ts AS duplicate_ts, rows - distinct_rows AS exact_duplicate_rows, distinct_rows - distinct_ts AS conflicting_rows FROM a JOIN b USING (event_type)")
+def duplicate_identity(spark, d):
+    e = events(spark, d).select("event_type", F.floor(F.col("us") / 3_600_000_000).cast("long").alias("us"), (F.col("unit") % 5).alias("v"))
+    return profile.duplicate_identity(e, ["event_type"], "us")
+
+
+DIFF = f"WITH {EV}, {HOURLY}, x AS (SELECT event_type, (us - lag(us) OVER (PARTITION BY event_type ORDER BY us)) / 1000000.0::DOUBLE AS dt FROM h), d AS (SELECT * FROM x WHERE dt > 0), md AS (SELECT event_type, dt AS dominant FROM (SELECT event_type, dt, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, dt) AS k FROM d GROUP BY 1, 2) WHERE k = 1)"
+
+
+@register("interval_mode", f"{DIFF} SELECT event_type, dominant AS dt_dominant FROM md")
+def interval_mode(spark, d):
+    return profile.intervals(hourly(events(spark, d), "event_type"), ["event_type"], "us").groupBy("event_type").agg(F.mode("dt", True).alias("dt_dominant"))
+
+
+@register("interval_histogram_topk", f"{DIFF} SELECT event_type, dt, n, CAST(rank AS INTEGER) AS rank FROM (SELECT event_type, dt, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, dt) AS rank FROM d GROUP BY 1, 2) WHERE rank <= 5")
+def interval_histogram(spark, d):
+    return profile.interval_histogram(hourly(events(spark, d), "event_type"), ["event_type"], "us")
+
+
+@register("sampling_summary", f"{DIFF} SELECT event_type, min(dt) AS dt_min, max(dt) AS dt_max, quantile_cont(dt, 0.5) AS dt_median, min(dominant) AS dt_dominant, round(100.0::DOUBLE * count(*) FILTER (dt <> dominant) / count(*), 3) AS pct_deviating, count(*) FILTER (dt > 3 * dominant) AS gaps, count(*) FILTER (dt <> dominant AND dt <= 3 * dominant) AS irregular FROM d JOIN md USING (event_type) GROUP BY event_type")
+def sampling_summary(spark, d):
+    return profile.sampling_summary(hourly(events(spark, d), "event_type"), ["event_type"], "us")
+
+
+@register("quick_audit", f"WITH {EV}, x AS (SELECT unit, (us - lag(us) OVER (PARTITION BY unit ORDER BY us)) / 1000000.0::DOUBLE AS dt FROM ev), d AS (SELECT * FROM x WHERE dt > 0), q AS (SELECT unit, quantile_cont(dt, 0.5) AS dt_median, quantile_cont(dt, 0.05) AS dt_p05, quantile_cont(dt, 0.95) AS dt_p95 FROM d GROUP BY 1), g AS (SELECT unit, count(*) FILTER (dt > 3 * dt_median) AS gaps FROM d JOIN q USING (unit) GROUP BY 1), sp AS (SELECT unit, count(*) AS rows, (max(us) - min(us)) / 3600000000.0::DOUBLE AS span_hours FROM ev GROUP BY 1) SELECT unit, rows, {rd('span_hours', 'dt_median', 'dt_p05', 'dt_p95', digits=3)}, gaps FROM sp JOIN q USING (unit) JOIN g USING (unit)")
+def quick_audit(spark, d):
+    return rounded(profile.quick_audit(events(spark, d), U, "us"), digits=3)
+
+
+@register("pair_quality", f"WITH {EV}, e AS (SELECT unit, CASE WHEN event_type <> 'error' THEN t END AS t, p FROM ev), q AS (SELECT unit, count(t) AS valid_pairs, (count(*) - count(t)) / count(*)::DOUBLE AS missing_fraction, min(t) AS temp_min, max(t) AS temp_max, min(CASE WHEN t IS NOT NULL THEN p END) AS power_min, max(CASE WHEN t IS NOT NULL THEN p END) AS power_max, {corr('p', 't', 't IS NOT NULL')} AS corr FROM e GROUP BY unit) SELECT unit, valid_pairs, {rd('missing_fraction', 'corr')}, temp_min, temp_max, power_min, power_max, coalesce(temp_min > 1000 AND temp_max < 1000000 AND power_min >= 0 AND corr > 0, false) AS passes FROM q")
+def pair_quality(spark, d):
+    return rounded(profile.sanity(profile.pair_quality(with_faults(events(spark, d)), U, "t", "p"), 1000.0, 1_000_000.0))
+
+
+@register("clean_nodes", f"WITH {EV}, q AS (SELECT unit, min(t) AS a, max(t) AS b, min(p) AS c, {corr('p', 't')} AS r FROM ev GROUP BY unit) SELECT count(*) FILTER (a > 1000 AND b < 1000000 AND c >= 0 AND r > 0) AS clean, count(*) AS nodes, count(*) FILTER (a > 1000 AND b < 1000000 AND c >= 0 AND r > 0) >= 5 AS enough FROM q")
+def clean_nodes(spark, d):
+    return profile.clean_nodes(profile.sanity(profile.pair_quality(events(spark, d), U, "t", "p"), 1000.0, 1_000_000.0), 5)
+
+
+@register("fleet_inventory", f"WITH {EV}, h AS (SELECT unit, count(*) AS rows, min(us) AS lo, max(us) AS hi, count(*) - count(DISTINCT us) AS dup, count(*) FILTER (t < 100 OR t > 12500) AS bad FROM ev GROUP BY 1) SELECT count(*) AS hosts, CAST(sum(rows) AS BIGINT) AS rows, min(lo) AS first_us, max(hi) AS last_us, count(*) FILTER (dup > 0) AS hosts_with_duplicates, count(*) FILTER (bad > 0) AS hosts_out_of_range, coalesce(string_agg(CASE WHEN bad > 0 THEN CAST(unit AS VARCHAR) END, ',' ORDER BY CAST(unit AS VARCHAR)), '') AS hosts_listed FROM h")
+def fleet_inventory(spark, d):
+    return profile.fleet_inventory(events(spark, d), "unit", "us", "t", 100.0, 12500.0)
+
+
+@register("column_roles", "SELECT c AS \"column\", CASE WHEN lower(c) = 'timestamp' THEN 'timestamp' WHEN lower(c) = 'hostname' THEN 'host_id' WHEN contains(lower(c), 'temp') THEN 'temperature' WHEN contains(lower(c), 'power') THEN 'power' ELSE 'other' END AS role FROM (VALUES ('timestamp'), ('hostname'), ('p0_core_temp_mean'), ('p0_power'), ('ps0_input_power'), ('n_merged'), ('gpu3_mem_temp')) AS v(c)")
+def column_roles(spark, d):
+    names = spark.createDataFrame([(c,) for c in ("timestamp", "hostname", "p0_core_temp_mean", "p0_power", "ps0_input_power", "n_merged", "gpu3_mem_temp")], "column string")
+    return names.withColumn("role", scalar.column_role(F.col("column")))
+
+
+SEGH = f"WITH {EV}, {HOURLY}, {seg('h', 'event_type', 7200)}"
+TEMPORAL = """ln AS (SELECT event_type, max(len) AS longest FROM (SELECT event_type, segment_id, count(*) AS len FROM s GROUP BY 1, 2) GROUP BY 1),
+dm AS (SELECT event_type, dt_s AS dominant_dt_s FROM (SELECT event_type, dt_s, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, dt_s) AS k FROM s WHERE dt_s <= 7200 GROUP BY 1, 2) WHERE k = 1),
+ta AS (SELECT event_type, count(*) AS rows, quantile_cont(CASE WHEN dt_s <= 7200 THEN dt_s END, 0.5)::DOUBLE AS median_dt_s, round(100.0::DOUBLE * count(*) FILTER (dt_s = 3600) / greatest(count(*) FILTER (dt_s <= 7200), 1), 3) AS pct_on_grid, count(*) - count(DISTINCT us) AS remaining_duplicate_ts, max(segment_id) + 1 AS segments, count(*) FILTER (dt_s > 3600 AND dt_s <= 7200) AS short_gaps, count(*) FILTER (dt_s > 7200) AS large_gaps, coalesce(max(dt_s), 0) AS max_gap_s, coalesce(min(dt_s) > 0, true) AS monotonic, round(count(*)::DOUBLE * 3600.0::DOUBLE / 3600.0::DOUBLE, 1) AS node_hours FROM s GROUP BY 1)"""
+
+
+@register("temporal_audit", f"{SEGH}, {TEMPORAL} SELECT ta.*, dominant_dt_s, round(longest::DOUBLE * 3600.0::DOUBLE / 3600.0::DOUBLE, 1) AS longest_segment_hours FROM ta JOIN ln USING (event_type) LEFT JOIN dm USING (event_type)")
+def temporal_audit(spark, d):
+    return clean.temporal_audit(segmented(hourly(events(spark, d), "event_type"), "event_type", 7200), ["event_type"], "us", 3600, 7200)
+
+
+PHYSICAL = f"""st AS (SELECT *, t_max - lag(t_max) OVER (PARTITION BY event_type, segment_id ORDER BY us) AS step FROM s),
+pa AS (SELECT event_type, min(t_max) AS temp_min, max(t_max) AS temp_max, count(*) FILTER (t_max < 0 OR t_max > 30000) AS temp_out_of_range, min(n_merged - 2) AS power_min, count(*) FILTER (n_merged - 2 < 0) AS power_negative, sqrt(greatest((count(step) * sum(step * step) - sum(step) * sum(step)) / (count(step)::DOUBLE * count(step)), 0)) AS step_std, max(abs(step)) AS step_max, count(*) FILTER (abs(step) > 5) AS step_flagged, CASE WHEN count(t_max) > 100 THEN {corr('CAST(n_merged - 2 AS DOUBLE)', 't_max')} END AS corr_power_temp FROM st GROUP BY 1)"""
+
+
+def _physical(spark, d):
+    s = segmented(hourly(events(spark, d), "event_type"), "event_type", 7200).withColumn("w", F.col("n_merged").cast("double") - 2)
+    return s, clean.physical_audit(s, ["event_type"], "us", "t_max", "w", 0.0, 30000.0)
+
+
+@register("physical_audit", f"{SEGH}, {PHYSICAL} SELECT event_type, temp_min, temp_max, temp_out_of_range, power_min::DOUBLE AS power_min, power_negative, {rd('step_std')}, step_max, step_flagged, {rd('corr_power_temp')} FROM pa")
+def physical_audit(spark, d):
+    return rounded(_physical(spark, d)[1])
+
+
+@register("fail_loud_gates", f"{SEGH}, {TEMPORAL}, {PHYSICAL} SELECT ta.event_type, concat_ws('; ', CASE WHEN remaining_duplicate_ts <> 0 THEN 'duplicate timestamps remain' END, CASE WHEN NOT monotonic THEN 'timestamps not strictly increasing' END, CASE WHEN dominant_dt_s <> 3600 THEN 'dominant step is off the grid' END, CASE WHEN temp_out_of_range > 0 THEN 'temperature out of range' END, CASE WHEN power_negative > 0 THEN 'negative power' END) AS failures FROM ta LEFT JOIN dm USING (event_type) JOIN pa USING (event_type)")
+def fail_loud_gates(spark, d):
+    s, physical = _physical(spark, d)
+    temporal = clean.temporal_audit(s, ["event_type"], "us", 3600, 7200)
+    return clean.gates(temporal, physical, ["event_type"], 3600).withColumn("failures", F.array_join("failures", "; "))
+
+
+@register("null_run_lengths", f"WITH {EV}, e AS (SELECT unit, us, event_type = 'error' AS m FROM ev), i AS (SELECT *, sum(CASE WHEN m THEN 0 ELSE 1 END) OVER (PARTITION BY unit ORDER BY us ROWS UNBOUNDED PRECEDING) AS g FROM e), r AS (SELECT unit, g, count(*) AS len FROM i WHERE m GROUP BY 1, 2), a AS (SELECT unit, count(*) AS rows, count(*) FILTER (m) AS nulls FROM e GROUP BY 1), b AS (SELECT unit, count(*) AS runs, max(len) AS max_run, count(*) FILTER (len = 1) AS isolated, count(*) FILTER (len > 2) AS clustered_gt2 FROM r GROUP BY 1) SELECT unit, rows, nulls, coalesce(runs, 0) AS runs, coalesce(max_run, 0) AS max_run, coalesce(isolated, 0) AS isolated, coalesce(clustered_gt2, 0) AS clustered_gt2, round(100.0::DOUBLE * nulls / greatest(rows, 1), 3) AS null_pct FROM a LEFT JOIN b USING (unit)")
+def null_run_lengths(spark, d):
+    return clean.null_runs(with_faults(events(spark, d)), U, "us", "t")
+
+
+POLICY = f"WITH {EV}, pb AS (SELECT event_type, CAST(floor(us / 3600000000) AS BIGINT) AS hour, count(*) AS n, max(t) - min(t) AS spread, sum(t) / count(*) AS mean, arg_min(t, event_id) AS first FROM ev GROUP BY 1, 2)"
+
+
+def _policy(spark, d):
+    return clean.policy_bins(events(spark, d), ["event_type"], "us", "t", ["event_id"], 3600)
+
+
+@register("policy_spread", f"{POLICY} SELECT event_type, CAST(sum(n) AS BIGINT) AS rows_before, count(*) AS rows_after, CAST(sum(n) - count(*) AS BIGINT) AS removed, round(100.0::DOUBLE * (sum(n) - count(*)) / sum(n), 3) AS pct_removed, count(*) FILTER (n > 1) AS merged_bins, max(n) AS max_multiplicity, round(count(*)::DOUBLE * 3600.0::DOUBLE / 3600.0::DOUBLE, 1) AS node_hours, round(coalesce(avg(spread) FILTER (n > 1), 0), 6) AS mean_spread, coalesce(max(spread) FILTER (n > 1), 0) AS max_spread, round(coalesce(sqrt(avg((mean - first) * (mean - first)) FILTER (n > 1)), 0), 6) AS first_vs_mean_rms FROM pb GROUP BY 1")
+def policy_spread(spark, d):
+    return rounded(clean.policy_report(_policy(spark, d), ["event_type"], 3600))
+
+
+@register("policy_totals", f"{POLICY} SELECT CAST(sum(n) AS BIGINT) AS rows_before, count(*) AS rows_after, CAST(sum(n) - count(*) AS BIGINT) AS removed, round(100.0::DOUBLE * (sum(n) - count(*)) / sum(n), 3) AS pct_removed, quantile_cont(CASE WHEN n > 1 THEN spread END, 0.5) AS spread_median, round(quantile_cont(CASE WHEN n > 1 THEN spread END, 0.99), 6) AS spread_p99 FROM pb")
+def policy_totals(spark, d):
+    return rounded(clean.policy_totals(_policy(spark, d)))
+
+
+@register("gap_segments", f"{BASE} SELECT unit, segment_id, count(*) AS rows, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY 1, 2")
+def gap_segments(spark, d):
+    return segmented(events(spark, d)).groupBy("unit", "segment_id").agg(F.count("*").alias("rows"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+@register("median_gap_segments", f"WITH {EV}, g AS (SELECT *, (us - lag(us) OVER (PARTITION BY unit ORDER BY us)) / 1000000.0::DOUBLE AS dt FROM ev), m AS (SELECT unit, quantile_cont(dt, 0.5) AS med FROM g WHERE dt IS NOT NULL GROUP BY 1), s AS (SELECT g.unit, us, sum(CASE WHEN dt > 3 * med THEN 1 ELSE 0 END) OVER (PARTITION BY g.unit ORDER BY us ROWS UNBOUNDED PRECEDING) AS seg FROM g JOIN m USING (unit)) SELECT unit, CAST(seg AS BIGINT) AS seg, count(*) AS rows FROM s GROUP BY 1, 2 HAVING count(*) >= 10")
+def median_gap_segments(spark, d):
+    e = events(spark, d)
+    steps = e.withColumn("dt", (F.col("us") - F.lag("us").over(Window.partitionBy("unit").orderBy("us"))) / 1_000_000.0)
+    med = steps.groupBy("unit").agg(F.median("dt").alias("med"))
+    marked = steps.join(med, "unit").withColumn("seg", F.sum(F.coalesce((F.col("dt") > 3 * F.col("med")).cast("long"), F.lit(0).cast("long"))).over(Window.partitionBy("unit").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("unit", "seg").agg(F.count("*").alias("rows")).where("rows >= 10")
+
+
+FAULTY = f"WITH {EV.replace('ev AS (SELECT', 'ev0 AS (SELECT', 1)}, ev AS (SELECT unit, us, CASE WHEN event_type <> 'error' THEN t END AS t, p FROM ev0), {seg()}, " + RUNS[len(BASE) + 2 :]
+
+
+def _faulty_runs(spark, d):
+    return runs.finite_runs(segmented(with_faults(events(spark, d))), U, "us", "t", "p")
+
+
+@register("finite_runs", f"{FAULTY} SELECT unit, run_id, idx, us, t, p, run_len FROM runs")
+def finite_runs(spark, d):
+    return _faulty_runs(spark, d)
+
+
+@register("decimate", f"{RUNS} SELECT unit, run_id, CAST(idx // 2 AS BIGINT) AS idx, us, t, p, CAST((run_len + 1) // 2 AS BIGINT) AS run_len FROM runs WHERE idx % 2 = 0 AND (run_len + 1) // 2 >= 2")
+def decimate(spark, d):
+    return runs.decimate(unit_runs(spark, d), U)
+
+
+@register("quantize_half_even", f"{RUNS} SELECT unit, run_id, idx, round_even(t / 50, 0) * 50 AS t FROM runs")
+def quantize_half_even(spark, d):
+    return unit_runs(spark, d).select("unit", "run_id", "idx", scalar.quantize(F.col("t"), 50.0).alias("t"))
+
+
+@register("lead_pairs", f"{PAIRS} SELECT unit, run_id, idx, t, p, y FROM pairs")
+def lead_pairs(spark, d):
+    return unit_pairs(spark, d).select("unit", "run_id", "idx", "t", "p", "y")
+
+
+@register("prefix_sums", f"{PAIRS}, x AS (SELECT unit, run_id, idx + 1 AS idx, " + ", ".join(f"sum({e}) OVER w AS {n}" for n, e in (("tt", "t*t"), ("tp", "t*p"), ("t1", "t"), ("pp", "p*p"), ("p1", "p"), ("n", "1.0::DOUBLE"), ("ty", "t*y"), ("py", "p*y"), ("y1", "y"))) + " FROM pairs WINDOW w AS (PARTITION BY unit, run_id ORDER BY idx ROWS UNBOUNDED PRECEDING)) SELECT * FROM x UNION ALL SELECT unit, run_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM pairs WHERE idx = 0")
+def prefix_sums(spark, d):
+    return runs.prefix_sums(unit_pairs(spark, d), U)
+
+
+# -- identification
+
+
+@register("arx_fit", f"{FITS} SELECT unit, CAST(n AS BIGINT) AS n_pairs, {rd('alpha', 'beta', digits=9)}, {rd('gamma', digits=4)} FROM fits")
+def arx_fit(spark, d):
+    return unit_fits(spark, d).select("unit", "n_pairs", F.round("alpha", 9).alias("alpha"), F.round("beta", 9).alias("beta"), F.round("gamma", 4).alias("gamma"))
+
+
+@register("arx_tau", f"{FITS} SELECT unit, {rd('tau')}, round(beta / nullif(1 - alpha, 0), 6) AS r_eff, round(gamma / nullif(1 - alpha, 0), 4) AS t_ref, round(tau / nullif(beta / nullif(1 - alpha, 0), 0), 4) AS c_eff, round(exp(-10.0::DOUBLE / tau), 6) AS alpha_back FROM fits")
+def arx_tau(spark, d):
+    return unit_fits(spark, d).select("unit", F.round("tau", 6).alias("tau"), F.round("r_eff", 6).alias("r_eff"), F.round("t_ref", 4).alias("t_ref"), F.round("c_eff", 4).alias("c_eff"), F.round(scalar.decay(F.col("tau"), DT), 6).alias("alpha_back"))
+
+
+@register("arx_delta_ci", f"{RESID}, q AS (SELECT unit, sum(r * r) AS rss FROM resid GROUP BY 1), e AS (SELECT unit, n, alpha, tau, rss, sqrt(rss / greatest(n - 3, 1) * i00) AS se_alpha FROM fits JOIN q USING (unit)), f AS (SELECT *, CASE WHEN tau IS NOT NULL THEN abs(10.0::DOUBLE / (alpha * ln(CASE WHEN alpha > 0 THEN alpha END) * ln(CASE WHEN alpha > 0 THEN alpha END))) * se_alpha END AS se_tau FROM e) SELECT unit, CAST(n AS BIGINT) AS n_pairs, {rd('alpha', 'tau')}, {rd('rss', digits=2)}, {rd('se_alpha', 'se_tau')}, round(tau - 1.96 * se_tau, 6) AS ci_low, round(tau + 1.96 * se_tau, 6) AS ci_high, round(se_tau / tau, 6) AS cov FROM f")
+def arx_delta_ci(spark, d):
+    pairs = unit_pairs(spark, d)
+    return rounded(rounded(arx.uncertainty(pairs, arx.fit(pairs, U, DT), U, DT)).withColumn("rss", F.round("rss", 2)), "rss")
+
+
+METRICS = "SELECT unit, count(*) AS n_pairs, sqrt(sum(r*r) / count(*)) AS rmse, sum(abs(r)) / count(*) AS mae, 1.0::DOUBLE - sum(r*r) / nullif(sum(y*y) - sum(y)*sum(y)/count(*), 0) AS r2, sqrt(sum((y-t)*(y-t)) / count(*)) AS persistence_rmse, 1.0::DOUBLE - sum(r*r) / nullif(sum((y-t)*(y-t)) - sum(y-t)*sum(y-t)/count(*), 0) AS increment_r2 FROM resid WHERE r IS NOT NULL GROUP BY 1"
+
+
+def _resid(spark, d):
+    pairs = unit_pairs(spark, d)
+    return arx.residuals(pairs, arx.fit(pairs, U, DT), U)
+
+
+def _metrics(spark, d):
+    return rounded(arx.metrics(_resid(spark, d), U), digits=5)
+
+
+for _name, _cols in (("one_step_metrics", ("rmse", "mae", "r2")), ("increment_r2", ("increment_r2",)), ("persistence_rmse", ("persistence_rmse",))):
+    register(_name, f"{RESID}, q AS ({METRICS}) SELECT unit, n_pairs, {rd(*_cols, digits=5)} FROM q")(lambda spark, d, cols=_cols: _metrics(spark, d).select("unit", "n_pairs", *cols))
+
+
+@register("increment_stats", f"{PAIRS}, q AS (SELECT unit, count(*) AS n_pairs, sqrt(greatest((count(*) * sum((y-t)*(y-t)) - sum(y-t)*sum(y-t)) / (count(*)::DOUBLE*count(*)), 0)) AS dt_std, max(abs(y-t)) AS dt_max FROM pairs GROUP BY 1) SELECT unit, n_pairs, round(dt_std, 6) AS dt_std, dt_max, round(dt_std / 10, 6) AS rate_std, round(dt_max / 10, 6) AS rate_max FROM q")
+def increment_stats(spark, d):
+    return rounded(arx.increment_stats(unit_pairs(spark, d), U, DT))
+
+
+STRUCTURE = f"{RESID}, l AS (SELECT *, lag(r) OVER (PARTITION BY unit ORDER BY run_id, idx) AS b FROM resid WHERE r IS NOT NULL)"
+
+
+@register("residual_lag1", f"{STRUCTURE} SELECT unit, round({corr('r', 'b', 'b IS NOT NULL')}, 6) AS lag1, round(sqrt(greatest((count(*)*sum(r*r) - sum(r)*sum(r)) / (count(*)::DOUBLE*count(*)), 0)), 4) AS std FROM l GROUP BY 1")
+def residual_lag1(spark, d):
+    return arx.residual_structure(_resid(spark, d), U).select("unit", F.round("lag1", 6).alias("lag1"), F.round("std", 4).alias("std"))
+
+
+@register("residual_corr", f"{PAIRS}, z AS (SELECT unit, t, p, y - t AS r FROM pairs) SELECT unit, round({corr('r', 'p')}, 6) AS corr_p, round({corr('r', 't')}, 6) AS corr_t FROM z GROUP BY 1")
+def residual_corr(spark, d):
+    """Of the persistence residual, whose correlations with p and t aren't zero by construction."""
+    return arx.residual_structure(unit_pairs(spark, d).withColumn("r", F.col("y") - F.col("t")), U).select("unit", F.round("corr_p", 6).alias("corr_p"), F.round("corr_t", 6).alias("corr_t"))
+
+
+# -- conditions and populations
+
+
+def _sweep(spark, d):
+    """Fits of every unit under every condition; t in whole degrees of 100 hundredths."""
+    out = None
+    base = segmented(events(spark, d).withColumn("t_max", F.col("t") + F.col("p")))
+    found = {temp: runs.finite_runs(base, U, "us", column, "p") for temp, column in (("mean", "t"), ("max", "t_max"))}
+    for c in runs.CONDITIONS:
+        rows = runs.decimate(found[c.temp], U) if c.decimated else found[c.temp]
+        rows = rows.withColumn("t", scalar.quantize(F.col("t"), 100.0)) if c.quantized else rows
+        fits = arx.fit(runs.lead_pairs(rows, U), U, c.dt).select(F.lit(c.code).alias("condition"), "unit", "n_pairs", "alpha", "tau")
+        out = fits if out is None else out.unionByName(fits)
+    return out
+
+
+def _sweep_sql() -> str:
+    base = f"WITH {EV}, {seg()}"
+    parts, union = [], []
+    for c in runs.CONDITIONS:
+        k = c.code.lower()
+        t = "t" if c.temp == "mean" else "t + p"
+        q = "round_even({}/100, 0) * 100" if c.quantized else "{}"
+        src = f"SELECT unit, segment_id, us, {t} AS t, p, row_number() OVER (PARTITION BY unit, segment_id ORDER BY us) - 1 AS idx, count(*) OVER (PARTITION BY unit, segment_id) AS len FROM s"
+        keep = "idx % 2 = 0 AND (len + 1) // 2 >= 2" if c.decimated else "len >= 2"
+        parts.append(f"{k}r AS (SELECT unit, segment_id, us, {q.format('t')} AS t, p FROM ({src}) WHERE {keep}), {k}p AS (SELECT * FROM (SELECT *, lead(t) OVER (PARTITION BY unit, segment_id ORDER BY us) AS y FROM {k}r) WHERE y IS NOT NULL), {k}m AS (SELECT unit, {MOMENTS} FROM {k}p GROUP BY unit), {solve(k + 'm', 'unit', k)}")
+        union.append(f"SELECT '{c.code}' AS condition, unit, CAST(n AS BIGINT) AS n_pairs, alpha, {tau('alpha', c.dt)} AS tau FROM {k}")
+    return base + ", " + ", ".join(parts) + ", sweep AS (" + " UNION ALL ".join(union) + ")"
+
+
+SWEEP = _sweep_sql()
+
+
+@register("condition_sweep", f"{SWEEP} SELECT condition, unit, n_pairs, {rd('alpha', 'tau')} FROM sweep")
+def condition_sweep(spark, d):
+    return rounded(_sweep(spark, d))
+
+
+PAIRED = f"{SWEEP}, pr AS (SELECT a.condition, a.unit, a.tau AS value, b.tau AS ref, a.tau / b.tau AS ratio FROM sweep a JOIN sweep b ON a.unit = b.unit AND b.condition = 'F0' AND a.condition <> 'F0' WHERE a.tau IS NOT NULL AND b.tau IS NOT NULL)"
+
+
+@register("paired_ratios", f"{PAIRED} SELECT condition, count(*) AS n, round(quantile_cont(ratio, 0.5), 6) AS median, round(quantile_cont(ratio, 0.05), 6) AS p05, round(quantile_cont(ratio, 0.95), 6) AS p95, round(min(ratio), 6) AS min, round(max(ratio), 6) AS max, round((quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / nullif(quantile_cont(ref, 0.75) - quantile_cont(ref, 0.25), 0), 6) AS iqr_ratio FROM pr GROUP BY 1")
+def paired_ratios(spark, d):
+    return rounded(population.ratio_stats(population.paired(_sweep(spark, d), U, "condition", "tau"), ["condition"]))
+
+
+@register("spearman_paired", f"{PAIRED}, x AS (SELECT condition, rank() OVER (PARTITION BY condition ORDER BY value) + (count(*) OVER (PARTITION BY condition, value) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY condition ORDER BY ref) + (count(*) OVER (PARTITION BY condition, ref) - 1) / 2.0::DOUBLE AS b FROM pr) SELECT condition, count(*) AS n, round({corr('a', 'b')}, 6) AS rho FROM x GROUP BY 1")
+def spearman_paired(spark, d):
+    return rounded(population.spearman(population.paired(_sweep(spark, d), U, "condition", "tau"), "value", "ref", ["condition"]))
+
+
+@register("all_conditions_valid", f"{SWEEP}, v AS (SELECT unit, count(tau) AS n FROM sweep GROUP BY 1) SELECT count(*) FILTER (n = 5) AS valid_in_all, count(*) AS units FROM v")
+def all_conditions_valid(spark, d):
+    return population.all_valid(_sweep(spark, d), U, "tau", len(runs.CONDITIONS))
+
+
+SOCKETS = f"{FITS}, w AS (SELECT unit // 2 AS host, max(CASE WHEN unit % 2 = 0 THEN alpha END) AS a, max(CASE WHEN unit % 2 = 1 THEN alpha END) AS b FROM fits GROUP BY 1), sp2 AS (SELECT * FROM w WHERE a IS NOT NULL AND b IS NOT NULL)"
+
+
+@register("socket_pairing", f"{SOCKETS} SELECT count(*) AS hosts, round({corr('a', 'b')}, 6) AS corr, round(quantile_cont(abs(a - b), 0.5), 6) AS median_abs_diff, round(quantile_cont(abs(a - b) / nullif((a + b) / 2, 0), 0.5), 6) AS median_rel_diff FROM sp2")
+def socket_pairing(spark, d):
+    units = unit_fits(spark, d).select(F.expr("unit div 2").alias("host"), (F.col("unit") % 2).alias("socket"), "alpha")
+    return rounded(population.pairing(population.socket_pairs(units, "host", "socket", "alpha")))
+
+
+def stats_sql(column: str, source: str, group: str = "") -> str:
+    q = ", ".join(f"round(quantile_cont({column}, {x}), 6) AS p{round(100 * x):02d}" for x in population.QUANTILES)
+    key = f"{group}, " if group else ""
+    return f"SELECT {key}count({column}) AS n, round(avg({column}), 6) AS mean, round(stddev_pop({column}), 6) AS std, round(min({column}), 6) AS min, round(max({column}), 6) AS max, {q} FROM {source}" + (f" GROUP BY {group}" if group else "")
+
+
+@register("population_stats", f"{FITS} {stats_sql('tau', 'fits')}")
+def population_stats(spark, d):
+    return rounded(population.summary(unit_fits(spark, d), "tau"))
+
+
+@register("subset_vs_rest", f"{FITS}, top AS (SELECT unit FROM (SELECT unit, count(*) AS rows FROM ev GROUP BY 1 ORDER BY rows DESC, unit LIMIT 20)), f2 AS (SELECT fits.*, unit IN (SELECT unit FROM top) AS in_subset FROM fits) {stats_sql('tau', 'f2', 'in_subset')}")
+def subset_vs_rest(spark, d):
+    top = population.top_units(events(spark, d), "unit", 20)
+    return rounded(population.summary(population.flagged_subset(unit_fits(spark, d), top, "unit"), "tau", ["in_subset"]))
+
+
+@register("dispersion_alpha_tau", f"{SWEEP}, q AS (SELECT condition, avg(tau) AS mean, stddev_pop(tau) AS std, quantile_cont(tau, 0.05) AS p05, quantile_cont(tau, 0.25) AS p25, quantile_cont(tau, 0.5) AS p50, quantile_cont(tau, 0.75) AS p75, quantile_cont(tau, 0.95) AS p95 FROM sweep GROUP BY 1), a AS (SELECT condition, stddev_pop(1 - alpha) / avg(1 - alpha) AS cv_rate, quantile_cont(alpha, 0.75) - quantile_cont(alpha, 0.25) AS alpha_iqr FROM sweep WHERE tau IS NOT NULL GROUP BY 1) SELECT condition, round(std / mean, 6) AS cov, round(p75 - p25, 6) AS iqr, round((p75 - p25) / p50, 6) AS iqr_over_median, round(p95 / p05, 6) AS p95_over_p05, round(cv_rate, 6) AS cv_rate, round(alpha_iqr, 6) AS alpha_iqr FROM q JOIN a USING (condition)")
+def dispersion_alpha_tau(spark, d):
+    sweep = _sweep(spark, d)
+    a = sweep.where("tau is not null").groupBy("condition").agg((F.stddev_pop(1 - F.col("alpha")) / F.avg(1 - F.col("alpha"))).alias("cv_rate"), (F.percentile("alpha", 0.75) - F.percentile("alpha", 0.25)).alias("alpha_iqr"))
+    out = population.dispersion(population.summary(sweep, "tau", ["condition"])).join(a, "condition")
+    return rounded(out.select("condition", "cov", "iqr", "iqr_over_median", "p95_over_p05", "cv_rate", "alpha_iqr"))
+
+
+@register("topn_units", "SELECT user_id AS unit, count(*) AS rows FROM events GROUP BY 1 ORDER BY rows DESC, unit LIMIT 10")
+def topn_units(spark, d):
+    return population.top_units(events(spark, d), "unit", 10)
+
+
+# -- evaluation
+
+DAY = 5 * 86_400
+BLOCKS = PAIRS + f", blk AS (SELECT pairs.*, CAST(floor(min(us) OVER (PARTITION BY unit, run_id) / {DAY}000000) AS BIGINT) AS block FROM pairs)"
+
+
+def _blocked_pairs(spark, d):
+    return runs.lead_pairs(runs.with_blocks(unit_runs(spark, d), U, "us", seconds=DAY), U)
+
+
+@register("expanding_cv", f"{BLOCKS}, bm AS (SELECT unit, block, {MOMENTS} FROM blk GROUP BY 1, 2), tr AS (SELECT unit, block, row_number() OVER (PARTITION BY unit ORDER BY block) AS fold, " + ", ".join(f"sum({m}) OVER (PARTITION BY unit ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {m}" for m in arx.MOMENTS) + f" FROM bm), tr2 AS (SELECT * FROM tr WHERE fold > 1), {solve('tr2', 'unit')}, te AS (SELECT blk.unit, blk.block, fit.n AS n_train, y, t, y - (alpha*t + beta*blk.p + gamma) AS r FROM blk JOIN fit ON blk.unit = fit.unit AND blk.block = fit.block WHERE alpha IS NOT NULL) SELECT unit, block, CAST(min(n_train) AS BIGINT) AS n_train, count(*) AS n_test, round(sqrt(sum(r*r)/count(*)), 3) AS rmse, round(sum(abs(r))/count(*), 3) AS mae FROM te GROUP BY 1, 2")
+def expanding_cv(spark, d):
+    folds = evaluate.expanding_folds(_blocked_pairs(spark, d), U)
+    return folds.select("unit", "block", "n_train", "n_test", F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"))
+
+
+@register("holdout_split", f"{BLOCKS}, l AS (SELECT unit, max(block) AS last FROM blk GROUP BY 1) SELECT unit, count(*) FILTER (block <> last) AS n_train, count(*) FILTER (block = last) AS n_test FROM blk JOIN l USING (unit) GROUP BY 1")
+def holdout_split(spark, d):
+    marked = evaluate.last_block(_blocked_pairs(spark, d), U)
+    return marked.groupBy("unit").agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"))
+
+
+@register("residual_features", f"{RESID}, f AS (SELECT unit, run_id, idx, p, p - lag(p) OVER w AS dp, t, lag(p) OVER w AS lag_p, lag(t) OVER w AS lag_t, round(r, 4) AS r FROM resid WHERE run_len >= 3 WINDOW w AS (PARTITION BY unit, run_id ORDER BY idx)) SELECT * FROM f WHERE lag_p IS NOT NULL")
+def residual_features(spark, d):
+    f = evaluate.features(_resid(spark, d), U)
+    return f.select("unit", "run_id", "idx", "p", "dp", "t", "lag_p", "lag_t", F.round("r", 4).alias("r"))
+
+
+@register("zero_prediction_r2", f"{RESID} SELECT unit, count(*) AS n, round(1.0::DOUBLE - sum(r*r) / nullif(sum(r*r) - sum(r)*sum(r)/count(*), 0), 6) AS r2 FROM resid WHERE r IS NOT NULL GROUP BY 1")
+def zero_prediction_r2(spark, d):
+    return rounded(evaluate.r2(_resid(spark, d).where("r is not null"), "r", F.lit(0.0), U))
+
+
+LCG = "((event_id * 7919 + draw * 104729) * 48271) % 2147483647"
+
+
+@register("perm_null_lcg", f"WITH {EV}, base AS (SELECT event_id, t AS y, 50 * p + 5000 AS pred FROM ev WHERE unit % 50 = 0), r AS (SELECT event_id, y, pred, draw FROM base CROSS JOIN (SELECT unnest(range(20)) AS draw)), a AS (SELECT draw, pred, row_number() OVER (PARTITION BY draw ORDER BY event_id) AS i FROM r), b AS (SELECT draw, y, row_number() OVER (PARTITION BY draw ORDER BY {LCG}, event_id) AS i FROM r) SELECT draw, count(*) AS n, round(1.0::DOUBLE - sum((y-pred)*(y-pred)) / nullif(sum(y*y) - sum(y)*sum(y)/count(*), 0), 6) AS r2 FROM a JOIN b USING (draw, i) GROUP BY 1")
+def perm_null_lcg(spark, d):
+    base = events(spark, d).where("unit % 50 = 0").select("event_id", F.col("t").alias("y"), (50 * F.col("p") + 5000).alias("pred"))
+    return rounded(evaluate.permutation_null(base, "y", "pred", "event_id", 20, shuffle=lambda k, draw: ((k * 7919 + draw * 104729) * 48271) % 2147483647))
+
+
+def _residual_rows(spark, d):
+    pairs = _blocked_pairs(spark, d)
+    rows = evaluate.features(arx.residuals(pairs, arx.fit(pairs, U, DT), U).where("r is not null"), U)
+    return evaluate.last_block(rows, [])
+
+
+def _modelled(spark, d, kind, **more):
+    rows = _residual_rows(spark, d)
+    key = F.concat_ws("|", "unit", "run_id", "idx")
+    train, test = evaluate.capped(rows.where("not is_test"), key, 150_000), evaluate.capped(rows.where("is_test"), key, 50_000)
+    return evaluate.r2(evaluate.residual_model(train, test, kind, **more), "r", F.col("prediction"))
+
+
+@register("linear_residual")
+def linear_residual(spark, d):
+    return rounded(_modelled(spark, d, "linear"))
+
+
+@register("gbt_residual")
+def gbt_residual(spark, d):
+    return rounded(_modelled(spark, d, "trees", iterations=10))
+
+
+@register("neural_residual")
+def neural_residual(spark, d):
+    rows = _residual_rows(spark, d).withColumn("grp", F.lit(0).cast("long"))
+    rows = evaluate.capped(rows, F.concat_ws("|", "unit", "run_id", "idx"), 200_000)
+    return rounded(evaluate.r2(evaluate.neural_residual(rows, list(evaluate.FEATURES)), "r", F.col("prediction")))
+
+
+@register("sequence_windows", f"{RUNS}, w AS (SELECT unit, run_id, idx, count(*) OVER (PARTITION BY unit, run_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS size FROM runs) SELECT unit, run_id, idx, size FROM w WHERE size = 4")
+def sequence_windows(spark, d):
+    w = evaluate.trailing(unit_runs(spark, d), U, 4)
+    return w.select("unit", "run_id", "idx", F.size("window").cast("long").alias("size"))
+
+
+# -- bootstraps
+
+
+@register("block_bootstrap")
+def block_bootstrap(spark, d):
+    return rounded(resample.block_bootstrap(unit_runs(spark, d), U, DT, 200, 80.0, 4))
+
+
+@register("block_bootstrap_lcg", f"{PAIRS}, x AS (SELECT unit, run_id, idx + 1 AS idx, " + ", ".join(f"sum({e}) OVER w AS {n}" for n, e in (("stt", "t*t"), ("stp", "t*p"), ("st", "t"), ("spp", "p*p"), ("sp", "p"), ("n", "1.0::DOUBLE"), ("sty", "t*y"), ("spy", "p*y"), ("sy", "y"))) + " FROM pairs WINDOW w AS (PARTITION BY unit, run_id ORDER BY idx ROWS UNBOUNDED PRECEDING)), pre AS (SELECT * FROM x UNION ALL SELECT unit, run_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM pairs WHERE idx = 0), ln AS (SELECT *, count(*) OVER (PARTITION BY unit, run_id) - 1 AS len FROM pre), st AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY run_id, idx) - 1 AS place, count(*) OVER (PARTITION BY unit) AS places FROM ln WHERE idx + 4 <= len), dr AS (SELECT unit, draw, (((unit * 7919 + draw * 104729 + k * 1299709) * 48271) % 2147483647) % places AS place FROM (SELECT DISTINCT unit, places FROM st) CROSS JOIN (SELECT unnest(range(10)) AS draw) CROSS JOIN (SELECT unnest(range(12)) AS k)), bl AS (SELECT dr.unit, draw, " + ", ".join(f"sum(h.{n} - st.{n}) AS {n}" for n in ("stt", "stp", "st", "spp", "sp", "n", "sty", "spy", "sy")) + f" FROM dr JOIN st ON dr.unit = st.unit AND dr.place = st.place JOIN pre h ON h.unit = st.unit AND h.run_id = st.run_id AND h.idx = st.idx + 4 GROUP BY 1, 2), {solve('bl', 'unit')} SELECT unit, draw, round(alpha, 6) AS alpha FROM fit")
+def block_bootstrap_lcg(spark, d):
+    return rounded(resample.lcg_blocks(unit_pairs(spark, d), U, "unit", 4, 12, 10))
+
+
+def _rho(a, b):
+    import numpy as np
+
+    x, y = a.argsort().argsort(), b.argsort().argsort()
+    return float(np.corrcoef(x, y)[0, 1])
+
+
+@register("paired_bootstrap")
+def paired_bootstrap(spark, d):
+    pairs = population.paired(_sweep(spark, d).where("condition in ('F0', 'F1')"), U, "condition", "tau")
+    return rounded(resample.paired_bootstrap(pairs, ["value", "ref"], _rho, 400))
+
+
+# -- monitor
+
+WIDE = 30 * 86_400
+
+
+def monitor_sql(samples: int = 8) -> str:
+    least = int(0.6 * samples) + 1
+    return f"WITH {EV}, {seg(gap_s=WIDE)}, {RUNS[len(BASE) + 2 :]}, rw AS (SELECT *, idx // {samples} AS win, CASE WHEN (idx + 1) // {samples} = idx // {samples} THEN lead(t) OVER (PARTITION BY unit, run_id ORDER BY idx) END AS y FROM runs), nm AS (SELECT unit, run_id, win, min(us) AS first_us, count(*) AS samples, sum(p) / count(*) AS mean_p, sum(t) / count(*) AS mean_t FROM rw GROUP BY 1, 2, 3), wm AS (SELECT unit, run_id, win, {MOMENTS} FROM rw WHERE y IS NOT NULL GROUP BY 1, 2, 3), {solve('wm', 'unit')}, wt AS (SELECT nm.unit, nm.run_id, CAST(nm.win AS BIGINT) AS win, first_us, samples, mean_p, mean_t, {tau('fit.alpha')} AS tau FROM nm JOIN fit ON nm.unit = fit.unit AND nm.run_id = fit.run_id AND nm.win = fit.win WHERE samples >= {least}), roll AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY run_id, win) AS ord FROM wt WHERE tau IS NOT NULL)"
+
+
+ROLL = monitor_sql()
+SCORED = """, n1 AS (SELECT *, count(*) OVER (PARTITION BY unit) AS n FROM roll), n2 AS (SELECT *, ord <= n // 2 AS baseline FROM n1 WHERE n >= 4 AND n // 2 >= 2 AND n - n // 2 >= 2),
+n3 AS (SELECT n2.*, med, p_med, abs(tau - med) AS dev FROM n2 JOIN (SELECT unit, quantile_cont(tau, 0.5) AS med, quantile_cont(mean_p, 0.5) AS p_med FROM n2 WHERE baseline GROUP BY 1) USING (unit)),
+n4 AS (SELECT n3.*, mad, dev / (1.4826 * mad + 1e-9) AS z FROM n3 JOIN (SELECT unit, quantile_cont(dev, 0.5) AS mad FROM n3 WHERE baseline GROUP BY 1) USING (unit)),
+n5 AS (SELECT *, z > 1.5 AS alert FROM n4), n6 AS (SELECT *, sum(CASE WHEN alert THEN 0 ELSE 1 END) OVER (PARTITION BY unit, baseline ORDER BY ord ROWS UNBOUNDED PRECEDING) AS island FROM n5),
+scored AS (SELECT *, alert AND sum(CASE WHEN alert THEN 1 ELSE 0 END) OVER (PARTITION BY unit, baseline, island) >= 2 AS persisted FROM n6)"""
+
+
+def _rolling(spark, d, samples=8):
+    return monitor.rolling(unit_runs(spark, d, WIDE), U, DT, samples)
+
+
+def _scored(spark, d):
+    return monitor.scored(_rolling(spark, d), U, 1.5, 2, 4, 2)
+
+
+@register("rolling_tau", f"{ROLL} SELECT unit, run_id, win, first_us, samples, {rd('mean_p', 'mean_t', 'tau', digits=5)}, ord FROM roll")
+def rolling_tau(spark, d):
+    return rounded(_rolling(spark, d), digits=5)
+
+
+@register("robust_z", f"{ROLL}{SCORED} SELECT unit, ord, baseline, round(med, 5) AS med, round(mad, 5) AS mad, round(z, 4) AS z FROM scored")
+def robust_z(spark, d):
+    return _scored(spark, d).select("unit", "ord", "baseline", F.round("med", 5).alias("med"), F.round("mad", 5).alias("mad"), F.round("z", 4).alias("z"))
+
+
+@register("persisted_alerts", f"{ROLL}{SCORED} SELECT unit, ord, alert, persisted FROM scored")
+def persisted_alerts(spark, d):
+    return _scored(spark, d).select("unit", "ord", "alert", "persisted")
+
+
+UNITS = f"{ROLL}{SCORED}, un AS (SELECT unit, count(*) AS n_windows, avg(CASE WHEN NOT baseline THEN persisted::INT::DOUBLE END) AS oos, avg(CASE WHEN baseline THEN persisted::INT::DOUBLE END) AS base, min(mad) / (min(med) + 1e-9) AS rel FROM scored GROUP BY 1)"
+
+
+@register("alert_rate_vs_null", f"{UNITS} SELECT count(*) AS units, round(avg(oos), 6) AS oos_mean, round(avg(base), 6) AS baseline_mean, round(quantile_cont(oos - base, 0.5), 6) AS median_difference, round(avg((oos - base > 0)::INT::DOUBLE), 6) AS fraction_above, round(quantile_cont(rel, 0.5), 5) AS rel_spread_median FROM un")
+def alert_rate_vs_null(spark, d):
+    out = monitor.alerts_against_null(monitor.unit_report(_scored(spark, d), U))
+    return rounded(out.withColumn("rel_spread_median", F.round("rel_spread_median", 5)))
+
+
+@register("confound_corr", f"{ROLL}{SCORED} SELECT unit, count(*) AS n_windows, round({corr('z', 'abs(mean_p - p_med)', 'NOT baseline')}, 4) AS power_confound_corr FROM scored GROUP BY 1")
+def confound_corr(spark, d):
+    return monitor.unit_report(_scored(spark, d), U).select("unit", "n_windows", F.round("power_confound_corr", 4).alias("power_confound_corr"))
+
+
+@register("busiest_unit", f"{UNITS} SELECT unit, n_windows FROM un ORDER BY n_windows DESC, unit LIMIT 1")
+def busiest_unit(spark, d):
+    return monitor.busiest(monitor.unit_report(_scored(spark, d), U), U)
+
+
+@register("window_sensitivity", " UNION ALL ".join(f"(SELECT {w}::BIGINT AS samples, count(*) AS windows, count(DISTINCT unit) AS units, round(quantile_cont(tau, 0.5), 5) AS tau_median FROM ({monitor_sql(w)} SELECT * FROM roll))" for w in (8, 12, 16)))
+def window_sensitivity(spark, d):
+    out = None
+    for w in (8, 12, 16):
+        one = _rolling(spark, d, w).agg(F.count("*").alias("windows"), F.count_distinct("unit").alias("units"), F.round(F.median("tau"), 5).alias("tau_median")).select(F.lit(w).cast("long").alias("samples"), "windows", "units", "tau_median")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("session_segments", f"WITH {EV}, {seg()} SELECT unit, count(*) AS rows, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY unit, segment_id")
+def session_segments(spark, d):
+    e = events(spark, d).withColumn("ts", F.timestamp_micros("us"))
+    return e.groupBy("unit", F.session_window("ts", f"{43_200} seconds").alias("w")).agg(F.count("*").alias("rows"), F.min("us").alias("first_us"), F.max("us").alias("last_us")).drop("w")
+
+
+@register("stream_rolling_tau")
+def stream_rolling_tau(spark, d):
+    """Count windows of the events replayed as a stream of one micro-batch, a table of its own for each call."""
+    flat = f"{d}/events.parquet"
+    schema = spark.read.parquet(flat).schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = source.select(F.col("user_id").alias("unit"), scalar.micros(F.col("ts")).alias("us"), F.round(F.col("value") * 100).cast("double").alias("t"), F.get_json_object("props", "$.k").cast("double").alias("p"))
+    name = f"rolling_{uuid.uuid4().hex[:8]}"
+    query = rolling.count_windows(rows, 8, WIDE, DT).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rounded(spark.table(name), digits=5)
+
+
+# -- reports
+
+
+@register("decision_gate", f"{RESID}, q AS ({METRICS}), a AS (SELECT quantile_cont(increment_r2, 0.5) AS increment_r2 FROM q) SELECT round(increment_r2, 5) AS increment_r2, 0.0::DOUBLE AS residual_r2, 0.01::DOUBLE AS tau_cov, CASE WHEN increment_r2 > 0.05 THEN 'A_OBSERVABILITY_IMPROVEMENT' ELSE 'A_TAU_IDENTIFIABILITY__B_RESIDUAL_NULL (split)' END AS gate FROM a")
+def decision_gate(spark, d):
+    medians = arx.metrics(_resid(spark, d), U).agg(F.median("increment_r2").alias("increment_r2")).withColumn("residual_r2", F.lit(0.0)).withColumn("tau_cov", F.lit(0.01))
+    return rounded(report.decision_gate(medians), digits=5)
+
+
+@register("unpivot_manifest", f"{FITS}, q AS (SELECT count(tau)::DOUBLE AS n, round(quantile_cont(tau, 0.5), 6) AS p50, round(min(tau), 6) AS min FROM fits) SELECT metric, value, 'fit' AS phase FROM (SELECT 'n' AS metric, n AS value FROM q UNION ALL SELECT 'p50', p50 FROM q UNION ALL SELECT 'min', min FROM q)")
+def unpivot_manifest(spark, d):
+    return rounded(report.claims(population.summary(unit_fits(spark, d), "tau"), ["n", "p50", "min"], "fit"))
+
+
+@register("validation_checks", f"{BASE}, q AS (SELECT 'rows' AS metric, count(*)::DOUBLE AS value FROM s UNION ALL SELECT 'units', count(DISTINCT unit)::DOUBLE FROM s), e AS (SELECT * FROM (VALUES ('rows', 10000.0::DOUBLE, 0.0::DOUBLE, 0.01::DOUBLE), ('units', 100.0::DOUBLE, 5.0::DOUBLE, 0.0::DOUBLE), ('absent', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE)) AS v(metric, want, tolerance, relative)) SELECT e.metric, value, want, coalesce(abs(value - want) <= greatest(tolerance, relative * abs(want)), false) AS ok FROM e LEFT JOIN q ON e.metric = q.metric")
+def validation_checks(spark, d):
+    s = events(spark, d)
+    got = report.claims(s.agg(F.count("*").alias("rows"), F.count_distinct("unit").alias("units")), ["rows", "units"], "x").drop("phase")
+    expected = spark.createDataFrame([("rows", 10000.0, 0.0, 0.01), ("units", 100.0, 5.0, 0.0), ("absent", 1.0, 1.0, 1.0)], "metric string, want double, tolerance double, relative double")
+    return report.validate(got, expected)
+
+
+@register("histogram", f"WITH {EV} SELECT CAST(least(floor(p / 9.9), 9) AS INTEGER) AS bin, count(*) AS n, round(CAST(least(floor(p / 9.9), 9) AS INTEGER) * 9.9::DOUBLE, 6) AS left_edge FROM ev WHERE p BETWEEN 0 AND 99 GROUP BY 1, 3")
+def histogram(spark, d):
+    return rounded(report.histogram(events(spark, d), "p", 0.0, 99.0, 10))
+
+
+@register("conditions", "SELECT * FROM (VALUES " + ", ".join(f"('{c.code}', '{c.temp}', {str(c.quantized).lower()}, {str(c.decimated).lower()}, {c.dt}::DOUBLE, '{c.note}')" for c in runs.CONDITIONS) + ") AS v(condition, temp, quantized, decimated, dt, note)")
+def conditions(spark, d):
+    return runs.conditions(spark)
+
+
+@register("drift", "SELECT * FROM (VALUES ('b', '2', '3'), ('c', '4', NULL)) AS v(source, was, digest)")
+def drift(spark, d):
+    now = spark.createDataFrame([("a", "1"), ("b", "3")], "source string, digest string")
+    return report.drift(now, spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "4")], "source string, digest string"))

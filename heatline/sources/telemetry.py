@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import nan_to_null
+from .package import ship
 
 DATASET_VARIABLE = "HEATLINE_DATASET"
 #: The sensors of a reading.
@@ -65,11 +66,12 @@ def _footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((path, host, f.metadata.num_rows, size, names, ",".join(f"{n}:{t}" for n, t in zip(names, map(str, f.schema_arrow.types), strict=True)), None))
             except Exception as e:  # an unreadable file is a row that says so
                 out.append((path, host, None, size, [], None, str(e)[:200]))
-        yield pd.DataFrame(out, columns=["path", "host", "rows", "bytes", "columns", "signature", "error"])
+        yield pd.DataFrame(out, columns=["path", "host", "rows", "bytes", "columns", "signature", "error"], dtype=object)
 
 
 def footers(spark: SparkSession, path: str) -> DataFrame:
     """Rows, bytes, columns and types of each Parquet file, or why it can't be read."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
     return files.select("path", host_of(F.col("path")).alias("host"), "length", "content").mapInPandas(_footers, FOOTER)
 
@@ -84,22 +86,24 @@ def _members(columns: list[str], want_rows: bool):
                             continue
                         host = m.name.strip("./").split("/")[-3] if m.name.count("/") >= 2 else m.name.split("/")[0]
                         if not want_rows:
-                            yield pd.DataFrame([(m.name, host, m.size)], columns=["member", "host", "bytes"])
+                            yield pd.DataFrame([(m.name, host, m.size)], columns=["member", "host", "bytes"], dtype=object)
                             continue
                         rows = pd.read_parquet(io.BytesIO(tar.extractfile(m).read()), columns=["timestamp", *columns])
                         rows["us"] = pd.to_datetime(rows["timestamp"], utc=True).astype("datetime64[us, UTC]").astype("int64")
-                        yield rows.assign(host=host)[["host", "us", *columns]].astype({c: "float64" for c in columns})
+                        yield rows.assign(host=pd.Series([host] * len(rows), dtype=object))[["host", "us", *columns]].astype({c: "float64" for c in columns})
 
     return run
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """Parquet members of TAR archives, with their hosts."""
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_members([], False), "member string, host string, bytes long")
 
 
 def archive_readings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Readings of the Parquet members of TAR archives; an archive is read by one task, a member at a time."""
+    ship(spark)
     schema = "host string, us long, " + ", ".join(f"{c} double" for c in columns)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_members(columns, True), schema)
 

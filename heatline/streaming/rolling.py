@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.package import ship
+
 OUT = "unit long, window long, first_us long, samples int, tau double, mean_p double, mean_t double"
 STATE = "us array<long>, t array<double>, p array<double>, windows long"
 
@@ -51,6 +53,7 @@ def _count_windows(samples: int, gap_s: float, dt: float):
 def count_windows(stream: DataFrame, samples: int, gap_s: float, dt: float) -> DataFrame:
     """Full windows of `samples` rows of each unit, emitted as they fill; a gap drops what has gathered. State: one window
     for each unit. Rows (unit, us, t, p) must arrive in order of time within a unit from one micro-batch to the next."""
+    ship(stream.sparkSession)
     return stream.groupBy("unit").applyInPandasWithState(_count_windows(samples, gap_s, dt), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
