@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heatline.sources.package import ship
+
 #: White space and words as the digest contracts define them.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="heatline-"), "heatline.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, str(Path(root.name) / f.relative_to(root)))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
