@@ -15,8 +15,6 @@ from heatline.sources.package import ship
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
