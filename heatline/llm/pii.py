@@ -180,27 +180,27 @@ def pseudonym(value: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with text rewritten and `_changes`, an array of (kind, was, now) of the values that changed, in order."""
+    """docs with text rewritten and `__hl_changes`, an array of (kind, was, now) of the values that changed, in order."""
     text = F.col("text")
     found = text.rlike("[0-9]|@") & text.rlike(ANY)
     kind = "array<struct<kind:string,was:string,now:string>>"
-    out = docs.withColumn("_matches", F.when(found, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))).otherwise(F.array().cast(kind)))
+    out = docs.withColumn("__hl_matches", F.when(found, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))).otherwise(F.array().cast(kind)))
     parts = F.split(text, ANY, -1)
-    new = F.array_join(F.zip_with(parts, F.transform("_matches", lambda m: m["now"]), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    out = out.withColumn("_new", F.when(F.size("_matches") > 0, new).otherwise(text))
-    changes = F.filter("_matches", lambda m: m["was"] != m["now"])
-    return out.select(*[F.col("_new").alias(c) if c == "text" else F.col(c) for c in docs.columns], changes.alias("_changes"))
+    new = F.array_join(F.zip_with(parts, F.transform("__hl_matches", lambda m: m["now"]), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    out = out.withColumn("__hl_new", F.when(F.size("__hl_matches") > 0, new).otherwise(text))
+    changes = F.filter("__hl_matches", lambda m: m["was"] != m["now"])
+    return out.select(*[F.col("__hl_new").alias(c) if c == "text" else F.col(c) for c in docs.columns], changes.alias("__hl_changes"))
 
 
 def report(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, the rewritten text and how many values of each kind were rewritten."""
     out = pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)
-    of = lambda k: F.size(F.filter("_changes", lambda m: m["kind"] == k)).cast("long").alias(f"n_{k}")
+    of = lambda k: F.size(F.filter("__hl_changes", lambda m: m["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", "text", *[of(k) for k in KINDS])
 
 
 def stage(docs: DataFrame, key: str = KEY) -> DataFrame:
-    return pseudonymise(docs, key).drop("_changes")
+    return pseudonymise(docs, key).drop("__hl_changes")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

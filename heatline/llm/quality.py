@@ -57,22 +57,22 @@ def repeated_words(windows: Column) -> Column:
 
 
 def with_hashes(docs: DataFrame) -> DataFrame:
-    """docs with _words, _h1 (hashes of words) and _h2 (of word pairs)."""
-    out = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_words", words_of(F.col("_text"))).withColumn("_n", F.size("_words"))
-    out = out.withColumn("_h1", F.transform("_words", lambda w: F.xxhash64(w)))
-    return out.withColumn("_h2", joined(F.col("_h1"), F.greatest(F.col("_n") - 1, F.lit(0)), 1))
+    """docs with their words and hashes of words (h1) and of word pairs (h2)."""
+    out = docs.withColumn("__hl_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("__hl_words", words_of(F.col("__hl_text"))).withColumn("__hl_n", F.size("__hl_words"))
+    out = out.withColumn("__hl_h1", F.transform("__hl_words", lambda w: F.xxhash64(w)))
+    return out.withColumn("__hl_h2", joined(F.col("__hl_h1"), F.greatest(F.col("__hl_n") - 1, F.lit(0)), 1))
 
 
 def trusted(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_trusted_id")).distinct()
-    return good.orderBy(F.xxhash64("_trusted_id"), "_trusted_id").limit(rows)
+    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__hl_trusted_id")).distinct()
+    return good.orderBy(F.xxhash64("__hl_trusted_id"), "__hl_trusted_id").limit(rows)
 
 
 def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: int = TRUSTED_ROWS) -> list[float]:
     """log(target / raw) of each bucket."""
     hashed = with_hashes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    marked = hashed.join(F.broadcast(trusted(labels, rows)), F.col("doc_id") == F.col("_trusted_id"), "left")
-    grams = marked.select(F.col("_trusted_id").isNotNull().cast("long").alias("t"), F.explode(F.concat("_h1", "_h2")).alias("h"))
+    marked = hashed.join(F.broadcast(trusted(labels, rows)), F.col("doc_id") == F.col("__hl_trusted_id"), "left")
+    grams = marked.select(F.col("__hl_trusted_id").isNotNull().cast("long").alias("t"), F.explode(F.concat("__hl_h1", "__hl_h2")).alias("h"))
     counted = grams.groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b")).agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()
     raw, target = [1] * buckets, [1] * buckets
     for r in counted:
@@ -85,23 +85,23 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: in
 def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: int = TRUSTED_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the counts of the base rules, `ratio`, base_failed and kept."""
     table = F.split(F.lit(",".join(f"{w:.7f}" for w in weights(docs, labels, buckets, rows))), ",").cast("array<double>")
-    n = F.col("_n")
+    n = F.col("__hl_n")
     out = with_hashes(docs)
-    out = out.withColumn("_h4", joined(F.col("_h2"), F.greatest(n - 3, F.lit(0)), 2))
-    out = out.withColumn("_windows", joined(F.col("_h4"), F.greatest(n - 7, F.lit(0)), 4))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    total = F.aggregate(F.concat("_h1", "_h2"), F.lit(0.0), lambda acc, h: acc + F.get(table, F.pmod(h, F.lit(buckets)).cast("int")))
-    out = out.withColumn("_lines", lines).select(
+    out = out.withColumn("__hl_h4", joined(F.col("__hl_h2"), F.greatest(n - 3, F.lit(0)), 2))
+    out = out.withColumn("__hl_windows", joined(F.col("__hl_h4"), F.greatest(n - 7, F.lit(0)), 4))
+    lines = F.filter(F.split("__hl_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    total = F.aggregate(F.concat("__hl_h1", "__hl_h2"), F.lit(0.0), lambda acc, h: acc + F.get(table, F.pmod(h, F.lit(buckets)).cast("int")))
+    out = out.withColumn("__hl_lines", lines).select(
         *[F.col(c) for c in docs.columns],
-        n.cast("long").alias("_n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("_word_chars"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", SYMBOLS, ""))).cast("long").alias("_n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
-        F.when(n < WINDOW, F.lit(0).cast("long")).otherwise(repeated_words(F.col("_windows"))).alias("_n_repeat_words"),
-        F.try_divide(total, F.greatest(2 * n - 1, F.lit(1))).alias("_ratio"),
+        n.cast("long").alias("__hl_n_words"),
+        F.length(F.array_join("__hl_words", "")).cast("long").alias("__hl_word_chars"),
+        (F.length("__hl_text") - F.length(F.regexp_replace("__hl_text", SYMBOLS, ""))).cast("long").alias("__hl_n_symbols"),
+        (F.size("__hl_lines") - F.size(F.array_distinct("__hl_lines"))).cast("long").alias("__hl_n_dup_lines"),
+        F.when(n < WINDOW, F.lit(0).cast("long")).otherwise(repeated_words(F.col("__hl_windows"))).alias("__hl_n_repeat_words"),
+        F.try_divide(total, F.greatest(2 * n - 1, F.lit(1))).alias("__hl_ratio"),
     )
-    failed = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > REPEAT_PERCENT * F.col("_n_words"))
-    return out.withColumn("_base_failed", failed).withColumn("_kept", ~F.col("_base_failed") & (F.col("_ratio") >= threshold))
+    failed = (F.col("__hl_n_words") < MIN_WORDS) | (100 * F.col("__hl_n_repeat_words") > REPEAT_PERCENT * F.col("__hl_n_words"))
+    return out.withColumn("__hl_base_failed", failed).withColumn("__hl_kept", ~F.col("__hl_base_failed") & (F.col("__hl_ratio") >= threshold))
 
 
 VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
@@ -110,12 +110,12 @@ VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id and the verdict on every row."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return judged(slim, labels, **options).select("doc_id", *(F.col(f"_{c}").alias(c) for c in VERDICT))
+    return judged(slim, labels, **options).select("doc_id", *(F.col(f"__hl_{c}").alias(c) for c in VERDICT))
 
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    return judged(docs, labels, **options).where("_kept").select(*docs.columns)
+    return judged(docs, labels, **options).where("__hl_kept").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
