@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, documents, new_path, read_table
+from .common import batches, documents, new_path, read_table, small
 from .pieces import piece_ids
 
 MAGIC = b"HLPACK01"
@@ -177,7 +177,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
     """A row for each document, from the files."""
     files = spark.createDataFrame([(m["name"], m["start"]) for m in manifest], "name string, start long")
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return content.join(F.broadcast(files), "name").select("start", "content").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return content.join(small(files, len(manifest)), "name").select("start", "content").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def qualified(spark: SparkSession, path: str) -> str:

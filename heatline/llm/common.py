@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from heatline.sources.package import ship
 
 #: White space and words as the digest contracts define them.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of numbers and short names that a task may hold.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +54,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filed(docs: DataFrame) -> DataFrame:
+    """docs if it is read from Parquet files, else as written to such."""
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+        return docs
+    except AnalysisException:
+        return written(docs, "rows")
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs, which filed() gave, with a row id that is the same in every job, whatever executors come and go: the row's file (its hash) and place in it."""
+    place = docs.metadataColumn("_metadata")
+    return docs.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row")))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast only if its `rows` are few; beyond, Spark joins by a shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def batches(columns: dict, schema: pa.Schema, rows: int = 4096):
     """Record batches of at most `rows` rows from whole columns."""
     table = pa.table([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

@@ -8,8 +8,7 @@ the expression. Rules without mandatory trigrams scan every text.
 
 The base kinds are assign, access and hex; the others are added rules. Spans are in code points, end exclusive,
 leftmost and non-overlapping within a kind. Defined results: null or empty text has no spans; null doc_ids and
-repeated rows are scanned like any other (rows are told apart by an internal id; the table must be read from
-files); an empty table gives no rows. Other columns are not read.
+repeated rows are scanned like any other (rows are told apart by their file and place in it); an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import filed, numbered, read_table, written
 
 #: A class or repeat that stands for more than this many strings is a gap in the literals around it.
 CLASS, ALTERNATIVES = 8, 64
@@ -131,7 +130,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     wanted = {k: trigram_query(r.pattern) for k, r in enumerate(rules)}
     grams = sorted({g for sets in wanted.values() for s in sets for g in s})
     number = {g: i for i, g in enumerate(grams)}
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    texts = numbered(filed(docs), "__heatline_row").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("__heatline_row").alias("rid"))
     none = F.array().cast("array<struct<start:int,order:int,stop:int>>")
 
     low = texts.withColumn("low", F.lower("text"))

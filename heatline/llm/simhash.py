@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, read_table, shared_dir, ship, written
+from .common import batches, filed, numbered, read_table, shared_dir, ship, small, written
 
 ROW = "__heatline_row"
 TILE = 8192
@@ -55,7 +55,7 @@ def fingerprint(text: str, words: int, lanes: int) -> tuple[int, list[int]]:
     return n, out
 
 
-FINGERPRINTS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64())])
+FINGERPRINTS = pa.schema([("file", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64())])
 
 
 def _fingerprints(words: int, lanes: int):
@@ -67,22 +67,18 @@ def _fingerprints(words: int, lanes: int):
                 n.append(size)
                 f0.append(f[0])
                 f1.append(f[1] if lanes > 1 else 0)
-            yield from batches({"rid": batch["rid"], "doc_id": batch["doc_id"], "n": n, "f0": f0, "f1": f1}, FINGERPRINTS, 1 << 16)
+            yield from batches({"file": batch["file"], "row": batch["row"], "doc_id": batch["doc_id"], "n": n, "f0": f0, "f1": f1}, FINGERPRINTS, 1 << 16)
 
     return run
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """A row id that is the same whenever the same files are read."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
-
-
 def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
     if lanes not in (1, 2):
         raise ValueError("one or two lanes of 64 bits")
     ship(docs.sparkSession)
-    rows = numbered(docs).select(F.col(ROW).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprints(words, lanes), "rid long, doc_id long, n long, f0 long, f1 long")
+    rows = numbered(filed(docs), ROW).select(F.col(ROW)["file"].alias("file"), F.col(ROW)["row"].alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = rows.mapInArrow(_fingerprints(words, lanes), "file long, row long, doc_id long, n long, f0 long, f1 long")
+    return found.select(F.struct("file", "row").alias("rid"), "doc_id", "n", "f0", "f1")
 
 
 # -- tiles
@@ -242,13 +238,13 @@ def components(prints: DataFrame, radius: int, ratio: float = 0.0, least: int =
     strata = [tuple(r) for r in nodes.groupBy("size", "pop").count().collect()]  # at most 129 counts for each of some hundred classes
     homes, meets = plan_tiles(strata, radius, 1 if ratio else 0, tile)
     if not homes:
-        return prints.select("rid", "doc_id", "n", "f0", "f1", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("first_rid"))
+        return prints.select("rid", "doc_id", "n", "f0", "f1", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("struct<file:long,row:long>").alias("first_rid"))
     home = spark.createDataFrame(homes, "size int, pop int, base int, parts int")
     meet = spark.createDataFrame(meets, "tile int, low int, high int")
     tiles = nodes.join(F.broadcast(home), ["size", "pop"]).select((F.col("base") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("tile"), "id", "f0", "f1", "n")
     blobs = written(tiles.groupBy("tile").applyInArrow(_pack_tile, "tile int, blob binary"), "tiles")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left = blobs.join(F.broadcast(meet), "tile").select("tile", F.col("blob").alias("left"), F.explode(F.sequence("low", "high")).alias("partner"))
+    left = blobs.join(small(meet, len(meets)), "tile").select("tile", F.col("blob").alias("left"), F.explode(F.sequence("low", "high")).alias("partner"))
     right = blobs.select(F.col("tile").alias("partner"), F.col("blob").alias("right"))
     pairs = left.repartition(parts, "partner").join(right.hint("shuffle_hash"), "partner")
     roots = star_rounds(pairs.select("tile", "partner", "left", "right").mapInArrow(_compare(radius, ratio, least), "a long, b long"))
@@ -269,10 +265,11 @@ STAGE_WORDS, STAGE_RADIUS, STAGE_RATIO, STAGE_LEAST = 5, 26, 0.8, 5
 
 
 def first_of_each(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, ratio: float = STAGE_RATIO, least: int = STAGE_LEAST) -> DataFrame:
-    """docs, which must be read from files, without all but the first row (by doc_id) of each near-duplicate group."""
+    """docs without all but the first row (by doc_id) of each near-duplicate group."""
+    docs = filed(docs)
     found = components(written(fingerprints(docs, words, 2), "fingerprints"), radius, ratio, least)
     keep = found.where("rid = first_rid").select(F.col("rid").alias(ROW))
-    return numbered(docs).join(keep, ROW, "left_semi").drop(ROW)
+    return numbered(docs, ROW).join(keep, ROW, "left_semi").drop(ROW)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
