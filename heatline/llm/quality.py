@@ -115,7 +115,10 @@ def rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    return judged(docs, labels, **options).where("__hl_kept").select(*docs.columns)
+    # The mark is not deterministic, so the filter stays above the columns it reads; pushed below them, it would
+    # hold every one of their expressions written out, shared parts many times over.
+    marked = judged(docs, labels, **options).withColumn("__hl_mark", F.monotonically_increasing_id())
+    return marked.where(F.col("__hl_kept") & (F.col("__hl_mark") >= 0)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
