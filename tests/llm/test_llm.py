@@ -301,6 +301,24 @@ def test_quality_tells_labels_apart(spark):
     assert rate[1] > 0.99 and rate[0] < 0.5
 
 
+def test_sharding_merges_end_and_keep_columns(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "ends"), target=1 << 14, smallest=1 << 10, fan_in=4)
+    made = 0
+    for k in range(7):  # sizes on both sides of the target and of its half
+        part = spark.range(made, made + 400 * (1 + k % 4)).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"), *([F.lit(k).alias("late")] if k > 3 else []))
+        made += 400 * (1 + k % 4)
+        store.append(part.coalesce(1 + k % 2))
+        store.compact()
+        assert not store.runs(store.shards())
+    back = store.read()
+    assert back.select("doc_id").distinct().count() == back.count() == made
+    assert back.where("late is not null").count() == 400 * (1 + 2 + 3)
+    full = [s.bytes for s in store.shards()]
+    assert sum(2 * n < store.target for n in full) <= store.fan_in * 3
+    assert store.vacuum() == 0
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "134217728b"
+
+
 def test_sharding(spark, docs, tmp_path):
     store = sharding.sharded(docs, str(tmp_path / "store"), arrivals=5, target=1 << 16, smallest=1 << 12, fan_in=2)
     shards = store.shards()
