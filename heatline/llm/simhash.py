@@ -35,50 +35,68 @@ SUB = 512
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str, words: int, lanes: int) -> tuple[int, list[int]]:
-    """Number of shingles and, for each lane of 64 bits, the bits set in over half of the shingles' hashes."""
+def _shingles(text: str, words: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The joined words, and where each shingle starts and stops in them."""
     tokens = text.encode().lower().split()
     if not tokens:
-        return 0, [0] * lanes
-    joined = b" ".join(tokens)
+        return b"", np.empty(0, np.int64), np.empty(0, np.int64)
     ends = np.cumsum(np.array(list(map(len, tokens)), np.int64) + 1) - 1
     k = min(words, len(tokens))
-    stops = ends[k - 1 :].tolist()
-    starts = [0, *(ends[: len(tokens) - k] + 1).tolist()]
+    return b" ".join(tokens), np.concatenate([[0], ends[: len(tokens) - k] + 1]), ends[k - 1 :]
+
+
+def _hashes(joined: bytes, starts: np.ndarray, stops: np.ndarray, lane: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], 42 + lane) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], "<u8")
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(_hashes(*_shingles(text, words), 0))
+
+
+def fingerprint(text: str, words: int, lanes: int, distinct: bool = False) -> tuple[int, list[int], bytes]:
+    """Number of shingles and, for each lane of 64 bits, the bits set in over half of the shingles' hashes; with
+    `distinct`, repeated shingles count once, and a digest of their set follows."""
+    joined, starts, stops = _shingles(text, words)
+    mark = b""
+    if distinct:
+        own, at = np.unique(_hashes(joined, starts, stops, 0), return_index=True)
+        starts, stops, mark = starts[at], stops[at], xxhash.xxh3_128_digest(own.tobytes())
     n, out = len(stops), []
     for lane in range(lanes):
-        seed, counts = 42 + lane, np.zeros(64, np.int64)
+        counts = np.zeros(64, np.int64)
         for c in range(0, n, CHUNK):
-            h = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[c : c + CHUNK], stops[c : c + CHUNK], strict=True)], "<u8")
+            h = own[c : c + CHUNK] if distinct and not lane else _hashes(joined, starts[c : c + CHUNK], stops[c : c + CHUNK], lane)
             counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little", signed=True))
-    return n, out
+        out.append(int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little", signed=True) if n else 0)
+    return n, out, mark
 
 
-FINGERPRINTS = pa.schema([("file", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64())])
+FINGERPRINTS = pa.schema([("file", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("mark", pa.binary())])
 
 
-def _fingerprints(words: int, lanes: int):
+def _fingerprints(words: int, lanes: int, distinct: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            n, f0, f1 = [], [], []
+            n, f0, f1, marks = [], [], [], []
             for value in batch["text"]:
-                size, f = fingerprint(value.as_py() or "", words, lanes)
+                size, f, mark = fingerprint(value.as_py() or "", words, lanes, distinct)
                 n.append(size)
                 f0.append(f[0])
                 f1.append(f[1] if lanes > 1 else 0)
-            yield from batches({"file": batch["file"], "row": batch["row"], "doc_id": batch["doc_id"], "n": n, "f0": f0, "f1": f1}, FINGERPRINTS, 1 << 16)
+                marks.append(mark)
+            yield from batches({"file": batch["file"], "row": batch["row"], "doc_id": batch["doc_id"], "n": n, "f0": f0, "f1": f1, "mark": marks}, FINGERPRINTS, 1 << 16)
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, distinct: bool = False) -> DataFrame:
     if lanes not in (1, 2):
         raise ValueError("one or two lanes of 64 bits")
     ship(docs.sparkSession)
     rows = numbered(filed(docs), ROW).select(F.col(ROW)["file"].alias("file"), F.col(ROW)["row"].alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(_fingerprints(words, lanes), "file long, row long, doc_id long, n long, f0 long, f1 long")
-    return found.select(F.struct("file", "row").alias("rid"), "doc_id", "n", "f0", "f1")
+    found = rows.mapInArrow(_fingerprints(words, lanes, distinct), "file long, row long, doc_id long, n long, f0 long, f1 long, mark binary")
+    return found.select(F.struct("file", "row").alias("rid"), "doc_id", "n", "f0", "f1", *(["mark"] if distinct else []))
 
 
 # -- tiles
@@ -108,7 +126,7 @@ class Tile:
         self.high = np.array([pops[c : c + SUB].max(axis=0) for c in cuts])
 
 
-def near(a: Tile, b: Tile, radius: int, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+def near(a: Tile, b: Tile, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """Stars (node, hub) over the groups that the links between the two tiles make."""
     same = a is b
     ids = a.id if same else np.concatenate([a.id, b.id])
@@ -133,7 +151,7 @@ def near(a: Tile, b: Tile, radius: int, ratio: float, least: int) -> tuple[np.nd
         if ratio:
             na, nb = a.n[x][u], b.n[y][v]
             small, large = np.minimum(na, nb), np.maximum(na, nb)
-            ok = (small >= ratio * large) & ((small >= least) | ((d[u, v] == 0) & (na == nb)))
+            ok = small >= ratio * large - 1e-9
             u, v = u[ok], v[ok]
         u, v = u + i * SUB, v + j * SUB + shift
         while True:
@@ -152,12 +170,12 @@ def near(a: Tile, b: Tile, radius: int, ratio: float, least: int) -> tuple[np.nd
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _compare(radius: int, ratio: float, least: int):
+def _compare(radius: int, ratio: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for t, p, left, right in zip(*(batch[c].to_pylist() for c in ("tile", "partner", "left", "right")), strict=True):
                 one = Tile(left)
-                a, b = near(one, one if t == p else Tile(right), radius, ratio, least)
+                a, b = near(one, one if t == p else Tile(right), radius, ratio)
                 if len(a):
                     yield from batches({"a": np.maximum(a, b), "b": np.minimum(a, b)}, EDGES, 1 << 16)
 
@@ -221,24 +239,17 @@ def star_rounds(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def components(prints: DataFrame, radius: int, ratio: float = 0.0, least: int = 0, tile: int = TILE) -> DataFrame:
-    """prints (a written table of fingerprints()) with component_id, the smallest doc_id reachable, and `first`, the
-    component's first row by (doc_id, rid). With a ratio, links also need that ratio of shingle counts, and below
-    `least` shingles equal fingerprints."""
-    spark = prints.sparkSession
-    key = ["f0", "f1", "n"] if ratio else ["f0", "f1"]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")).alias("first")
-    size = F.floor(F.log("n") / math.log(1 / ratio)).cast("int") if ratio else F.lit(0)
-    nodes = prints.groupBy(*key).agg(first)
-    if not ratio:
-        nodes = nodes.withColumn("n", F.lit(0).cast("long"))
-    nodes = nodes.withColumn("id", F.monotonically_increasing_id())
-    nodes = nodes.withColumn("size", F.when(F.col("n") > 0, size).otherwise(-1) if ratio else size)
+def linked(nodes: DataFrame, radius: int, ratio: float = 0.0, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """nodes (f0, f1, n and others) as written with an id, and star_rounds() over the links within the radius. With a
+    ratio, links also need that ratio of shingle counts."""
+    spark = nodes.sparkSession
+    size = F.when(F.col("n") > 0, F.floor(F.log("n") / math.log(1 / ratio)).cast("int")).otherwise(-1) if ratio else F.lit(0)
+    nodes = nodes.withColumn("id", F.monotonically_increasing_id()).withColumn("size", size)
     nodes = written(nodes.withColumn("pop", F.bit_count("f0") + F.bit_count("f1")), "nodes")
     strata = [tuple(r) for r in nodes.groupBy("size", "pop").count().collect()]  # at most 129 counts for each of some hundred classes
     homes, meets = plan_tiles(strata, radius, 1 if ratio else 0, tile)
     if not homes:
-        return prints.select("rid", "doc_id", "n", "f0", "f1", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("struct<file:long,row:long>").alias("first_rid"))
+        return nodes, spark.createDataFrame([], "id long, root long")
     home = spark.createDataFrame(homes, "size int, pop int, base int, parts int")
     meet = spark.createDataFrame(meets, "tile int, low int, high int")
     tiles = nodes.join(F.broadcast(home), ["size", "pop"]).select((F.col("base") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("tile"), "id", "f0", "f1", "n")
@@ -247,11 +258,128 @@ def components(prints: DataFrame, radius: int, ratio: float = 0.0, least: int =
     left = blobs.join(small(meet, len(meets)), "tile").select("tile", F.col("blob").alias("left"), F.explode(F.sequence("low", "high")).alias("partner"))
     right = blobs.select(F.col("tile").alias("partner"), F.col("blob").alias("right"))
     pairs = left.repartition(parts, "partner").join(right.hint("shuffle_hash"), "partner")
-    roots = star_rounds(pairs.select("tile", "partner", "left", "right").mapInArrow(_compare(radius, ratio, least), "a long, b long"))
+    return nodes, star_rounds(pairs.select("tile", "partner", "left", "right").mapInArrow(_compare(radius, ratio), "a long, b long"))
+
+
+def first_row():
+    """The first row of a group by (doc_id, rid), null doc_ids last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")).alias("first")
+
+
+def components(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """prints (a written table of fingerprints()) with component_id, the smallest doc_id reachable."""
+    key = ["f0", "f1"]
+    nodes, roots = linked(prints.groupBy(*key).agg(first_row()).withColumn("n", F.lit(0).cast("long")), radius, tile=tile)
     named = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
-    of = named.select(*key, "root").join(heads, "root").select(*key, F.col("head.doc_id").alias("component_id"), F.col("head.rid").alias("first_rid"))
-    return prints.join(of, key).select("rid", "doc_id", "n", "f0", "f1", "component_id", "first_rid")
+    of = named.select(*key, "root").join(heads, "root").select(*key, F.col("head.doc_id").alias("component_id"))
+    return prints.join(of, key).select("rid", "doc_id", "n", "f0", "f1", "component_id")
+
+
+# -- exact similarity within candidate groups
+
+
+def alike(sets: list[np.ndarray], ratio: float) -> np.ndarray:
+    """A label for each set of hashes, none empty: equal for sets that links of Jaccard similarity >= ratio connect.
+    Every pair is accounted for: joined already, without a common element among the rarest that such a pair must
+    share (prefix filter), or counted."""
+    n = np.array([len(x) for x in sets])
+    start, owner = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    _, rank, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    el = rank[np.lexsort((rank, count[rank], owner))]
+    label, seen = np.arange(len(n)), np.zeros(len(count), bool)
+
+    def join(u: int, others: np.ndarray) -> np.ndarray:
+        own = el[start[u] : start[u] + n[u]]
+        seen[own] = True
+        size = n[others]
+        first = np.cumsum(size) - size
+        hits = np.add.reduceat(seen[el[np.repeat(start[others] - first, size) + np.arange(size.sum())]], first, dtype=np.int64)
+        seen[own] = False
+        found = others[hits * (1 + ratio) >= ratio * (n[u] + size) - 1e-9]
+        if len(found):
+            label[np.isin(label, label[found])] = label[u]
+        return found
+
+    left = np.arange(len(n))
+    while len(left) > 1:  # near copies of one text join at once
+        u, left = left[0], left[1:]
+        found = join(u, left)
+        left = left[~np.isin(left, found)]
+        if 8 * len(found) < len(left):
+            break
+    most = label == np.bincount(label).argmax()
+    prefix = n - np.ceil(ratio * n - 1e-9).astype(np.int64) + 1
+    in_prefix = np.arange(len(el)) - np.repeat(start, n) < np.repeat(prefix, n)
+    by = np.argsort(el[in_prefix], kind="stable")
+    holders = owner[in_prefix][by]
+    cuts = np.searchsorted(el[in_prefix][by], np.arange(len(count) + 1))
+    for u in (~most).nonzero()[0].tolist():
+        v = np.unique(np.concatenate([holders[cuts[e] : cuts[e + 1]] for e in el[start[u] : start[u] + prefix[u]].tolist()]))
+        v = v[(label[v] != label[u]) & ((v < u) | most[v])]
+        if len(v):
+            join(u, v)
+    return label
+
+
+def _sets(words: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            blobs = [shingle_set(t.as_py() or "", words).tobytes() for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["root"], batch["id"], batch["parts"], pa.array(blobs, pa.binary())], ["root", "id", "parts", "blob"])
+
+    return run
+
+
+def _verify(ratio: float):
+    """Streams rows sorted by (root, i, j); stars over the links of each."""
+
+    def stars(ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(ids)
+        label = alike([sets[k] for k in order], ratio)
+        ids = np.array(ids)[order]
+        _, first, at = np.unique(label, return_index=True, return_inverse=True)
+        hub = ids[first][at]
+        moved = hub != ids
+        if moved.any():
+            yield from batches({"a": ids[moved], "b": hub[moved]}, EDGES, 1 << 16)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, ids, sets = None, [], []
+        for batch in it:
+            keys = zip(*(batch[c].to_pylist() for c in ("root", "i", "j")), strict=True)
+            for key, one, blob in zip(keys, batch["id"].to_pylist(), batch["blob"], strict=True):
+                if key != of and ids:
+                    yield from stars(ids, sets)
+                    ids, sets = [], []
+                of = key
+                ids.append(one)
+                sets.append(np.frombuffer(blob.as_py(), "<u8"))
+        if ids:
+            yield from stars(ids, sets)
+
+    return run
+
+
+#: A group of candidates over SPREAD bytes of hashes is cut into parts, whose pairs each meet in a task: few, unless parts exceed PART.
+SPREAD, PART, FEW = 4 << 20, 32 << 20, 8
+
+
+def verified(docs: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, ratio: float, spread: int = SPREAD) -> DataFrame:
+    """star_rounds() over the links of Jaccard similarity >= ratio, among nodes that `roots` puts in one group."""
+    spark = docs.sparkSession
+    group = nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n", F.col("first.rid").alias(ROW))
+    size = F.sum(F.col("n") * 8)
+    parts = F.greatest(F.least(F.ceil(size / spread), F.lit(FEW)), F.ceil(size / (spread * PART // SPREAD))).cast("int").alias("parts")
+    groups = group.groupBy("root").agg(F.count("*").alias("members"), parts).where("members > 1").drop("members")
+    wanted = written(group.join(groups, "root").drop("n"), "candidates")
+    texts = numbered(docs, ROW).select(ROW, "text").join(small(wanted, wanted.count()), ROW)
+    sets = written(texts.select("root", "id", "parts", "text").mapInArrow(_sets(words), "root long, id long, parts int, blob binary"), "sets")
+    part, other = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))).alias("other")
+    met = sets.withColumn("part", part).select("root", "id", "blob", "parts", "part", other).where("parts = 1 or part <> other")
+    met = met.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "blob")
+    tasks = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return star_rounds(met.repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(ratio), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -260,15 +388,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For documents alike in 0.8 of their five-word shingles: cosine 0.889, so 19 of 128 bits differ on average (deviation 4).
-STAGE_WORDS, STAGE_RADIUS, STAGE_RATIO, STAGE_LEAST = 5, 26, 0.8, 5
+#: For documents alike in 0.8 of their five-word shingles: cosine 0.889, so 19 of 128 bits differ on average (deviation 4). The radius only finds candidates.
+STAGE_WORDS, STAGE_RADIUS, STAGE_RATIO = 5, 35, 0.8
 
 
-def first_of_each(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, ratio: float = STAGE_RATIO, least: int = STAGE_LEAST) -> DataFrame:
-    """docs without all but the first row (by doc_id) of each near-duplicate group."""
+def first_of_each(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, ratio: float = STAGE_RATIO) -> DataFrame:
+    """docs without all but the first row (by doc_id) of each group that links of similarity `ratio` or more connect:
+    the Jaccard similarity of sets of shingles, computed from the texts for all candidates that the fingerprints give."""
     docs = filed(docs)
-    found = components(written(fingerprints(docs, words, 2), "fingerprints"), radius, ratio, least)
-    keep = found.where("rid = first_rid").select(F.col("rid").alias(ROW))
+    prints = written(fingerprints(docs, words, 2, distinct=True), "fingerprints")
+    nodes, roots = linked(prints.groupBy("f0", "f1", "n", "mark").agg(first_row()), radius, ratio)
+    links = verified(docs, nodes, roots, words, ratio)
+    named = nodes.join(links, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    keep = named.groupBy("root").agg(F.min("first").alias("head")).select(F.col("head.rid").alias(ROW))
     return numbered(docs, ROW).join(keep, ROW, "left_semi").drop(ROW)
 
 

@@ -100,6 +100,62 @@ def test_stage_keeps_one_of_each_group(spark, docs, tmp_path):
     assert len(set(rows)) == len(rows)
 
 
+def five_words(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def groups(sets, ratio=0.8):
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= ratio * len(sets[i] | sets[j]) - 1e-9:
+                a, b = label[i], label[j]
+                label = [b if g == a else g for g in label]
+    return label
+
+
+def edited(rng, words, shared):
+    """words with single ones changed until the similarity to them is at most `shared`."""
+    out, k = list(words), 0
+    while len((a := five_words(" ".join(words))) & (b := five_words(" ".join(out)))) > shared * len(a | b):
+        out[rng.randrange(len(out))] = f"e{rng.random()}"
+    return out
+
+
+@pytest.mark.parametrize("spread", [simhash.SPREAD, 1 << 13])
+def test_stage_links_only_what_is_alike(spark, tmp_path, monkeypatch, spread):
+    monkeypatch.setattr(simhash.verified, "__defaults__", (spread,))
+    rng = random.Random(1)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for shared in (0.6, 0.7, 0.75, 0.81, 0.9):
+        for _ in range(12):
+            base = [word() for _ in range(120)]
+            texts += [" ".join(base), " ".join(edited(rng, base, shared))]
+    family = [word() for _ in range(150)]  # one template, filled in differently: none alike in 0.8
+    texts += [" ".join(family + [word() for _ in range(40)]) for _ in range(20)]
+    copies = [word() for _ in range(120)]
+    texts += [" ".join(edited(rng, copies, 0.97)) for _ in range(20)]
+    line = [word() for _ in range(60)]  # the same shingles, some repeated
+    texts += [" ".join(line * 2), " ".join(line * 4)]
+    path = str(tmp_path / "alike.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    sets = [five_words(t) for t in texts]
+    label = groups(sets)
+    want = sorted({g: k for k, g in reversed(list(enumerate(label)))}.values())
+    assert sorted(r["doc_id"] for r in simhash.first_of_each(spark.read.parquet(path)).collect()) == want
+
+
+def test_alike_agrees_with_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        base = rng.integers(0, 200, (4, 40))
+        sets = [np.unique(np.where(rng.random(40) < rng.random() / 3, rng.integers(0, 400, 40), base[rng.integers(4)])) for _ in range(60)]
+        got, want = simhash.alike([x.astype("<u8") for x in sets], 0.8).tolist(), groups([set(x.tolist()) for x in sets])
+        assert len(set(got)) == len(set(want)) == len(set(zip(got, want)))
+
+
 def test_bpe(docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     e = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
