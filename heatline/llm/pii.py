@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
 E-mail addresses, IPv4 addresses, social security numbers, dates, phone numbers and card numbers are found by one
-expression and validated (calendar, octets, area codes, Luhn). A valid value becomes its image under a keyed
+expression and validated (calendar, octets, social security areas, Luhn; every phone number counts). A valid value becomes its image under a keyed
 permutation of its own format's values, an eight-round Feistel network over two residues whose moduli multiply
 to the number of values, with SHA-256 as the round function: equal values stay linked across documents, others stay
 apart, and the key holder can invert it. Separators and the shape stay; a card keeps its first digit and a valid
@@ -100,13 +100,13 @@ def card(value: Column, key: str) -> Column:
 
 
 def phone(value: Column, key: str) -> Column:
-    """Ten national digits: an area code from 200 to 999 and seven more."""
+    """Ten national digits, whatever the area code: three and seven more."""
 
     def image(d: Column) -> Column:
-        area, rest = F.substring(d, -10, 3).cast("long"), F.substring(d, -7, 7).cast("long")
-        pair = feistel("phone", key, area - 200, rest, F.lit(800), F.lit(10_000_000))
-        new = let(pair, lambda p: F.concat(F.substring(d, F.lit(1), F.length(d) - 10), (p["a"] + 200).cast("string"), F.lpad(p["b"].cast("string"), 7, "0")))
-        return F.when(area >= 200, in_shape(value, new)).otherwise(value)
+        area, rest = F.substring(d, -10, 3), F.substring(d, -7, 7)
+        pair = feistel("phone", key, area, rest, F.lit(1000), F.lit(10_000_000))
+        new = let(pair, lambda p: F.concat(F.substring(d, F.lit(1), F.length(d) - 10), F.lpad(p["a"].cast("string"), 3, "0"), F.lpad(p["b"].cast("string"), 7, "0")))
+        return in_shape(value, new)
 
     return let(F.regexp_replace(value, "[^0-9]", ""), image)
 

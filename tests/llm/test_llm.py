@@ -324,6 +324,15 @@ def test_pii(spark, docs):
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
+def test_phones_of_every_area_are_masked(spark):
+    numbers = [f"+1 ({k:03d}) 555-{(k * 37) % 10000:04d}" for k in range(1000)] + ["017-555-7713", "1 132.555.1352"]
+    rows = pii.report(spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string")).orderBy("doc_id").collect()
+    now = [r["text"] for r in rows]
+    assert all(r["n_phone"] == 1 for r in rows) and len(set(now)) == len(now)
+    assert all(x != y and re.sub(r"\d", "0", x) == re.sub(r"\d", "0", y) for x, y in zip(numbers, now))
+    assert all(x.startswith("+1 (") for x in now[:1000]) and now[-1].startswith("1 ")
+
+
 def test_feistel_is_a_permutation_with_an_inverse(spark):
     n = spark.range(27 * 37).select(F.expr("id div 37").alias("a"), F.expr("id % 37").alias("b"))
     p = n.select("a", "b", pii.feistel("t", "k", F.col("a"), F.col("b"), F.lit(27), F.lit(37)).alias("p"))
