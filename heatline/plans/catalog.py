@@ -400,6 +400,13 @@ def perm_null_lcg(spark, d):
     return rounded(evaluate.permutation_null(base, "y", "pred", "event_id", 20, shuffle=lambda k, draw: ((k * 7919 + draw * 104729) * 48271) % 2147483647))
 
 
+@register("perm_null")
+def perm_null(spark, d):
+    """All events and the operator's own number of draws; perm_null_lcg is the subset that DuckDB can follow."""
+    base = events(spark, d).select("event_id", F.col("t").alias("y"), (50 * F.col("p") + 5000).alias("pred"))
+    return rounded(evaluate.permutation_null(base, "y", "pred", "event_id"))
+
+
 def _residual_rows(spark, d):
     pairs = _blocked_pairs(spark, d)
     rows = evaluate.features(arx.residuals(pairs, arx.fit(pairs, U, DT), U).where("r is not null"), U)

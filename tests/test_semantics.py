@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from heatline.functions import scalar
 from heatline.operators import arx, clean, evaluate, monitor, population, report, resample, runs
+from heatline.plans import catalog
 from heatline.sources import telemetry
 from heatline.streaming import rolling
 
@@ -174,3 +175,18 @@ def test_expanding_folds_match_numpy(spark):
         b, *_ = np.linalg.lstsq(x[:k], y[:k], rcond=None)
         e = y[k : k + 40] - x[k : k + 40] @ b
         assert r["rmse"] == pytest.approx(np.sqrt(np.mean(e**2)), rel=1e-6)
+
+
+def test_permutation_null_takes_every_event_in_every_draw(spark, tmp_path):
+    base = spark.createDataFrame([(k, float(k * k % 97), float(k % 13)) for k in range(60)], "k long, y double, pred double")
+    got = {r["draw"]: r for r in evaluate.permutation_null(base, "y", "pred", "k").collect()}
+    assert sorted(got) == list(range(200)) and {r["n"] for r in got.values()} == {60}
+    y, pred = np.array([float(k * k % 97) for k in range(60)]), np.array([float(k % 13) for k in range(60)])
+    mixed = base.crossJoin(spark.range(200).withColumnRenamed("id", "draw")).select("draw", "k", F.xxhash64("k", "draw", F.lit(0)).alias("h")).collect()
+    for draw in range(200):
+        order = [k for _, k in sorted((r["h"], r["k"]) for r in mixed if r["draw"] == draw)]
+        assert got[draw]["r2"] == pytest.approx(1 - ((y[order] - pred) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(300)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    rows = catalog.QUERIES["perm_null"](spark, str(tmp_path)).collect()
+    assert len(rows) == 200 and {r["n"] for r in rows} == {300}
