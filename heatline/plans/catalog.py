@@ -427,7 +427,7 @@ def linear_residual(spark, d):
 
 @register("gbt_residual")
 def gbt_residual(spark, d):
-    return rounded(_modelled(spark, d, "trees", iterations=10))
+    return rounded(_modelled(spark, d, "trees"))
 
 
 @register("neural_residual")
@@ -448,7 +448,7 @@ def sequence_windows(spark, d):
 
 @register("block_bootstrap")
 def block_bootstrap(spark, d):
-    return rounded(resample.block_bootstrap(unit_runs(spark, d), U, DT, 200, 80.0, 4))
+    return rounded(resample.block_bootstrap(unit_runs(spark, d), U, DT))
 
 
 @register("block_bootstrap_lcg", f"{PAIRS}, x AS (SELECT unit, run_id, idx + 1 AS idx, " + ", ".join(f"sum({e}) OVER w AS {n}" for n, e in (("stt", "t*t"), ("stp", "t*p"), ("st", "t"), ("spp", "p*p"), ("sp", "p"), ("n", "1.0::DOUBLE"), ("sty", "t*y"), ("spy", "p*y"), ("sy", "y"))) + " FROM pairs WINDOW w AS (PARTITION BY unit, run_id ORDER BY idx ROWS UNBOUNDED PRECEDING)), pre AS (SELECT * FROM x UNION ALL SELECT unit, run_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM pairs WHERE idx = 0), ln AS (SELECT *, count(*) OVER (PARTITION BY unit, run_id) - 1 AS len FROM pre), st AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY run_id, idx) - 1 AS place, count(*) OVER (PARTITION BY unit) AS places FROM ln WHERE idx + 4 <= len), dr AS (SELECT unit, draw, (((unit * 7919 + draw * 104729 + k * 1299709) * 48271) % 2147483647) % places AS place FROM (SELECT DISTINCT unit, places FROM st) CROSS JOIN (SELECT unnest(range(10)) AS draw) CROSS JOIN (SELECT unnest(range(12)) AS k)), bl AS (SELECT dr.unit, draw, " + ", ".join(f"sum(h.{n} - st.{n}) AS {n}" for n in ("stt", "stp", "st", "spp", "sp", "n", "sty", "spy", "sy")) + f" FROM dr JOIN st ON dr.unit = st.unit AND dr.place = st.place JOIN pre h ON h.unit = st.unit AND h.run_id = st.run_id AND h.idx = st.idx + 4 GROUP BY 1, 2), {solve('bl', 'unit')} SELECT unit, draw, round(alpha, 6) AS alpha FROM fit")
@@ -466,7 +466,7 @@ def _rho(a, b):
 @register("paired_bootstrap")
 def paired_bootstrap(spark, d):
     pairs = population.paired(_sweep(spark, d).where("condition in ('F0', 'F1')"), U, "condition", "tau")
-    return rounded(resample.paired_bootstrap(pairs, ["value", "ref"], _rho, 400))
+    return rounded(resample.paired_bootstrap(pairs, ["value", "ref"], _rho))
 
 
 # -- monitor

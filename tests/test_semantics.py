@@ -1,5 +1,6 @@
 """Small cases with known answers."""
 
+import inspect
 import io
 import tarfile
 
@@ -190,3 +191,21 @@ def test_permutation_null_takes_every_event_in_every_draw(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     rows = catalog.QUERIES["perm_null"](spark, str(tmp_path)).collect()
     assert len(rows) == 200 and {r["n"] for r in rows} == {300}
+
+
+@pytest.mark.parametrize("query, module, operator, want", [("gbt_residual", evaluate, "residual_model", {"iterations": 200}), ("block_bootstrap", resample, "block_bootstrap", {"draws": 500, "block_s": 640.0, "least": 8}), ("paired_bootstrap", resample, "paired_bootstrap", {"draws": 2000})])
+def test_registered_with_the_operators_own_parameters(spark, monkeypatch, query, module, operator, want):
+    class Called(Exception):
+        pass
+
+    signature = inspect.signature(getattr(module, operator))
+
+    def called(*a, **b):
+        bound = signature.bind(*a, **b)
+        bound.apply_defaults()
+        raise Called({k: bound.arguments[k] for k in want})
+
+    monkeypatch.setattr(module, operator, called)
+    with pytest.raises(Called) as e:
+        catalog.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert e.value.args[0] == want
