@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatline.sources.package import ship
@@ -19,23 +21,54 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder named in spark.checkpoint.dir. Where none is named, a temporary one if all runs in one JVM (master
+    local, as in tests), else an error: a folder of one machine would lose what others wrote."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="heatline-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_own: dict[str, tuple[SparkSession, str]] = {}
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; clean() deletes it, at the latest when Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        if not _own:
+            atexit.register(clean)
+        _own[app] = spark, f"{shared_dir(spark)}/heatline-{app}"
+    return _own[app][1]
+
+
+def clean() -> None:
+    """Delete every intermediate table, once no DataFrame that was built on them is needed any more."""
+    while _own:
+        _, (spark, path) = _own.popitem()
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM is gone; nothing can be deleted through it
+            continue
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return stored(df, tag)[0]
+
+
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """written() and its path, for remove() once nothing reads it any more."""
     path = new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -55,18 +88,40 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def filed(docs: DataFrame) -> DataFrame:
-    """docs if it is read from Parquet files, else as written to such."""
+    """docs if it is a scan of Parquet files behind filters and projections at most, else as written to such: a
+    generator, a union or a join would give several rows one place."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter") and plan.deterministic():
+        plan = plan.child()
+    bare = plan.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2Relation")
     try:
         docs.select(docs.metadataColumn("_metadata")["row_index"])
-        return docs
     except AnalysisException:
-        return written(docs, "rows")
+        bare = False
+    return docs if bare else written(docs, "rows")
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs, which filed() gave, with a row id that is the same in every job, whatever executors come and go: the row's file (its hash) and place in it."""
+    """docs, which filed() gave, with a row id that is the same in every job, whatever executors come and go: the row's file (128 bits of its path) and place in it."""
     place = docs.metadataColumn("_metadata")
-    return docs.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row")))
+    return docs.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("file"), F.xxhash64(place["file_path"], F.lit(1)).alias("twin"), place["row_index"].alias("row")))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of df, by names that may hold any character."""
+    return [quoted(c) for c in df.columns]
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -19,6 +19,7 @@ no rows. Other columns are not read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, filed, numbered, read_table, shared_dir, ship, small, written
+from .common import BROADCAST_ROWS, batches, filed, fresh, numbered, own_columns, read_table, remove, ship, small, stored, written
 
-ROW = "__heatline_row"
+ROW = "__hl_row"
 TILE = 8192
 SUB = 512
 CHUNK = 1 << 16
@@ -72,7 +73,7 @@ def fingerprint(text: str, words: int, lanes: int, distinct: bool = False) -> tu
     return n, out, mark
 
 
-FINGERPRINTS = pa.schema([("file", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("mark", pa.binary())])
+FINGERPRINTS = pa.schema([("file", pa.int64()), ("twin", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("mark", pa.binary())])
 
 
 def _fingerprints(words: int, lanes: int, distinct: bool):
@@ -85,7 +86,7 @@ def _fingerprints(words: int, lanes: int, distinct: bool):
                 f0.append(f[0])
                 f1.append(f[1] if lanes > 1 else 0)
                 marks.append(mark)
-            yield from batches({"file": batch["file"], "row": batch["row"], "doc_id": batch["doc_id"], "n": n, "f0": f0, "f1": f1, "mark": marks}, FINGERPRINTS, 1 << 16)
+            yield from batches({"file": batch["file"], "twin": batch["twin"], "row": batch["row"], "doc_id": batch["doc_id"], "n": n, "f0": f0, "f1": f1, "mark": marks}, FINGERPRINTS, 1 << 16)
 
     return run
 
@@ -94,9 +95,9 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, distinct: bool
     if lanes not in (1, 2):
         raise ValueError("one or two lanes of 64 bits")
     ship(docs.sparkSession)
-    rows = numbered(filed(docs), ROW).select(F.col(ROW)["file"].alias("file"), F.col(ROW)["row"].alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(_fingerprints(words, lanes, distinct), "file long, row long, doc_id long, n long, f0 long, f1 long, mark binary")
-    return found.select(F.struct("file", "row").alias("rid"), "doc_id", "n", "f0", "f1", *(["mark"] if distinct else []))
+    rows = numbered(filed(docs).select("doc_id", "text"), ROW).select(f"{ROW}.*", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = rows.mapInArrow(_fingerprints(words, lanes, distinct), "file long, twin long, row long, doc_id long, n long, f0 long, f1 long, mark binary")
+    return found.select(F.struct("file", "twin", "row").alias("rid"), "doc_id", "n", "f0", "f1", *(["mark"] if distinct else []))
 
 
 # -- tiles
@@ -170,48 +171,57 @@ def near(a: Tile, b: Tile, radius: int, ratio: float) -> tuple[np.ndarray, np.nd
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _compare(radius: int, ratio: float):
+def _compare(radius: int, ratio: float, group: int):
+    """Streams, for each group of tiles, its tiles and then the tiles that meet some of them."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = None, {}
         for batch in it:
-            for t, p, left, right in zip(*(batch[c].to_pylist() for c in ("tile", "partner", "left", "right")), strict=True):
-                one = Tile(left)
-                a, b = near(one, one if t == p else Tile(right), radius, ratio)
-                if len(a):
-                    yield from batches({"a": np.maximum(a, b), "b": np.minimum(a, b)}, EDGES, 1 << 16)
+            columns = (batch[c].to_pylist() for c in ("grp", "kind", "tile", "low", "high", "blob"))
+            for grp, kind, tile, low, high, blob in zip(*columns, strict=True):
+                if grp != of:
+                    of, held = grp, {}
+                if kind == 0:
+                    held[tile] = Tile(blob)
+                    continue
+                one = Tile(blob)
+                for other in range(max(low, grp * group), min(high, grp * group + group - 1) + 1):
+                    a, b = near(one, one if tile == other else held[other], radius, ratio)
+                    if len(a):
+                        yield from batches({"a": np.maximum(a, b), "b": np.minimum(a, b)}, EDGES, 1 << 16)
 
     return run
 
 
 def plan_tiles(strata: list[tuple[int, int, int]], radius: int, reach: int, tile: int):
-    """strata: (size class, population count, rows). Returns (class, count, first tile, tiles) for each stratum,
-    and (tile, from, to) for the ranges of tiles, itself and later ones, that each must meet."""
-    homes, tiles = [], []  # tiles: (class, low, high)
-    at = 0
+    """strata: (size class, population count, rows). Returns (class, count, first tile, tiles) for each stratum, and
+    (first tile, last tile, from, to) for runs of tiles that meet the same range of tiles: no more than strata, whatever
+    their rows. A tile meets itself and those of its range that come later."""
+    homes, runs = [], []  # runs: (class, least count, greatest count, first tile, tiles)
+    at = tiles = 0
     strata = sorted(strata)
     while at < len(strata):
         size, pop, rows = strata[at]
-        if rows > tile:
-            parts = -(-rows // tile)
-            homes.append((size, pop, len(tiles), parts))
-            tiles += [(size, pop, pop)] * parts
+        parts, held, last = max(1, -(-rows // tile)), 0, pop
+        if parts > 1:
+            homes.append((size, pop, tiles, parts))
             at += 1
-            continue
-        held, first = 0, pop
-        while at < len(strata) and strata[at][0] == size and held + strata[at][2] <= tile:
-            homes.append((size, strata[at][1], len(tiles), 1))
+        while parts == 1 and at < len(strata) and strata[at][0] == size and held + strata[at][2] <= tile:
+            homes.append((size, strata[at][1], tiles, 1))
             held, last = held + strata[at][2], strata[at][1]
             at += 1
-        tiles.append((size, first, last))
-    by_class: dict[int, list[int]] = {}
-    for k, t in enumerate(tiles):
-        by_class.setdefault(t[0], []).append(k)
+        runs.append((size, pop, last, tiles, parts))
+        tiles += parts
     meets = []
-    for k, (size, low, high) in enumerate(tiles):
-        for other in range(size, size + reach + 1):
-            near_by = [m for m in by_class.get(other, ()) if m >= k and tiles[m][1] - high <= radius and low - tiles[m][2] <= radius]
-            if near_by:  # neighbours in population count are neighbours in number
-                meets.append((k, near_by[0], near_by[-1]))
-    return homes, meets
+    for low_class in {r[0] for r in runs}:
+        for other in range(low_class, low_class + reach + 1):
+            there = [r for r in runs if r[0] == other]  # both ends rise with the tile number
+            lows, highs = [r[1] for r in there], [r[2] for r in there]
+            for _, low, high, first, parts in (r for r in runs if r[0] == low_class):
+                a, b = bisect_left(highs, low - radius), bisect_right(lows, high + radius) - 1
+                if a <= b:
+                    meets.append((first, first + parts - 1, there[a][3], there[b][3] + there[b][4] - 1))
+    return homes, meets, tiles
 
 
 # -- components
@@ -219,46 +229,64 @@ def plan_tiles(strata: list[tuple[int, int, int]], radius: int, reach: int, tile
 
 def star_rounds(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge and isn't its component's smallest, from edges (a, b) with a > b."""
-
-    def settled(e: DataFrame):
-        e = e.checkpoint()
-        return e, tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-
-    shared_dir(edges.sparkSession)
-    e, mark = settled(edges.distinct())
-    while mark[0]:
+    spark = edges.sparkSession
+    e, path = stored(edges.distinct(), "edges")
+    n = e.count()
+    while n:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         hub = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(hub, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e, after = settled(small.unionByName(hub.select("a", F.col("m").alias("b"))).distinct())
-        if after == mark:
+        smaller = large.join(hub, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now, after = stored(smaller.unionByName(hub.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, n = n, now.count()
+        settled = n == before and now.join(e, ["a", "b"], "left_anti").isEmpty()
+        remove(spark, path)
+        e, path = now, after
+        if settled:
             break
-        mark = after
     return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
+#: Parts of a key's rows where the other side, a row for each key, is too long to be sent to every task.
+SALTS = 16
+
+
+def beside(rows: DataFrame, one: DataFrame, key: str, row: str) -> DataFrame:
+    """rows with the columns of `one`, which has one row for each key: any number of rows may share a key, so they are dealt by a hash of `row` too."""
+    n = one.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(small(one, n), key)
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__hl_salt")
+    return rows.withColumn("__hl_salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int")).join(one.select("*", salt), [key, "__hl_salt"]).drop("__hl_salt")
+
+
 def linked(nodes: DataFrame, radius: int, ratio: float = 0.0, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """nodes (f0, f1, n and others) as written with an id, and star_rounds() over the links within the radius. With a
-    ratio, links also need that ratio of shingle counts."""
+    """nodes (f0, f1, n, first and others) as written with an id, which rises with `first`, and star_rounds() over the
+    links within the radius, so that a root has the least `first` of its component. With a ratio, links also need that
+    ratio of shingle counts."""
     spark = nodes.sparkSession
     size = F.when(F.col("n") > 0, F.floor(F.log("n") / math.log(1 / ratio)).cast("int")).otherwise(-1) if ratio else F.lit(0)
+    nodes = written(nodes, "distinct").repartitionByRange("first").sortWithinPartitions("first")
     nodes = nodes.withColumn("id", F.monotonically_increasing_id()).withColumn("size", size)
     nodes = written(nodes.withColumn("pop", F.bit_count("f0") + F.bit_count("f1")), "nodes")
     strata = [tuple(r) for r in nodes.groupBy("size", "pop").count().collect()]  # at most 129 counts for each of some hundred classes
-    homes, meets = plan_tiles(strata, radius, 1 if ratio else 0, tile)
+    homes, meets, count = plan_tiles(strata, radius, 1 if ratio else 0, tile)
     if not homes:
         return nodes, spark.createDataFrame([], "id long, root long")
     home = spark.createDataFrame(homes, "size int, pop int, base int, parts int")
-    meet = spark.createDataFrame(meets, "tile int, low int, high int")
+    meet = spark.createDataFrame(meets, "first_tile int, last_tile int, low int, high int")
     tiles = nodes.join(F.broadcast(home), ["size", "pop"]).select((F.col("base") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("tile"), "id", "f0", "f1", "n")
     blobs = written(tiles.groupBy("tile").applyInArrow(_pack_tile, "tile int, blob binary"), "tiles")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left = blobs.join(small(meet, len(meets)), "tile").select("tile", F.col("blob").alias("left"), F.explode(F.sequence("low", "high")).alias("partner"))
-    right = blobs.select(F.col("tile").alias("partner"), F.col("blob").alias("right"))
-    pairs = left.repartition(parts, "partner").join(right.hint("shuffle_hash"), "partner")
-    return nodes, star_rounds(pairs.select("tile", "partner", "left", "right").mapInArrow(_compare(radius, ratio), "a long, b long"))
+    group = max(1, min(64, count // (4 * parts)))  # a tile travels once to each group of partners
+    grp = lambda c: F.floor(F.col(c) / group).cast("int")
+    none = F.lit(None).cast("int")
+    mine = blobs.select(grp("tile").alias("grp"), F.lit(0).alias("kind"), "tile", none.alias("low"), none.alias("high"), "blob")
+    ranged = blobs.join(F.broadcast(meet), F.col("tile").between(F.col("first_tile"), F.col("last_tile"))).withColumn("low", F.greatest("low", "tile")).where("low <= high")
+    guests = ranged.select(F.explode(F.sequence(grp("low"), grp("high"))).alias("grp"), F.lit(1).alias("kind"), "tile", "low", "high", "blob")
+    stream = mine.unionByName(guests).repartition(max(parts, min(count, 4 * parts)), "grp").sortWithinPartitions("grp", "kind", "tile")
+    return nodes, star_rounds(stream.mapInArrow(_compare(radius, ratio, group), "a long, b long"))
 
 
 def first_row():
@@ -270,9 +298,9 @@ def components(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """prints (a written table of fingerprints()) with component_id, the smallest doc_id reachable."""
     key = ["f0", "f1"]
     nodes, roots = linked(prints.groupBy(*key).agg(first_row()).withColumn("n", F.lit(0).cast("long")), radius, tile=tile)
-    named = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    heads = named.groupBy("root").agg(F.min("first").alias("head"))
-    of = named.select(*key, "root").join(heads, "root").select(*key, F.col("head.doc_id").alias("component_id"))
+    heads = nodes.join(roots.select(F.col("root").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("root"), F.col("first.doc_id").alias("head"))
+    moved = beside(roots, written(heads, "heads"), "root", "id").select("id", "head", F.lit(True).alias("moved"))
+    of = nodes.join(moved, "id", "left").select(*key, F.when(F.col("moved"), F.col("head")).otherwise(F.col("first.doc_id")).alias("component_id"))
     return prints.join(of, key).select("rid", "doc_id", "n", "f0", "f1", "component_id")
 
 
@@ -372,8 +400,8 @@ def verified(docs: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, ra
     size = F.sum(F.col("n") * 8)
     parts = F.greatest(F.least(F.ceil(size / spread), F.lit(FEW)), F.ceil(size / (spread * PART // SPREAD))).cast("int").alias("parts")
     groups = group.groupBy("root").agg(F.count("*").alias("members"), parts).where("members > 1").drop("members")
-    wanted = written(group.join(groups, "root").drop("n"), "candidates")
-    texts = numbered(docs, ROW).select(ROW, "text").join(small(wanted, wanted.count()), ROW)
+    wanted = written(beside(group, written(groups, "groups"), "root", "id").drop("n"), "candidates")
+    texts = numbered(docs.select("text"), ROW).select(ROW, "text").join(small(wanted, wanted.count()), ROW)
     sets = written(texts.select("root", "id", "parts", "text").mapInArrow(_sets(words), "root long, id long, parts int, blob binary"), "sets")
     part, other = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))).alias("other")
     met = sets.withColumn("part", part).select("root", "id", "blob", "parts", "part", other).where("parts = 1 or part <> other")
@@ -399,9 +427,9 @@ def first_of_each(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE
     prints = written(fingerprints(docs, words, 2, distinct=True), "fingerprints")
     nodes, roots = linked(prints.groupBy("f0", "f1", "n", "mark").agg(first_row()), radius, ratio)
     links = verified(docs, nodes, roots, words, ratio)
-    named = nodes.join(links, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    keep = named.groupBy("root").agg(F.min("first").alias("head")).select(F.col("head.rid").alias(ROW))
-    return numbered(docs, ROW).join(keep, ROW, "left_semi").drop(ROW)
+    row = fresh(docs, ROW)
+    keep = nodes.join(links, "id", "left_anti").select(F.col("first.rid").alias(row))  # roots, and what has no link
+    return numbered(docs, row).join(keep, row, "left_semi").select(*own_columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
