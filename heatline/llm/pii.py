@@ -8,21 +8,32 @@ apart, and the key holder can invert it. Separators and the shape stay; a card k
 check digit; a date stays a date within its 400-year calendar cycle. Local parts of addresses are not numbers: each
 becomes a keyed digest of the whole lower-cased address under a reserved domain.
 
+The key comes from the session's setting spark.heatline.pii.key or the variable HEATLINE_PII_KEY; without one the
+operator refuses to run.
+
 Defined results: null text stays null, empty stays empty; values that fail validation stay; null doc_ids and repeated
-rows are treated like any other; an empty table gives no rows. Rows are independent: no shuffle.
+rows are treated like any other; an empty table gives no rows; texts of any length are matched whole (the expression
+neither recurses nor backtracks over repeats without a bound) and other columns, whatever their names, pass unchanged.
+Rows are independent: no shuffle.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import fresh, quoted, read_table
 
-KEY = "heatline"
+#: Where the key is named: a setting of the session, else of the environment.
+KEY_SETTING, KEY_VARIABLE = "spark.heatline.pii.key", "HEATLINE_PII_KEY"
+#: The registered query and the pipeline's stage run with this where no key is named; it protects nothing.
+TEST_KEY = "test key, not for use"
 ROUNDS = 8
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Possessive, so that no text is too long for the matcher's stack.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 DATE = r"(?<![\w-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w-])"
@@ -35,6 +46,13 @@ CYCLE = (27, 5411)
 FIRST_DAY = "1800-01-01"
 
 
+def configured(spark: SparkSession, otherwise: str | None = None) -> str:
+    key = spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE) or otherwise
+    if not key:
+        raise RuntimeError(f"name a key in {KEY_SETTING} or {KEY_VARIABLE}")
+    return key
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -179,29 +197,31 @@ def pseudonym(value: Column, key: str) -> Column:
     return let(kind_of(value), of)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with text rewritten and `__hl_changes`, an array of (kind, was, now) of the values that changed, in order."""
-    text = F.col("text")
+def pseudonymise(docs: DataFrame, key: str | None = None) -> tuple[DataFrame, str]:
+    """docs with text rewritten, and the name of its added column: an array of (kind, was, now) of the values that changed, in order."""
+    key = key or configured(docs.sparkSession)
+    text, matches, new, changes = F.col("text"), *(fresh(docs, f"__hl_{c}") for c in ("matches", "new", "changes"))
     found = text.rlike("[0-9]|@") & text.rlike(ANY)
     kind = "array<struct<kind:string,was:string,now:string>>"
-    out = docs.withColumn("__hl_matches", F.when(found, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))).otherwise(F.array().cast(kind)))
+    out = docs.withColumn(matches, F.when(found, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))).otherwise(F.array().cast(kind)))
     parts = F.split(text, ANY, -1)
-    new = F.array_join(F.zip_with(parts, F.transform("__hl_matches", lambda m: m["now"]), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    out = out.withColumn("__hl_new", F.when(F.size("__hl_matches") > 0, new).otherwise(text))
-    changes = F.filter("__hl_matches", lambda m: m["was"] != m["now"])
-    return out.select(*[F.col("__hl_new").alias(c) if c == "text" else F.col(c) for c in docs.columns], changes.alias("__hl_changes"))
+    joined = F.array_join(F.zip_with(parts, F.transform(matches, lambda m: m["now"]), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    out = out.withColumn(new, F.when(F.size(matches) > 0, joined).otherwise(text))
+    changed = F.filter(matches, lambda m: m["was"] != m["now"])
+    return out.select(*[F.col(new).alias(c) if c == "text" else quoted(c) for c in docs.columns], changed.alias(changes)), changes
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
+def report(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, the rewritten text and how many values of each kind were rewritten."""
-    out = pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)
-    of = lambda k: F.size(F.filter("__hl_changes", lambda m: m["kind"] == k)).cast("long").alias(f"n_{k}")
+    out, changes = pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)
+    of = lambda k: F.size(F.filter(changes, lambda m: m["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", "text", *[of(k) for k in KINDS])
 
 
-def stage(docs: DataFrame, key: str = KEY) -> DataFrame:
-    return pseudonymise(docs, key).drop("__hl_changes")
+def stage(docs: DataFrame, key: str | None = None) -> DataFrame:
+    out, changes = pseudonymise(docs, key)
+    return out.drop(changes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(read_table(spark, sf_dir, "documents"))
+    return report(read_table(spark, sf_dir, "documents"), configured(spark, TEST_KEY))

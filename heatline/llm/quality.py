@@ -9,7 +9,8 @@ if no base rule fails and its ratio reaches the threshold.
 The counts are one aggregate with a row for each bucket and task, so no key is hot; the weights sent to the
 executors are one number for each bucket. Defined results: null or empty text has no words and fails the
 base rules; null doc_ids are scored but never trusted; repeated rows count as often as they come; with no
-trusted rows every ratio is against the smoothed uniform distribution; an empty table gives no rows.
+trusted rows every ratio is against the smoothed uniform distribution; texts of any length are read whole; columns of
+any name pass unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, read_table
+from .common import SPACE, quoted, read_table
 
 BUCKETS = 1 << 14
 TRUSTED_ROWS = 20_000
@@ -115,10 +116,12 @@ def rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
+    own = {f"__hl_own_{k}": c for k, c in enumerate(docs.columns)}
+    apart = docs.select("doc_id", "text", *[quoted(c).alias(k) for k, c in own.items()])
     # The mark is not deterministic, so the filter stays above the columns it reads; pushed below them, it would
-    # hold every one of their expressions written out, shared parts many times over.
-    marked = judged(docs, labels, **options).withColumn("__hl_mark", F.monotonically_increasing_id())
-    return marked.where(F.col("__hl_kept") & (F.col("__hl_mark") >= 0)).select(*docs.columns)
+    # hold every one of their expressions written out, shared parts many times over. Rows don't depend on it.
+    marked = judged(apart, labels, **options).withColumn("__hl_mark", F.monotonically_increasing_id())
+    return marked.where(F.col("__hl_kept") & (F.col("__hl_mark") >= 0)).select(*[F.col(k).alias(c) for k, c in own.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
