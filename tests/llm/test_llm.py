@@ -270,22 +270,47 @@ def test_stirling_weights_are_a_seating_distribution():
     assert np.exp(log).sum() == pytest.approx(1)
 
 
+def plain_top(rows, k=10):
+    """rows: (vec_id, vector). Whole numbers throughout; shorter vectors go on with zeros."""
+    whole = [(i, [int(math.floor(x)) if abs(x) < 1 << 53 else int(x) for x in (1024 * float(y) for y in v)]) for i, v in rows if i is not None and v is not None and all(y is not None and math.isfinite(y) for y in v)]
+    want = collections.Counter()
+    for q, x in whole:
+        if q % 100 == 0:
+            best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y)))), v) for v, y in whole if v != q)[:k]
+            want.update((q, r + 1, v, -s) for r, (s, v) in enumerate(best))
+    return want
+
+
 def test_topk(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     extra = e.limit(2).unionByName(spark.createDataFrame([(900_000, None, 1), (900_100, [float("nan")] * 64, 1), (None, [1.0] * 64, 1), (900_200, [1.0], 1)], "vec_id long, embedding array<float>, label int"))
-    table = topk.written(e.unionByName(extra), "e")
-    rows = [(r["vec_id"], np.floor(1024 * np.array(r["embedding"], float)).astype(np.int64)) for r in table.collect() if r["vec_id"] is not None and r["embedding"] and len(r["embedding"]) == 64 and np.isfinite(r["embedding"]).all()]
-    want = collections.Counter()
-    for q, x in rows:
-        if q % 100 == 0:
-            best = sorted(((-int(x @ y), v) for v, y in rows if v != q))[:10]
-            want.update((q, k + 1, v, -s) for k, (s, v) in enumerate(best))
-    for block in (64, 2048):
-        got = topk.search(table, block=block).collect()
+    table = topk.written(e.unionByName(extra), "e").withColumn("pivot", F.lit("x")).withColumn("block", F.lit(1)).withColumn("kind", F.lit(0))
+    want = plain_top([(r["vec_id"], r["embedding"]) for r in table.collect()])
+    for block, first in ((64, 1), (2048, 8)):
+        got = topk.search(table, block=block, first=first).collect()
         assert multiset((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
     assert topk.search(table.limit(0)).count() == 0
 
 
+def test_topk_on_odd_vectors(spark):
+    rng = random.Random(5)
+    rows = [(0, [1.0, -1e-20]), (1, [-0.0, 1.0]), (2, [1e300]), (3, [1.0]), (100, [-1e300, 2.0]), (5, []), (6, None), (7, [float("inf")]), (8, [1.0, None]), (9, [1.0, 2.0, 3.0, 4.0]), (10, [9.1e15, -1.0]), (200, [1e-320, -1e-320, 3.0]), (11, [0.1] * 5000)]
+    rows += [(1000 + k, [rng.uniform(-1, 1) for _ in range(rng.choice((3, 3, 3, 7)))]) for k in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(table, pivots=5, block=8, first=1).collect()
+    assert multiset(map(tuple, got)) == plain_top(rows)
+
+
+def test_topk_expands_only_what_the_bound_reaches(spark):
+    rng = np.random.default_rng(7)
+    middles = rng.normal(0, 20, (20, 8))
+    rows = [(k, [float(x) for x in middles[k % 20] + rng.normal(0, 0.1, 8)]) for k in range(4000)]
+    seen = {}
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=20, block=50, first=1, seen=seen).collect()
+    assert multiset(map(tuple, got)) == plain_top(rows)
+    assert seen["expanded"] < seen["pairs"] / 2
+
+
 def test_secrets(docs):
     rules = {"assign": re.compile(secrets.RULES[0].pattern, re.I | re.A), "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}
     want = []
@@ -308,7 +333,7 @@ CASES = "mail a.b+c@mail.example.com or A.B+C@MAIL.example.com, 10.0.0.300 and 1
 
 def test_pii(spark, docs):
     df = spark.createDataFrame([(1, CASES), (2, CASES[::-1] + " 10.1.2.3"), (3, None)], "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in pii.report(df).collect()}
+    rows = {r["doc_id"]: r for r in pii.report(df, "k").collect()}
     text = rows[1]["text"]
     for kept in ("10.0.0.300", "4111111111111112", "2020-02-30"):
         assert kept in text
@@ -320,13 +345,13 @@ def test_pii(spark, docs):
     assert rows[3]["text"] is None
     ip = re.search(r"and (\d+\.\d+\.\d+\.\d+)", text)[1]
     assert rows[2]["text"].endswith(ip)
-    out = pii.stage(docs)
+    out = pii.stage(docs, "k")
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
 def test_phones_of_every_area_are_masked(spark):
     numbers = [f"+1 ({k:03d}) 555-{(k * 37) % 10000:04d}" for k in range(1000)] + ["017-555-7713", "1 132.555.1352"]
-    rows = pii.report(spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string")).orderBy("doc_id").collect()
+    rows = pii.report(spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
     now = [r["text"] for r in rows]
     assert all(r["n_phone"] == 1 for r in rows) and len(set(now)) == len(now)
     assert all(x != y and re.sub(r"\d", "0", x) == re.sub(r"\d", "0", y) for x, y in zip(numbers, now))
