@@ -23,8 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with pseudonyms for personal data."""
-    return pii.stage(docs)
+    """Every document, with pseudonyms for personal data, under the key that the session names (a test key if none)."""
+    return pii.stage(docs, pii.configured(spark, pii.TEST_KEY))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
