@@ -1,38 +1,47 @@
 """Size-tiered sharding with versioned manifests.
 
-A store is a folder of immutable Parquet shards and manifests. Arrivals are appended as small shards;
-compaction merges runs of similarly sized shards into files of half the target size to all of it, until no
-tier holds `fan_in` of them or half the target. A version is a JSON manifest that lists its shards; it is
-written under a temporary name and renamed to its number, which fails if another writer took it, so readers
-see a whole version or the one before. A merge deletes the shards that it supersedes once its version stands.
-A lost job leaves only unlisted files; vacuum() deletes these, and must not run while another writer is
-between its files and its commit.
+A store is a folder of immutable Parquet shards and manifests. Arrivals are appended as small shards of `arrival` bytes
+or so; compaction merges runs of similarly sized shards into files of half the target size to all of it, until no
+tier holds `fan_in` of them or half the target. A version is a JSON manifest that lists its shards and their schema; it is
+written under a temporary name and then given its number, which fails if another writer took it (a hard link on a local
+path, a rename elsewhere), so readers see a whole version or the one before. The newest `retain` versions stay readable:
+vacuum() deletes what only older ones list, after each pass of compaction and when called. A lost job leaves only
+unlisted files; vacuum(unlisted=True) deletes these too, and must not run while another writer is between its files and
+its commit.
 
 A merge reads each shard once and writes it once, so rows are rewritten about once for each tier, which is
-logarithmic in target size over arrival size. The driver holds the manifest alone: a row for each shard.
+logarithmic in target size over arrival size. The runs of a pass are the partitions of its jobs, so a pass keeps as
+many tasks busy as the cluster runs, without a shuffle. The driver holds the manifest alone: a row for each shard.
 
 Defined results: nulls and empty or long texts are stored as they are; repeated rows stay repeated; an empty
-table appends at most an empty shard and commits a version; extra columns are stored (null in rows of arrivals without them), names that
-differ only in case included where the session is case-sensitive.
+table appends at most an empty shard and commits a version; extra columns are stored (null in rows of arrivals without
+them; a column whose type changes is an error), names that differ only in case included where the session is
+case-sensitive.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import reduce
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import new_path, read_table
+from .common import fresh, new_path, read_table
 
 TARGET, SMALLEST, FAN_IN = 128 << 20, 1 << 20, 4
-ARRIVAL = "__heatline_arrival"
-#: Merges and deletions under way at a time.
-WRITERS, DELETERS = 8, 16
+#: Bytes of an arrival of the registered query, small against the target at every size of the table.
+ARRIVAL_BYTES = 8 << 20
+RETAIN = 2
+#: Runs in the plan of one job at most, and deletions under way at a time.
+RUNS, DELETERS = 256, 16
 
 
 @dataclass(frozen=True)
@@ -46,8 +55,8 @@ class Shard:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, target: int = TARGET, smallest: int = SMALLEST, fan_in: int = FAN_IN):
-        self.spark, self.target, self.smallest, self.fan_in = spark, target, smallest, fan_in
+    def __init__(self, spark: SparkSession, root: str, target: int = TARGET, smallest: int = SMALLEST, fan_in: int = FAN_IN, retain: int = RETAIN):
+        self.spark, self.target, self.smallest, self.fan_in, self.retain = spark, target, smallest, fan_in, retain
         jvm = spark._jvm
         self.Path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -55,35 +64,50 @@ class Store:
 
     # -- manifests
 
-    def version(self) -> int:
+    def versions(self) -> list[int]:
         folder = self.Path(f"{self.root}/manifests")
         if not self.fs.exists(folder):
-            return 0
+            return []
         names = [f.getPath().getName() for f in self.fs.listStatus(folder)]
-        return max([0, *(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())])
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def shards(self, version: int | None = None) -> list[Shard]:
+    def version(self) -> int:
+        return max([0, *self.versions()])
+
+    def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return []
-        stream = self.fs.open(self.Path(f"{self.root}/manifests/{version:08d}.json"))
+            return {"version": 0, "shards": [], "schema": StructType([]).jsonValue()}
+        stream = self.fs.open(self.Path(self._name(version)))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return [Shard(**s) for s in json.loads(text)["shards"]]
 
-    def commit(self, shards: list[Shard], after: int) -> int:
+    def _name(self, version: int) -> str:
+        return f"{self.root}/manifests/{version:08d}.json"
+
+    def shards(self, version: int | None = None) -> list[Shard]:
+        return [Shard(**s) for s in self.manifest(version)["shards"]]
+
+    def commit(self, shards: list[Shard], after: int, schema: StructType | None = None) -> int:
         """Make version after + 1 of these shards, unless someone else has."""
-        folder = f"{self.root}/manifests"
-        self.fs.mkdirs(self.Path(folder))
-        own, final = self.Path(f"{folder}/.{uuid.uuid4().hex}"), self.Path(f"{folder}/{after + 1:08d}.json")
-        out = self.fs.create(own, True)
-        out.write(bytearray(json.dumps({"version": after + 1, "shards": [asdict(s) for s in shards]}).encode()))
+        self.fs.mkdirs(self.Path(f"{self.root}/manifests"))
+        own, final = f"{self.root}/manifests/.{uuid.uuid4().hex}", self._name(after + 1)
+        kept = schema.jsonValue() if schema is not None else self.manifest(after)["schema"]
+        out = self.fs.create(self.Path(own), False)
+        out.write(bytearray(json.dumps({"version": after + 1, "schema": kept, "shards": [asdict(s) for s in shards]}).encode()))
         out.close()
-        if self.fs.exists(final) or not self.fs.rename(own, final):
-            self.fs.delete(own, False)
-            raise RuntimeError(f"version {after + 1} was committed by another writer")
+        local = urlparse(own).scheme == "file"
+        try:
+            if local:
+                os.link(urlparse(own).path, urlparse(final).path)
+            elif not self.fs.rename(self.Path(own), self.Path(final)):
+                raise FileExistsError(final)
+        except FileExistsError as e:
+            raise RuntimeError(f"version {after + 1} was committed by another writer") from e
+        finally:
+            self.fs.delete(self.Path(own), False)
         return after + 1
 
     # -- data
@@ -94,18 +118,31 @@ class Store:
             return []
         return [Shard(f.getPath().toString(), f.getLen(), born) for f in self.fs.listStatus(path) if f.getPath().getName().endswith(".parquet")]
 
-    def append(self, arrivals: DataFrame, by: str | None = None) -> int:
-        """Commit arrivals as new small shards; `by` names a column of arrival numbers, each of which becomes shards of its own."""
+    def append(self, arrivals: DataFrame, by: str | None = None, rows: int = 0) -> int:
+        """Commit arrivals as new small shards, of so many `rows` at most if given; `by` names a column of arrival
+        numbers, each of which becomes shards of its own."""
         after = self.version()
         folder = f"{self.root}/data/{after + 1:08d}-{uuid.uuid4().hex[:8]}"
+        writer = arrivals.write.option("maxRecordsPerFile", rows)
         if by:
-            arrivals.write.partitionBy(by).parquet(folder)
+            writer.partitionBy(by).parquet(folder)
             folders = [f.getPath().toString() for f in self.fs.listStatus(self.Path(folder)) if f.isDirectory()]
         else:
-            arrivals.write.parquet(folder)
+            writer.parquet(folder)
             folders = [folder]
         new = [s for f in sorted(folders) for s in self._files(f, after + 1)]
-        return self.commit(self.shards(after) + new, after)
+        return self.commit(self.shards(after) + new, after, self._with(arrivals.drop(by) if by else arrivals, after))
+
+    def _with(self, arrivals: DataFrame, version: int) -> StructType:
+        fields = {f.name: f for f in self.schema(version)}
+        for f in arrivals.schema:
+            if f.name in fields and fields[f.name].dataType != f.dataType:
+                raise TypeError(f"column {f.name} is {fields[f.name].dataType.simpleString()} in this store, not {f.dataType.simpleString()}")
+            fields.setdefault(f.name, StructField(f.name, f.dataType, True))
+        return StructType(list(fields.values()))
+
+    def schema(self, version: int | None = None) -> StructType:
+        return StructType.fromJson(self.manifest(version)["schema"])
 
     def runs(self, shards: list[Shard]) -> list[list[Shard]]:
         """Two shards or more of one tier each, up to the target size together, that fill half of it or are fan_in.
@@ -128,49 +165,66 @@ class Store:
         return [r for r in out if len(r) > 1]
 
     def compact(self) -> int:
-        """Merge until no run is left. A pass is one commit; each of its runs is one job of one task without a shuffle,
+        """Merge until no run is left. A pass is one commit; each of its runs is a partition of a job, without a shuffle,
         and makes one shard of two or more, so passes end whatever the session's settings."""
+        slots = max(1, self.spark.sparkContext.defaultParallelism)
         while runs := self.runs(self.shards()):
             after = self.version()
+            schema = self.schema(after)
 
-            def merge(run: list[Shard], after: int = after) -> list[Shard]:
+            def merge(part: list[list[Shard]], after: int = after, schema: StructType = schema) -> list[Shard]:
                 folder = f"{self.root}/data/{after + 1:08d}-{uuid.uuid4().hex}"
-                self.read(run).coalesce(1).write.option("maxRecordsPerFile", 0).parquet(folder)
+                each = [self.spark.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1) for run in part]
+                reduce(DataFrame.union, each).write.option("maxRecordsPerFile", 0).parquet(folder)
                 return self._files(folder, after + 1)
 
-            with ThreadPoolExecutor(WRITERS) as pool:
-                made = [s for part in pool.map(merge, runs) for s in part]
+            size = min(RUNS, slots)
+            jobs = [runs[k : k + size] for k in range(0, len(runs), size)]
+            with ThreadPoolExecutor(-(-slots // size)) as pool:
+                made = [s for part in pool.map(merge, jobs) for s in part]
             gone = {s.path for r in runs for s in r}
             self.commit([s for s in self.shards(after) if s.path not in gone] + made, after)
-            with ThreadPoolExecutor(DELETERS) as pool:
-                list(pool.map(lambda path: self.fs.delete(self.Path(path), False), gone))
+            self.vacuum()
         return self.version()
 
-    def read(self, shards: list[Shard] | None = None) -> DataFrame:
-        shards = self.shards() if shards is None else shards
-        return self.spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(*[s.path for s in shards])
-
-    def vacuum(self) -> int:
-        """Delete shards that the newest version doesn't list."""
-        listed = {s.path for s in self.shards()}
-        n = 0
-        files = self.fs.listFiles(self.Path(f"{self.root}/data"), True)
-        while files.hasNext():
-            path = files.next().getPath()
-            if path.getName().endswith(".parquet") and path.toString() not in listed:
-                n += bool(self.fs.delete(path, False))
-        return n
-
-
-def sharded(docs: DataFrame, root: str | None = None, arrivals: int | None = None, target: int = TARGET, smallest: int = SMALLEST, fan_in: int = FAN_IN) -> Store:
-    """docs appended and compacted. Each task of the scan of docs is an arrival and writes one shard, with no sort; with
+    def read(self, shards: list[Shard] | None = None, version: int | None = None) -> DataFrame:
+        """The rows of a version, or of some of its shards; the newest one's if none is named."""
+        shards = self.shards(version) if shards is None else shards
+        if not shards:
+            return self.spark.createDataFrame([], self.schema(version))
+        return self.spark.read.schema(self.schema(version)).parquet(*[s.path for s in shards])
+
+    def vacuum(self, retain: int | None = None, unlisted: bool = False) -> int:
+        """Drop the versions before the newest `retain` and the shards that only they list; with `unlisted`, also the
+        files that no version lists. Returns how many shards it deleted."""
+        versions = self.versions()
+        keep = versions[-max(1, retain or self.retain) :]
+        listed = {s.path for v in keep for s in self.shards(v)}
+        old = [v for v in versions if v not in keep]
+        gone = {s.path for v in old for s in self.shards(v)} - listed
+        if unlisted:
+            files = self.fs.listFiles(self.Path(f"{self.root}/data"), True)
+            while files.hasNext():
+                path = files.next().getPath()
+                if path.getName().endswith(".parquet") and path.toString() not in listed:
+                    gone.add(path.toString())
+        for v in old:
+            self.fs.delete(self.Path(self._name(v)), False)
+        with ThreadPoolExecutor(DELETERS) as pool:
+            return sum(map(bool, pool.map(lambda path: self.fs.delete(self.Path(path), False), sorted(gone))))
+
+
+def sharded(docs: DataFrame, root: str | None = None, arrivals: int | None = None, target: int = TARGET, smallest: int = SMALLEST, fan_in: int = FAN_IN, arrival_bytes: int = ARRIVAL_BYTES) -> Store:
+    """docs appended and compacted. Each task of the scan of docs writes shards of about `arrival_bytes`, with no sort; with
     `arrivals`, rows are dealt into that many by a hash of doc_id, and each task writes a shard for each."""
     spark = docs.sparkSession
     store = Store(spark, root or new_path(spark, "shards"), target, smallest, fan_in)
     if arrivals:
-        store.append(docs.withColumn(ARRIVAL, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), ARRIVAL)
+        by = fresh(docs, "__hl_arrival")
+        store.append(docs.withColumn(by, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), by)
     else:
-        store.append(docs)
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        store.append(docs, rows=max(1, docs.count() * arrival_bytes // max(1, size)))
     store.compact()
     return store
 
@@ -178,9 +232,8 @@ def sharded(docs: DataFrame, root: str | None = None, arrivals: int | None = Non
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document, as read back: doc_id, its shard, the version that wrote it, and a digest of its text."""
     store = sharded(read_table(spark, sf_dir, "documents"))
-    shards = store.shards()
-    if not shards:
+    rows = store.read()
+    if not store.shards():
         return spark.createDataFrame([], "doc_id long, shard string, version int, n_bytes long, text_sha256 string")
-    rows = store.read(shards)
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), folder.alias("shard"), F.substring(folder, 1, 8).cast("int").alias("version"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
