@@ -7,7 +7,8 @@ ids in `width` bits each, high bit first, so any block and any id is found witho
 
 Documents are dealt by ranges of doc_id and sorted in each task; a task writes files of about
 `file_ids` ids under a temporary name and renames each when whole, so a repeated task leaves the same
-files. Where a file starts in the corpus follows from the manifest of file sizes, not from the writer.
+files. Where a file starts in the corpus follows from the manifest of file sizes, not from the writer. The manifest, a
+row for each file, is a table in the shared folder; the driver never holds it.
 
 Defined results: null text is empty (just the end id); null doc_ids come first, ties in doc_id are
 ordered by the text's hash, then by the text; repeated rows are written as often as they come; an empty table gives no files.
@@ -25,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, documents, new_path, read_table, small
+from .common import batches, documents, new_path, read_table, small, written
 from .pieces import piece_ids
 
 MAGIC = b"HLPACK01"
@@ -111,8 +112,11 @@ def _store(path: str, data: bytes) -> None:
         from pyarrow.fs import FileSystem
 
         fs, at = FileSystem.from_uri(path)
-        with fs.open_output_stream(at) as out:
+        task = TaskContext.get()
+        own = f"{at}.{task.taskAttemptId() if task else 0}.part"
+        with fs.open_output_stream(own) as out:
             out.write(data)
+        fs.move(own, at)
 
 
 MANIFEST = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
@@ -149,16 +153,25 @@ def _write(folder: str, path: str, end_id: int, file_ids: int):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS) -> list:
-    """Write the files in ascending doc_id order; their manifest (a row for each file), in corpus order, with each file's start."""
+MANIFEST_COLUMNS = "part long, seq long, name string, n_docs long, n_ids long, n_bytes long"
+#: Writing tasks whose sizes are summed together first.
+TASKS = 1024
+
+
+def with_starts(manifest: DataFrame) -> DataFrame:
+    """The manifest with the ids before each file: sums before a file in its task, before a task among its thousand, and before that thousand."""
+    before = lambda keys, order: F.coalesce(F.sum("n_ids").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    tasks = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).withColumn("many", F.floor(F.col("part") / TASKS))
+    many = tasks.groupBy("many").agg(F.sum("n_ids").alias("n_ids")).select("many", before((), "many").alias("many_start"))  # a row for each thousand tasks
+    tasks = tasks.withColumn("task_start", before(("many",), "part")).join(F.broadcast(many), "many").select("part", (F.col("many_start") + F.col("task_start")).alias("task_start"))
+    return manifest.withColumn("file_start", before(("part",), "seq")).join(tasks, "part").select(*manifest.columns, (F.col("task_start") + F.col("file_start")).alias("start"))
+
+
+def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
+    """Write the files in ascending doc_id order; their manifest, a row for each file with its start in the corpus."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     ordered = documents(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
-    rows = ordered.mapInArrow(_write(folder, path, end_id, file_ids), "part long, seq long, name string, n_docs long, n_ids long, n_bytes long").collect()
-    start, out = 0, []
-    for r in sorted(rows, key=lambda r: (r["part"], r["seq"])):
-        out.append({**r.asDict(), "start": start})
-        start += r["n_ids"]
-    return out
+    return with_starts(written(ordered.mapInArrow(_write(folder, path, end_id, file_ids), MANIFEST_COLUMNS), "manifest"))
 
 
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -173,11 +186,11 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from batches({"doc_id": pa.array(f.doc_ids, mask=~f.valid), "start": f.starts[:-1] + start, "n_tokens": np.diff(f.starts), "ids_crc32": crc}, READ)
 
 
-def read_tokens(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
+def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """A row for each document, from the files."""
-    files = spark.createDataFrame([(m["name"], m["start"]) for m in manifest], "name string, start long")
+    files = manifest.select("name", "start")
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return content.join(small(files, len(manifest)), "name").select("start", "content").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return content.join(small(files, manifest.count()), "name").select("start", "content").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -188,7 +201,7 @@ def qualified(spark: SparkSession, path: str) -> str:
 def round_trip(spark: SparkSession, docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
     folder = qualified(spark, folder or new_path(spark, "tokens"))
     manifest = write_tokens(docs, folder, **options)
-    if not manifest:
+    if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     return read_tokens(spark, folder, manifest)
 
