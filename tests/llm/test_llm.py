@@ -206,6 +206,29 @@ def test_packing(docs):
     assert len(bins) <= math.ceil(total / 1024) * 1.02 + 4
 
 
+def test_small_windows_and_many_partitions(spark, docs):
+    want = multiset((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.pack(docs).collect())
+    rows = packing.pack(docs.repartition(16), window_pieces=50, window_tokens=20_000).collect()
+    assert multiset((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    filled = collections.Counter()
+    for r in rows:
+        filled[r["sequence_id"]] += r["length"]
+    assert max(filled.values(), default=0) <= 1024
+    assert len({r["sequence_id"] for r in packing.pack(docs.repartition(16)).collect()}) <= math.ceil(sum(filled.values()) / 1024) * 1.02 + 4
+
+
+def test_limits_of_documents_and_attention_hold(spark, docs):
+    capacities = (1024, 3, 400_000)
+    if docs.isEmpty():
+        return
+    short = docs.where("length(text) < 2000 or text is null")
+    bins = collections.defaultdict(list)
+    for r in packing.pack(short, capacities=capacities).collect():
+        bins[r["sequence_id"]].append(r["length"])
+    assert all(sum(b) <= 1024 and len(b) <= 3 and sum(n * n for n in b) <= 400_000 for b in bins.values())
+    assert any(len(b) == 3 for b in bins.values())
+
+
 def test_best_fit_under_every_constraint():
     lengths = np.random.default_rng(0).integers(1, 300, 500)
     for rule in ("norm", "dot"):
@@ -224,6 +247,16 @@ def test_binary_output(spark, docs):
     assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
 
 
+def test_many_files_start_where_the_ones_before_end(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary_output, "TASKS", 2)
+    folder = binary_output.qualified(spark, str(tmp_path / "files"))
+    manifest = binary_output.write_tokens(docs, folder, file_ids=500)
+    rows = sorted(manifest.collect(), key=lambda r: (r["part"], r["seq"]))
+    assert [r["start"] for r in rows] == [sum(x["n_ids"] for x in rows[:k]) for k in range(len(rows))]
+    if rows:
+        assert binary_output.read_tokens(spark, folder, manifest).count() == docs.count()
+
+
 @pytest.mark.parametrize("width", [3, 12, 16, 17, 32])
 def test_bit_packing_and_random_access(width):
     ids = np.random.default_rng(width).integers(0, 1 << min(width, 31), 10_001).astype("<u4")
@@ -405,20 +438,78 @@ def test_sharding_merges_end_and_keep_columns(spark, tmp_path):
     assert back.where("late is not null").count() == 400 * (1 + 2 + 3)
     full = [s.bytes for s in store.shards()]
     assert sum(2 * n < store.target for n in full) <= store.fan_in * 3
-    assert store.vacuum() == 0
+    assert store.vacuum(unlisted=True) == 0
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "134217728b"
 
 
 def test_sharding(spark, docs, tmp_path):
     store = sharding.sharded(docs, str(tmp_path / "store"), arrivals=5, target=1 << 16, smallest=1 << 12, fan_in=2)
     shards = store.shards()
-    back = store.read(shards) if shards else docs.limit(0)
+    back = store.read()
     key = lambda df: multiset(map(tuple, df.select(*docs.columns).collect()))
     assert key(back) == key(docs)
     assert not store.runs(shards)
     with pytest.raises(RuntimeError):
         store.commit(shards, store.version() - 1)
     assert store.append(docs) == store.version()
+    small = sharding.sharded(docs, str(tmp_path / "small"), arrival_bytes=1 << 12)
+    assert key(small.read()) == key(docs)
+
+
+def test_old_versions_stay_readable_until_vacuum(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "old"), target=1 << 20, smallest=1 << 10, fan_in=2, retain=3)
+    for k in range(4):
+        store.append(spark.range(100 * k, 100 * k + 100).coalesce(1))
+    before = store.version()
+    old = store.read(version=before)
+    assert store.compact() == before + 1 and len(store.shards()) == 1
+    assert old.count() == store.read(version=before).count() == store.read().count() == 400
+    assert store.versions() == [before - 1, before, before + 1]
+    assert store.vacuum(retain=1) == 4 and store.versions() == [before + 1]
+    assert store.read().count() == 400
+    spark.range(5).write.parquet(f"{store.root}/data/lost")
+    assert store.vacuum(unlisted=True) > 0 and store.read().count() == 400
+
+
+def test_one_of_many_writers_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = sharding.Store(spark, str(tmp_path / "race"))
+    store.append(spark.range(3))
+
+    def attempt(k):
+        try:
+            return store.commit([sharding.Shard(f"s{k}", k, 2)], 1)
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [k for k, v in enumerate(pool.map(attempt, range(8))) if v]
+    assert len(won) == 1 and [s.path for s in store.shards(2)] == [f"s{won[0]}"]
+    assert not [f for f in (tmp_path / "race" / "manifests").iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")]
+
+
+def test_sharding_keeps_names_that_differ_in_case_and_refuses_other_types(spark, tmp_path):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        store = sharding.Store(spark, str(tmp_path / "case"), target=1 << 20, smallest=1 << 10, fan_in=2)
+        for k in range(2):
+            store.append(spark.createDataFrame([(k, "low", "UP", None)], "doc_id long, text string, TEXT string, __hl_arrival string"))
+        store.compact()
+        assert sorted(map(tuple, store.read().collect())) == [(0, "low", "UP", None), (1, "low", "UP", None)]
+        with pytest.raises(TypeError):
+            store.append(spark.createDataFrame([("x",)], "doc_id string"))
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_sharding_digests_of_null_and_empty_texts(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, ""), (None, "x" * 3_000_000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in sharding.query(spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert (rows[1]["n_bytes"], rows[1]["text_sha256"]) == (None, None)
+    assert (rows[2]["n_bytes"], rows[2]["text_sha256"]) == (0, sha(b""))
+    assert (rows[None]["n_bytes"], rows[None]["text_sha256"]) == (3_000_000, sha(b"x" * 3_000_000))
 
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
