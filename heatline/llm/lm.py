@@ -1,25 +1,28 @@
 """Hierarchical Pitman-Yor language model, sampled by Gibbs, and text scores by averaged predictive probabilities.
 
-A token's context is the most recent short word (at most `short` bytes) before it in its text, hashed to one of
-`classes` restaurants, or the restaurant of texts without one yet. All share one parent restaurant over words,
-whose base is uniform over the known words and one unknown. A customer is a training token; a dish's customers
-sit at tables; each table is a customer of the parent. The state that predictions need is the number of tables of
-each dish in each restaurant.
-
-A Gibbs move redraws the whole seating of one dish in one restaurant given everything else: the number of tables t of
-c customers has weight S_d(c, t) times the product over tables of (strength + d (other tables + k)) P_parent(w), with
-generalised Stirling numbers S_d, drawn exactly up to `EXACT` customers; beyond, customers are seated in order in short
-blocks by the Chinese-restaurant probabilities. Within a sweep the dishes move at once given the totals of the sweep
-before (as in distributed samplers for topic models); totals are exchanged after each sweep. Discounts come from
-counts of counts. Sweeps are repeatable (seeded by bucket and sweep), so a lost task repeats alone and no state is stored.
-
-Layout: each task packs its tokens into one blob for each bucket of words (hash of the word), counts pre-aggregated.
-Counts of a bucket meet in one task, with at most one entry for each word, context and chunk. Blobs of tokens meet
-their bucket's model as a stream; buckets with more bytes than their share are salted over several tasks.
+The context of a token is the word before it (or the start of the text), and every context that the training texts hold
+has a restaurant of its own; all share one parent restaurant over words, whose base is uniform over the known words and
+one unknown. A customer is a training token; a dish's customers sit at tables; each table is a customer of the parent.
+Restaurants are told apart by `CONTEXT_BITS` bits of the word's hash, words by all 64.
+
+A Gibbs move redraws the seating of one dish in one restaurant given everything else: customers are seated in
+order from a random cut on, by Chinese-restaurant probabilities given their dish, and the seating is accepted by the ratio
+(new over old) of its weight to its probability, which makes the move exact. The same rule serves every count: between two
+new tables the steps are a Beta-mixed geometric number, drawn at once, so a move costs its tables, not its customers.
+Dishes of one restaurant move at once, given the totals of the sweep before (as in distributed samplers for topic
+models); totals over the whole corpus are exchanged after each round of `SWEEPS` sweeps. Discounts come from counts of
+counts. The state after each round is a sample; probabilities are averaged over samples. A customer alone has one table,
+so pairs seen once are never sampled and stay at home until the end.
+
+Layout: each task packs its tokens into one blob for each bucket of words (a range of hashes), counts pre-aggregated, so
+all contexts of a word meet in one task, one entry for each pair and chunk, and fold there as they come. Buckets are as
+many as the text's bytes ask for. What a restaurant has over all buckets is summed by ranges of contexts, to which each
+bucket sends one sum for each of its contexts. In the end tokens meet their bucket's model as a stream; buckets with
+more tokens than their share are salted over several tasks. Texts are read twice (counts, scores), not stored.
 
 Defined results: null text is empty and has one token, its end; a null doc_id is a training text; repeated rows train
-and score as often as they come; with no training texts every probability is that of the unknown word, 1; an empty
-table gives no rows. Other columns are not read.
+and score as often as they come; long texts are read whole; with no training texts every probability is that of the
+unknown word, 1; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,20 +39,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, documents, read_table, written
+from .common import batches, documents, read_table, stored
 
-CLASSES, SHORT = 63, 3
-CHUNK_TOKENS, CHUNK_DOCS = 2_000_000, 1 << 15
-SWEEPS, BURN_IN = 3, 1
+CONTEXT_BITS = 40
+CHUNK_TOKENS, CHUNK_DOCS = 3_000_000, 1 << 15
+#: Bytes of text whose words share a bucket, and buckets at least.
+BUCKET_BYTES, BUCKETS = 16 << 20, 24
+ROUNDS, SWEEPS = 2, 2
 STRENGTH = 1.0
-EXACT = 256
+FOLD = 1_000_000
 FLUSH = 1 << 21
-TOKENS, COUNTS, TEXTS = 0, 1, 2
+#: A byte string that is no word: what comes before a text's first token.
+START = b" "
+MODEL, STATE, TOTALS, TOKENS, TEXTS = 0, 1, 2, 3, 4
 
 
 def dump(*arrays: np.ndarray) -> bytes:
+    """Arrays with their bytes of equal rank together, which compress better."""
     head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, ord(a.dtype.kind), len(a)))], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() if len(a) else b"" for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
 def load(blob: bytes) -> list[np.ndarray]:
@@ -57,18 +66,36 @@ def load(blob: bytes) -> list[np.ndarray]:
     n = int.from_bytes(data[:8], "little")
     head, at, out = np.frombuffer(data, "<i8", 3 * n, 8), 8 + 24 * n, []
     for size, kind, length in head.reshape(-1, 3).tolist():
-        out.append(np.frombuffer(data, f"<{chr(kind)}{size}", length, at))
+        planes = np.frombuffer(data, np.uint8, size * length, at).reshape(size, length)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<{chr(kind)}{size}"))
         at += size * length
     return out
 
 
+def steps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=rising.dtype.type(0))
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes as hold them."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
+
+
+def edges(bits: int, parts: int) -> np.ndarray:
+    """Where each of `parts` equal ranges of hashes of so many bits begins, but the first."""
+    return np.array([(k << bits) // parts for k in range(1, parts)], np.uint64)
+
+
+def cuts(rising: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.searchsorted(rising, inner), [len(rising)]])
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-# -- tokens, packed by bucket of words
-
-PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("size", pa.int64()), ("blob", pa.binary())])
+# -- tokens
 
 
 class _Words(dict):
@@ -77,260 +104,490 @@ class _Words(dict):
         return n
 
 
-def _pack(buckets: int, classes: int, short: int):
-    contexts = classes + 1
+def _chunks(it: Iterator[pa.RecordBatch]):
+    """(h, word, before, doc, size, doc_ids): the hashes of the chunk's words, rising, and of each token its place among
+    them, that of the word before, and its text."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 24
-        words, ids, sizes, doc_ids, held = _Words(), [], [], [], 0
-        seq = 0
+    def chunk(words: _Words, ids: list, sizes: list, doc_ids: list):
+        h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], "<u8")
+        order = np.argsort(h, kind="stable")
+        place = np.empty(len(h), np.int64)
+        place[order] = np.arange(len(h))
+        word, size = place[np.concatenate(ids)], np.array(sizes, np.int64)
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[np.cumsum(size) - size] = place[0]
+        return h[order], word, before, np.repeat(np.arange(len(size)), size), size, doc_ids
 
-        def flush():
-            nonlocal words, ids, sizes, doc_ids, held, seq
-            if not sizes:
-                return
-            names = list(words)
-            h = np.array([xxhash.xxh64_intdigest(w, 42) for w in names], "<u8")
-            own = np.array([v % classes if 0 < len(w) <= short else -1 for w, v in zip(names, h.tolist(), strict=True)], np.int64)
-            order = np.lexsort((h, h % np.uint64(buckets)))
-            place = np.empty(len(h), np.int64)
-            place[order] = np.arange(len(h))
-            tokens, size = np.concatenate(ids), np.array(sizes, np.int64)
-            doc = np.repeat(np.arange(len(size)), size)
-            first = np.cumsum(size) - size
-            seen = np.empty(len(tokens), np.int64)
-            seen[1:] = own[tokens[:-1]]
-            seen[first] = classes
-            ctx = seen[np.maximum.accumulate(np.where(seen >= 0, np.arange(len(seen)), 0))]
-            key, times = np.unique((place[tokens] * len(size) + doc) * contexts + ctx, return_counts=True)
-            rest, ctx = np.divmod(key, contexts)
-            word, doc = np.divmod(rest, len(size))
-            held_docs = np.array([held_out(d) for d in doc_ids])
-            h = h[order]
-            in_bucket = (h % np.uint64(buckets)).astype(np.int64)
-            word_cuts = np.searchsorted(in_bucket, np.arange(buckets + 1))
-            token_cuts = np.searchsorted(word, word_cuts)
-            chunk = base + seq
-            seq += 1
-            rows: dict[str, list] = {c: [] for c in PACKED.names}
+    fresh = lambda: (_Words({START: 0}), [], [], [])
+    (words, ids, sizes, doc_ids), held = fresh(), 0
+    for batch in it:
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            tokens = (text.as_py() or "").encode().lower().split()
+            tokens.append(b"")
+            ids.append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
+            sizes.append(len(tokens))
+            doc_ids.append(doc_id)
+            held += len(tokens)
+            if held >= CHUNK_TOKENS or len(sizes) >= CHUNK_DOCS:
+                yield chunk(words, ids, sizes, doc_ids)
+                (words, ids, sizes, doc_ids), held = fresh(), 0
+    if sizes:
+        yield chunk(words, ids, sizes, doc_ids)
 
-            def add(bucket, kind, size, blob):
-                for c, v in zip(PACKED.names, (bucket, kind, chunk, size, blob), strict=True):
-                    rows[c].append(v)
 
-            for b in range(buckets):
-                (w0, w1), (t0, t1) = word_cuts[b : b + 2].tolist(), token_cuts[b : b + 2].tolist()
-                if t0 == t1:
-                    continue
-                local, d, c, n = word[t0:t1] - w0, doc[t0:t1], ctx[t0:t1], times[t0:t1]
-                blob = dump(h[w0:w1], np.bincount(local, minlength=w1 - w0).astype("<u4"), d.astype("<u2"), c.astype("<u1"), n.astype("<u4"))
-                add(b, TOKENS, len(blob), blob)
-                train = ~held_docs[d]
-                pair = local[train] * contexts + c[train]
-                pairs, at = np.unique(pair, return_inverse=True)
-                if len(pairs):
-                    add(b, COUNTS, 0, dump(h[w0:w1][pairs // contexts], (pairs % contexts).astype("<u1"), np.bincount(at, n[train]).astype("<i8")))
-            known = np.array([d is not None for d in doc_ids], "<u1")
-            add(-1, TEXTS, 0, dump(np.array([d or 0 for d in doc_ids], "<i8"), known, held_docs.astype("<u1"), size.astype("<i8")))
-            words, ids, sizes, doc_ids, held = _Words(), [], [], [], 0
-            yield from batches(rows, PACKED, 64)
+def contexts_of(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - CONTEXT_BITS)
 
-        for batch in it:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                tokens = (text.as_py() or "").encode().lower().split()
-                tokens.append(b"")
-                ids.append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
-                sizes.append(len(tokens))
-                doc_ids.append(doc_id)
-                held += len(tokens)
-                if held >= CHUNK_TOKENS or len(sizes) >= CHUNK_DOCS:
-                    yield from flush()
-        yield from flush()
-
-    return run
 
+GRAMS = pa.schema([("bucket", pa.int32()), ("size", pa.int64()), ("blob", pa.binary())])
 
-MERGED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
+def _grams(buckets: int):
+    """Of each chunk and bucket: tokens, the contexts of all texts, and the training counts of pairs."""
+    inner = edges(64, buckets)
 
-def _merge(table: pa.Table) -> pa.Table:
-    """The counts of one bucket: words, and for each pair of word and context its word's place, context and count."""
-    parts = [load(b.as_py()) for b in table["blob"]]
-    h, ctx, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    words, w = np.unique(h, return_inverse=True)
-    pair, at = np.unique(w * 256 + ctx, return_inverse=True)
-    count = np.bincount(at, n).astype("<i8")
-    return pa.table({"bucket": table["bucket"].slice(0, 1), "blob": pa.array([dump(words, (pair // 256).astype("<i4"), (pair % 256).astype("<u1"), count)], pa.binary())})
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, word, before, doc, _, doc_ids in _chunks(it):
+            n = len(h)
+            at = cuts(h, inner)
+            of = np.repeat(np.arange(buckets), np.diff(at))
+            sizes = np.bincount(of[word], minlength=buckets)
+            seen = np.unique(of[word] * n + before)
+            seen_cuts = np.searchsorted(seen, np.arange(buckets + 1) * n)
+            train = ~np.array([held_out(d) for d in doc_ids])[doc]
+            pairs, count = np.unique(word[train] * n + before[train], return_counts=True)
+            w, v = np.divmod(pairs, n)
+            pair_cuts = np.searchsorted(w, at)
+            ctx = contexts_of(h)
+            rows: dict[str, list] = {c: [] for c in GRAMS.names}
+            for b in range(buckets):
+                mine = seen[seen_cuts[b] : seen_cuts[b + 1]] - b * n
+                if not len(mine):
+                    continue
+                own = slice(pair_cuts[b], pair_cuts[b + 1])
+                words, per = np.unique(w[own], return_counts=True)
+                rows["bucket"].append(b)
+                rows["size"].append(int(sizes[b]))
+                rows["blob"].append(dump(steps(h[words]), small(per), steps(ctx[mine]), small(np.searchsorted(mine, v[own])), small(count[own])))
+            yield from batches(rows, GRAMS, 64)
 
+    return run
 
-# -- seating
 
+# -- counts of a bucket
+
+COUNTS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("size", pa.int64()), ("stats", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary())])
+COUNTS_COLUMNS = "bucket int, part int, size long, stats array<long>, a binary, b binary"
+
+
+class _Counts:
+    """Pairs of one bucket, folded as they come: no more than twice the distinct ones are held."""
+
+    def __init__(self):
+        self.w, self.v, self.n = np.empty(0, "<u8"), np.empty(0, "<u8"), np.empty(0, np.int64)
+        self.contexts, self.more, self.held, self.size = np.empty(0, "<u8"), [], 0, 0
+
+    def add(self, size: int, blob: bytes) -> None:
+        words, per, contexts, v, n = load(blob)
+        words, contexts = np.cumsum(words, dtype="<u8"), np.cumsum(contexts, dtype="<u8")
+        self.more.append((np.repeat(words, per), contexts[v], n.astype(np.int64), contexts))
+        self.held += len(n) + len(contexts)
+        self.size += size
+        if self.held > max(FOLD, len(self.w)):
+            self.fold()
+
+    def fold(self) -> None:
+        if not self.more:
+            return
+        w, v, n = (np.concatenate([x, *(m[k] for m in self.more)]) for k, x in enumerate((self.w, self.v, self.n)))
+        self.contexts = np.unique(np.concatenate([self.contexts, *(m[3] for m in self.more)]))
+        self.more, self.held = [], 0
+        order = np.lexsort((v, w))
+        w, v, n = w[order], v[order], n[order]
+        first = np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])).nonzero()[0] if len(w) else np.empty(0, np.int64)
+        self.w, self.v, self.n = w[first], v[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _merge(buckets: int):
+    """Streams grams by bucket. Of each: a row with its counts, pairs seen once apart, and a row for each range of contexts."""
+    inner = edges(CONTEXT_BITS, buckets)
+
+    def rows(bucket: int, x: _Counts):
+        x.fold()
+        words, w = np.unique(x.w, return_inverse=True)
+        v, k, n = np.searchsorted(x.contexts, x.v), len(words), len(x.contexts)
+        once = x.n == 1
+        spread = np.bincount(w, minlength=k)
+        stats = [int(s) for s in (x.n.sum(), k, len(w), once.sum(), (x.n == 2).sum(), (spread == 1).sum(), (spread == 2).sum())]
+        a = dump(steps(words), steps(x.contexts), small(v[once]))
+        b = dump(small(np.bincount(w[once], minlength=k)), small(np.bincount(w[~once], minlength=k)), small(v[~once]), small(x.n[~once]))
+        yield (bucket, -1, x.size, stats, a, b)
+        sums = [np.bincount(v, x.n, n).astype(np.int64), np.bincount(v[once], minlength=n), np.bincount(v[~once], minlength=n)]
+        at = cuts(x.contexts, inner)
+        for p in range(buckets):
+            if at[p] < at[p + 1]:
+                own = slice(at[p], at[p + 1])
+                yield (bucket, p, 0, [], dump(steps(x.contexts[own]), *(small(s[own]) for s in sums)), None)
 
-def stirling(d: float, most: int = EXACT) -> np.ndarray:
-    """log S_d(c, t), for c and t up to `most`."""
-    out = np.full((most + 1, most + 1), -np.inf)
-    out[1, 1] = 0.0
-    t = np.arange(most + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for c in range(1, most):
-            grow = np.where(t <= c, np.log(np.maximum(c - t * d, 1e-300)), -np.inf) + out[c]
-            out[c + 1] = np.logaddexp(np.concatenate([[-np.inf], out[c, :-1]]), grow)
-    return out
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = None, None
+        for batch in it:
+            for bucket, size, blob in zip(batch["bucket"].to_pylist(), batch["size"].to_pylist(), batch["blob"], strict=True):
+                if bucket != of:
+                    if held is not None:
+                        yield from batches(dict(zip(COUNTS.names, zip(*rows(of, held), strict=True), strict=True)), COUNTS, 64)
+                    of, held = bucket, _Counts()
+                held.add(size, blob.as_py())
+        if held is not None:
+            yield from batches(dict(zip(COUNTS.names, zip(*rows(of, held), strict=True), strict=True)), COUNTS, 64)
 
+    return run
 
-def tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, strength: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A draw of the number of tables of each dish: c customers, others: tables of the restaurant's other dishes."""
-    t = np.ones(len(c), np.int64)
-    order = np.argsort(c, kind="stable")
-    sizes, first = np.unique(c[order], return_index=True)
-    ends = np.append(first[1:], len(c))
-    for size, lo, hi in zip(sizes.tolist(), first.tolist(), ends.tolist(), strict=True):
-        if size < 2 or size > EXACT:
-            continue
-        step = max(1, (1 << 20) // size)
-        for a in range(lo, hi, step):
-            rows = order[a : min(hi, a + step)]
-            log = np.cumsum(np.log(strength + d * (others[rows][:, None] + np.arange(size))) + np.log(parent[rows])[:, None], axis=1) + table[size, 1 : size + 1]
-            weight = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
-            t[rows] = 1 + (weight < rng.random(len(rows))[:, None] * weight[:, -1:]).sum(axis=1)
-    rows = (c > EXACT).nonzero()[0]
-    seated, here = np.ones(len(rows)), np.ones(len(rows))
-    while len(rows):
-        n = np.minimum(np.maximum(1, np.floor(seated * 0.02)), c[rows] - seated)
-        new = (strength + d * (others[rows] + here)) * parent[rows]
-        here += rng.binomial(n.astype(np.int64), new / (new + np.maximum(seated + n / 2 - d * here, 1e-9)))
-        seated += n
-        t[rows] = here
-        going = seated < c[rows]
-        rows, seated, here = rows[going], seated[going], here[going]
-    return np.minimum(t, c)
 
+def _sum_up(rounds: int):
+    """The rows of one range of contexts, from all buckets: what each of its contexts has over the corpus, for each bucket
+    in its own order: customers, tables at first and after each round."""
 
-class Level:
-    """What all tasks share: discounts, sizes, and the totals after each sweep so far."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["round"].to_pylist(), table["bucket"].to_pylist(), table["blob"], strict=True), key=lambda r: r[:2])
+        asked = {b: load(blob.as_py()) for r, b, blob in rows if r == 0}
+        own = {b: np.cumsum(x[0], dtype="<u8") for b, x in asked.items()}
+        contexts = np.unique(np.concatenate(list(own.values())))
+        at = {b: np.searchsorted(contexts, x) for b, x in own.items()}
+        sums = np.zeros((2 + rounds, len(contexts)), np.int64)
+        for b, (_, c, once, more) in asked.items():
+            sums[0, at[b]] += c.astype(np.int64)
+            sums[1, at[b]] += once.astype(np.int64) + more
+            sums[2:, at[b]] += once.astype(np.int64)
+        for r, b, blob in rows:
+            if r:
+                sums[1 + r, at[b]] += load(blob.as_py())[0].astype(np.int64)
+        blobs = [dump(*(small(s[at[b]]) for s in sums)) for b in asked]
+        return pa.table({"bucket": pa.array(list(asked), pa.int32()), "part": pa.array([table["part"][0].as_py()] * len(asked), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    def __init__(self, contexts: int, n: int, v: int, customers: np.ndarray, d: tuple[float, float], first: np.ndarray):
-        self.contexts, self.n, self.v, self.customers, self.d = contexts, n, v, customers, d
-        self.totals = [first]  # for each sweep: tables of each context, then tables of the parent
-        self.base = 1.0 / (v + 1)
+    return run
 
-    def parent(self, c0: np.ndarray, t0: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        d0 = self.d[0]
-        return (np.maximum(c0 - d0 * t0, 0) + (STRENGTH + d0 * totals[-1]) * self.base) / (STRENGTH + totals[:-1].sum())
 
-    def backoff(self, totals: np.ndarray) -> np.ndarray:
-        return (STRENGTH + self.d[1] * totals[:-1]) / (STRENGTH + self.customers)
+# -- seating
 
 
-def sweeps(blob: bytes, bucket: int, level: Level, upto: int):
-    """Yields (words, w, ctx, c, t, c0, t0) after each sweep."""
-    words, w, ctx, c = load(blob)
-    w, ctx = w.astype(np.int64), ctx.astype(np.int64)
-    logs = [stirling(d) for d in level.d]
-    t, t0 = np.ones(len(c), np.int64), np.ones(len(words), np.int64)
-    for s in range(upto):
-        rng = np.random.default_rng([42, bucket, s])
-        totals = level.totals[s]
-        c0 = np.bincount(w, t, len(words))
-        rest = c0[w] - t
-        t = tables(c, totals[ctx] - t, level.parent(rest, np.minimum(t0[w], rest), totals), level.d[1], STRENGTH, logs[1], rng)
-        c0 = np.bincount(w, t, len(words)).astype(np.int64)
-        t0 = tables(c0, totals[-1] - t0, np.full(len(words), level.base), level.d[0], STRENGTH, logs[0], rng)
-        yield words, w, ctx, c, t, c0, t0
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma, for x > 0."""
+    low = x < 8
+    z = np.where(low, x + 8, x)
+    out = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    if low.any():
+        y = x[low]
+        out[low] -= np.log(np.prod([y + k for k in range(8)], axis=0))
+    return out
 
 
-TOTALS = pa.schema([("place", pa.int32()), ("n", pa.int64())])
+class Dishes:
+    """Seatings of dishes, each by the customers that were seated when its tables but the first were opened: `at`,
+    one run after another, t - 1 of each dish."""
+
+    def __init__(self, c: np.ndarray, t: np.ndarray, at: np.ndarray):
+        self.c, self.t, self.at = c.astype(np.int64), t.astype(np.int64), at.astype(np.int64)
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.t)), self.t - 1)
+
+    def without(self, seated: np.ndarray) -> Dishes:
+        """The first `seated` customers' tables alone."""
+        own = self.owners()
+        stay = self.at < seated[own]
+        return Dishes(self.c, 1 + np.bincount(own[stay], minlength=len(self.c)), self.at[stay])
+
+    def resized(self, c: np.ndarray, weight, rng) -> Dishes:
+        """With other numbers of customers: the last ones leave, or more are seated."""
+        stay = np.minimum(self.c, c)
+        left = self.without(stay)
+        return walk(Dishes(c, left.t, left.at), stay, weight, rng)[0]
+
+
+def walk(x: Dishes, seated: np.ndarray, weight, rng: np.random.Generator | None = None, at: Dishes | None = None) -> tuple[Dishes, np.ndarray]:
+    """x, of whose customers `seated` sit already, with the rest seated in order: drawn by rng, or as in `at`. With it, for
+    each dish, the log of what the steps' probabilities leave out of the seating's weight.
+
+    weight(dish, k) gives the weight of a new table beside k of the dish, and k discounts. A table opened early costs later
+    customers of all tables a discount; for that a new table's weight is cut by a power of its place, constant between
+    powers of two, and there the wait for the next table is Beta-mixed geometric and the normalisers' product is a ratio of
+    Gamma functions."""
+    n = len(x.c)
+    rows, s, k, out = np.arange(n), seated.astype(np.float64), x.t.copy(), np.zeros(n)
+    first, second = weight(rows, np.ones(n, np.int64)), weight(rows, np.full(n, 2))
+    power = np.clip(second[1] - first[1] - (second[0] - first[0]), 0, None)
+    if at is not None:
+        end = np.cumsum(at.t - 1)
+        following = end - (at.t - 1) + x.t - 1
+    dishes, places = [x.owners()], [x.at]
+    alive = s < x.c
+    rows, s = rows[alive], s[alive]
+    while len(rows):
+        low = np.ldexp(1.0, np.frexp(s)[1] - 1)
+        last = np.minimum(2 * low, x.c[rows]) - 1
+        cut = np.minimum(1.5 * low / x.c[rows], 1) ** power[rows]
+        a, dk = weight(rows, k[rows])
+        a = a * cut
+        if at is None:
+            p = rng.beta(s - dk, a)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                wait = np.where(p > 0, np.floor(np.log(1.0 - rng.random(len(p))) / np.log(p)), 0.0)
+            place = s + np.where(p < 1, wait, np.inf)
+        else:
+            more = following[rows] < end[rows]
+            place = np.full(len(rows), np.inf)
+            place[more] = at.at[following[rows[more]]]
+        opened = place <= last
+        last = np.where(opened, place, last)
+        out[rows] += lgamma(last + 1 - dk + a) - lgamma(s - dk + a) - np.where(opened, np.log(cut), 0)
+        new = rows[opened]
+        dishes.append(new)
+        places.append(last[opened].astype(np.int64))
+        k[new] += 1
+        if at is not None:
+            following[new] += 1
+        s = last + 1
+        alive = s < x.c[rows]
+        rows, s = rows[alive], s[alive]
+    order = np.argsort(np.concatenate(dishes), kind="stable")
+    return Dishes(x.c, k, np.concatenate(places)[order]), out
+
+
+def moved(x: Dishes, weight, rng: np.random.Generator, afresh: bool = False) -> Dishes:
+    """A Gibbs move of every dish: the customers after a cut, drawn between the first and the last evenly on the scale of
+    logarithms, leave and are seated again. `afresh`, all but the first do, whatever the ratio: a first seating."""
+    stay = np.ones(len(x.c), np.int64) if afresh else np.minimum(x.c, np.floor(x.c ** rng.random(len(x.c))).astype(np.int64))
+    left = x.without(stay)
+    new, gained = walk(left, stay, weight, rng)
+    if afresh:
+        return new
+    yes = np.log(1.0 - rng.random(len(gained))) < gained - walk(left, stay, weight, at=x)[1]
+    own, old = new.owners(), x.owners()
+    dish = np.concatenate([own[yes[own]], old[~yes[old]]])
+    at = np.concatenate([new.at[yes[own]], x.at[~yes[old]]])
+    return Dishes(x.c, np.where(yes, new.t, x.t), at[np.argsort(dish, kind="stable")])
 
 
-def _sizes(contexts: int):
-    """Of each bucket: customers of each context, then words, then pairs and words with a count of one and of two, then pairs of each context."""
+class Level:
+    """What all tasks share: corpus totals, discounts, and the parent's customers and tables, at first and after each round."""
+
+    def __init__(self, n: int, v: int, pairs: int, d: tuple[float, float], parent: list[tuple[int, int]] | None = None):
+        self.n, self.v, self.d, self.base = n, v, d, 1.0 / (v + 1)
+        self.parent = parent or [(pairs, v)]
+
+    def root(self, c0: np.ndarray, t0: np.ndarray, round_: int) -> np.ndarray:
+        customers, tables = self.parent[round_]
+        return (np.maximum(c0 - self.d[0] * t0, 0) + (STRENGTH + self.d[0] * tables) * self.base) / (STRENGTH + customers)
+
+
+class Bucket:
+    """The seatings of one bucket's words: pairs seen twice or more in their contexts, and words in the parent."""
+
+    def __init__(self, counts: bytes, state: bytes | None = None):
+        self.once, per, self.v, c = load(counts)
+        self.once, self.v = self.once.astype(np.int64), self.v.astype(np.int64)
+        self.w = np.repeat(np.arange(len(per)), per)
+        self.fresh = state is None
+        one = np.ones(len(c), np.int64)
+        if state is None:
+            self.pairs = Dishes(c, one, np.empty(0, np.int64))
+            self.words = Dishes(self.customers(), np.ones(len(per), np.int64), np.empty(0, np.int64))
+        else:
+            t, at, t0, at0 = load(state)
+            self.pairs = Dishes(c, t, at)
+            self.words = Dishes(self.customers(), t0, at0)
+
+    def customers(self) -> np.ndarray:
+        """Of each word in the parent: a table of each pair seen once, and those of the others."""
+        return self.once + np.bincount(self.w, self.pairs.t, len(self.once)).astype(np.int64)
+
+    def state(self) -> bytes:
+        return dump(small(self.pairs.t), small(self.pairs.at), small(self.words.t), small(self.words.at))
+
+    def sweep(self, level: Level, tables: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Moves all dishes, given the tables of each context over the corpus; returns these as they change here."""
+        d0, d1 = level.d
+        customers, roots = level.parent[-1]
+        own, c0 = self.pairs.t, self.words.c
+        others, rest = np.maximum(tables[self.v] - own, 0), c0[self.w] - own
+        t0 = np.clip(np.minimum(self.words.t[self.w], rest), 1, None)
+        top, below = rest - d0 * t0 + (STRENGTH + d0 * roots) * level.base, STRENGTH + np.maximum(customers - own, 0)
+
+        def weight(dish, k):
+            parent = np.maximum(top[dish] + k, 1e-300) / (below[dish] + k)
+            return (STRENGTH + d1 * (others[dish] + k)) * parent, d1 * k
+
+        if len(own):
+            self.pairs = moved(self.pairs, weight, rng, self.fresh)
+        more = np.maximum(roots - self.words.t, 0)
+        root = lambda dish, k: ((STRENGTH + d0 * (more[dish] + k)) * level.base, d0 * k)
+        if len(c0):
+            self.words = moved(self.words.resized(self.customers(), root, rng), root, rng, self.fresh)
+        self.fresh = False
+        return tables + np.bincount(self.v, self.pairs.t - own, len(tables)).astype(np.int64)
+
+
+STATES = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("stats", pa.list_(pa.int64())), ("blob", pa.binary())])
+
+
+def _sample(level: Level, buckets: int, round_: int):
+    """Streams, for each bucket, its counts, its state if any, and its contexts' totals by range. Of each: a row with its
+    new state, and for each range the tables of its contexts in pairs seen more than once."""
+
+    def rows(bucket: int, counts: bytes, state: bytes | None, parts: list):
+        x = Bucket(counts, state)
+        parts = [(p, load(blob)) for p, blob in parts]
+        tables = np.concatenate([p[1 + round_] for _, p in parts]).astype(np.int64)
+        for s in range(SWEEPS):
+            tables = x.sweep(level, tables, np.random.default_rng([42, bucket, round_, s]))
+        yield (bucket, -1, [int(x.words.c.sum()), int(x.words.t.sum())], x.state())
+        mine, at = np.bincount(x.v, x.pairs.t, len(tables)).astype(np.int64), 0
+        for p, blob in parts:
+            yield (bucket, p, [], dump(small(mine[at : at + len(blob[0])])))
+            at += len(blob[0])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done():
+            return batches(dict(zip(STATES.names, zip(*rows(of, *held[:2], held[2]), strict=True), strict=True)), STATES, 64)
+
+        of, held = None, None
         for batch in it:
-            for blob in batch["blob"]:
-                words, w, ctx, c = load(blob.as_py())
-                spread = np.bincount(w, minlength=len(words))
-                n = [*np.bincount(ctx, c, contexts), len(words), (c == 1).sum(), (c == 2).sum(), (spread == 1).sum(), (spread == 2).sum(), *np.bincount(ctx, minlength=contexts)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array([int(x) for x in n], pa.int64())], schema=TOTALS)
+            for bucket, kind, part, blob in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "part", "blob")), strict=True):
+                if bucket != of:
+                    if held is not None:
+                        yield from done()
+                    of, held = bucket, [None, None, []]
+                if kind == TOTALS:
+                    held[2].append((part, blob))
+                else:
+                    held[0 if kind == MODEL else 1] = blob
+        if held is not None:
+            yield from done()
 
     return run
 
 
-def _totals(level: Level):
-    upto = len(level.totals)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for bucket, blob in zip(batch["bucket"].to_pylist(), batch["blob"], strict=True):
-                for _, _, ctx, _, t, _, t0 in sweeps(blob.as_py(), bucket, level, upto):
-                    pass
-                n = [*np.bincount(ctx, t, level.contexts), t0.sum()]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array([int(x) for x in n], pa.int64())], schema=TOTALS)
+# -- scores
 
-    return run
+PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
 
 
-def _model(level: Level):
-    """Of each bucket: words, their counts, parent probabilities of each sample, pairs and their averaged probabilities."""
+def _pack(buckets: int):
+    """Of each chunk and bucket: its words, contexts and pairs, and the texts that hold each; of each chunk: its texts."""
+    inner = edges(64, buckets)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for bucket, blob in zip(batch["bucket"].to_pylist(), batch["blob"], strict=True):
-                parents, p = [], 0.0
-                for s, (words, w, ctx, c, t, c0, t0) in enumerate(sweeps(blob.as_py(), bucket, level, SWEEPS)):
-                    if s < BURN_IN:
-                        continue
-                    totals = level.totals[s + 1]
-                    p0 = level.parent(c0, t0, totals)
-                    parents.append(p0)
-                    p = p + (c - level.d[1] * t) / (STRENGTH + level.customers[ctx]) + level.backoff(totals)[ctx] * p0[w]
-                out = dump(words, np.bincount(w, c, len(words)).astype("<i8"), *parents, w * 256 + ctx, p / len(parents))
-                yield pa.RecordBatch.from_pydict({"bucket": [bucket], "blob": [out]}, schema=MERGED)
+        base = TaskContext.get().partitionId() << 24
+        for seq, (h, word, before, doc, size, doc_ids) in enumerate(_chunks(it)):
+            n, docs = len(h), len(size)
+            at = cuts(h, inner)
+            key, times = np.unique((word * n + before) * docs + doc, return_counts=True)
+            pair, doc = np.divmod(key, docs)
+            first = np.append(True, pair[1:] != pair[:-1]).nonzero()[0]
+            held = np.diff(np.append(first, len(pair)))
+            w, v = np.divmod(pair[first], n)
+            starts = np.append(first, len(pair))
+            pair_cuts, ctx = np.searchsorted(w, at), contexts_of(h)
+            rows: dict[str, list] = {c: [] for c in PACKED.names}
 
-    return run
+            def add(*values, rows=rows):
+                for c, x in zip(PACKED.names, values, strict=True):
+                    rows[c].append(x)
+
+            for b in range(buckets):
+                lo, hi = pair_cuts[b : b + 2].tolist()
+                if lo == hi:
+                    continue
+                words, per = np.unique(w[lo:hi], return_counts=True)
+                mine, place = np.unique(v[lo:hi], return_inverse=True)
+                own = slice(starts[lo], starts[hi])
+                add(b, TOKENS, base + seq, dump(steps(h[words]), small(per), steps(ctx[mine]), small(place), small(held[lo:hi]), doc[own].astype("<u2"), small(times[own])))
+            known = np.array([d is not None for d in doc_ids], "<u1")
+            add(-1, TEXTS, base + seq, dump(np.array([d or 0 for d in doc_ids], "<i8"), known, np.array([held_out(d) for d in doc_ids], "<u1"), size))
+            yield from batches(rows, PACKED, 64)
 
+    return run
 
-# -- scores
 
-SUMS = pa.schema([("chunk", pa.int64()), ("blob", pa.binary())])
+class Model:
+    """Probabilities of one bucket's words after any context that its texts hold."""
+
+    def __init__(self, level: Level, names: bytes, counts: bytes, states: list[bytes], parts: list[bytes]):
+        words, contexts, once = load(names)
+        self.words, self.contexts = np.cumsum(words, dtype="<u8"), np.cumsum(contexts, dtype="<u8")
+        totals = [np.concatenate(x).astype(np.float64) for x in zip(*map(load, parts), strict=True)] if parts else []
+        samples = [Bucket(counts, s) for s in states]
+        x, d1, n = samples[0], level.d[1], max(1, len(self.contexts))
+        w = np.concatenate([np.repeat(np.arange(len(x.once)), x.once), x.w])
+        v = np.concatenate([once.astype(np.int64), x.v])
+        c = np.concatenate([np.ones(len(once), np.int64), x.pairs.c])
+        self.count = np.bincount(w, c, len(self.words)).astype(np.int64)
+        self.root = np.array([level.root(s.words.c, s.words.t, r + 1) for r, s in enumerate(samples)])
+        self.unknown = np.array([level.root(np.zeros(1), np.zeros(1), r + 1)[0] for r in range(len(samples))])
+        self.back = np.array([(STRENGTH + d1 * totals[2 + r]) / (STRENGTH + totals[0]) for r in range(len(samples))]) if totals else np.ones((len(samples), 1))
+        p = np.zeros(len(w))
+        for r, s in enumerate(samples):
+            t = np.concatenate([np.ones(len(once), np.int64), s.pairs.t])
+            p += (c - d1 * t) / (STRENGTH + totals[0][v]) + self.back[r, v] * self.root[r, w] if totals else 0
+        key = w * n + v
+        order = np.argsort(key)
+        self.key, self.p = key[order], p[order] / len(samples)
+
+    def look(self, h: np.ndarray, contexts: np.ndarray, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training count of each word, and probability of each pair of word and context (places in h and contexts)."""
+        place = np.minimum(np.searchsorted(self.words, h), max(0, len(self.words) - 1))
+        found = self.words[place] == h if len(self.words) else np.zeros(len(h), bool)
+        count = np.where(found, self.count[place], 0) if len(self.words) else np.zeros(len(h), np.int64)
+        root = np.where(found, self.root[:, place], self.unknown[:, None]) if len(self.words) else np.broadcast_to(self.unknown[:, None], (len(self.unknown), len(h)))
+        v = np.searchsorted(self.contexts, contexts)[before]
+        out = (self.back[:, v] * root[:, word]).mean(axis=0)
+        if len(self.key):
+            key = place[word] * len(self.contexts) + v
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            out = np.where(found[word] & (self.key[at] == key), self.p[at], out)
+        return count, out
+
+
+SUMS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 
 
 def _score(level: Level):
     """Streams, for each bucket and salt, its model and then its tokens; sums by text within each chunk."""
-    samples = SWEEPS - BURN_IN
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = np.array([level.backoff(t) for t in level.totals[1 + BURN_IN :]])
-        unknown = np.array([level.parent(np.zeros(1), np.zeros(1), t)[0] for t in level.totals[1 + BURN_IN :]])
         held: dict[int, list] = {}
-        size, model, of = 0, None, None
+        size, of, parts, model = 0, None, {}, None
 
         def flush():
             nonlocal held, size
-            for chunk, parts in held.items():
-                doc, base, score, known = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            for chunk, sums in held.items():
+                doc, base, score, known = (np.concatenate([s[k] for s in sums]) for k in range(4))
                 docs, at = np.unique(doc, return_inverse=True)
-                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "blob": [dump(docs.astype("<u2"), np.bincount(at, base), np.bincount(at, score), np.bincount(at, known).astype("<i8"))]}, schema=SUMS)
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "kind": [TOKENS], "blob": [dump(docs.astype("<u2"), np.bincount(at, base), np.bincount(at, score), np.bincount(at, known).astype("<i8"))]}, schema=SUMS)
             held, size = {}, 0
 
         for batch in it:
-            for bucket, kind, chunk, blob in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "chunk", "blob")), strict=True):
-                if kind < 0:
-                    model, of = load(blob), bucket
+            for bucket, kind, part, chunk, a, b in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "part", "chunk", "a", "b")), strict=True):
+                if kind == TEXTS:
+                    yield pa.RecordBatch.from_pydict({"chunk": [chunk], "kind": [TEXTS], "blob": [a]}, schema=SUMS)
+                    continue
+                if bucket != of:
+                    of, parts, model = bucket, {MODEL: [], STATE: [], TOTALS: []}, None
+                if kind != TOKENS:
+                    parts[kind].append((a, b))
                     continue
-                h, per_word, doc, ctx, times = load(blob)
-                if of != bucket or not len(model[0]):
-                    model, of = [np.zeros(1, "<u8"), np.zeros(1, "<i8"), *np.zeros((samples, 1)), np.zeros(1, np.int64), np.zeros(1)], bucket
-                words, counts, pairs, p = model[0], model[1], model[2 + samples], model[3 + samples]
-                place = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                c = np.where(words[place] == h, counts[place], 0)
-                parent = np.where(c > 0, [m[place] for m in model[2 : 2 + samples]], unknown[:, None])
-                word = np.repeat(np.arange(len(h)), per_word)
-                key = place[word] * 256 + ctx
-                at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-                prob = np.where((pairs[at] == key) & (c[word] > 0), p[at], (back[:, ctx] * parent[:, word]).mean(axis=0))
-                base = np.log10((c + 1) / (level.n + (level.v + 1.0)))
-                held.setdefault(chunk, []).append((doc, times * base[word], times * np.log10(prob), times * (c[word] > 0)))
+                if model is None:
+                    (names, counts), = parts[MODEL]
+                    model, parts = Model(level, names, counts, [x for x, _ in parts[STATE]], [x for x, _ in parts[TOTALS]]), None
+                words, per, contexts, before, docs, doc, times = load(a)
+                h, contexts = np.cumsum(words, dtype="<u8"), np.cumsum(contexts, dtype="<u8")
+                word = np.repeat(np.arange(len(h)), per)
+                count, p = model.look(h, contexts, word, before.astype(np.int64))
+                base = np.log10((count + 1) / (level.n + (level.v + 1.0)))
+                times = times.astype(np.int64)
+                held.setdefault(chunk, []).append((doc, times * np.repeat(base[word], docs), times * np.repeat(np.log10(p), docs), times * np.repeat(count[word] > 0, docs)))
                 size += len(doc)
                 if size >= FLUSH:
                     yield from flush()
@@ -364,41 +621,58 @@ def discount(ones: int, twos: int) -> float:
     return min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
 
 
-def score(docs: DataFrame, buckets: int | None = None, classes: int = CLASSES, short: int = SHORT) -> DataFrame:
+def score(docs: DataFrame, buckets: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Scores of all texts by a model learned from those that are not held out."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or max(64, parts)
-    contexts = classes + 1
-    packed = written(documents(docs).mapInArrow(_pack(buckets, classes, short), "bucket int, kind int, chunk long, size long, blob binary"), "tokens")
-    counts = written(packed.where(f"kind = {COUNTS}").select("bucket", "blob").groupBy("bucket").applyInArrow(_merge, "bucket int, blob binary"), "counts")
-
-    def summed(df: DataFrame, width: int) -> np.ndarray:
-        out = np.zeros(width, np.int64)
-        for r in df.groupBy("place").agg(F.sum("n").alias("n")).collect():  # a row for each of `width` places
-            out[r["place"]] = r["n"]
-        return out
-
-    place = "place int, n long"
-    x = summed(counts.mapInArrow(_sizes(contexts), place), 2 * contexts + 5)
-    customers, (v, one, two, lone, pairs), opened = x[:contexts], x[contexts : contexts + 5].tolist(), x[contexts + 5 :]
-    level = Level(contexts, int(customers.sum()), v, customers, (discount(lone, pairs), discount(one, two)), np.append(opened, v))
-    for _ in range(SWEEPS):
-        level.totals.append(summed(counts.mapInArrow(_totals(level), place), contexts + 1))
-    model = counts.mapInArrow(_model(level), "bucket int, blob binary")
-
-    tokens = packed.where(f"kind = {TOKENS}")
-    bytes_of = {r["bucket"]: r["size"] for r in tokens.groupBy("bucket").agg(F.sum("size").alias("size")).collect()}  # a row for each bucket
-    share = 2 * sum(bytes_of.values()) / max(1, len(bytes_of))
-    salts = {b: math.ceil(s / share) for b, s in bytes_of.items() if s > share}
-    salted = spark.createDataFrame([(b, n) for b, n in salts.items()] or [(-1, 1)], "bucket int, salts int")
-    some = F.coalesce("salts", F.lit(1))
-    tokens = tokens.join(F.broadcast(salted), "bucket", "left").select("bucket", F.pmod(F.xxhash64("chunk"), some).cast("int").alias("salt"), "kind", "chunk", "blob")
-    model = model.join(F.broadcast(salted), "bucket", "left").select("bucket", F.explode(F.sequence(F.lit(0), some - 1)).alias("salt"), F.lit(-1).alias("kind"), F.lit(-1).cast("long").alias("chunk"), "blob")
-    stream = tokens.unionByName(model).repartition(max(parts, 64), "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind", "chunk")
-    sums = stream.mapInArrow(_score(level), "chunk long, blob binary").withColumn("kind", F.lit(TOKENS))
-    texts = packed.where(f"kind = {TEXTS}").select("chunk", "blob", "kind")
-    return sums.unionByName(texts).groupBy("chunk").applyInArrow(_finish(level.n), SCORED)
+    texts = documents(docs)
+    if buckets is None:
+        size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        buckets = max(BUCKETS, -(-size // BUCKET_BYTES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * buckets, 1 << 14))
+    grams = texts.mapInArrow(_grams(buckets), "bucket int, size long, blob binary")
+    counts, _ = stored(grams.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(buckets), COUNTS_COLUMNS), "counts")
+    models = counts.where("part = -1")
+    sums = models.select(*[F.sum(F.get("stats", F.lit(k))) for k in range(7)]).first()
+    n, v, pairs, one, two, lone, twice = (x or 0 for x in sums)
+    level = Level(n, v, pairs, (discount(lone, twice), discount(one, two)))
+    asked = counts.where("part >= 0").select("part", F.lit(0).alias("round"), "bucket", F.col("a").alias("blob"))
+    states: list[DataFrame] = []
+
+    def totals() -> DataFrame:
+        """(bucket, part, blob) with what each context of a bucket has over the corpus after each round so far."""
+        rows = asked
+        for r, s in enumerate(states):
+            rows = rows.unionByName(s.where("part >= 0").select("part", F.lit(r + 1).alias("round"), "bucket", "blob"))
+        return rows.groupBy("part").applyInArrow(_sum_up(len(states)), "bucket int, part int, blob binary")
+
+    def by_bucket(df: DataFrame, kind: int, blob: str = "blob") -> DataFrame:
+        return df.select("bucket", F.lit(kind).alias("kind"), "part", F.col(blob).alias("blob"))
+
+    for r in range(rounds):
+        stream = by_bucket(models, MODEL, "b").unionByName(by_bucket(totals(), TOTALS))
+        if states:
+            stream = stream.unionByName(by_bucket(states[-1].where("part = -1"), STATE))
+        sampled = stream.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind", "part").mapInArrow(_sample(level, buckets, r), "bucket int, part int, stats array<long>, blob binary")
+        states.append(stored(sampled, f"round{r + 1}")[0])
+        c0, t0 = states[-1].where("part = -1").select(F.sum(F.get("stats", F.lit(0))), F.sum(F.get("stats", F.lit(1)))).first()
+        level.parent.append((c0 or 0, t0 or 0))
+
+    sizes = {r["bucket"]: r["size"] for r in models.select("bucket", "size").collect()}  # a row for each bucket
+    share = 2 * sum(sizes.values()) / max(1, len(sizes))
+    salts = {b: math.ceil(s / share) for b, s in sizes.items() if s > share}
+    salted = spark.createDataFrame(list(salts.items()) or [(-2, 1)], "bucket int, salts int")
+    some, none, long = F.coalesce("salts", F.lit(1)), F.lit(None).cast("binary"), F.lit(None).cast("long")
+    model = models.select("bucket", F.lit(MODEL).alias("kind"), "part", "a", "b")
+    for r, s in enumerate(states):
+        model = model.unionByName(s.where("part = -1").select("bucket", F.lit(STATE).alias("kind"), F.lit(r).alias("part"), F.col("blob").alias("a"), none.alias("b")))
+    model = model.unionByName(totals().select("bucket", F.lit(TOTALS).alias("kind"), "part", F.col("blob").alias("a"), none.alias("b"))).withColumn("chunk", long)
+    model = model.join(F.broadcast(salted), "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), some - 1))).drop("salts")
+    packed = texts.mapInArrow(_pack(buckets), "bucket int, kind int, chunk long, blob binary").select("bucket", "kind", F.lit(0).alias("part"), "chunk", F.col("blob").alias("a"), none.alias("b"))
+    spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("chunk"), F.lit(tasks))).otherwise(F.pmod(F.xxhash64("chunk"), some)).cast("int")
+    packed = packed.join(F.broadcast(salted), "bucket", "left").withColumn("salt", spread).drop("salts")
+    stream = model.unionByName(packed).repartition(tasks, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind", "part", "chunk")
+    scored = stream.mapInArrow(_score(level), "chunk long, kind int, blob binary")
+    return scored.groupBy("chunk").applyInArrow(_finish(level.n), SCORED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
