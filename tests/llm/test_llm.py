@@ -280,29 +280,6 @@ def test_language_model(docs):
         assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_probabilities_sum_to_one():
-    level = lm.Level(2, 9, 3, np.array([5, 4]), (0.4, 0.6), np.array([3, 2, 3]))
-    blob = lm.dump(np.array([1, 2, 3], "<u8"), np.array([0, 0, 1, 1, 2], "<i4"), np.array([0, 1, 0, 1, 0], "<u1"), np.array([2, 3, 2, 1, 1], "<i8"))
-    for words, w, ctx, c, t, c0, t0 in lm.sweeps(blob, 0, level, 1):
-        totals = np.append(np.bincount(ctx, t, 2), t0.sum())
-        p0 = level.parent(c0, t0, totals)
-        unknown = level.parent(np.zeros(1), np.zeros(1), totals)[0]
-        assert p0.sum() + unknown == pytest.approx(1)
-        back = level.backoff(totals)
-        for u in (0, 1):
-            own = (c - 0.6 * t) / (1 + level.customers[ctx])
-            assert own[ctx == u].sum() + back[u] == pytest.approx(1)
-        assert ((t >= 1) & (t <= c)).all()
-
-
-def test_stirling_weights_are_a_seating_distribution():
-    d, theta = 0.5, 1.0
-    table = lm.stirling(d, 6)
-    t = np.arange(1, 7)
-    log = np.array([sum(math.log(theta + d * k) for k in range(1, x)) for x in t]) + table[6, 1:7] - sum(math.log(theta + k) for k in range(1, 6))
-    assert np.exp(log).sum() == pytest.approx(1)
-
-
 def plain_top(rows, k=10):
     """rows: (vec_id, vector). Whole numbers throughout; shorter vectors go on with zeros."""
     whole = [(i, [int(math.floor(x)) if abs(x) < 1 << 53 else int(x) for x in (1024 * float(y) for y in v)]) for i, v in rows if i is not None and v is not None and all(y is not None and math.isfinite(y) for y in v)]
