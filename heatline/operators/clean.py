@@ -39,6 +39,34 @@ def with_segments(df: DataFrame, keys: list[str], us: str, gap_s: float = GAP_S)
     return df.withColumn("segment_id", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def chunked_segments(df: DataFrame, keys: list[str], us: str, gap_s: float = GAP_S, chunk_s: int = 30 * 86_400) -> DataFrame:
+    """with_gaps() and with_segments() in chunks of time: a task sorts one key's chunk, not its history. What a chunk passes
+    on (its last stamp, how many segments began) is a row for each chunk, summed over a key's chunks and given back to them."""
+    chunk = F.floor(F.col(us) / (chunk_s * 1_000_000))
+    rows = df.withColumn("_chunk", chunk)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(us)
+    inner = rows.withColumn("_d", ((F.col(us) - F.lag(us).over(w)) / 1_000_000).cast("long"))
+    opens = F.coalesce((F.col("_d") > gap_s).cast("long"), F.lit(0).cast("long"))
+    inner = inner.withColumn("_s", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
+    ends = inner.groupBy(*keys, "_chunk").agg(F.min(us).alias("_first"), F.max(us).alias("_last"), F.max("_s").alias("_more"))
+    order = Window.partitionBy(*keys).orderBy("_chunk")
+    ends = ends.withColumn("_d0", ((F.col("_first") - F.lag("_last").over(order)) / 1_000_000).cast("long"))
+    step = F.coalesce((F.col("_d0") > gap_s).cast("long"), F.lit(0).cast("long"))
+    before = F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("_more").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    given = ends.select(*keys, "_chunk", "_d0", before.alias("_before"))
+    out = inner.join(given, [*keys, "_chunk"])
+    dt = F.when(F.col("_n") == 1, F.col("_d0")).otherwise(F.col("_d"))
+    return out.select(*df.columns, dt.alias("dt_s"), (F.col("_s") + F.col("_before")).alias("segment_id"))
+
+
+#: Fixed value: the coolant's assumed temperature.
+COOLANT_C = 21.0
+
+
+def with_coolant(df: DataFrame, celsius: float = COOLANT_C) -> DataFrame:
+    return df.withColumn("coolant_C_assumed", F.lit(celsius))
+
+
 def clean(df: DataFrame, keys: list[str], us: str, columns: list[str], grid_s: int | None = None, gap_s: float = GAP_S) -> DataFrame:
     """Bins with gaps and segments; one exchange serves all three."""
     return with_segments(with_gaps(bin_dedupe(df, keys, us, columns, grid_s), keys, us), keys, us, gap_s)

@@ -33,10 +33,11 @@ def fold_summary(folds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def last_block(df: DataFrame, keys: list[str], block: str = "block") -> DataFrame:
-    """Rows with the ordinal of their block and whether it is the last, by key or over all."""
-    last = df.groupBy(*keys).agg(F.max(block).alias("_last")) if keys else df.agg(F.max(block).alias("_last"))
-    joined = df.join(F.broadcast(last), keys) if keys else df.crossJoin(F.broadcast(last))  # one row
-    return joined.withColumn("is_test", F.col(block) == F.col("_last")).drop("_last")
+    """Rows with the ordinal of their block from 1 and whether it is the last, by key or over all."""
+    blocks = df.select(*keys, block).distinct()
+    order = Window.partitionBy(*keys).orderBy(block)  # of blocks, not rows
+    named = blocks.withColumn("block_no", F.row_number().over(order).cast("long")).withColumn("is_test", F.lead(block).over(order).isNull())
+    return df.join(named, [*keys, block])
 
 
 def features(resid: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
@@ -47,7 +48,7 @@ def features(resid: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
 
 
 def capped(df: DataFrame, key: Column, k: int) -> DataFrame:
-    """At most k rows, by a hash of their key."""
+    """At most k rows, by a hash of their key: what a model is fitted on, never what it is scored on."""
     return df.orderBy(F.xxhash64(F.lit(0), key), key).limit(k)
 
 
@@ -75,58 +76,169 @@ def residual_model(train: DataFrame, test: DataFrame, kind: str = "linear", y: s
     return model.fit(assembled(train)).transform(assembled(test)).drop("features")
 
 
-def permutation_null(predicted: DataFrame, y: str, prediction: str, order: str, draws: int = 200, seed: int = 0, shuffle: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """The R2 of y permuted against fixed predictions, for each draw. Each draw pairs ranks by key with ranks by a hash of it."""
+#: Ranges of the order, by draw: a task sorts one, not a draw.
+RANGES = 10
+
+
+def placed(df: DataFrame, keys: list[str], bucket: Column, order: list[Column]) -> DataFrame:
+    """df with `i`, its place from 1 within keys, by (bucket, order), where bucket rises with the order: rows are sorted
+    by bucket, and only the buckets' sizes are summed in one place."""
+    rows = df.withColumn("_b", bucket)
+    sizes = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    own = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
+    return own.join(sizes.select(*keys, "_b", before.alias("_o")), [*keys, "_b"]).withColumn("i", F.col("_o") + F.col("_r")).drop("_b", "_n", "_o", "_r")
+
+
+def permutation_null(predicted: DataFrame, y: str, prediction: str, order: str, draws: int = 200, seed: int = 0, shuffle: Callable[[Column, Column], Column] | None = None, bits: int = 64) -> DataFrame:
+    """The R2 of y permuted against fixed predictions, for each draw. Each draw pairs places by key (a long) with places by
+    a hash of it, of so many `bits`; both orders are cut into ranges, so no task holds a draw."""
     mix = shuffle or (lambda k, draw: F.xxhash64(k, draw, F.lit(seed)))
-    rows = predicted.select(F.col(order).alias("_k"), F.col(y).alias("_y"), F.col(prediction).alias("_p")).crossJoin(F.broadcast(predicted.sparkSession.range(draws).withColumnRenamed("id", "draw")))
-    by_key = rows.withColumn("i", F.row_number().over(Window.partitionBy("draw").orderBy("_k"))).select("draw", "i", "_p")
-    mixed = rows.withColumn("i", F.row_number().over(Window.partitionBy("draw").orderBy(mix(F.col("_k"), F.col("draw")), "_k"))).select("draw", "i", "_y")
-    return r2(by_key.join(mixed, ["draw", "i"]), "_y", F.col("_p"), ["draw"])
+    rows = predicted.select(F.col(order).alias("_k"), F.col(y).alias("_y"), F.col(prediction).alias("_p"))
+    span = rows.agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))  # one row
+    wide = rows.crossJoin(F.broadcast(span))
+    share = F.floor((F.col("_k") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1) * (1 << RANGES))
+    by_key = placed(wide, [], share, [F.col("_k")]).select("i", "_p")
+    drawn = rows.crossJoin(F.broadcast(predicted.sparkSession.range(draws).withColumnRenamed("id", "draw"))).withColumn("_m", mix(F.col("_k"), F.col("draw")))
+    mixed = placed(drawn, ["draw"], F.shiftright("_m", bits - RANGES), [F.col("_m"), F.col("_k")]).select("draw", "i", "_y")
+    return r2(mixed.join(by_key, "i"), "_y", F.col("_p"), ["draw"])
 
 
 def null_summary(nulls: DataFrame) -> DataFrame:
     return nulls.agg(F.count("*").alias("draws"), F.percentile("r2", 0.95).alias("null_p95"), F.avg("r2").alias("null_mean"))
 
 
-def trailing(df: DataFrame, keys: list[str], size: int = 8) -> DataFrame:
-    """The `size` rows before each row of its run, of (t, p) standardised over the run; rows with fewer go."""
+def trailing(df: DataFrame, keys: list[str], size: int = 8, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """`window`: the `size` rows before each row of its run, oldest first, as arrays of the columns standardised over the
+    whole run; rows with fewer go."""
     run = Window.partitionBy(*keys, "run_id")
     z = lambda c: F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(run), F.stddev_pop(c).over(run)), F.lit(0.0))
     w = run.orderBy("idx").rowsBetween(-size, -1)
-    return df.withColumn("zt", z("t")).withColumn("zp", z("p")).withColumn("window", F.collect_list(F.struct("zt", "zp")).over(w)).where(F.size("window") == size)
+    return df.withColumn("_z", F.array(*[z(c) for c in columns])).withColumn("window", F.collect_list("_z").over(w)).where(F.size("window") == size).drop("_z")
+
+
+def adam(params: list[np.ndarray], rate: float, decay: float = 0.0):
+    """A step of the optimiser: takes gradients, changes params in place."""
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    count = 0
+
+    def step(gradients):
+        nonlocal count
+        count += 1
+        for p, g, m, v in zip(params, gradients, first, second, strict=True):
+            g = g + decay * p
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.999**count)) + 1e-8)
+
+    return step
 
 
 def _mlp(hidden: int, epochs: int, decay: float, rate: float, inputs: list[str], y: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(0)
-        train = pdf[~pdf["is_test"]]
-        x, t = train[inputs].to_numpy(float), train[y].to_numpy(float)
+        x, t = pdf[inputs].to_numpy(float), pdf[y].to_numpy(float)
         mx, sx, mt, st = x.mean(0), x.std(0) + 1e-9, t.mean(), t.std() + 1e-9
-        w1, b1, w2, b2 = rng.normal(0, 0.3, (len(inputs), hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), 0.0
-        state = [[np.zeros_like(np.asarray(p, float)), np.zeros_like(np.asarray(p, float))] for p in (w1, b1, w2, b2)]
-        params, step = [w1, b1, w2, np.asarray(b2)], 0
-        zx, zt = (x - mx) / sx, (t - mt) / st
+        params = [rng.normal(0, 0.3, (len(inputs), hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.zeros(1)]
+        step, zx, zt = adam(params, rate, decay), (x - mx) / sx, (t - mt) / st
         for _ in range(epochs):
             for rows in np.array_split(rng.permutation(len(zx)), max(1, len(zx) // 512)):
                 h = np.tanh(zx[rows] @ params[0] + params[1])
                 e = (h @ params[2] + params[3] - zt[rows]) * (2 / len(rows))
                 back = np.outer(e, params[2]) * (1 - h * h)
-                step += 1
-                for k, g in enumerate((zx[rows].T @ back, back.sum(0), h.T @ e, e.sum())):
-                    g = g + decay * params[k]
-                    m, v = state[k]
-                    m[...] = 0.9 * m + 0.1 * g
-                    v[...] = 0.999 * v + 0.001 * g * g
-                    params[k] = params[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        test = pdf[pdf["is_test"]]
-        hidden_out = np.tanh(((test[inputs].to_numpy(float) - mx) / sx) @ params[0] + params[1])
-        return test.assign(prediction=(hidden_out @ params[2] + params[3]) * st + mt)[["unit", y, "prediction"]]
+                step((zx[rows].T @ back, back.sum(0), h.T @ e, e.sum(keepdims=True)))
+        w1, b1, w2, b2 = params
+        layer = w1 / sx[:, None]
+        return pd.DataFrame({"layer": [layer.T.tolist()], "bias": [(b1 - mx @ layer).tolist()], "out": [(w2 * st).tolist()], "shift": [float(b2[0] * st + mt)]})
 
     return run
 
 
-def neural_residual(rows: DataFrame, inputs: list[str], y: str = "r", hidden: int = 16, epochs: int = 6, decay: float = 1e-2, rate: float = 3e-3) -> DataFrame:
-    """A small tanh network fitted on the capped training rows of each group `grp` and applied to its test rows."""
-    ship(rows.sparkSession)
-    return rows.groupBy("grp").applyInPandas(_mlp(hidden, epochs, decay, rate, inputs, y), f"unit long, {y} double, prediction double")
-
+def neural_residual(train: DataFrame, test: DataFrame, inputs: list[str], y: str = "r", hidden: int = 16, epochs: int = 6, decay: float = 1e-2, rate: float = 3e-3, train_rows: int = 150_000) -> DataFrame:
+    """test with `prediction`, by a small tanh network fitted on at most `train_rows` rows by hash in one task. The weights
+    are one row; every row of test is scored, where it lies."""
+    ship(train.sparkSession)
+    rows = capped(train, F.xxhash64(*inputs, y), train_rows).select(*[F.col(c).cast("double").alias(c) for c in (*inputs, y)]).withColumn("_g", F.lit(0))
+    fit = rows.groupBy("_g").applyInPandas(lambda pdf: _mlp(hidden, epochs, decay, rate, inputs, y)(pdf), "layer array<array<double>>, bias array<double>, out array<double>, shift double")
+    x = F.array(*[F.col(c).cast("double") for c in inputs])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
+    units = F.zip_with("layer", "bias", lambda w, b: F.tanh(dot(w, x) + b))
+    return test.crossJoin(F.broadcast(fit)).withColumn("prediction", dot(units, F.col("out")) + F.col("shift")).drop("layer", "bias", "out", "shift")
+
+
+class Recurrent:
+    """An LSTM of one layer over windows (rows, steps, inputs), and a linear output."""
+
+    def __init__(self, inputs: int, hidden: int, rng: np.random.Generator):
+        bound = 1 / np.sqrt(hidden)
+        self.hidden = hidden
+        self.params = [rng.uniform(-bound, bound, s) for s in ((inputs, 4 * hidden), (hidden, 4 * hidden), (4 * hidden,), (hidden,), (1,))]
+
+    def forward(self, x: np.ndarray):
+        wx, wh, b, out, shift = self.params
+        h = c = np.zeros((len(x), self.hidden))
+        trace = []
+        for k in range(x.shape[1]):
+            i, f, o, g = np.split(x[:, k] @ wx + h @ wh + b, 4, axis=1)
+            i, f, o, g = *(1 / (1 + np.exp(-v)) for v in (i, f, o)), np.tanh(g)
+            before, c_before = h, c
+            c = f * c + i * g
+            h = o * np.tanh(c)
+            trace.append((i, f, o, g, before, c_before, c))
+        return h @ out + shift[0], h, trace
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean squared error."""
+        wx, wh, _, out, _ = self.params
+        p, h, trace = self.forward(x)
+        e = 2 * (p - y) / len(y)
+        dh, dc = np.outer(e, out), 0.0
+        gx, gh, gb = np.zeros_like(wx), np.zeros_like(wh), np.zeros_like(self.params[2])
+        for k in range(len(trace) - 1, -1, -1):
+            i, f, o, g, before, c_before, c = trace[k]
+            tc = np.tanh(c)
+            dc = dc + dh * o * (1 - tc * tc)
+            d = np.concatenate([dc * g * i * (1 - i), dc * c_before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
+            gx += x[:, k].T @ d
+            gh += before.T @ d
+            gb += d.sum(0)
+            dh, dc = d @ wh.T, dc * f
+        return [gx, gh, gb, h.T @ e, e.sum(keepdims=True)]
+
+
+def recurrent_residual(windows: DataFrame, y: str = "r", hidden: int = 16, epochs: int = 6, rate: float = 1e-2, batch: int = 8192, train_rows: int = 150_000, least: tuple[int, int] = (500, 200)) -> DataFrame:
+    """The test rows of trailing() windows (with is_test) and `prediction`, by an LSTM fitted on at most `train_rows`
+    training rows by hash in one task; null where there are fewer than `least` training or test rows. The weights are one
+    row; every test row is scored where it lies."""
+    ship(windows.sparkSession)
+    train, test = windows.where("not is_test"), windows.where("is_test")
+    counts = windows.agg(F.count_if(~F.col("is_test")), F.count_if("is_test")).first()
+    if counts[0] < least[0] or counts[1] < least[1]:
+        return test.withColumn("prediction", F.lit(None).cast("double"))
+    rows = capped(train, F.xxhash64("window", y), train_rows).select("window", F.col(y).cast("double").alias("y")).withColumn("_g", F.lit(0))
+    stack = lambda column: np.array([[list(r) for r in w] for w in column], float)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(0)
+        x, t = stack(pdf["window"]), pdf["y"].to_numpy(float)
+        net = Recurrent(x.shape[2], hidden, rng)
+        step = adam(net.params, rate)
+        for _ in range(epochs):
+            order = rng.permutation(len(x))
+            for a in range(0, len(x), batch):
+                own = order[a : a + batch]
+                step(net.gradients(x[own], t[own]))
+        return pd.DataFrame({"weights": [[p.ravel().tolist() for p in net.params]]})
+
+    weights = rows.groupBy("_g").applyInPandas(fit, "weights array<array<double>>")
+
+    @F.pandas_udf("double")
+    def predict(window: pd.Series, weights: pd.Series) -> pd.Series:
+        if not len(window):
+            return pd.Series([], dtype=float)
+        x = stack(window)
+        net = Recurrent(x.shape[2], hidden, np.random.default_rng(0))
+        net.params = [np.array(w, float).reshape(p.shape) for w, p in zip(weights.iloc[0], net.params, strict=True)]
+        return pd.Series(net.forward(x)[0])
+
+    return test.crossJoin(F.broadcast(weights)).withColumn("prediction", predict("window", "weights")).drop("weights")

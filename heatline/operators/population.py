@@ -33,10 +33,39 @@ def pairing(pairs: DataFrame) -> DataFrame:
 
 
 def paired(units: DataFrame, keys: list[str], condition: str, column: str, reference: str = "F0") -> DataFrame:
-    """Units valid in a condition and in the reference: both values and their ratio."""
-    base = units.where(F.col(condition) == reference).select(*keys, F.col(column).alias("ref"))
-    rest = units.where(F.col(condition) != reference).select(*keys, condition, F.col(column).alias("value"))
-    return rest.join(base, keys).where("value is not null and ref is not null").withColumn("ratio", ratio(F.col("value"), F.col("ref")))
+    """Units valid in a condition and in the reference: both values and their ratio. The units are read once."""
+    ref = F.max(F.when(F.col(condition) == reference, F.col(column))).over(Window.partitionBy(*keys))
+    rest = units.select(*keys, condition, F.col(column).alias("value"), ref.alias("ref")).where(F.col(condition) != reference)
+    return rest.where("value is not null and ref is not null").withColumn("ratio", ratio(F.col("value"), F.col("ref")))
+
+
+def by_condition(analytic: DataFrame, replicates: DataFrame, condition: str = "condition", reference: str = "F0") -> DataFrame:
+    """Analytic estimates (condition, unit, tau, cov, ci_width) beside bootstrap ones (condition, unit, tau of each draw):
+    medians over units of both, the ratio to the reference, and the percentage of draws without a time constant."""
+    a = analytic.where("tau is not null").groupBy(condition).agg(F.count("*").alias("units"), F.median("tau").alias("tau_point"), F.median("cov").alias("analytic_cov"), F.median("ci_width").alias("analytic_ci_width"))
+    each = replicates.groupBy(condition, "unit").agg(F.count("*").alias("draws"), F.count("tau").alias("valid"), F.median("tau").alias("tau"), F.try_divide(F.stddev_pop("tau"), F.avg("tau")).alias("cov"), (F.percentile("tau", 0.975) - F.percentile("tau", 0.025)).alias("ci_width"))
+    share = 100.0 * (1.0 - F.sum("valid") / F.sum("draws"))
+    b = each.groupBy(condition).agg(F.median("tau").alias("tau_boot"), F.median("cov").alias("boot_cov"), F.median("ci_width").alias("boot_ci_width"), share.alias("invalid_pct"))
+    both = a.join(b, condition, "left")
+    return both.withColumn("tau_ratio", ratio(F.col("tau_boot"), F.max(F.when(F.col(condition) == reference, F.col("tau_boot"))).over(Window.partitionBy(F.lit(0)))))  # a row for each condition
+
+
+def swing(ratios: DataFrame, condition: str, column: str, high: str = "F2", low: str = "F1") -> DataFrame:
+    """One row: how far the conditions move the estimate, the highest over the lowest and `high` over `low`."""
+    of = lambda c: F.max(F.when(F.col(condition) == c, F.col(column)))
+    return ratios.agg(ratio(of(high), of(low)).alias("swing"), ratio(F.max(column), F.min(column)).alias("span"))
+
+
+def unit_validity(fits: DataFrame, boots: DataFrame | None, keys: list[str], min_pairs: int = 2000, min_fits: int = 20) -> DataFrame:
+    """fits with `valid` and why not: a stable coefficient, min_pairs pairs and (where boots, a row for each unit with
+    `valid_fits`, is given) min_fits bootstrap fits. Every unit stays."""
+    rows = fits if boots is None else fits.join(boots.select(*keys, "valid_fits"), keys, "left")
+    stable = (F.col("alpha") > 0) & (F.col("alpha") < 1)
+    enough = F.col("n_pairs") >= min_pairs
+    if boots is not None:
+        enough = enough & (F.coalesce("valid_fits", F.lit(0)) >= min_fits)
+    reason = F.when(F.coalesce(F.col("n_pairs"), F.lit(0)) == 0, "no segments").when(~F.coalesce(stable, F.lit(False)), "unstable alpha").when(~enough, "below MIN_PAIRS or few boot fits")
+    return rows.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
 def ratio_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,6 +89,11 @@ def top_units(df: DataFrame, unit: str, n: int) -> DataFrame:
     return df.groupBy(unit).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), unit).limit(n).orderBy(unit)
 
 
+def top_by_files(df: DataFrame, unit: str, file: str, n: int) -> DataFrame:
+    """The n units with most distinct files, ties by name, in order of name."""
+    return df.groupBy(unit).agg(F.count_distinct(file).alias("files")).orderBy(F.desc("files"), unit).limit(n).orderBy(unit)
+
+
 def flagged_subset(units: DataFrame, subset: DataFrame, key: str) -> DataFrame:
     """Units with in_subset; the subset is named by key."""
     return units.join(subset.select(key).distinct().withColumn("_in", F.lit(True)), key, "left").withColumn("in_subset", F.coalesce("_in", F.lit(False))).drop("_in")

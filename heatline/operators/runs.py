@@ -40,6 +40,13 @@ def sockets(wide: DataFrame, keys: list[str], us: str, temp: str = "mean") -> Da
     return wide.select(*keys, us, "segment_id", F.expr(f"stack(2, {parts}) as (socket, t, p)"))
 
 
+def enumerated(wide: DataFrame, keys: list[str], us: str) -> DataFrame:
+    """Wide readings of both sockets as rows (keys, socket, condition, us, t, p), in the form that each condition reads."""
+    forms = [sockets(wide, keys, us, temp).withColumn("temp", F.lit(temp)) for temp in ("mean", "max")]
+    five = conditions(wide.sparkSession).select("condition", "temp")
+    return forms[0].unionByName(forms[1]).join(F.broadcast(five), "temp").drop("temp")
+
+
 def finite_runs(df: DataFrame, keys: list[str], us: str, temp: str, power: str, least: int = 2) -> DataFrame:
     """Rows (keys, run_id, idx, us, t, p, run_len) of the maximal stretches of finite pairs within a segment."""
     w = Window.partitionBy(*keys).orderBy(us)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import arx, clean, evaluate, monitor, population, profile, report, resample, runs
+from ..sources import shared, telemetry
 from ..streaming import rolling
 from .fixture import BASE, DT, EV, FITS, MOMENTS, PAIRS, RESID, RUNS, corr, events, hourly, rounded, seg, segmented, solve, tau, unit_fits, unit_pairs, unit_runs, with_faults
 
@@ -103,12 +103,34 @@ def fleet_inventory(spark, d):
     return profile.fleet_inventory(events(spark, d), "unit", "us", "t", 100.0, 12500.0)
 
 
-@register("column_roles", "SELECT c AS \"column\", CASE WHEN lower(c) = 'timestamp' THEN 'timestamp' WHEN lower(c) = 'hostname' THEN 'host_id' WHEN contains(lower(c), 'temp') THEN 'temperature' WHEN contains(lower(c), 'power') THEN 'power' ELSE 'other' END AS role FROM (VALUES ('timestamp'), ('hostname'), ('p0_core_temp_mean'), ('p0_power'), ('ps0_input_power'), ('n_merged'), ('gpu3_mem_temp')) AS v(c)")
+TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+NAMED = ("timestamp", "hostname", "p0_core_temp_mean", "p0_power", "ps0_input_power", "n_merged", "gpu3_mem_temp")
+ROLE = "CASE WHEN lower(c) = 'timestamp' THEN 'timestamp' WHEN lower(c) = 'hostname' THEN 'host_id' WHEN contains(lower(c), 'temp') THEN 'temperature' WHEN contains(lower(c), 'power') THEN 'power' ELSE 'other' END"
+COLUMN_NAMES = " UNION ALL ".join([*(f"SELECT '{t}' AS host, column_name AS c FROM (DESCRIBE {t})" for t in TABLES), *(f"SELECT 'telemetry', '{c}'" for c in NAMED)])
+
+
+def _column_names(spark, d):
+    """(host, columns): the columns of each table, from its footer, and the sensors' names."""
+    found = telemetry.footers(spark, d).select(F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("host"), "columns").where(F.col("host").isin(*TABLES)).distinct()
+    return found.unionByName(spark.createDataFrame([("telemetry", list(NAMED))], "host string, columns array<string>"))
+
+
+@register("column_roles", f"SELECT DISTINCT c AS \"column\", {ROLE} AS role FROM ({COLUMN_NAMES})")
 def column_roles(spark, d):
-    names = spark.createDataFrame([(c,) for c in ("timestamp", "hostname", "p0_core_temp_mean", "p0_power", "ps0_input_power", "n_merged", "gpu3_mem_temp")], "column string")
+    names = _column_names(spark, d).select(F.explode("columns").alias("column")).distinct()
     return names.withColumn("role", scalar.column_role(F.col("column")))
 
 
+@register("column_coverage", f"SELECT c AS \"column\", count(DISTINCT host) AS hosts, {ROLE} AS role FROM ({COLUMN_NAMES}) GROUP BY 1, 3")
+def column_coverage(spark, d):
+    return profile.column_coverage(_column_names(spark, d))
+
+
+@register("schema_signatures")
+def schema_signatures(spark, d):
+    return profile.schema_signatures(telemetry.footers(spark, d))
+
+
 SEGH = f"WITH {EV}, {HOURLY}, {seg('h', 'event_type', 7200)}"
 TEMPORAL = """ln AS (SELECT event_type, max(len) AS longest FROM (SELECT event_type, segment_id, count(*) AS len FROM s GROUP BY 1, 2) GROUP BY 1),
 dm AS (SELECT event_type, dt_s AS dominant_dt_s FROM (SELECT event_type, dt_s, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, dt_s) AS k FROM s WHERE dt_s <= 7200 GROUP BY 1, 2) WHERE k = 1),
@@ -168,6 +190,17 @@ def gap_segments(spark, d):
     return segmented(events(spark, d)).groupBy("unit", "segment_id").agg(F.count("*").alias("rows"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
+@register("chunked_segments", f"{BASE} SELECT unit, segment_id, count(*) AS rows, min(us) AS first_us, max(us) AS last_us, coalesce(sum(dt_s), 0)::BIGINT AS steps FROM s GROUP BY 1, 2")
+def chunked_segments(spark, d):
+    rows = clean.chunked_segments(events(spark, d), U, "us", 43_200, 3 * 86_400)
+    return rows.groupBy("unit", "segment_id").agg(F.count("*").alias("rows"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.coalesce(F.sum("dt_s"), F.lit(0).cast("long")).alias("steps"))
+
+
+@register("assumed_coolant", "SELECT event_id, CAST(round(value * 100) AS DOUBLE) AS t, 21.0::DOUBLE AS \"coolant_C_assumed\" FROM events")
+def assumed_coolant(spark, d):
+    return clean.with_coolant(events(spark, d).select("event_id", "t"))
+
+
 @register("median_gap_segments", f"WITH {EV}, g AS (SELECT *, (us - lag(us) OVER (PARTITION BY unit ORDER BY us)) / 1000000.0::DOUBLE AS dt FROM ev), m AS (SELECT unit, quantile_cont(dt, 0.5) AS med FROM g WHERE dt IS NOT NULL GROUP BY 1), s AS (SELECT g.unit, us, sum(CASE WHEN dt > 3 * med THEN 1 ELSE 0 END) OVER (PARTITION BY g.unit ORDER BY us ROWS UNBOUNDED PRECEDING) AS seg FROM g JOIN m USING (unit)) SELECT unit, CAST(seg AS BIGINT) AS seg, count(*) AS rows FROM s GROUP BY 1, 2 HAVING count(*) >= 10")
 def median_gap_segments(spark, d):
     e = events(spark, d)
@@ -266,17 +299,24 @@ def residual_corr(spark, d):
 # -- conditions and populations
 
 
+def _sweep_pairs(spark, d):
+    """Lead pairs of every unit under every condition; t in whole degrees of 100 hundredths. One pass: each reading in both
+    forms, then the conditions of its form."""
+    base = segmented(events(spark, d))
+    forms = base.withColumn("form", F.explode(F.array(F.struct(F.lit("mean").alias("temp"), F.col("t").alias("v")), F.struct(F.lit("max").alias("temp"), (F.col("t") + F.col("p")).alias("v")))))
+    long = forms.select("unit", "segment_id", "us", "p", "form.temp", "form.v")
+    found = runs.finite_runs(long, ["unit", "temp"], "us", "v", "p")
+    each = found.join(F.broadcast(runs.conditions(spark).select("condition", "temp", "quantized", "decimated", "dt")), "temp")  # five rows
+    step = F.when(F.col("decimated"), 2).otherwise(1)
+    kept = each.where(F.col("idx") % step == 0).withColumn("run_len", F.floor((F.col("run_len") + step - 1) / step)).where("run_len >= 2").withColumn("idx", F.floor(F.col("idx") / step))
+    kept = kept.withColumn("t", F.when(F.col("quantized"), scalar.quantize(F.col("t"), 100.0)).otherwise(F.col("t")))
+    return runs.lead_pairs(kept, ["condition", "unit"])
+
+
 def _sweep(spark, d):
-    """Fits of every unit under every condition; t in whole degrees of 100 hundredths."""
-    out = None
-    base = segmented(events(spark, d).withColumn("t_max", F.col("t") + F.col("p")))
-    found = {temp: runs.finite_runs(base, U, "us", column, "p") for temp, column in (("mean", "t"), ("max", "t_max"))}
-    for c in runs.CONDITIONS:
-        rows = runs.decimate(found[c.temp], U) if c.decimated else found[c.temp]
-        rows = rows.withColumn("t", scalar.quantize(F.col("t"), 100.0)) if c.quantized else rows
-        fits = arx.fit(runs.lead_pairs(rows, U), U, c.dt).select(F.lit(c.code).alias("condition"), "unit", "n_pairs", "alpha", "tau")
-        out = fits if out is None else out.unionByName(fits)
-    return out
+    """Fits of every unit under every condition."""
+    fits = arx.solved(_sweep_pairs(spark, d).groupBy("condition", "unit", "dt").agg(*arx.moments()))
+    return fits.select("condition", "unit", F.col("n").cast("long").alias("n_pairs"), "alpha", F.when((F.col("alpha") > 0) & (F.col("alpha") < 1), -F.col("dt") / F.ln("alpha")).alias("tau"))
 
 
 def _sweep_sql() -> str:
@@ -368,16 +408,24 @@ def _blocked_pairs(spark, d):
     return runs.lead_pairs(runs.with_blocks(unit_runs(spark, d), U, "us", seconds=DAY), U)
 
 
-@register("expanding_cv", f"{BLOCKS}, bm AS (SELECT unit, block, {MOMENTS} FROM blk GROUP BY 1, 2), tr AS (SELECT unit, block, row_number() OVER (PARTITION BY unit ORDER BY block) AS fold, " + ", ".join(f"sum({m}) OVER (PARTITION BY unit ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {m}" for m in arx.MOMENTS) + f" FROM bm), tr2 AS (SELECT * FROM tr WHERE fold > 1), {solve('tr2', 'unit')}, te AS (SELECT blk.unit, blk.block, fit.n AS n_train, y, t, y - (alpha*t + beta*blk.p + gamma) AS r FROM blk JOIN fit ON blk.unit = fit.unit AND blk.block = fit.block WHERE alpha IS NOT NULL) SELECT unit, block, CAST(min(n_train) AS BIGINT) AS n_train, count(*) AS n_test, round(sqrt(sum(r*r)/count(*)), 3) AS rmse, round(sum(abs(r))/count(*), 3) AS mae FROM te GROUP BY 1, 2")
+CV = f"{BLOCKS}, bm AS (SELECT unit, block, {MOMENTS} FROM blk GROUP BY 1, 2), tr AS (SELECT unit, block, row_number() OVER (PARTITION BY unit ORDER BY block) AS fold, " + ", ".join(f"sum({m}) OVER (PARTITION BY unit ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {m}" for m in arx.MOMENTS) + f" FROM bm), tr2 AS (SELECT * FROM tr WHERE fold > 1), {solve('tr2', 'unit')}, te AS (SELECT blk.unit, blk.block, fit.n AS n_train, y, t, y - (alpha*t + beta*blk.p + gamma) AS r FROM blk JOIN fit ON blk.unit = fit.unit AND blk.block = fit.block WHERE alpha IS NOT NULL), cv AS (SELECT unit, block, CAST(min(n_train) AS BIGINT) AS n_train, count(*) AS n_test, sqrt(sum(r*r)/count(*)) AS rmse, sum(abs(r))/count(*) AS mae, 1.0::DOUBLE - sum(r*r) / nullif(sum(y*y) - sum(y)*sum(y)/count(*), 0) AS r2, 1.0::DOUBLE - sum(r*r) / nullif(sum((y-t)*(y-t)) - sum(y-t)*sum(y-t)/count(*), 0) AS increment_r2 FROM te GROUP BY 1, 2)"
+
+
+@register("expanding_cv", f"{CV} SELECT unit, block, n_train, n_test, {rd('rmse', 'mae', digits=3)}, {rd('r2', 'increment_r2', digits=4)} FROM cv")
 def expanding_cv(spark, d):
     folds = evaluate.expanding_folds(_blocked_pairs(spark, d), U)
-    return folds.select("unit", "block", "n_train", "n_test", F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"))
+    return folds.select("unit", "block", "n_train", "n_test", *[F.round(c, 3).alias(c) for c in ("rmse", "mae")], *[F.round(c, 4).alias(c) for c in ("r2", "increment_r2")])
+
 
+@register("cv_summary", f"{CV} SELECT unit, count(*) AS n_folds, round(avg(increment_r2), 4) AS mean_increment_r2, round(quantile_cont(increment_r2, 0.5), 4) AS median_increment_r2 FROM cv GROUP BY 1")
+def cv_summary(spark, d):
+    return rounded(evaluate.fold_summary(evaluate.expanding_folds(_blocked_pairs(spark, d), U), U), digits=4)
 
-@register("holdout_split", f"{BLOCKS}, l AS (SELECT unit, max(block) AS last FROM blk GROUP BY 1) SELECT unit, count(*) FILTER (block <> last) AS n_train, count(*) FILTER (block = last) AS n_test FROM blk JOIN l USING (unit) GROUP BY 1")
+
+@register("holdout_split", f"{BLOCKS}, l AS (SELECT unit, max(block) AS last FROM blk GROUP BY 1), bo AS (SELECT unit, block, row_number() OVER (PARTITION BY unit ORDER BY block) AS block_no FROM (SELECT DISTINCT unit, block FROM blk)) SELECT unit, count(*) FILTER (block <> last) AS n_train, count(*) FILTER (block = last) AS n_test, max(block_no) AS blocks, CAST(sum(block_no) AS BIGINT) AS block_sum FROM blk JOIN l USING (unit) JOIN bo USING (unit, block) GROUP BY 1")
 def holdout_split(spark, d):
     marked = evaluate.last_block(_blocked_pairs(spark, d), U)
-    return marked.groupBy("unit").agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"))
+    return marked.groupBy("unit").agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"), F.max("block_no").alias("blocks"), F.sum("block_no").alias("block_sum"))
 
 
 @register("residual_features", f"{RESID}, f AS (SELECT unit, run_id, idx, p, p - lag(p) OVER w AS dp, t, lag(p) OVER w AS lag_p, lag(t) OVER w AS lag_t, round(r, 4) AS r FROM resid WHERE run_len >= 3 WINDOW w AS (PARTITION BY unit, run_id ORDER BY idx)) SELECT * FROM f WHERE lag_p IS NOT NULL")
@@ -394,53 +442,94 @@ def zero_prediction_r2(spark, d):
 LCG = "((event_id * 7919 + draw * 104729) * 48271) % 2147483647"
 
 
-@register("perm_null_lcg", f"WITH {EV}, base AS (SELECT event_id, t AS y, 50 * p + 5000 AS pred FROM ev WHERE unit % 50 = 0), r AS (SELECT event_id, y, pred, draw FROM base CROSS JOIN (SELECT unnest(range(20)) AS draw)), a AS (SELECT draw, pred, row_number() OVER (PARTITION BY draw ORDER BY event_id) AS i FROM r), b AS (SELECT draw, y, row_number() OVER (PARTITION BY draw ORDER BY {LCG}, event_id) AS i FROM r) SELECT draw, count(*) AS n, round(1.0::DOUBLE - sum((y-pred)*(y-pred)) / nullif(sum(y*y) - sum(y)*sum(y)/count(*), 0), 6) AS r2 FROM a JOIN b USING (draw, i) GROUP BY 1")
+@register("perm_null_lcg", f"WITH {EV}, base AS (SELECT event_id, t AS y, 50 * p + 5000 AS pred FROM ev), r AS (SELECT event_id, y, pred, draw FROM base CROSS JOIN (SELECT unnest(range(200)) AS draw)), a AS (SELECT draw, pred, row_number() OVER (PARTITION BY draw ORDER BY event_id) AS i FROM r), b AS (SELECT draw, y, row_number() OVER (PARTITION BY draw ORDER BY {LCG}, event_id) AS i FROM r) SELECT draw, count(*) AS n, round(1.0::DOUBLE - sum((y-pred)*(y-pred)) / nullif(sum(y*y) - sum(y)*sum(y)/count(*), 0), 6) AS r2 FROM a JOIN b USING (draw, i) GROUP BY 1")
 def perm_null_lcg(spark, d):
-    base = events(spark, d).where("unit % 50 = 0").select("event_id", F.col("t").alias("y"), (50 * F.col("p") + 5000).alias("pred"))
-    return rounded(evaluate.permutation_null(base, "y", "pred", "event_id", 20, shuffle=lambda k, draw: ((k * 7919 + draw * 104729) * 48271) % 2147483647))
+    """All events, in the operator's own number of draws."""
+    base = events(spark, d).select("event_id", F.col("t").alias("y"), (50 * F.col("p") + 5000).alias("pred"))
+    return rounded(evaluate.permutation_null(base, "y", "pred", "event_id", shuffle=lambda k, draw: ((k * 7919 + draw * 104729) * 48271) % 2147483647, bits=31))
 
 
 @register("perm_null")
 def perm_null(spark, d):
-    """All events and the operator's own number of draws; perm_null_lcg is the subset that DuckDB can follow."""
+    """The same by a hash, which SQL elsewhere doesn't have."""
     base = events(spark, d).select("event_id", F.col("t").alias("y"), (50 * F.col("p") + 5000).alias("pred"))
     return rounded(evaluate.permutation_null(base, "y", "pred", "event_id"))
 
 
+@register("perm_null_summary", f"WITH pn AS ({ORACLE_SQL['perm_null_lcg']}) SELECT count(*) AS draws, round(quantile_cont(r2, 0.95), 5) AS null_p95, round(avg(r2), 5) AS null_mean FROM pn")
+def perm_null_summary(spark, d):
+    return rounded(evaluate.null_summary(perm_null_lcg(spark, d)), digits=5)
+
+
 def _residual_rows(spark, d):
     pairs = _blocked_pairs(spark, d)
     rows = evaluate.features(arx.residuals(pairs, arx.fit(pairs, U, DT), U).where("r is not null"), U)
     return evaluate.last_block(rows, [])
 
 
-def _modelled(spark, d, kind, **more):
+#: Rows that trees and networks are fitted on at most, by hash; every test row is scored.
+TRAIN_ROWS = 150_000
+
+
+def _split(spark, d, cap=None):
     rows = _residual_rows(spark, d)
-    key = F.concat_ws("|", "unit", "run_id", "idx")
-    train, test = evaluate.capped(rows.where("not is_test"), key, 150_000), evaluate.capped(rows.where("is_test"), key, 50_000)
-    return evaluate.r2(evaluate.residual_model(train, test, kind, **more), "r", F.col("prediction"))
+    train = rows.where("not is_test")
+    return evaluate.capped(train, F.concat_ws("|", "unit", "run_id", "idx"), cap) if cap else train, rows.where("is_test")
 
 
-@register("linear_residual")
+FEATURED = f"{BLOCKS}, bm AS (SELECT unit, {MOMENTS} FROM blk GROUP BY 1), {solve('bm', 'unit')}, rs AS (SELECT blk.*, y - (alpha*t + beta*blk.p + gamma) AS r FROM blk JOIN fit USING (unit)), fe AS (SELECT unit, run_id, idx, block, p, p - lag(p) OVER w AS dp, t, lag(p) OVER w AS lag_p, lag(t) OVER w AS lag_t, r FROM rs WHERE r IS NOT NULL AND run_len >= 3 WINDOW w AS (PARTITION BY unit, run_id ORDER BY idx)), f0 AS (SELECT unit, run_id, idx, p, dp, t, lag_p, lag_t, r, block = max(block) OVER () AS is_test FROM fe WHERE lag_p IS NOT NULL)"
+
+
+def _linear_sql() -> str:
+    """Least squares by sweeping out one feature after another: each is centred, and what earlier ones explain is taken off."""
+    names = ["p", "dp", "t", "lag_p", "lag_t"]
+    parts = ["c0 AS (SELECT " + ", ".join(f"avg({n}) AS m_{n}" for n in (*names, "r")) + " FROM f0 WHERE NOT is_test)", "z0 AS (SELECT is_test, r, " + ", ".join(f"{n} - m_{n} AS {n}" for n in names) + ", r - m_r AS e, m_r AS prediction FROM f0, c0)"]
+    for k, n in enumerate(names):
+        rest = names[k + 1 :]
+        parts.append(f"c{k + 1} AS (SELECT CASE WHEN sum({n}*{n}) > 1e-6 THEN sum({n}*e) / sum({n}*{n}) ELSE 0 END AS b_e" + "".join(f", CASE WHEN sum({n}*{n}) > 1e-6 THEN sum({n}*{m}) / sum({n}*{n}) ELSE 0 END AS b_{m}" for m in rest) + f" FROM z{k} WHERE NOT is_test)")
+        parts.append(f"z{k + 1} AS (SELECT is_test, r, e - b_e*{n} AS e, prediction + b_e*{n} AS prediction" + "".join(f", {m} - b_{m}*{n} AS {m}" for m in rest) + f" FROM z{k}, c{k + 1})")
+    return f"{FEATURED}, " + ", ".join(parts) + ", lin AS (SELECT count(*) AS n, 1.0::DOUBLE - sum((r-prediction)*(r-prediction)) / nullif(sum(r*r) - sum(r)*sum(r)/count(*), 0) AS r2 FROM z5 WHERE is_test)"
+
+
+LINEAR = _linear_sql()
+
+
+@register("linear_residual", f"{LINEAR} SELECT n, round(r2, 5) AS r2 FROM lin")
 def linear_residual(spark, d):
-    return rounded(_modelled(spark, d, "linear"))
+    return rounded(evaluate.r2(evaluate.residual_model(*_split(spark, d), "linear"), "r", F.col("prediction")), digits=5)
 
 
 @register("gbt_residual")
 def gbt_residual(spark, d):
-    return rounded(_modelled(spark, d, "trees"))
+    return rounded(evaluate.r2(evaluate.residual_model(*_split(spark, d, TRAIN_ROWS), "trees"), "r", F.col("prediction")))
 
 
 @register("neural_residual")
 def neural_residual(spark, d):
-    rows = _residual_rows(spark, d).withColumn("grp", F.lit(0).cast("long"))
-    rows = evaluate.capped(rows, F.concat_ws("|", "unit", "run_id", "idx"), 200_000)
-    return rounded(evaluate.r2(evaluate.neural_residual(rows, list(evaluate.FEATURES)), "r", F.col("prediction")))
+    return rounded(evaluate.r2(evaluate.neural_residual(*_split(spark, d), list(evaluate.FEATURES), train_rows=TRAIN_ROWS), "r", F.col("prediction")))
 
 
-@register("sequence_windows", f"{RUNS}, w AS (SELECT unit, run_id, idx, count(*) OVER (PARTITION BY unit, run_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS size FROM runs) SELECT unit, run_id, idx, size FROM w WHERE size = 4")
+WIDE = 30 * 86_400
+
+
+def _windows(spark, d):
+    pairs = runs.lead_pairs(runs.with_blocks(unit_runs(spark, d, WIDE), U, "us", seconds=DAY), U)
+    rows = evaluate.features(arx.residuals(pairs, arx.fit(pairs, U, DT), U).where("r is not null"), U)
+    # all runs begin in the first block here, so whole units are held out
+    return evaluate.trailing(rows.withColumn("is_test", F.col("unit") % 5 == 0), U)
+
+
+@register("sequence_windows", f"WITH {EV}, {seg(gap_s=WIDE)}, {RUNS[len(BASE) + 2 :]}, {PAIRS[len(RUNS) + 2 :]}, fe AS (SELECT unit, run_id, idx, p, p - lag(p) OVER w AS dp, t, lag(p) OVER w AS lag_p, lag(t) OVER w AS lag_t FROM pairs WHERE run_len >= 3 WINDOW w AS (PARTITION BY unit, run_id ORDER BY idx)), fz AS (SELECT unit, run_id, idx, " + ", ".join(f"coalesce(({n} - avg({n}) OVER r) / nullif(stddev_pop({n}) OVER r, 0), 0) AS {n}" for n in ("p", "dp", "t", "lag_p", "lag_t")) + " FROM fe WHERE lag_p IS NOT NULL WINDOW r AS (PARTITION BY unit, run_id)), fl AS (SELECT unit, run_id, idx, " + ", ".join(f"list({n}) OVER w AS {n}" for n in ("p", "dp", "t", "lag_p", "lag_t")) + " FROM fz WINDOW w AS (PARTITION BY unit, run_id ORDER BY idx ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)) SELECT unit, run_id, idx, " + ", ".join(f"round(list_sum(list_transform(range(1, 9), lambda k: k * {n}[k])), 5) + 0.0::DOUBLE AS {n}" for n in ("p", "dp", "t", "lag_p", "lag_t")) + " FROM fl WHERE len(p) = 8")
 def sequence_windows(spark, d):
-    w = evaluate.trailing(unit_runs(spark, d), U, 4)
-    return w.select("unit", "run_id", "idx", F.size("window").cast("long").alias("size"))
+    """Of each window, the sum of its standardised values weighted by their place, for each feature."""
+    w = _windows(spark, d)
+    total = lambda k: F.aggregate(F.transform("window", lambda x, i: (i + 1) * x[k]), F.lit(0.0), lambda acc, x: acc + x)
+    return w.select("unit", "run_id", "idx", *[(F.round(total(k), 5) + 0.0).alias(n) for k, n in enumerate(evaluate.FEATURES)])  # no negative zeros
+
+
+@register("recurrent_residual")
+def recurrent_residual(spark, d):
+    return rounded(evaluate.r2(evaluate.recurrent_residual(_windows(spark, d)), "r", F.col("prediction")))
 
 
 # -- bootstraps
@@ -456,22 +545,20 @@ def block_bootstrap_lcg(spark, d):
     return rounded(resample.lcg_blocks(unit_pairs(spark, d), U, "unit", 4, 12, 10))
 
 
-def _rho(a, b):
-    import numpy as np
-
-    x, y = a.argsort().argsort(), b.argsort().argsort()
-    return float(np.corrcoef(x, y)[0, 1])
-
-
 @register("paired_bootstrap")
 def paired_bootstrap(spark, d):
     pairs = population.paired(_sweep(spark, d).where("condition in ('F0', 'F1')"), U, "condition", "tau")
-    return rounded(resample.paired_bootstrap(pairs, ["value", "ref"], _rho))
+    return rounded(resample.paired_bootstrap(pairs, ["value", "ref"], resample.rank_correlation))
 
 
-# -- monitor
+@register("paired_bootstrap_lcg", f"{PAIRED}, un AS (SELECT value, ref, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS places FROM pr WHERE condition = 'F1'), dr AS (SELECT draw, ((place * 7919 + draw * 104729 + 12345) * 48271 % 2147483647) % places AS place FROM un CROSS JOIN (SELECT unnest(range(50)) AS draw)), x AS (SELECT draw, value, ref FROM dr JOIN un USING (place)), k AS (SELECT draw, rank() OVER (PARTITION BY draw ORDER BY value) + (count(*) OVER (PARTITION BY draw, value) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY draw ORDER BY ref) + (count(*) OVER (PARTITION BY draw, ref) - 1) / 2.0::DOUBLE AS b FROM x) SELECT draw, count(*) AS n, round({corr('a', 'b')}, 6) AS rho FROM k GROUP BY 1")
+def paired_bootstrap_lcg(spark, d):
+    pairs = population.paired(_sweep(spark, d).where("condition in ('F0', 'F1')"), U, "condition", "tau")
+    drawn = resample.resampled_lcg(pairs.select("unit", "value", "ref"), U, 50)
+    return rounded(population.spearman(drawn, "value", "ref", ["draw"]))
 
-WIDE = 30 * 86_400
+
+# -- monitor
 
 
 def monitor_sql(samples: int = 8) -> str:
@@ -544,26 +631,154 @@ def session_segments(spark, d):
     return e.groupBy("unit", F.session_window("ts", f"{43_200} seconds").alias("w")).agg(F.count("*").alias("rows"), F.min("us").alias("first_us"), F.max("us").alias("last_us")).drop("w")
 
 
-@register("stream_rolling_tau")
+PART, LATE, GAP = 6 * 86_400, 12 * 86_400, 129_600
+
+
+def _stream_sql() -> str:
+    """What a stream has emitted when its rows end: windows that were full, or whose run had ended, among the rows older than LATE."""
+    rest = monitor_sql()
+    rest = rest[rest.index("o AS (SELECT *, t IS NOT NULL") :]
+    closed = ", lastseg AS (SELECT unit, min(us) AS open_us FROM (SELECT unit, us, segment_id = max(segment_id) OVER (PARTITION BY unit) AS open FROM s) WHERE open GROUP BY 1), done AS (SELECT wt.*, row_number() OVER (PARTITION BY unit ORDER BY run_id, win) AS \"window\" FROM wt JOIN lastseg USING (unit) WHERE tau IS NOT NULL AND (samples = 8 OR first_us < open_us))"
+    alerts = ", ba AS (SELECT unit, quantile_cont(tau, 0.5) AS med FROM done WHERE \"window\" <= 3 GROUP BY 1), bm2 AS (SELECT done.unit, min(med) AS med, quantile_cont(abs(tau - med), 0.5) AS mad FROM done JOIN ba ON done.unit = ba.unit WHERE \"window\" <= 3 GROUP BY 1), az AS (SELECT done.*, CASE WHEN \"window\" > 3 THEN abs(tau - med) / (1.4826 * mad + 1e-9) END AS z FROM done JOIN bm2 ON done.unit = bm2.unit), aa AS (SELECT *, coalesce(z > 1.5, false) AS alert FROM az), ai AS (SELECT *, sum(CASE WHEN alert THEN 0 ELSE 1 END) OVER (PARTITION BY unit ORDER BY \"window\" ROWS UNBOUNDED PRECEDING) AS island FROM aa), ap AS (SELECT *, alert AND sum(CASE WHEN alert THEN 1 ELSE 0 END) OVER (PARTITION BY unit, island ORDER BY \"window\" ROWS UNBOUNDED PRECEDING) >= 2 AS persisted FROM ai)"
+    return f"WITH {EV.replace('ev AS (SELECT', 'ev0 AS (SELECT', 1)}, ev AS (SELECT * FROM (SELECT *, max(us) OVER (PARTITION BY unit) AS newest FROM ev0) WHERE us <= newest - {LATE}000000), {seg(gap_s=GAP)}, {rest}{closed}{alerts}"
+
+
+STREAM = _stream_sql()
+
+
+def _streamed(spark, d):
+    """The events replayed in files of six days, every third row a file late, through a Parquet sink."""
+    e = events(spark, d).select("unit", "us", "t", "p", (F.floor(F.col("us") / (PART * 1_000_000)) + (F.col("event_id") % 3 == 0).cast("int")).alias("part"))
+    e = shared.written(e, "replay")
+    first, last = e.agg(F.min("part"), F.max("part")).first()
+    parts = [e.where(F.col("part") == k).drop("part") for k in range(first, last + 1)]  # six or so
+    folder = shared.new_path(spark, "stream")
+    job = lambda stream: rolling.count_windows(stream, 8, GAP, DT, LATE, baseline=3, threshold=1.5)
+    return rolling.replayed(parts, f"{folder}/in", job, f"{folder}/out")
+
+
+@register("stream_rolling_tau", f"{STREAM} SELECT unit, \"window\", first_us, CAST(samples AS INTEGER) AS samples, {rd('tau', 'mean_p', 'mean_t', digits=5)} FROM ap")
 def stream_rolling_tau(spark, d):
-    """Count windows of the events replayed as a stream of one micro-batch, a table of its own for each call."""
-    flat = f"{d}/events.parquet"
-    schema = spark.read.parquet(flat).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    rows = source.select(F.col("user_id").alias("unit"), scalar.micros(F.col("ts")).alias("us"), F.round(F.col("value") * 100).cast("double").alias("t"), F.get_json_object("props", "$.k").cast("double").alias("p"))
-    name = f"rolling_{uuid.uuid4().hex[:8]}"
-    query = rolling.count_windows(rows, 8, WIDE, DT).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return rounded(spark.table(name), digits=5)
+    return rounded(_streamed(spark, d).drop("z", "alert", "persisted"), digits=5)
+
+
+@register("stream_alerts", f"{STREAM} SELECT unit, \"window\", round(z, 3) AS z, alert, persisted FROM ap")
+def stream_alerts(spark, d):
+    return _streamed(spark, d).select("unit", "window", F.round("z", 3).alias("z"), "alert", "persisted")
 
 
 # -- reports
 
 
-@register("decision_gate", f"{RESID}, q AS ({METRICS}), a AS (SELECT quantile_cont(increment_r2, 0.5) AS increment_r2 FROM q) SELECT round(increment_r2, 5) AS increment_r2, 0.0::DOUBLE AS residual_r2, 0.01::DOUBLE AS tau_cov, CASE WHEN increment_r2 > 0.05 THEN 'A_OBSERVABILITY_IMPROVEMENT' ELSE 'A_TAU_IDENTIFIABILITY__B_RESIDUAL_NULL (split)' END AS gate FROM a")
+DELTA = "q2 AS (SELECT unit, sum(r * r) AS rss FROM resid GROUP BY 1), e2 AS (SELECT unit, alpha, tau, sqrt(rss / greatest(n - 3, 1) * i00) AS se_alpha FROM fits JOIN q2 USING (unit)), dl AS (SELECT unit, tau, CASE WHEN tau IS NOT NULL THEN abs(10.0::DOUBLE / (alpha * ln(CASE WHEN alpha > 0 THEN alpha END) * ln(CASE WHEN alpha > 0 THEN alpha END))) * se_alpha END AS se_tau FROM e2)"
+
+
+@register("decision_gate", f"WITH a AS (SELECT quantile_cont(increment_r2, 0.5) AS increment_r2 FROM ({CV} SELECT increment_r2 FROM cv)), b AS ({LINEAR} SELECT r2 AS residual_r2 FROM lin), c AS (SELECT quantile_cont(se_tau / tau, 0.5) AS tau_cov FROM ({RESID}, {DELTA} SELECT * FROM dl)) SELECT round(increment_r2, 4) AS increment_r2, round(residual_r2, 4) AS residual_r2, round(tau_cov, 4) AS tau_cov, CASE WHEN coalesce(tau_cov < 0.05, false) AND (coalesce(increment_r2 > 0.05, false) OR coalesce(residual_r2 > 0.02, false)) THEN 'A_OBSERVABILITY_IMPROVEMENT' WHEN coalesce(tau_cov < 0.05, false) THEN 'A_TAU_IDENTIFIABILITY__B_RESIDUAL_NULL (split)' WHEN NOT (coalesce(increment_r2 > 0.05, false) OR coalesce(residual_r2 > 0.02, false)) THEN 'B_UNIVERSAL_NULL' ELSE 'C_INCONCLUSIVE' END AS gate FROM a, b, c")
 def decision_gate(spark, d):
-    medians = arx.metrics(_resid(spark, d), U).agg(F.median("increment_r2").alias("increment_r2")).withColumn("residual_r2", F.lit(0.0)).withColumn("tau_cov", F.lit(0.01))
-    return rounded(report.decision_gate(medians), digits=5)
+    """From the folds' increment R2, the linear residual model and the delta method's spread: one row each."""
+    folds = evaluate.expanding_folds(_blocked_pairs(spark, d), U).agg(F.median("increment_r2").alias("increment_r2"))
+    residual = evaluate.r2(evaluate.residual_model(*_split(spark, d), "linear"), "r", F.col("prediction")).select(F.col("r2").alias("residual_r2"))
+    pairs = unit_pairs(spark, d)
+    cov = arx.uncertainty(pairs, arx.fit(pairs, U, DT), U, DT).agg(F.median("cov").alias("tau_cov"))
+    return rounded(report.decision_gate(folds.crossJoin(residual).crossJoin(cov)), digits=4)
+
+
+FIDELITY = f"{SWEEP}, " + ", ".join(f"{c.code.lower()}q AS (SELECT unit, sum((y - (alpha*t + beta*p + gamma)) * (y - (alpha*t + beta*p + gamma))) AS rss FROM {c.code.lower()}p JOIN {c.code.lower()} USING (unit) GROUP BY 1), {c.code.lower()}a AS (SELECT '{c.code}' AS condition, unit, n, alpha, {tau('alpha', c.dt)} AS tau, {c.dt}::DOUBLE AS dt, rss, i00 FROM {c.code.lower()} JOIN {c.code.lower()}q USING (unit))" for c in runs.CONDITIONS) + ", an0 AS (" + " UNION ALL ".join(f"SELECT * FROM {c.code.lower()}a" for c in runs.CONDITIONS) + "), an AS (SELECT condition, unit, tau, abs(dt / (alpha * ln(alpha) * ln(alpha))) * sqrt(rss / greatest(n - 3, 1) * i00) AS se FROM an0 WHERE tau IS NOT NULL)"
+
+
+def _analytic(spark, d):
+    """(condition, unit, tau, cov, ci_width) by the delta method, for every condition in one pass of fits and one of residuals."""
+    pairs = _sweep_pairs(spark, d)
+    keys = ["condition", "unit"]
+    fits = arx.solved(pairs.groupBy(*keys, "dt").agg(*arx.moments())).where("alpha > 0 and alpha < 1").withColumn("tau", -F.col("dt") / F.ln("alpha"))
+    rss = arx.residuals(pairs.drop("dt"), fits, keys).groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("rss"))
+    a = F.col("alpha")
+    se = F.abs(F.col("dt") / (a * F.ln(a) * F.ln(a))) * F.sqrt(F.col("rss") / F.greatest(F.col("n") - 3, F.lit(1.0)) * F.col("i00"))
+    return fits.join(rss, keys).select(*keys, "tau", F.try_divide(se, F.col("tau")).alias("cov"), (2 * 1.96 * se).alias("ci_width"))
+
+
+def _replicates(spark, d):
+    """(condition, unit, tau) of leave-one-block-out refits: sums of moments less those of one of eight interleaved blocks."""
+    pairs = _sweep_pairs(spark, d)
+    keys = ["condition", "unit"]
+    by = pairs.groupBy(*keys, "dt", (F.floor(F.col("idx") / 4) % 8).alias("left_out")).agg(*arx.moments())
+    w = Window.partitionBy(*keys)
+    rest = by.select(*keys, "dt", "left_out", *[(F.sum(m).over(w) - F.col(m)).alias(m) for m in arx.MOMENTS])
+    return arx.solved(rest).select(*keys, F.when((F.col("alpha") > 0) & (F.col("alpha") < 1), -F.col("dt") / F.ln("alpha")).alias("tau"))
+
+
+def _replicates_sql() -> str:
+    parts = []
+    for c in runs.CONDITIONS:
+        k = c.code.lower()
+        parts.append(f"{k}b AS (SELECT unit, ((row_number() OVER (PARTITION BY unit, segment_id ORDER BY us) - 1) // 4) % 8 AS left_out, t, p, y FROM {k}p), {k}g AS (SELECT unit, left_out, {MOMENTS} FROM {k}b GROUP BY 1, 2), {k}h AS (SELECT unit, left_out, " + ", ".join(f"sum({m}) OVER (PARTITION BY unit) - {m} AS {m}" for m in arx.MOMENTS) + f" FROM {k}g), {solve(k + 'h', 'unit', k + 'j')}")
+    union = " UNION ALL ".join(f"SELECT '{c.code}' AS condition, unit, {tau('alpha', c.dt)} AS tau FROM {c.code.lower()}j" for c in runs.CONDITIONS)
+    return ", ".join(parts) + f", rp AS ({union})"
+
+
+@register("fidelity_by_condition", f"{FIDELITY}, {_replicates_sql()}, a1 AS (SELECT condition, count(*) AS units, quantile_cont(tau, 0.5) AS tau_point, quantile_cont(se / tau, 0.5) AS analytic_cov, quantile_cont(2 * 1.96 * se, 0.5) AS analytic_ci_width FROM an GROUP BY 1), b0 AS (SELECT condition, unit, count(*) AS draws, count(tau) AS valid, quantile_cont(tau, 0.5) AS tau, stddev_pop(tau) / avg(tau) AS cov, quantile_cont(tau, 0.975) - quantile_cont(tau, 0.025) AS ci_width FROM rp GROUP BY 1, 2), b1 AS (SELECT condition, quantile_cont(tau, 0.5) AS tau_boot, quantile_cont(cov, 0.5) AS boot_cov, quantile_cont(ci_width, 0.5) AS boot_ci_width, 100.0::DOUBLE * (1.0::DOUBLE - sum(valid) / sum(draws)::DOUBLE) AS invalid_pct FROM b0 GROUP BY 1), ab AS (SELECT *, tau_boot / max(CASE WHEN condition = 'F0' THEN tau_boot END) OVER () AS tau_ratio FROM a1 LEFT JOIN b1 USING (condition)) SELECT condition, units, {rd('tau_point', 'analytic_cov', 'analytic_ci_width', 'tau_boot', 'boot_cov', 'boot_ci_width', 'invalid_pct', 'tau_ratio', digits=4)} FROM ab")
+def fidelity_by_condition(spark, d):
+    """Analytic beside resampled estimates of each condition."""
+    return rounded(population.by_condition(_analytic(spark, d), _replicates(spark, d)), digits=4)
+
+
+@register("fidelity_swing", f"{SWEEP}, m2 AS (SELECT condition, quantile_cont(tau, 0.5) AS med FROM sweep GROUP BY 1) SELECT round(max(CASE WHEN condition = 'F2' THEN med END) / max(CASE WHEN condition = 'F1' THEN med END), 6) AS swing, round(max(med) / min(med), 6) AS span FROM m2")
+def fidelity_swing(spark, d):
+    return rounded(population.swing(_sweep(spark, d).groupBy("condition").agg(F.median("tau").alias("med")), "condition", "med"))
+
+
+@register("unit_validity", f"{FITS} SELECT unit, CAST(n AS BIGINT) AS n_pairs, round(tau, 6) AS tau, coalesce(alpha > 0 AND alpha < 1, false) AND n >= 40 AS valid, CASE WHEN NOT coalesce(alpha > 0 AND alpha < 1, false) THEN 'unstable alpha' WHEN n < 40 THEN 'below MIN_PAIRS or few boot fits' END AS reason FROM fits")
+def unit_validity(spark, d):
+    """With 40 pairs where the study asks for 2000, as units here have fewer than 100."""
+    return population.unit_validity(unit_fits(spark, d), None, U, min_pairs=40).select("unit", "n_pairs", F.round("tau", 6).alias("tau"), "valid", "reason")
+
+
+@register("top_by_files", "SELECT user_id AS unit, count(DISTINCT CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT)) AS files FROM events GROUP BY 1 ORDER BY files DESC, unit LIMIT 10")
+def top_by_files(spark, d):
+    """Units by daily files, one for each day with readings."""
+    return population.top_by_files(events(spark, d).withColumn("file", F.floor(F.col("us") / 86_400_000_000)), "unit", "file", 10)
+
+
+@register("socket_conditions", "SELECT host, socket, condition, count(*) AS rows, sum(t) AS t FROM (SELECT user_id // 2 AS host, CAST(round(value * 100) AS DOUBLE) AS a, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS DOUBLE) AS b FROM events) CROSS JOIN (VALUES ('F0', 'mean'), ('F1', 'mean'), ('F2', 'mean'), ('F3', 'max'), ('F4', 'max')) AS c(condition, temp) CROSS JOIN LATERAL (VALUES (0, CASE WHEN temp = 'mean' THEN a ELSE a + b END), (1, CASE WHEN temp = 'mean' THEN b ELSE b + 1 END)) AS x(socket, t) GROUP BY 1, 2, 3")
+def socket_conditions(spark, d):
+    """Every host, socket and condition: readings of both sockets as long rows, in the form that each condition reads."""
+    e = events(spark, d).withColumn("host", F.expr("unit div 2")).withColumn("segment_id", F.lit(0).cast("long"))
+    wide = e.select("host", "us", "segment_id", F.col("t").alias("p0_core_temp_mean"), (F.col("t") + F.col("p")).alias("p0_core_temp_max"), F.col("p").alias("p1_core_temp_mean"), (F.col("p") + 1).alias("p1_core_temp_max"), F.lit(0.0).alias("p0_power"), F.lit(0.0).alias("p1_power"))
+    return runs.enumerated(wide, ["host"], "us").groupBy("host", "socket", "condition").agg(F.count("*").alias("rows"), F.sum("t").alias("t"))
+
+
+MEASURED = f"""me AS (
+  SELECT 'tau_point_' || condition AS metric, quantile_cont(tau, 0.5) AS value FROM ({SWEEP} SELECT condition, tau FROM sweep) GROUP BY condition
+  UNION ALL SELECT 'tau_ratio_' || condition, med / max(CASE WHEN condition = 'F0' THEN med END) OVER () FROM (SELECT condition, quantile_cont(tau, 0.5) AS med FROM ({SWEEP} SELECT condition, tau FROM sweep) GROUP BY 1)
+  UNION ALL SELECT 'fleet_' || k, v FROM (UNPIVOT (SELECT count(tau)::DOUBLE AS n_valid, quantile_cont(tau, 0.5) AS median, avg(tau) AS mean, stddev_pop(tau) AS std, quantile_cont(tau, 0.05) AS p05, quantile_cont(tau, 0.95) AS p95, min(tau) AS "min", max(tau) AS "max" FROM ({FITS} SELECT tau FROM fits)) ON COLUMNS(*) INTO NAME k VALUE v)
+)"""
+CHECKS = "ck AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" for x in row) + ")" for row in report.study_spec()) + ") AS v(chk, metric, kind, want, other, factor, tolerance))"
+
+
+def _measured(spark, d):
+    """(metric, value) of what the events have of a study's numbers."""
+    med = _sweep(spark, d).groupBy("condition").agg(F.median("tau").alias("med"))
+    point = med.select(F.concat(F.lit("tau_point_"), "condition").alias("metric"), F.col("med").alias("value"))
+    ratio = med.select(F.concat(F.lit("tau_ratio_"), "condition").alias("metric"), scalar.ratio(F.col("med"), F.max(F.when(F.col("condition") == "F0", F.col("med"))).over(Window.partitionBy(F.lit(0)))).alias("value"))  # five rows
+    fleet = population.summary(unit_fits(spark, d), "tau").withColumnRenamed("n", "n_valid").withColumnRenamed("p50", "median")
+    names = ["n_valid", "median", "mean", "std", "p05", "p95", "min", "max"]
+    return point.unionByName(ratio).unionByName(report.claims(fleet, names, "").select(F.concat(F.lit("fleet_"), "metric").alias("metric"), "value"))
+
+
+@register("study_validation", f"WITH {MEASURED}, {CHECKS}, pt AS (SELECT string_split(chk, '|')[1] AS \"check\", contains(chk, '|') AS one, coalesce(CASE kind WHEN 'near' THEN abs(m.value - coalesce(want, factor * o.value)) <= tolerance + 1e-12 WHEN 'at_most' THEN m.value <= coalesce(want, factor * o.value) WHEN 'at_least' THEN m.value >= coalesce(want, factor * o.value) ELSE m.value < coalesce(want, factor * o.value) END, false) AS ok FROM ck LEFT JOIN me m ON ck.metric = m.metric LEFT JOIN me o ON ck.other = o.metric) SELECT \"check\", CASE WHEN bool_or(one) THEN bool_or(ok) ELSE bool_and(ok) END AS ok, count(*) AS parts FROM pt GROUP BY 1")
+def study_validation(spark, d):
+    """The 44 checks, over what the events can tell; what they can't fails."""
+    return report.study_checks(_measured(spark, d))
+
+
+SPECS = [("tau_point_.*", "2B", "fig02", "table02", "measurement quality changes the identified time constant", "V"), ("tau_ratio_.*", "2C", "fig02", "table02", "measurement quality biases the time constant", "V"), ("fleet_.*", "2D", "fig04", "table04", "natural variation of the time constant", "V")]
+
+
+@register("claim_manifest", f"WITH {MEASURED}, sp AS (SELECT * FROM (VALUES {', '.join(str(s) for s in SPECS)}) AS v(pattern, phase, figure, \"table\", claim, classification)) SELECT metric, round(value, 6) AS value, phase, figure, \"table\", claim, classification, substr(sha256(phase), 1, 12) AS source_hash FROM me JOIN sp ON regexp_full_match(metric, pattern)")
+def claim_manifest(spark, d):
+    spec = spark.createDataFrame(SPECS, report.CLAIM)
+    sources = spec.select("phase", F.sha2("phase", 256).alias("digest"))
+    return rounded(report.claim_manifest(_measured(spark, d), spec, sources))
 
 
 @register("unpivot_manifest", f"{FITS}, q AS (SELECT count(tau)::DOUBLE AS n, round(quantile_cont(tau, 0.5), 6) AS p50, round(min(tau), 6) AS min FROM fits) SELECT metric, value, 'fit' AS phase FROM (SELECT 'n' AS metric, n AS value FROM q UNION ALL SELECT 'p50', p50 FROM q UNION ALL SELECT 'min', min FROM q)")
@@ -589,7 +804,29 @@ def conditions(spark, d):
     return runs.conditions(spark)
 
 
-@register("drift", "SELECT * FROM (VALUES ('b', '2', '3'), ('c', '4', NULL)) AS v(source, was, digest)")
+DIGEST = "sha256(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(sum(event_id) AS VARCHAR), CAST(CAST(sum(round(value * 100)) AS BIGINT) AS VARCHAR)))"
+
+
+@register("drift", f"WITH a AS (SELECT event_type AS source, {DIGEST} AS digest FROM events GROUP BY 1), b AS (SELECT event_type AS source, {DIGEST} AS was FROM events WHERE event_type <> 'error' OR event_id % 2 = 0 GROUP BY 1 UNION ALL SELECT 'gone', 'x') SELECT source, was, digest FROM b LEFT JOIN a USING (source) WHERE was IS DISTINCT FROM digest")
 def drift(spark, d):
-    now = spark.createDataFrame([("a", "1"), ("b", "3")], "source string, digest string")
-    return report.drift(now, spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "4")], "source string, digest string"))
+    """Digests of each source's readings against ones that were recorded before readings of errors were added and a source went."""
+    digest = lambda e: e.groupBy(F.col("event_type").alias("source")).agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum("event_id").cast("string"), F.sum("t").cast("long").cast("string")), 256).alias("digest"))
+    e = events(spark, d)
+    recorded = digest(e.where("event_type <> 'error' or event_id % 2 = 0")).unionByName(spark.createDataFrame([("gone", "x")], "source string, digest string"))
+    return report.drift(digest(e), recorded)
+
+
+@register("box_data", f"{FITS}, bq AS (SELECT unit % 3 AS grp, count(alpha) AS n, quantile_cont(alpha, 0.25) AS q1, quantile_cont(alpha, 0.5) AS median, quantile_cont(alpha, 0.75) AS q3 FROM fits GROUP BY 1), bi AS (SELECT bq.*, alpha, alpha BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM fits JOIN bq ON unit % 3 = grp) SELECT grp, n, {rd('q1', 'median', 'q3')}, round(min(CASE WHEN inside THEN alpha END), 6) AS low, round(max(CASE WHEN inside THEN alpha END), 6) AS high, count(*) FILTER (NOT inside) AS outliers FROM bi GROUP BY 1, 2, 3, 4, 5")
+def box_data(spark, d):
+    return rounded(report.boxes(unit_fits(spark, d).withColumn("grp", F.col("unit") % 3), "alpha", "grp"))
+
+
+@register("scatter_data", f"{SOCKETS} SELECT round(a, 6) AS x, round(b, 6) AS y, CAST(host % 2 AS VARCHAR) AS color FROM sp2")
+def scatter_data(spark, d):
+    units = unit_fits(spark, d).select(F.expr("unit div 2").alias("host"), (F.col("unit") % 2).alias("socket"), "alpha")
+    return rounded(report.scatter(population.socket_pairs(units, "host", "socket", "alpha").withColumn("c", F.col("host") % 2), "a", "b", "c"))
+
+
+@register("series_data", f"{SEGH} SELECT event_type AS kind, us::DOUBLE AS x, s2.name || ' ' || event_type AS series, s2.y AS y FROM s CROSS JOIN LATERAL (VALUES ('n_merged', n_merged::DOUBLE), ('segment_id', segment_id::DOUBLE)) AS s2(name, y)".replace("event_type AS kind, ", ""))
+def series_data(spark, d):
+    return report.series(segmented(hourly(events(spark, d), "event_type"), "event_type", 7200), "us", ["n_merged", "segment_id"], "event_type")

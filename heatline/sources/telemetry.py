@@ -40,40 +40,54 @@ def hosts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(host_of(F.col("path")).alias("host")).distinct().orderBy("host")
 
 
-def readings(spark: SparkSession, path: str, sensors=SENSORS, nanos: bool = False) -> DataFrame:
+def readings(spark: SparkSession, path: str, sensors=SENSORS, nanos: bool = False, files: bool = False) -> DataFrame:
     """host, us (microseconds) and the sensors as doubles with NaN as null. Float and double files are read alike;
-    files with nanosecond stamps need nanos (a session setting for legacy files)."""
-    if nanos:
-        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    files with nanosecond stamps need nanos (read in a session of its own, by a setting for legacy files)."""
     schema = T.StructType([T.StructField("timestamp", T.LongType() if nanos else T.TimestampType()), *[T.StructField(c, T.DoubleType()) for c in sensors]])
+    if nanos:  # the plan keeps the session it was made in, so other reads are not changed
+        spark = spark.newSession()
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     raw = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
     us = F.floor(F.col("timestamp") / 1000).cast("long") if nanos else F.unix_micros("timestamp")
-    return raw.select(host_of(F.col("_metadata.file_path")).alias("host"), us.alias("us"), *[nan_to_null(F.col(c)).alias(c) for c in sensors])
+    return raw.select(host_of(F.col("_metadata.file_path")).alias("host"), us.alias("us"), *[nan_to_null(F.col(c)).alias(c) for c in sensors], *([F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")] if files else []))
 
 
 FOOTER = "path string, host string, rows long, bytes long, columns array<string>, signature string, error string"
 
 
+#: Stores whose files PyArrow opens at any place, so that only footers are read.
+OPENED = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
+
+
 def _footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import pyarrow.parquet as pq
+    from pyarrow.fs import FileSystem
 
     for pdf in frames:
         out = []
-        for path, host, size, content in zip(pdf["path"], pdf["host"], pdf["length"], pdf["content"], strict=True):
+        for row in pdf.itertuples():
             try:
-                f = pq.ParquetFile(io.BytesIO(content))
+                if "content" in pdf.columns:
+                    f = pq.ParquetFile(io.BytesIO(row.content))
+                else:
+                    fs, at = FileSystem.from_uri(row.path if "://" in row.path or not row.path.startswith("file:") else "file://" + row.path[5:])
+                    f = pq.ParquetFile(fs.open_input_file(at))
                 names = f.schema_arrow.names
-                out.append((path, host, f.metadata.num_rows, size, names, ",".join(f"{n}:{t}" for n, t in zip(names, map(str, f.schema_arrow.types), strict=True)), None))
+                out.append((row.path, row.host, f.metadata.num_rows, row.length, names, ",".join(f"{n}:{t}" for n, t in zip(names, map(str, f.schema_arrow.types), strict=True)), None))
             except Exception as e:  # an unreadable file is a row that says so
-                out.append((path, host, None, size, [], None, str(e)[:200]))
+                out.append((row.path, row.host, None, row.length, [], None, str(e)[:200]))
         yield pd.DataFrame(out, columns=["path", "host", "rows", "bytes", "columns", "signature", "error"], dtype=object)
 
 
 def footers(spark: SparkSession, path: str) -> DataFrame:
-    """Rows, bytes, columns and types of each Parquet file, or why it can't be read."""
+    """Rows, bytes, columns and types of each Parquet file, or why it can't be read. Only footers are read where the store
+    is one of OPENED; files of other stores are read whole."""
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", host_of(F.col("path")).alias("host"), "length", "content").mapInPandas(_footers, FOOTER)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    scheme = at.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme()
+    columns = ["path", host_of(F.col("path")).alias("host"), "length", *([] if scheme in OPENED else ["content"])]
+    return files.select(*columns).mapInPandas(_footers, FOOTER)
 
 
 def _members(columns: list[str], want_rows: bool):
@@ -131,3 +145,40 @@ def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
 def document(df: DataFrame) -> str:
     """A small result as an indented JSON document."""
     return json.dumps([r.asDict(recursive=True) for r in df.collect()], indent=2, default=str)
+
+
+def write_pilot(readings: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """Parquet of some nodes, a folder and file for each."""
+    rows = readings.select("host", "us", *columns) if columns else readings
+    rows.repartition("host").sortWithinPartitions("host", "us").write.mode("overwrite").partitionBy("host").parquet(path)
+
+
+def host_manifest(cleaned: DataFrame, footers: DataFrame, audits: DataFrame, policy: str = "bin mean") -> DataFrame:
+    """A row for each host: what it was made of, how cleaning changed it, its audit and its failures, nested as documents."""
+    sources = footers.groupBy("host").agg(F.count("*").alias("n_source_files"), F.array_sort(F.collect_list(F.element_at(F.split("path", "/"), -1))).alias("source_files"), F.sum("rows").alias("rows_before"), F.array_compact(F.collect_list("error")).alias("unreadable"))
+    after = cleaned.groupBy("host").agg(F.count("*").alias("rows_after"), F.count_if(F.col("n_merged") > 1).alias("merged_bins"))
+    rows = sources.join(after, "host", "left").join(audits, "host", "left")
+    nested = [c for c in audits.columns if c != "host"]
+    return rows.select(
+        "host", F.current_timestamp().cast("string").alias("generated"), F.struct("n_source_files", "source_files").alias("provenance"),
+        F.struct(F.lit(policy).alias("policy"), "rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("removed"), "merged_bins", F.lit("double").alias("dtype_cast_to"), F.lit("none").alias("interpolation")).alias("cleaning"),
+        F.struct(*nested).alias("audit"), "unreadable",
+    )
+
+
+def write_manifests(manifests: DataFrame, path: str) -> None:
+    """JSON documents, partitioned by host."""
+    manifests.repartition("host").write.mode("overwrite").partitionBy("host").json(path)
+
+
+def checkpointed(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """df, of which rows whose keys (of the first column's partition) already stand at path are not computed again: a job
+    that stopped goes on where it was. df must be cheap to filter by its keys."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    done = None
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        done = spark.read.schema(df.schema).parquet(path)
+    rest = df if done is None else df.join(done.select(*keys).distinct(), keys, "left_anti")
+    rest.write.mode("append").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

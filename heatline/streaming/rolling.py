@@ -1,4 +1,4 @@
-"""Streaming twins: count-tumbling windows bounded by gaps, and session windows."""
+"""Streaming twins: count-tumbling windows bounded by gaps with online alerts, and session windows."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.package import ship
 
-OUT = "unit long, window long, first_us long, samples int, tau double, mean_p double, mean_t double"
-STATE = "us array<long>, t array<double>, p array<double>, windows long"
+COLUMNS = ["unit", "window", "first_us", "samples", "tau", "mean_p", "mean_t", "z", "alert", "persisted"]
+OUT = "unit long, window long, first_us long, samples int, tau double, mean_p double, mean_t double, z double, alert boolean, persisted boolean"
+STATE = "us array<long>, t array<double>, p array<double>, seen long, windows long, base array<double>, alerts long"
 
 
 def tau_of(t: np.ndarray, p: np.ndarray, dt: float) -> float | None:
@@ -26,37 +27,80 @@ def tau_of(t: np.ndarray, p: np.ndarray, dt: float) -> float | None:
     return -dt / float(np.log(alpha)) if 0 < alpha < 1 else None
 
 
-def _count_windows(samples: int, gap_s: float, dt: float):
+def windows_of(us: np.ndarray, finite: np.ndarray, samples: int, gap_s: float) -> tuple[list[tuple[int, int]], int]:
+    """(start, stop) of the windows that are closed among rows in order of time, and the row from which the open one gathers.
+    A gap or a missing value ends a run; a run's last window counts with over 0.6 of its samples once the run has ended."""
+    least = int(0.6 * samples) + 1
+    ends = (np.diff(us) // 1_000_000 > gap_s) | ~finite[1:] | ~finite[:-1]
+    cuts = [0, *((ends).nonzero()[0] + 1).tolist(), len(us)]
+    out, open_from = [], len(us)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a == b or not finite[a]:
+            continue
+        last = b == len(us)
+        full = a + (b - a) // samples * samples
+        out += [(k, k + samples) for k in range(a, full, samples)]
+        if last:
+            open_from = full
+        elif b - full >= least:
+            out.append((full, b))
+    return out, open_from
+
+
+def _count_windows(samples: int, gap_s: float, dt: float, late_s: float, baseline: int, threshold: float, persist: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else ([], [], [], 0)
-        us, t, p, windows = list(held[0]), list(held[1]), list(held[2]), held[3]
-        rows = pd.concat(list(frames)).sort_values("us")
+        held = state.get if state.exists else ([], [], [], -(1 << 62), 0, [], 0)
+        rows = pd.concat([pd.DataFrame({"us": held[0], "t": held[1], "p": held[2]}, dtype=float).astype({"us": "int64"}), *(f[["us", "t", "p"]] for f in frames)])
+        seen, windows, base, alerts = held[3], held[4], list(held[5]), held[6]
+        fresh = np.arange(len(rows)) < len(held[0])  # what waits may be as old as it likes
+        rows = rows[fresh | (rows["us"].to_numpy() >= seen)].sort_values("us", kind="stable")
+        us, t, p = rows["us"].to_numpy(np.int64), rows["t"].to_numpy(float), rows["p"].to_numpy(float)
+        ready = int(np.searchsorted(us, us[-1] - int(late_s * 1_000_000), side="right")) if len(us) else 0
+        closed, rest = windows_of(us[:ready], (np.isfinite(t) & np.isfinite(p))[:ready], samples, gap_s)
         out = []
-        for u, a, b in zip(rows["us"], rows["t"], rows["p"], strict=True):
-            if us and (int(u) - us[-1]) // 1_000_000 > gap_s:
-                us, t, p = [], [], []
-            us.append(int(u))
-            t.append(float(a))
-            p.append(float(b))
-            if len(us) == samples:
-                tau = tau_of(np.array(t), np.array(p), dt)
-                if tau is not None:
-                    windows += 1
-                    out.append((key[0], windows, us[0], samples, tau, float(np.mean(p)), float(np.mean(t))))
-                us, t, p = [], [], []
-        state.update((us, t, p, windows))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        for a, b in closed:
+            tau = tau_of(t[a:b], p[a:b], dt)
+            if tau is None:
+                continue
+            windows += 1
+            z, alert = None, False
+            if len(base) < baseline:
+                base.append(tau)
+            elif baseline:
+                med = float(np.median(base))
+                z = abs(tau - med) / (1.4826 * float(np.median(np.abs(np.array(base) - med))) + 1e-9)
+                alert = z > threshold
+                alerts = alerts + 1 if alert else 0
+            out.append((key[0], windows, int(us[a]), b - a, tau, float(p[a:b].mean()), float(t[a:b].mean()), z, alert, alert and alerts >= persist))
+        seen = max(seen, int(us[ready - 1])) if ready else seen
+        state.update((us[rest:].tolist(), t[rest:].tolist(), p[rest:].tolist(), seen, windows, base, alerts))
+        yield pd.DataFrame(out, columns=COLUMNS).astype({"z": float})
 
     return run
 
 
-def count_windows(stream: DataFrame, samples: int, gap_s: float, dt: float) -> DataFrame:
-    """Full windows of `samples` rows of each unit, emitted as they fill; a gap drops what has gathered. State: one window
-    for each unit. Rows (unit, us, t, p) must arrive in order of time within a unit from one micro-batch to the next."""
+def count_windows(stream: DataFrame, samples: int, gap_s: float, dt: float, late_s: float = 0.0, baseline: int = 0, threshold: float = 3.5, persist: int = 2) -> DataFrame:
+    """Windows of `samples` rows of each unit's runs, emitted as they close: tau, and, against the first `baseline` windows,
+    the robust z, an alert and whether it is the persist-th in a row or later (the ones before it were emitted unmarked).
+
+    Rows (unit, us, t, p) may come up to late_s out of order; older ones are dropped. State of a unit: its open window and
+    the rows of its last late_s."""
     ship(stream.sparkSession)
-    return stream.groupBy("unit").applyInPandasWithState(_count_windows(samples, gap_s, dt), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    run = _count_windows(samples, gap_s, dt, late_s, baseline, threshold, persist)
+    return stream.groupBy("unit").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def sessions(stream: DataFrame, ts: str, keys: list[str], gap_s: int = 30, late: str = "1 minute") -> DataFrame:
     """Collection segments as session windows: rows at most gap_s apart share one."""
     return stream.withWatermark(ts, late).groupBy(*keys, F.session_window(ts, f"{gap_s} seconds").alias("s")).agg(F.count("*").alias("rows"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+
+
+def replayed(batches: list[DataFrame], path: str, job, out: str) -> DataFrame:
+    """job(stream) over batches that arrive one by one as files below path; its rows go to Parquet at out, with a checkpoint beside them."""
+    spark = batches[0].sparkSession
+    for b in batches:
+        b.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = job(stream).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out)

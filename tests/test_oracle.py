@@ -8,7 +8,7 @@ import pytest
 
 from heatline.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 def canonical(rows, names):
