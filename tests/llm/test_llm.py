@@ -247,6 +247,15 @@ def test_binary_output(spark, docs):
     assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
 
 
+def test_long_and_null_texts_come_back_from_files(spark, tmp_path):
+    rows = [(1, "word " * 400_000), (2, None), (3, "x" * 1_000_000), (None, "é" * 10), (None, None)]
+    got = binary_output.round_trip(spark, spark.createDataFrame(rows, "doc_id long, text string")).orderBy("start").collect()
+    ids = ids_of([t or "" for _, t in rows], 0)
+    want = multiset((d, len(i), zlib.crc32(i.tobytes())) for (d, _), i in zip(rows, ids))
+    assert multiset((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    assert [r["doc_id"] for r in got] == [None, None, 1, 2, 3]
+
+
 def test_many_files_start_where_the_ones_before_end(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(binary_output, "TASKS", 2)
     folder = binary_output.qualified(spark, str(tmp_path / "files"))
