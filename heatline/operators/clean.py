@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import correlation_of, finite, node_hours, out_of_range, percent
+from ..sources.shared import remove, stored
+from .population import percentiles
 
 GRID_S, GAP_S, STEP_FLAG = 10, 30, 5.0
 
@@ -67,8 +69,11 @@ def with_coolant(df: DataFrame, celsius: float = COOLANT_C) -> DataFrame:
     return df.withColumn("coolant_C_assumed", F.lit(celsius))
 
 
-def clean(df: DataFrame, keys: list[str], us: str, columns: list[str], grid_s: int | None = None, gap_s: float = GAP_S) -> DataFrame:
-    """Bins with gaps and segments; one exchange serves all three."""
+def clean(df: DataFrame, keys: list[str], us: str, columns: list[str], grid_s: int | None = None, gap_s: float = GAP_S, chunk_s: int | None = None) -> DataFrame:
+    """Bins with gaps and segments; one exchange serves all three, and a key's history is one task's. With chunk_s, so long
+    a chunk of it is."""
+    if chunk_s:
+        return chunked_segments(bin_dedupe(df, keys, us, columns, grid_s), keys, us, gap_s, chunk_s)
     return with_segments(with_gaps(bin_dedupe(df, keys, us, columns, grid_s), keys, us), keys, us, gap_s)
 
 
@@ -154,6 +159,10 @@ def policy_report(bins: DataFrame, keys: list[str], grid_s: int = GRID_S) -> Dat
 
 
 def policy_totals(bins: DataFrame) -> DataFrame:
-    spread = F.when(F.col("n") > 1, F.col("spread"))
+    """One row over all keys. The spreads of merged bins are as many as readings, so their percentiles are found in passes."""
+    kept, path = stored(bins.select("n", F.when(F.col("n") > 1, F.col("spread")).alias("spread")), "policy")
+    median, high = percentiles(kept, "spread", (0.5, 0.99))
     before, after = F.sum("n"), F.count("*")
-    return bins.agg(before.alias("rows_before"), after.alias("rows_after"), (before - after).alias("removed"), percent(before - after, before).alias("pct_removed"), F.median(spread).alias("spread_median"), F.percentile(spread, 0.99).alias("spread_p99"))
+    row = kept.agg(before.alias("rows_before"), after.alias("rows_after"), (before - after).alias("removed"), percent(before - after, before).alias("pct_removed")).first()
+    remove(bins.sparkSession, path)
+    return bins.sparkSession.createDataFrame([(*row, median, high)], "rows_before long, rows_after long, removed long, pct_removed double, spread_median double, spread_p99 double")

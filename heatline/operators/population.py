@@ -17,6 +17,43 @@ def summary(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFr
     return df.groupBy(*keys).agg(*parts) if keys else df.agg(*parts)
 
 
+#: Values that one task may sort for a percentile of readings, and ranges that each pass counts.
+SORTED, RANGES = 1_000_000, 4096
+
+
+def percentiles(df: DataFrame, column: str, qs: tuple[float, ...], most: int = SORTED) -> list[float | None]:
+    """Exact percentiles (linear between neighbours) of the finite values of a column of readings, whatever their number:
+    each pass counts equal ranges within the one that holds the wanted place, until the range has few enough values or one.
+    df should be cheap to read again."""
+    values = df.select(F.col(column).cast("double").alias("v")).where(finite(F.col("v")))
+    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(qs)
+
+    def at(place: int) -> float:
+        lo, hi, skipped, count = low, high, 0, n
+        while count > most and lo < hi:
+            bucket = F.least(F.floor((F.col("v") - lo) / (hi - lo) * RANGES), F.lit(RANGES - 1))
+            rows = sorted(map(tuple, values.where(F.col("v").between(lo, hi)).groupBy(bucket.alias("b")).agg(F.count("*"), F.min("v"), F.max("v")).collect()))  # at most RANGES rows
+            for _, size, least, greatest in rows:
+                if skipped + size > place:
+                    lo, hi, count = least, greatest, size
+                    break
+                skipped += size
+        if lo == hi:
+            return lo
+        rest = values.where(F.col("v").between(lo, hi)).groupBy("v").count()
+        order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` values
+        return rest.withColumn("c", F.sum("count").over(order)).where(F.col("c") > place - skipped).agg(F.min("v")).first()[0]
+
+    out = []
+    for q in qs:
+        x = q * (n - 1)
+        a = at(int(x))
+        out.append(a if x == int(x) else a + (at(int(x) + 1) - a) * (x - int(x)))
+    return out
+
+
 def dispersion(stats: DataFrame) -> DataFrame:
     """summary() with relative spreads."""
     return stats.withColumn("cov", ratio(F.col("std"), F.col("mean"))).withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("iqr_over_median", ratio(F.col("p75") - F.col("p25"), F.col("p50"))).withColumn("p95_over_p05", ratio(F.col("p95"), F.col("p05")))

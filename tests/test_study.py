@@ -249,3 +249,13 @@ def test_shared_folder(spark, tmp_path):
     assert df.count() == 5 and path.startswith(shared.own_dir(spark))
     shared.remove(spark, path)
     assert not list((tmp_path).glob("five*"))
+
+
+@pytest.mark.parametrize("most", [1, 7, 10_000])
+def test_percentiles_in_passes_are_exact(spark, most):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.lognormal(0, 3, 500), np.full(300, 2.5), -rng.integers(0, 9, 200)]).astype(float)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    qs = (0.0, 0.05, 0.5, 0.5005, 0.99, 1.0)
+    assert population.percentiles(df, "v", qs, most) == pytest.approx(np.percentile(values, [100 * q for q in qs]).tolist())
+    assert population.percentiles(df.where("v is null"), "v", (0.5,)) == [None]
