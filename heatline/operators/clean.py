@@ -61,6 +61,16 @@ def chunked_segments(df: DataFrame, keys: list[str], us: str, gap_s: float = GAP
     return out.select(*df.columns, dt.alias("dt_s"), (F.col("_s") + F.col("_before")).alias("segment_id"))
 
 
+def median_gap_segments(df: DataFrame, keys: list[str], us: str, factor: float = 3.0, least: int = 100) -> DataFrame:
+    """Rows with `seg`: a step of over `factor` medians of the key's steps begins another; segments of fewer than `least` rows go."""
+    w = Window.partitionBy(*keys).orderBy(us)
+    stepped = df.withColumn("_dt", (F.col(us) - F.lag(us).over(w)) / 1_000_000.0)
+    median = F.median("_dt").over(Window.partitionBy(*keys))
+    opens = F.coalesce((F.col("_dt") > factor * F.col("_m")).cast("long"), F.lit(0).cast("long"))
+    marked = stepped.withColumn("_m", median).withColumn("seg", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "seg"))).where(F.col("_n") >= least).drop("_dt", "_m", "_n")
+
+
 #: Fixed value: the coolant's assumed temperature.
 COOLANT_C = 21.0
 
