@@ -12,8 +12,8 @@ what the skips save.
 
 Defined results: a null or empty text has no words and the fingerprint zero, and links like any other;
 fewer words than a shingle make one shingle; null doc_ids are grouped and named by the smallest
-other doc_id of the group (null if there is none); repeated rows are exact copies; an empty table gives
-no rows. Other columns are not read.
+other doc_id of the group (null if there is none); repeated rows are exact copies; texts of any length are
+read whole; an empty table gives no rows. Other columns are not read; the stage passes them unchanged.
 """
 
 from __future__ import annotations
