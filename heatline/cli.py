@@ -17,11 +17,15 @@ log = logging.getLogger("heatline")
 
 
 def logged(path: str | None) -> None:
-    """Messages to standard error, and to a file if one is named."""
-    handlers: list[logging.Handler] = [logging.StreamHandler(sys.stderr)]
-    if path:
-        handlers.append(logging.FileHandler(path, encoding="utf-8"))
-    logging.basicConfig(level=logging.INFO, format="[%(asctime)s] %(message)s", handlers=handlers, force=True)
+    """Messages to standard error, and to a file if one is named; a second call begins anew."""
+    for old in list(log.handlers):
+        log.removeHandler(old)
+        old.close()
+    for handler in (logging.StreamHandler(sys.stderr), *([logging.FileHandler(path, encoding="utf-8")] if path else [])):
+        handler.setFormatter(logging.Formatter("[%(asctime)s] %(message)s"))
+        log.addHandler(handler)
+    log.setLevel(logging.INFO)
+    log.propagate = False
 
 
 def chosen(readings, nodes: int):

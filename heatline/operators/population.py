@@ -93,6 +93,10 @@ def swing(ratios: DataFrame, condition: str, column: str, high: str = "F2", low:
     return ratios.agg(ratio(of(high), of(low)).alias("swing"), ratio(F.max(column), F.min(column)).alias("span"))
 
 
+#: Why a unit isn't valid.
+REASONS = ("no segments", "unstable alpha", "below MIN_PAIRS or few boot fits")
+
+
 def unit_validity(fits: DataFrame, boots: DataFrame | None, keys: list[str], min_pairs: int = 2000, min_fits: int = 20) -> DataFrame:
     """fits with `valid` and why not: a stable coefficient, min_pairs pairs and (where boots, a row for each unit with
     `valid_fits`, is given) min_fits bootstrap fits. Every unit stays."""
@@ -101,7 +105,7 @@ def unit_validity(fits: DataFrame, boots: DataFrame | None, keys: list[str], min
     enough = F.col("n_pairs") >= min_pairs
     if boots is not None:
         enough = enough & (F.coalesce("valid_fits", F.lit(0)) >= min_fits)
-    reason = F.when(F.coalesce(F.col("n_pairs"), F.lit(0)) == 0, "no segments").when(~F.coalesce(stable, F.lit(False)), "unstable alpha").when(~enough, "below MIN_PAIRS or few boot fits")
+    reason = F.when(F.coalesce(F.col("n_pairs"), F.lit(0)) == 0, REASONS[0]).when(~F.coalesce(stable, F.lit(False)), REASONS[1]).when(~enough, REASONS[2])
     return rows.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 

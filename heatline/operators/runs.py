@@ -82,6 +82,31 @@ def lead_pairs(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.withColumn("y", F.lead("t").over(Window.partitionBy(*keys, "run_id").orderBy("idx"))).where("y is not null")
 
 
+def chunked_pairs(segmented: DataFrame, keys: list[str], us: str, temp: str, power: str, chunk_s: int = 30 * 86_400) -> DataFrame:
+    """lead_pairs(finite_runs(segmented)) in chunks of time: a task sorts one key's chunk, not its history. A chunk passes on
+    a row (whether it ended in a run, how many runs began), and each run a row for each chunk that it is in."""
+    chunk = F.floor(F.col(us) / (chunk_s * 1_000_000)).alias("_chunk")
+    ok = finite(F.col(temp).cast("double")) & finite(F.col(power).cast("double"))
+    rows = segmented.select(*keys, chunk, "segment_id", us, F.col(temp).cast("double").alias("t"), F.col(power).cast("double").alias("p"), ok.alias("_ok"))
+    own, order = Window.partitionBy(*keys, "_chunk").orderBy(us), Window.partitionBy(*keys).orderBy("_chunk")
+    ends = rows.groupBy(*keys, "_chunk").agg(F.max_by(F.struct("segment_id", "_ok"), us).alias("_end"))
+    given = ends.select(*keys, "_chunk", F.lag("_end").over(order).alias("_given"))
+    before = F.coalesce(F.lag(F.struct("segment_id", "_ok")).over(own), F.col("_given"))
+    begun = rows.join(given, [*keys, "_chunk"]).withColumn("_before", before)
+    begins = F.col("_ok") & F.coalesce((F.col("segment_id") != F.col("_before.segment_id")) | ~F.col("_before._ok"), F.lit(True))
+    begun = begun.withColumn("_run", F.sum(begins.cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = begun.groupBy(*keys, "_chunk").agg(F.max("_run").alias("_runs")).select(*keys, "_chunk", F.coalesce(F.sum("_runs").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("_earlier"))
+    named = begun.where("_ok").join(earlier, [*keys, "_chunk"]).withColumn("run_id", F.col("_run") + F.col("_earlier"))
+    part = [*keys, "_chunk", "run_id"]
+    pieces = named.groupBy(*part).agg(F.count("*").alias("_n"), F.min_by("t", us).alias("_t"))
+    run = Window.partitionBy(*keys, "run_id").orderBy("_chunk")
+    lengths = F.sum("_n").over(Window.partitionBy(*keys, "run_id"))
+    pieces = pieces.select(*part, lengths.alias("run_len"), F.coalesce(F.sum("_n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("_skip"), F.lead("_t").over(run).alias("_next"))
+    inside = Window.partitionBy(*part).orderBy(us)
+    out = named.join(pieces, part).withColumn("idx", F.col("_skip") + F.row_number().over(inside) - 1).withColumn("y", F.coalesce(F.lead("t").over(inside), F.col("_next")))
+    return out.where("y is not null").select(*keys, "run_id", "idx", us, "t", "p", "run_len", "y")
+
+
 def prefix_sums(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Running sums of the nine cross products along each run, beginning with a row of zeros at idx 0."""
     w = Window.partitionBy(*keys, "run_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)

@@ -234,6 +234,13 @@ def lead_pairs(spark, d):
     return unit_pairs(spark, d).select("unit", "run_id", "idx", "t", "p", "y")
 
 
+@register("chunked_pairs", f"{PAIRS} SELECT unit, run_id, idx, t, p, run_len, y FROM pairs")
+def chunked_pairs(spark, d):
+    """The same pairs in chunks of five days."""
+    rows = clean.chunked_segments(events(spark, d), U, "us", 43_200, 5 * 86_400)
+    return runs.chunked_pairs(rows, U, "us", "t", "p", 5 * 86_400).drop("us")
+
+
 @register("prefix_sums", f"{PAIRS}, x AS (SELECT unit, run_id, idx + 1 AS idx, " + ", ".join(f"sum({e}) OVER w AS {n}" for n, e in (("tt", "t*t"), ("tp", "t*p"), ("t1", "t"), ("pp", "p*p"), ("p1", "p"), ("n", "1.0::DOUBLE"), ("ty", "t*y"), ("py", "p*y"), ("y1", "y"))) + " FROM pairs WINDOW w AS (PARTITION BY unit, run_id ORDER BY idx ROWS UNBOUNDED PRECEDING)) SELECT * FROM x UNION ALL SELECT unit, run_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM pairs WHERE idx = 0")
 def prefix_sums(spark, d):
     return runs.prefix_sums(unit_pairs(spark, d), U)

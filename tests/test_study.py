@@ -128,6 +128,19 @@ def test_chunks_of_time_give_the_same_segments(spark, chunk):
     assert key(clean.chunked_segments(rows, U, "us", 60, chunk)) == key(segmented(rows, 60))
 
 
+@pytest.mark.parametrize("chunk", [25, 70, 10_000])
+def test_chunks_of_time_give_the_same_pairs(spark, chunk):
+    rng = np.random.default_rng(6)
+    us = [int(x) * 1_000_000 for x in np.cumsum(rng.choice([10, 20, 31, 300], 300, p=[0.6, 0.3, 0.05, 0.05]))]
+    t = [float(x) if x > 0.08 else (None if x > 0.04 else float("nan")) for x in rng.random(300)]
+    rows = series(spark, t, [float(k) for k in range(300)], us).withColumn("unit", F.floor(F.col("p") / 150).cast("long"))
+    whole = segmented(rows)
+    want = runs.lead_pairs(runs.finite_runs(whole, U, "us", "t", "p"), U)
+    got = runs.chunked_pairs(clean.chunked_segments(rows, U, "us", 30, chunk), U, "us", "t", "p", chunk)
+    key = lambda df: sorted(map(tuple, df.select("unit", "run_id", "idx", "us", "t", "p", "run_len", "y").collect()))
+    assert key(got) == key(want) and len(key(want)) > 100
+
+
 def test_validity_keeps_every_unit_and_says_why(spark):
     fits = spark.createDataFrame([(1, 3000, 0.9), (2, 3000, 1.2), (3, 10, 0.9), (4, 3000, 0.9), (5, 0, None)], "unit long, n_pairs long, alpha double")
     boots = spark.createDataFrame([(1, 400), (2, 400), (3, 400), (4, 5)], "unit long, valid_fits long")
