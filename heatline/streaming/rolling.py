@@ -63,7 +63,7 @@ def _count_windows(samples: int, gap_s: float, dt: float, late_s: float, baselin
             if tau is None:
                 continue
             windows += 1
-            z, alert = None, False
+            z, alert = float("nan"), False
             if len(base) < baseline:
                 base.append(tau)
             elif baseline:
@@ -74,7 +74,8 @@ def _count_windows(samples: int, gap_s: float, dt: float, late_s: float, baselin
             out.append((key[0], windows, int(us[a]), b - a, tau, float(p[a:b].mean()), float(t[a:b].mean()), z, alert, alert and alerts >= persist))
         seen = max(seen, int(us[ready - 1])) if ready else seen
         state.update((us[rest:].tolist(), t[rest:].tolist(), p[rest:].tolist(), seen, windows, base, alerts))
-        yield pd.DataFrame(out, columns=COLUMNS).astype({"z": float})
+        if out:
+            yield pd.DataFrame(out, columns=COLUMNS)
 
     return run
 
