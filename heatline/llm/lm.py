@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -42,7 +43,9 @@ from pyspark.sql import functions as F
 from .common import batches, documents, read_table, stored
 
 CONTEXT_BITS = 40
+#: A chunk ends with the slice in which it reaches so many tokens or texts; numbers of texts fit 16 bits.
 CHUNK_TOKENS, CHUNK_DOCS = 3_000_000, 1 << 15
+SLICE_BYTES, SLICE_DOCS = 1 << 20, 1 << 12
 #: Bytes of text whose words share a bucket, and buckets at least.
 BUCKET_BYTES, BUCKETS = 16 << 20, 24
 ROUNDS, SWEEPS = 2, 2
@@ -82,6 +85,11 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
+def starts(grouped: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.append(True, grouped[1:] != grouped[:-1]).nonzero()[0] if len(grouped) else np.empty(0, np.int64)
+
+
 def edges(bits: int, parts: int) -> np.ndarray:
     """Where each of `parts` equal ranges of hashes of so many bits begins, but the first."""
     return np.array([(k << bits) // parts for k in range(1, parts)], np.uint64)
@@ -98,42 +106,50 @@ def held_out(doc_id: int | None) -> bool:
 # -- tokens
 
 
-class _Words(dict):
-    def __missing__(self, w: bytes) -> int:
-        n = self[w] = len(self)
-        return n
+def tokens_of(text: pa.Array) -> pa.ListArray:
+    """The words of each text, and its end, an empty string."""
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(text))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(text, ""), "", pc.binary_join_element_wise(text, "", " ")))
+
+
+def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about SLICE_BYTES of text each, however long one text is."""
+    for batch in it:
+        part = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False) + SLICE_BYTES // SLICE_DOCS, dtype=np.int64) // SLICE_BYTES
+        at = [*starts(part).tolist(), batch.num_rows]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield batch.slice(a, b - a)
 
 
 def _chunks(it: Iterator[pa.RecordBatch]):
     """(h, word, before, doc, size, doc_ids): the hashes of the chunk's words, rising, and of each token its place among
     them, that of the word before, and its text."""
 
-    def chunk(words: _Words, ids: list, sizes: list, doc_ids: list):
-        h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], "<u8")
+    def chunk(tokens: list, sizes: list, doc_ids: list):
+        coded = pa.chunked_array(tokens).dictionary_encode()  # one dictionary for all
+        words = coded.chunk(0).dictionary.cast(pa.binary()).to_pylist()
+        h = np.array([xxhash.xxh64_intdigest(w, 42) for w in [*words, START]], "<u8")
         order = np.argsort(h, kind="stable")
         place = np.empty(len(h), np.int64)
         place[order] = np.arange(len(h))
-        word, size = place[np.concatenate(ids)], np.array(sizes, np.int64)
+        word, size = place[np.concatenate([c.indices.to_numpy() for c in coded.chunks])], np.concatenate(sizes).astype(np.int64)
         before = np.empty_like(word)
         before[1:] = word[:-1]
-        before[np.cumsum(size) - size] = place[0]
+        before[np.cumsum(size) - size] = place[-1]
         return h[order], word, before, np.repeat(np.arange(len(size)), size), size, doc_ids
 
-    fresh = lambda: (_Words({START: 0}), [], [], [])
-    (words, ids, sizes, doc_ids), held = fresh(), 0
-    for batch in it:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-            tokens = (text.as_py() or "").encode().lower().split()
-            tokens.append(b"")
-            ids.append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
-            sizes.append(len(tokens))
-            doc_ids.append(doc_id)
-            held += len(tokens)
-            if held >= CHUNK_TOKENS or len(sizes) >= CHUNK_DOCS:
-                yield chunk(words, ids, sizes, doc_ids)
-                (words, ids, sizes, doc_ids), held = fresh(), 0
-    if sizes:
-        yield chunk(words, ids, sizes, doc_ids)
+    tokens, sizes, doc_ids, held = [], [], [], 0
+    for batch in _slices(it):
+        split = tokens_of(batch["text"])
+        tokens.append(split.flatten())
+        sizes.append(pc.list_value_length(split).to_numpy())
+        doc_ids += batch["doc_id"].to_pylist()
+        held += len(tokens[-1])
+        if held >= CHUNK_TOKENS or len(doc_ids) >= CHUNK_DOCS:
+            yield chunk(tokens, sizes, doc_ids)
+            tokens, sizes, doc_ids, held = [], [], [], 0
+    if doc_ids:
+        yield chunk(tokens, sizes, doc_ids)
 
 
 def contexts_of(h: np.ndarray) -> np.ndarray:
@@ -150,26 +166,27 @@ def _grams(buckets: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, word, before, doc, _, doc_ids in _chunks(it):
             n = len(h)
-            at = cuts(h, inner)
-            of = np.repeat(np.arange(buckets), np.diff(at))
-            sizes = np.bincount(of[word], minlength=buckets)
-            seen = np.unique(of[word] * n + before)
-            seen_cuts = np.searchsorted(seen, np.arange(buckets + 1) * n)
-            train = ~np.array([held_out(d) for d in doc_ids])[doc]
-            pairs, count = np.unique(word[train] * n + before[train], return_counts=True)
-            w, v = np.divmod(pairs, n)
-            pair_cuts = np.searchsorted(w, at)
-            ctx = contexts_of(h)
+            held = np.array([held_out(d) for d in doc_ids])
+            key = (word * n + before) * 2 + held[doc]
+            key.sort()
+            first = starts(key >> 1)
+            w, v = np.divmod(key[first] >> 1, n)
+            count = np.add.reduceat((key & 1) ^ 1, first)  # in training texts
+            pair_cuts, ctx, rank = np.searchsorted(w, cuts(h, inner)), contexts_of(h), np.empty(n, np.int64)
+            sizes = np.diff(np.append(first, len(key))[pair_cuts])
             rows: dict[str, list] = {c: [] for c in GRAMS.names}
             for b in range(buckets):
-                mine = seen[seen_cuts[b] : seen_cuts[b + 1]] - b * n
-                if not len(mine):
+                lo, hi = pair_cuts[b : b + 2].tolist()
+                if lo == hi:
                     continue
-                own = slice(pair_cuts[b], pair_cuts[b + 1])
-                words, per = np.unique(w[own], return_counts=True)
+                mine = np.unique(v[lo:hi])
+                rank[mine] = np.arange(len(mine))
+                own = lo + count[lo:hi].nonzero()[0]
+                words = w[own][starts(w[own])]
+                per = np.diff(np.append(starts(w[own]), len(own)))
                 rows["bucket"].append(b)
                 rows["size"].append(int(sizes[b]))
-                rows["blob"].append(dump(steps(h[words]), small(per), steps(ctx[mine]), small(np.searchsorted(mine, v[own])), small(count[own])))
+                rows["blob"].append(dump(steps(h[words]), small(per), steps(ctx[mine]), small(rank[v[own]]), small(count[own])))
             yield from batches(rows, GRAMS, 64)
 
     return run
@@ -185,28 +202,37 @@ class _Counts:
     """Pairs of one bucket, folded as they come: no more than twice the distinct ones are held."""
 
     def __init__(self):
-        self.w, self.v, self.n = np.empty(0, "<u8"), np.empty(0, "<u8"), np.empty(0, np.int64)
-        self.contexts, self.more, self.held, self.size = np.empty(0, "<u8"), [], 0, 0
+        self.words, self.contexts = np.empty(0, "<u8"), np.empty(0, "<u8")
+        self.key, self.n = np.empty(0, np.int64), np.empty(0, np.int64)  # key: place of the word times contexts + that of the context
+        self.more, self.held, self.size = [], 0, 0
 
     def add(self, size: int, blob: bytes) -> None:
         words, per, contexts, v, n = load(blob)
-        words, contexts = np.cumsum(words, dtype="<u8"), np.cumsum(contexts, dtype="<u8")
-        self.more.append((np.repeat(words, per), contexts[v], n.astype(np.int64), contexts))
+        self.more.append((np.cumsum(words, dtype="<u8"), per, np.cumsum(contexts, dtype="<u8"), v, n))
         self.held += len(n) + len(contexts)
         self.size += size
-        if self.held > max(FOLD, len(self.w)):
+        if self.held > max(FOLD, len(self.key)):
             self.fold()
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of each pair's word and context."""
+        return np.divmod(self.key, max(1, len(self.contexts)))
+
     def fold(self) -> None:
         if not self.more:
             return
-        w, v, n = (np.concatenate([x, *(m[k] for m in self.more)]) for k, x in enumerate((self.w, self.v, self.n)))
-        self.contexts = np.unique(np.concatenate([self.contexts, *(m[3] for m in self.more)]))
+        words, contexts = (np.unique(np.concatenate([x, *(m[k] for m in self.more)])) for k, x in ((0, self.words), (2, self.contexts)))
+        w, v = self.pairs()
+        keys = [np.searchsorted(words, self.words)[w] * len(contexts) + np.searchsorted(contexts, self.contexts)[v]]
+        for own, per, near, at, _ in self.more:
+            keys.append(np.repeat(np.searchsorted(words, own), per) * len(contexts) + np.searchsorted(contexts, near)[at])
+        key, n = np.concatenate(keys), np.concatenate([self.n, *(m[4].astype(np.int64) for m in self.more)])
         self.more, self.held = [], 0
-        order = np.lexsort((v, w))
-        w, v, n = w[order], v[order], n[order]
-        first = np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])).nonzero()[0] if len(w) else np.empty(0, np.int64)
-        self.w, self.v, self.n = w[first], v[first], np.add.reduceat(n, first) if len(first) else n
+        order = np.argsort(key, kind="stable")  # runs that rise already
+        key, n = key[order], n[order]
+        first = starts(key)
+        self.words, self.contexts, self.key = words, contexts, key[first]
+        self.n = np.add.reduceat(n, first) if len(first) else n
 
 
 def _merge(buckets: int):
@@ -215,8 +241,8 @@ def _merge(buckets: int):
 
     def rows(bucket: int, x: _Counts):
         x.fold()
-        words, w = np.unique(x.w, return_inverse=True)
-        v, k, n = np.searchsorted(x.contexts, x.v), len(words), len(x.contexts)
+        w, v = x.pairs()
+        words, k, n = x.words, len(x.words), len(x.contexts)
         once = x.n == 1
         spread = np.bincount(w, minlength=k)
         stats = [int(s) for s in (x.n.sum(), k, len(w), once.sum(), (x.n == 2).sum(), (spread == 1).sum(), (spread == 2).sum())]
@@ -482,14 +508,15 @@ def _pack(buckets: int):
         base = TaskContext.get().partitionId() << 24
         for seq, (h, word, before, doc, size, doc_ids) in enumerate(_chunks(it)):
             n, docs = len(h), len(size)
-            at = cuts(h, inner)
-            key, times = np.unique((word * n + before) * docs + doc, return_counts=True)
-            pair, doc = np.divmod(key, docs)
-            first = np.append(True, pair[1:] != pair[:-1]).nonzero()[0]
-            held = np.diff(np.append(first, len(pair)))
-            w, v = np.divmod(pair[first], n)
-            starts = np.append(first, len(pair))
-            pair_cuts, ctx = np.searchsorted(w, at), contexts_of(h)
+            key = (word * n + before) * docs + doc
+            key.sort()
+            each = starts(key)
+            pair, doc = np.divmod(key[each], docs)
+            times = np.diff(np.append(each, len(key)))
+            first = np.append(starts(pair), len(pair))
+            held = np.diff(first)
+            w, v = np.divmod(pair[first[:-1]], n)
+            pair_cuts, ctx, rank = np.searchsorted(w, cuts(h, inner)), contexts_of(h), np.empty(n, np.int64)
             rows: dict[str, list] = {c: [] for c in PACKED.names}
 
             def add(*values, rows=rows):
@@ -500,10 +527,11 @@ def _pack(buckets: int):
                 lo, hi = pair_cuts[b : b + 2].tolist()
                 if lo == hi:
                     continue
-                words, per = np.unique(w[lo:hi], return_counts=True)
-                mine, place = np.unique(v[lo:hi], return_inverse=True)
-                own = slice(starts[lo], starts[hi])
-                add(b, TOKENS, base + seq, dump(steps(h[words]), small(per), steps(ctx[mine]), small(place), small(held[lo:hi]), doc[own].astype("<u2"), small(times[own])))
+                begins = lo + starts(w[lo:hi])
+                mine = np.unique(v[lo:hi])
+                rank[mine] = np.arange(len(mine))
+                own = slice(first[lo], first[hi])
+                add(b, TOKENS, base + seq, dump(steps(h[w[begins]]), small(np.diff(np.append(begins, hi))), steps(ctx[mine]), small(rank[v[lo:hi]]), small(held[lo:hi]), doc[own].astype("<u2"), small(times[own])))
             known = np.array([d is not None for d in doc_ids], "<u1")
             add(-1, TEXTS, base + seq, dump(np.array([d or 0 for d in doc_ids], "<i8"), known, np.array([held_out(d) for d in doc_ids], "<u1"), size))
             yield from batches(rows, PACKED, 64)
