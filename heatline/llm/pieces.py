@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
@@ -70,12 +71,14 @@ class PieceIds(dict):
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
+        self.space = self.alphabet[ord(" ")]
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        shown = piece.encode().decode("latin-1").translate(self.alphabet)
-        ids = self[piece] = np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
+        plainly = piece.isascii() and piece.isprintable()  # only the space has a stand-in then
+        shown = piece.replace(" ", self.space) if plainly else piece.encode().decode("latin-1").translate(self.alphabet)
+        ids = self[piece] = array(self.kind.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
     def encode(self, text: str) -> np.ndarray:
