@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import batches, documents, read_table
-from .pieces import CACHE_ENTRIES, FAST, plain
+from .pieces import CACHE_BYTES, CACHE_ENTRIES, ENTRY_BYTES, FAST, LONGEST, plain
 
 NONE = np.int64(1) << 62
 #: Fewer pieces than this of one size class run on plain lists.
@@ -59,6 +59,7 @@ class Ranks:
         self.size = np.array(list(map(len, blob)), np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.seen: dict[str, bytes] = {}
+        self.held = 0
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where no token joins them or a side is missing (negative)."""
@@ -197,13 +198,20 @@ class Ranks:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Encode texts; pieces that were seen before come from a bounded cache."""
-        if len(self.seen) >= CACHE_ENTRIES:
-            self.seen = {}
+        if len(self.seen) >= CACHE_ENTRIES or self.held >= CACHE_BYTES:
+            self.seen, self.held = {}, 0
         split = [self.split(t) for t in texts]
         new = list(dict.fromkeys(p for s in split for p in s if p not in self.seen))
-        self.seen.update(zip(new, self.merge([p.encode() for p in new]), strict=True))
+        ids = self.merge([p.encode() for p in new])
+        self.seen.update(zip(new, ids, strict=True))
         get = self.seen.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), self.kind) for s in split]
+        out = [np.frombuffer(b"".join(map(get, s)), self.kind) for s in split]
+        for p, x in zip(new, ids, strict=True):
+            if len(p) > LONGEST:
+                del self.seen[p]
+            else:
+                self.held += ENTRY_BYTES + 4 * len(p) + len(x)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]

@@ -1,7 +1,8 @@
 """Pre-token pieces of a byte-level BPE vocabulary and a bounded per-process cache of their ids.
 
 Every piece is encoded on its own by such tokenizers, so ids of a text are the joined ids of its
-pieces. The stdlib expression splits as the published one does except on a few thousand characters
+pieces. A text is first cut at the vocabulary's added tokens (such as the one that ends a text), which stand
+for their own ids wherever a text holds their strings, as the library has it by default. The stdlib expression splits as the published one does except on a few thousand characters
 whose classes differ between the engines; texts with one of those take the exact slow way.
 """
 
@@ -18,7 +19,8 @@ import numpy as np
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: White space by the Unicode property, which the tokenizers' engines use.
 WHITE = set("\t\n\x0b\x0c\r \x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
-CACHE_ENTRIES = 400_000
+#: Entries and bytes of the cache at most (an entry has some 200 bytes beside its piece and ids), and the longest piece kept.
+CACHE_ENTRIES, CACHE_BYTES, ENTRY_BYTES, LONGEST = 400_000, 160 << 20, 200, 1024
 
 
 @cache
@@ -59,33 +61,50 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class PieceIds(dict):
-    """piece -> its ids as little-endian bytes; emptied when it reaches its bound, so memory stays bounded."""
+    """piece -> its ids as little-endian bytes; emptied when it reaches a bound, of entries or bytes; long pieces are not kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: (k, t.lstrip or t.rstrip or t.single_word or t.normalized) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.content}
+        self.added = {content: k for content, (k, _) in added.items()}
+        self.bending = any(bends for _, bends in added.values())  # tokens that take in what stands beside them are the library's matter
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
         self.space = self.alphabet[ord(" ")]
+        self.held = 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         plainly = piece.isascii() and piece.isprintable()  # only the space has a stand-in then
         shown = piece.replace(" ", self.space) if plainly else piece.encode().decode("latin-1").translate(self.alphabet)
-        ids = self[piece] = array(self.kind.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        ids = array(self.kind.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(piece) <= LONGEST:
+            if len(self) >= CACHE_ENTRIES or self.held >= CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[piece] = ids
+            self.held += ENTRY_BYTES + 4 * len(piece) + len(ids)
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids that the tokenizers library gives for the whole text, without special tokens."""
+    def _between(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if plain(text):
-            return np.frombuffer(b"".join(map(self.__getitem__, FAST.findall(text))), self.kind)
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+            return b"".join(map(self.__getitem__, FAST.findall(text)))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids that the tokenizers library gives by default for the whole text, with add_special_tokens=False."""
+        if self.cut is None or not self.cut.search(text):
+            return np.frombuffer(self._between(text), self.kind)
+        if self.bending:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        parts = self.cut.split(text)  # texts and added tokens by turns
+        return np.frombuffer(b"".join(np.array([self.added[x]], self.kind).tobytes() if k % 2 else self._between(x) for k, x in enumerate(parts)), self.kind)
 
 
 @cache

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import binary_output, bpe, lm, packing, pii, quality, secrets, sharding, simhash, topk
+from . import asof, binary_output, bpe, lexical, lm, packing, pii, quality, secrets, sharding, simhash, topk
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -17,9 +17,11 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_binary_output": binary_output.query,
     "op10_quality": quality.query,
+    "op11_lexical": lexical.query,
+    "op12_asof": asof.query,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_pivot_topk": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_pivot_topk": topk.SQL, "op11_lexical": lexical.SQL, "op12_asof": asof.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

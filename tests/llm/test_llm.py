@@ -178,7 +178,6 @@ def test_trees_agree():
 
 def ids_of(t, end):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     return [np.array([*tok.encode(x, add_special_tokens=False).ids, end], "<u4") for x in t]
 
 
@@ -206,6 +205,40 @@ def test_packing(docs):
     assert len(bins) <= math.ceil(total / 1024) * 1.02 + 4
 
 
+END = "<|endoftext|>"
+WITH_END = [END, END * 2, f"{END} a", f"a {END}", f"one {END} two", f"one{END}two", f"x  {END}  y", f"\n{END}\n", END.upper(), END[:-1], f"<{END}>", f"<|endoftext{END}", f"{END[:5]}{END}{END[5:]}", f"\x1c²_ {END} 日本{END}é", f"word {END} " * 500]
+
+
+def test_added_tokens_keep_their_own_ids(spark):
+    from heatline.llm.pieces import PieceIds
+
+    own = PieceIds(public_tokenizers.path("byte_bpe_50k.json"))
+    for t, want in zip(WITH_END, ids_of(WITH_END, 0)):
+        assert own.encode(t).tolist() == want[:-1].tolist(), t
+    assert own.encode(END).tolist() == [50256]
+    rows = [(k, t) for k, t in enumerate(WITH_END)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.pack(df).collect()}
+    want = {}
+    for (d, _), ids in zip(rows, ids_of([t for _, t in rows], 2)):
+        for k, (a, n) in enumerate(packing.cut(len(ids))):
+            want[d, k] = zlib.crc32(ids[a : a + n].tobytes())
+    assert got == want
+    back = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in binary_output.round_trip(spark, df).collect()}
+    assert back == {d: (len(i), zlib.crc32(i.tobytes())) for (d, _), i in zip(rows, ids_of([t for _, t in rows], 0))}
+
+
+def test_the_cache_of_pieces_is_bounded_in_bytes(monkeypatch):
+    from heatline.llm import pieces
+
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 20_000)
+    own = pieces.PieceIds(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"w{k}" * 50 for k in range(300)] + ["x" * 5000]
+    for t, want in zip(texts, ids_of(texts, 0)):
+        assert own.encode(t).tolist() == want[:-1].tolist()
+        assert own.held <= 20_000 + 2000 and max(map(len, own), default=0) <= pieces.LONGEST
+
+
 def test_small_windows_and_many_partitions(spark, docs):
     want = multiset((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.pack(docs).collect())
     rows = packing.pack(docs.repartition(16), window_pieces=50, window_tokens=20_000).collect()
