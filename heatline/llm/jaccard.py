@@ -38,6 +38,8 @@ WORDS, RATIO, LEVELS = 3, (90, 100), 4
 CELLS, CHUNK = 1 << 20, 1 << 16
 #: Nodes of a list that meet in one task, and the weight of a longer prefix against a node that is met.
 BLOCK, PER_SHINGLE = 2048, 1.0
+#: Shingles whose sharing is counted at once.
+COLUMNS = 2048
 WORD_ENTRIES, LONGEST_WORD = 400_000, 200
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -117,7 +119,7 @@ def crowding(docs: DataFrame, words: int) -> np.ndarray:
     """Of each cell, the class of its count: quarter powers of two, so one byte holds any. CELLS bytes, whatever the input."""
     rows = docs.select("text").mapInArrow(_cell_counts(words), "chunk int, counts binary")
     for parts in (CELLS // CHUNK * 8, CELLS // CHUNK):  # in two rounds, so that no task gets every task's chunk
-        dealt = rows.repartition(parts, "chunk", F.floor(F.rand(7) * 8)) if parts > CELLS // CHUNK else rows.repartition(parts, "chunk")
+        dealt = rows.repartition(parts, "chunk", F.pmod(F.xxhash64("counts"), F.lit(8))) if parts > CELLS // CHUNK else rows.repartition(parts, "chunk")
         rows = dealt.mapInArrow(_cell_sums, "chunk int, counts binary")
     classes = np.zeros(CELLS, np.uint8)
     for chunk, raw in written(rows, "cells").collect():  # at most CELLS counters
@@ -257,15 +259,18 @@ def candidates(ids: np.ndarray, n: np.ndarray, level: np.ndarray, probe: np.ndar
     width = int(column.max()) + 1 if len(column) else 0
     parent = np.arange(size)
     for x in np.unique(level[probe]).tolist():
-        held = first <= x
-        matrix = np.zeros((size, width), np.float32)
-        matrix[owner[held], column[held]] = 1
         probers = (probe & (level == x)).nonzero()[0]
+        overlap = np.zeros((len(probers), size), np.float32)
+        for c in range(0, width, COLUMNS):
+            held = (first <= x) & (column >= c) & (column < c + COLUMNS)
+            matrix = np.zeros((size, min(COLUMNS, width - c)), np.float32)
+            matrix[owner[held], column[held] - c] = 1
+            overlap += matrix[probers] @ matrix.T
         p = prefix_lengths(n, x, ratio)
         rest, end = n - p, last[:, x - 1]
         for a in range(0, len(probers), 256):
             u = probers[a : a + 256]
-            counts = (matrix[u] @ matrix.T).astype(np.int64)
+            counts = overlap[a : a + 256].astype(np.int64)
             nu, nv = n[u, None], n[None, :]
             need = -(-num * (nu + nv) // (num + den))  # the least overlap of sets that are alike
             shorter = np.where(end[u, None] <= end[None, :], rest[u, None], rest[None, :])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import asof, binary_output, bpe, lexical, lm, packing, pii, quality, secrets, sharding, simhash, topk
+from . import asof, binary_output, bpe, jaccard, lexical, lm, packing, pii, quality, secrets, sharding, simhash, topk
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_quality": quality.query,
     "op11_lexical": lexical.query,
     "op12_asof": asof.query,
+    "op13_jaccard": jaccard.query,
     "pipeline": corpus_pipeline.run,
 }
 

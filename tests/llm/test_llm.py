@@ -543,4 +543,4 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 
 
 def test_registered(spark):
-    assert {q.split("_")[0] for q in queries.QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
