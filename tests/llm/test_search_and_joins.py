@@ -245,12 +245,12 @@ def families(seed=1):
     return out
 
 
-@pytest.mark.parametrize("levels,block", [(4, 2048), (1, 2048), (3, 5)])
-def test_jaccard_loses_no_link(spark, tmp_path, levels, block):
+@pytest.mark.parametrize("levels,block,small", [(4, 2048, 16), (1, 2048, 4), (3, 5, 2), (4, 7, 1)])
+def test_jaccard_loses_no_link(spark, tmp_path, levels, block, small):
     rows = list(enumerate(families()))
     path = str(tmp_path / "families.parquet")
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
-    got = collections.Counter(map(tuple, jaccard.join(spark.read.parquet(path), levels=levels, block=block).collect()))
+    got = collections.Counter(map(tuple, jaccard.join(spark.read.parquet(path), levels=levels, block=block, small=small).collect()))
     assert got == plain_join(rows)
 
 
@@ -270,6 +270,18 @@ def test_a_longer_prefix_leaves_out_the_most_crowded_shingles():
     assert level([0, 1], [5000, 5000]) == 3  # no node can share three of its two
 
 
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_shingles_of_a_column(monkeypatch, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "TEXTS", size)
+    column = ["a b c d", None, "", "  A  B\tC d ", "one", "é É x", "é é x", "\x1c\x85 y\u00a0z w v", "b a", "a b", "ab", "a b c d a b c d"] * 3
+    sets = list(jaccard.shingle_sets(pa.array(["skip", *column])[1:]))
+    want = [three_words(t) for t in column]
+    assert [len(x) for x in sets] == [len(x) for x in want]
+    assert all((set(a.tolist()) == set(b.tolist())) == (p == q) for a, p in zip(sets, want) for b, q in zip(sets, want))
+
+
 def test_oracles(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "clicks", "sales"):
