@@ -72,26 +72,17 @@ def micros(ts_ntz: Column) -> Column:
     return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), ts_ntz) * 1_000_000).cast("long")
 
 
-# -- from moments; with whole-number inputs the sums are exact in any order
-
-
-def mean(n: Column, s: Column) -> Column:
-    return F.try_divide(s, n)
-
-
-def spread(n: Column, s: Column, ss: Column) -> Column:
-    """Population standard deviation."""
-    return F.sqrt(F.greatest(F.try_divide(n * ss - s * s, n * n), F.lit(0.0)))
-
-
-def correlation(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
-    """Null unless there are over two pairs and both vary."""
-    vx, vy = n * xx - x * x, n * yy - y * y
-    return F.when((n > 2) & (vx > 0) & (vy > 0), F.try_divide(n * xy - x * y, F.sqrt(vx) * F.sqrt(vy)))
+# -- aggregates that centre as they go, and merge, so that readings far from zero lose no digits
 
 
 def correlation_of(x: Column, y: Column) -> Column:
-    """The aggregate of both columns, over rows where both are finite."""
+    """Over rows where both are finite; null unless there are over two and both vary."""
     ok = finite(x) & finite(y)
     a, b = F.when(ok, x), F.when(ok, y)
-    return correlation(F.sum(ok.cast("double")), F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b), F.sum(a * b))
+    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+    return F.when((F.count(a) > 2) & (sa > 0) & (sb > 0), F.try_divide(F.covar_pop(a, b), sa * sb))
+
+
+def squares_about_mean(x: Column) -> Column:
+    """The sum of squared distances from the mean."""
+    return F.var_pop(x) * F.count(x)

@@ -126,11 +126,10 @@ def physical_audit(segmented: DataFrame, keys: list[str], us: str, temp: str, po
     """Ranges, steps within segments (flagged, never dropped), and the correlation of power and temperature over `least` pairs."""
     rows = segmented.withColumn("step", within_segment_step(segmented, keys, us, temp))
     both = finite(F.col(temp)) & finite(F.col(power))
-    n, s, ss = F.count("step"), F.sum("step"), F.sum(F.col("step") * F.col("step"))
     return rows.groupBy(*keys).agg(
         F.min(temp).alias("temp_min"), F.max(temp).alias("temp_max"), F.count_if(out_of_range(F.col(temp), low, high)).alias("temp_out_of_range"),
         F.min(power).alias("power_min"), F.count_if(F.col(power) < 0).alias("power_negative"),
-        F.sqrt(F.greatest(F.try_divide(n * ss - s * s, n * n), F.lit(0.0))).alias("step_std"), F.max(F.abs("step")).alias("step_max"), F.count_if(F.abs("step") > step_flag).alias("step_flagged"),
+        F.stddev_pop("step").alias("step_std"), F.max(F.abs("step")).alias("step_max"), F.count_if(F.abs("step") > step_flag).alias("step_flagged"),
         F.when(F.count_if(both) > least, correlation_of(F.col(power), F.col(temp))).alias("corr_power_temp"),
     )
 

@@ -9,23 +9,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import squares_about_mean
 from ..sources.package import ship
-from .arx import MOMENTS, moments, solved
+from .arx import moments, solved, united
 
 FEATURES = ("p", "dp", "t", "lag_p", "lag_t")
 
 
 def expanding_folds(pairs: DataFrame, keys: list[str], block: str = "block") -> DataFrame:
-    """Of each block but a unit's first: a fit on all blocks before it (running sums of moments), tested on the block."""
+    """Of each block but a unit's first: a fit on all blocks before it (running unions of moments), tested on the block."""
     by = pairs.groupBy(*keys, block).agg(*moments())
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    train = by.select(*keys, block, F.row_number().over(Window.partitionBy(*keys).orderBy(block)).alias("fold"), *[F.sum(m).over(before).alias(m) for m in MOMENTS])
-    fits = solved(train.where("fold > 1")).where("alpha is not null").select(*keys, block, F.col("n").cast("long").alias("n_train"), "alpha", "beta", "gamma")
+    train = united(by, keys, block, [block], lambda c: F.sum(c).over(before))
+    fits = solved(train.where("n > 0")).where("alpha is not null").select(*keys, block, F.col("n").cast("long").alias("n_train"), "alpha", "beta", "gamma")
     tested = pairs.join(fits, [*keys, block])
     r, y, dy = F.col("y") - (F.col("alpha") * F.col("t") + F.col("beta") * F.col("p") + F.col("gamma")), F.col("y"), F.col("y") - F.col("t")
-    n = F.count("*").cast("double")
-    total = lambda x: F.nullif(F.sum(x * x) - F.sum(x) * F.sum(x) / n, F.lit(0.0))
-    return tested.groupBy(*keys, block).agg(F.first("n_train").alias("n_train"), F.count("*").alias("n_test"), F.sqrt(F.sum(r * r) / n).alias("rmse"), (F.sum(F.abs(r)) / n).alias("mae"), (1.0 - F.try_divide(F.sum(r * r), total(y))).alias("r2"), (1.0 - F.try_divide(F.sum(r * r), total(dy))).alias("increment_r2"))
+    total = lambda x: F.nullif(squares_about_mean(x), F.lit(0.0))
+    return tested.groupBy(*keys, block).agg(F.first("n_train").alias("n_train"), F.count("*").alias("n_test"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae"), (1.0 - F.try_divide(F.sum(r * r), total(y))).alias("r2"), (1.0 - F.try_divide(F.sum(r * r), total(dy))).alias("increment_r2"))
 
 
 def fold_summary(folds: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,8 +54,7 @@ def capped(df: DataFrame, key: Column, k: int) -> DataFrame:
 
 def r2(df: DataFrame, y: str, predicted: Column, keys: list[str] | None = None) -> DataFrame:
     v, e = F.col(y), F.col(y) - predicted
-    n = F.count("*").cast("double")
-    out = (1.0 - F.try_divide(F.sum(e * e), F.nullif(F.sum(v * v) - F.sum(v) * F.sum(v) / n, F.lit(0.0)))).alias("r2")
+    out = (1.0 - F.try_divide(F.sum(e * e), F.nullif(squares_about_mean(v), F.lit(0.0)))).alias("r2")
     return df.groupBy(*keys).agg(F.count("*").alias("n"), out) if keys else df.agg(F.count("*").alias("n"), out)
 
 

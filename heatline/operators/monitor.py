@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import correlation, time_constant
+from ..functions.scalar import correlation_of, time_constant
 from .arx import moments, solved
 
 THRESHOLD, PERSIST, MIN_WINDOWS, MIN_HALF, EPS = 3.5, 2, 12, 4, 1e-9
@@ -48,11 +48,10 @@ def unit_report(rows: DataFrame, keys: list[str]) -> DataFrame:
     base, later = F.col("baseline"), ~F.col("baseline")
     rate = lambda c: F.avg(F.when(c, F.col("persisted").cast("double")))
     z, d = F.when(later, F.col("z")), F.when(later, F.abs(F.col("mean_p") - F.col("p_med")))
-    n = F.count(z).cast("double")
     return rows.groupBy(*keys).agg(
         F.count("*").alias("n_windows"), F.first("med").alias("baseline_tau_median"), F.first("mad").alias("baseline_tau_mad"), F.median(F.when(later, F.col("tau"))).alias("oos_tau_median"),
         F.median(F.when(later, F.col("dev"))).alias("oos_tau_madev"), rate(later).alias("oos_alert_rate"), rate(base).alias("baseline_alert_rate"),
-        correlation(n, F.sum(z), F.sum(d), F.sum(z * z), F.sum(d * d), F.sum(z * d)).alias("power_confound_corr"), (F.first("mad") / (F.first("med") + EPS)).alias("baseline_rel_spread"),
+        correlation_of(z, d).alias("power_confound_corr"), (F.first("mad") / (F.first("med") + EPS)).alias("baseline_rel_spread"),
     )
 
 

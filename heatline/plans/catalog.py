@@ -261,8 +261,7 @@ def arx_tau(spark, d):
 
 @register("arx_delta_ci", f"{RESID}, q AS (SELECT unit, sum(r * r) AS rss FROM resid GROUP BY 1), e AS (SELECT unit, n, alpha, tau, rss, sqrt(rss / greatest(n - 3, 1) * i00) AS se_alpha FROM fits JOIN q USING (unit)), f AS (SELECT *, CASE WHEN tau IS NOT NULL THEN abs(10.0::DOUBLE / (alpha * ln(CASE WHEN alpha > 0 THEN alpha END) * ln(CASE WHEN alpha > 0 THEN alpha END))) * se_alpha END AS se_tau FROM e) SELECT unit, CAST(n AS BIGINT) AS n_pairs, {rd('alpha', 'tau')}, {rd('rss', digits=2)}, {rd('se_alpha', 'se_tau')}, round(tau - 1.96 * se_tau, 6) AS ci_low, round(tau + 1.96 * se_tau, 6) AS ci_high, round(se_tau / tau, 6) AS cov FROM f")
 def arx_delta_ci(spark, d):
-    pairs = unit_pairs(spark, d)
-    return rounded(rounded(arx.uncertainty(pairs, arx.fit(pairs, U, DT), U, DT)).withColumn("rss", F.round("rss", 2)), "rss")
+    return rounded(rounded(arx.uncertainty(unit_fits(spark, d), U, DT)).withColumn("rss", F.round("rss", 2)), "rss")
 
 
 METRICS = "SELECT unit, count(*) AS n_pairs, sqrt(sum(r*r) / count(*)) AS rmse, sum(abs(r)) / count(*) AS mae, 1.0::DOUBLE - sum(r*r) / nullif(sum(y*y) - sum(y)*sum(y)/count(*), 0) AS r2, sqrt(sum((y-t)*(y-t)) / count(*)) AS persistence_rmse, 1.0::DOUBLE - sum(r*r) / nullif(sum((y-t)*(y-t)) - sum(y-t)*sum(y-t)/count(*), 0) AS increment_r2 FROM resid WHERE r IS NOT NULL GROUP BY 1"
@@ -544,9 +543,9 @@ def block_bootstrap(spark, d):
     return rounded(resample.block_bootstrap(unit_runs(spark, d), U, DT))
 
 
-@register("block_bootstrap_lcg", f"{PAIRS}, x AS (SELECT unit, run_id, idx + 1 AS idx, " + ", ".join(f"sum({e}) OVER w AS {n}" for n, e in (("stt", "t*t"), ("stp", "t*p"), ("st", "t"), ("spp", "p*p"), ("sp", "p"), ("n", "1.0::DOUBLE"), ("sty", "t*y"), ("spy", "p*y"), ("sy", "y"))) + " FROM pairs WINDOW w AS (PARTITION BY unit, run_id ORDER BY idx ROWS UNBOUNDED PRECEDING)), pre AS (SELECT * FROM x UNION ALL SELECT unit, run_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM pairs WHERE idx = 0), ln AS (SELECT *, count(*) OVER (PARTITION BY unit, run_id) - 1 AS len FROM pre), st AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY run_id, idx) - 1 AS place, count(*) OVER (PARTITION BY unit) AS places FROM ln WHERE idx + 4 <= len), dr AS (SELECT unit, draw, (((unit * 7919 + draw * 104729 + k * 1299709) * 48271) % 2147483647) % places AS place FROM (SELECT DISTINCT unit, places FROM st) CROSS JOIN (SELECT unnest(range(10)) AS draw) CROSS JOIN (SELECT unnest(range(12)) AS k)), bl AS (SELECT dr.unit, draw, " + ", ".join(f"sum(h.{n} - st.{n}) AS {n}" for n in ("stt", "stp", "st", "spp", "sp", "n", "sty", "spy", "sy")) + f" FROM dr JOIN st ON dr.unit = st.unit AND dr.place = st.place JOIN pre h ON h.unit = st.unit AND h.run_id = st.run_id AND h.idx = st.idx + 4 GROUP BY 1, 2), {solve('bl', 'unit')} SELECT unit, draw, round(alpha, 6) AS alpha FROM fit")
+@register("block_bootstrap_lcg", f"{PAIRS}, x AS (SELECT unit, run_id, idx + 1 AS idx, " + ", ".join(f"sum({e}) OVER w AS {n}" for n, e in (("stt", "t*t"), ("stp", "t*p"), ("st", "t"), ("spp", "p*p"), ("sp", "p"), ("n", "1.0::DOUBLE"), ("sty", "t*y"), ("spy", "p*y"), ("sy", "y"))) + " FROM pairs WINDOW w AS (PARTITION BY unit, run_id ORDER BY idx ROWS UNBOUNDED PRECEDING)), pre AS (SELECT * FROM x UNION ALL SELECT unit, run_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM pairs WHERE idx = 0), ln AS (SELECT *, count(*) OVER (PARTITION BY unit, run_id) - 1 AS len FROM pre), st AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY run_id, idx) - 1 AS place, count(*) OVER (PARTITION BY unit) AS places FROM ln WHERE idx + 4 <= len), dr AS (SELECT unit, draw, (((unit * 7919 + draw * 104729 + k * 1299709) * 48271) % 2147483647) % places AS place FROM (SELECT DISTINCT unit, places FROM st) CROSS JOIN (SELECT unnest(range(500)) AS draw) CROSS JOIN (SELECT unnest(range(12)) AS k)), bl AS (SELECT dr.unit, draw, " + ", ".join(f"sum(h.{n} - st.{n}) AS {n}" for n in ("stt", "stp", "st", "spp", "sp", "n", "sty", "spy", "sy")) + f" FROM dr JOIN st ON dr.unit = st.unit AND dr.place = st.place JOIN pre h ON h.unit = st.unit AND h.run_id = st.run_id AND h.idx = st.idx + 4 GROUP BY 1, 2), {solve('bl', 'unit')} SELECT unit, draw, round(alpha, 6) AS alpha FROM fit")
 def block_bootstrap_lcg(spark, d):
-    return rounded(resample.lcg_blocks(unit_pairs(spark, d), U, "unit", 4, 12, 10))
+    return rounded(resample.lcg_blocks(unit_pairs(spark, d), U, "unit", 4, 12, resample.DRAWS))
 
 
 @register("paired_bootstrap")
@@ -555,10 +554,10 @@ def paired_bootstrap(spark, d):
     return rounded(resample.paired_bootstrap(pairs, ["value", "ref"], resample.rank_correlation))
 
 
-@register("paired_bootstrap_lcg", f"{PAIRED}, un AS (SELECT value, ref, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS places FROM pr WHERE condition = 'F1'), dr AS (SELECT draw, ((place * 7919 + draw * 104729 + 12345) * 48271 % 2147483647) % places AS place FROM un CROSS JOIN (SELECT unnest(range(50)) AS draw)), x AS (SELECT draw, value, ref FROM dr JOIN un USING (place)), k AS (SELECT draw, rank() OVER (PARTITION BY draw ORDER BY value) + (count(*) OVER (PARTITION BY draw, value) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY draw ORDER BY ref) + (count(*) OVER (PARTITION BY draw, ref) - 1) / 2.0::DOUBLE AS b FROM x) SELECT draw, count(*) AS n, round({corr('a', 'b')}, 6) AS rho FROM k GROUP BY 1")
+@register("paired_bootstrap_lcg", f"{PAIRED}, un AS (SELECT value, ref, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS places FROM pr WHERE condition = 'F1'), dr AS (SELECT draw, ((place * 7919 + draw * 104729 + 12345) * 48271 % 2147483647) % places AS place FROM un CROSS JOIN (SELECT unnest(range(2000)) AS draw)), x AS (SELECT draw, value, ref FROM dr JOIN un USING (place)), k AS (SELECT draw, rank() OVER (PARTITION BY draw ORDER BY value) + (count(*) OVER (PARTITION BY draw, value) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY draw ORDER BY ref) + (count(*) OVER (PARTITION BY draw, ref) - 1) / 2.0::DOUBLE AS b FROM x) SELECT draw, count(*) AS n, round({corr('a', 'b')}, 6) AS rho FROM k GROUP BY 1")
 def paired_bootstrap_lcg(spark, d):
     pairs = population.paired(_sweep(spark, d).where("condition in ('F0', 'F1')"), U, "condition", "tau")
-    drawn = resample.resampled_lcg(pairs.select("unit", "value", "ref"), U, 50)
+    drawn = resample.resampled_lcg(pairs.select("unit", "value", "ref"), U, 2000)
     return rounded(population.spearman(drawn, "value", "ref", ["draw"]))
 
 
@@ -682,8 +681,7 @@ def decision_gate(spark, d):
     """From the folds' increment R2, the linear residual model and the delta method's spread: one row each."""
     folds = evaluate.expanding_folds(_blocked_pairs(spark, d), U).agg(F.median("increment_r2").alias("increment_r2"))
     residual = evaluate.r2(evaluate.residual_model(*_split(spark, d), "linear"), "r", F.col("prediction")).select(F.col("r2").alias("residual_r2"))
-    pairs = unit_pairs(spark, d)
-    cov = arx.uncertainty(pairs, arx.fit(pairs, U, DT), U, DT).agg(F.median("cov").alias("tau_cov"))
+    cov = arx.uncertainty(unit_fits(spark, d), U, DT).agg(F.median("cov").alias("tau_cov"))
     return rounded(report.decision_gate(folds.crossJoin(residual).crossJoin(cov)), digits=4)
 
 
@@ -691,14 +689,13 @@ FIDELITY = f"{SWEEP}, " + ", ".join(f"{c.code.lower()}q AS (SELECT unit, sum((y
 
 
 def _analytic(spark, d):
-    """(condition, unit, tau, cov, ci_width) by the delta method, for every condition in one pass of fits and one of residuals."""
+    """(condition, unit, tau, cov, ci_width) by the delta method, for every condition in one pass."""
     pairs = _sweep_pairs(spark, d)
     keys = ["condition", "unit"]
     fits = arx.solved(pairs.groupBy(*keys, "dt").agg(*arx.moments())).where("alpha > 0 and alpha < 1").withColumn("tau", -F.col("dt") / F.ln("alpha"))
-    rss = arx.residuals(pairs.drop("dt"), fits, keys).groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("rss"))
     a = F.col("alpha")
     se = F.abs(F.col("dt") / (a * F.ln(a) * F.ln(a))) * F.sqrt(F.col("rss") / F.greatest(F.col("n") - 3, F.lit(1.0)) * F.col("i00"))
-    return fits.join(rss, keys).select(*keys, "tau", F.try_divide(se, F.col("tau")).alias("cov"), (2 * 1.96 * se).alias("ci_width"))
+    return fits.select(*keys, "tau", F.try_divide(se, F.col("tau")).alias("cov"), (2 * 1.96 * se).alias("ci_width"))
 
 
 def _replicates(spark, d):
@@ -707,7 +704,7 @@ def _replicates(spark, d):
     keys = ["condition", "unit"]
     by = pairs.groupBy(*keys, "dt", (F.floor(F.col("idx") / 4) % 8).alias("left_out")).agg(*arx.moments())
     w = Window.partitionBy(*keys)
-    rest = by.select(*keys, "dt", "left_out", *[(F.sum(m).over(w) - F.col(m)).alias(m) for m in arx.MOMENTS])
+    rest = arx.united(by, keys, "left_out", ["dt"], lambda c: F.sum(c).over(w) - c)
     return arx.solved(rest).select(*keys, F.when((F.col("alpha") > 0) & (F.col("alpha") < 1), -F.col("dt") / F.ln("alpha")).alias("tau"))
 
 
@@ -803,11 +800,6 @@ def histogram(spark, d):
     return rounded(report.histogram(events(spark, d), "p", 0.0, 99.0, 10))
 
 
-@register("conditions", "SELECT * FROM (VALUES " + ", ".join(f"('{c.code}', '{c.temp}', {str(c.quantized).lower()}, {str(c.decimated).lower()}, {c.dt}::DOUBLE, '{c.note}')" for c in runs.CONDITIONS) + ") AS v(condition, temp, quantized, decimated, dt, note)")
-def conditions(spark, d):
-    return runs.conditions(spark)
-
-
 DIGEST = "sha256(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(sum(event_id) AS VARCHAR), CAST(CAST(sum(round(value * 100)) AS BIGINT) AS VARCHAR)))"
 
 

@@ -75,7 +75,7 @@ def test_unstable_and_singular_fits_have_no_time_constant(spark):
 def test_delta_method_agrees_with_numpy(spark):
     t, p = arx_series(0.8, 0.05, 2.0, noise=0.5)
     pairs = runs.lead_pairs(runs.finite_runs(segmented(series(spark, t, p)), U, "us", "t", "p"), U)
-    r = arx.uncertainty(pairs, arx.fit(pairs, U, 10.0), U, 10.0).first()
+    r = arx.uncertainty(arx.fit(pairs, U, 10.0), U, 10.0).first()
     x = np.column_stack([t[:-1], p[:-1], np.ones(len(t) - 1)])
     b, *_ = np.linalg.lstsq(x, np.array(t[1:]), rcond=None)
     e = np.array(t[1:]) - x @ b
@@ -209,3 +209,61 @@ def test_registered_with_the_operators_own_parameters(spark, monkeypatch, query,
     with pytest.raises(Called) as e:
         catalog.QUERIES[query](spark, "/root/testdata/sf0.001")
     assert e.value.args[0] == want
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_readings_far_from_zero_lose_no_digits(spark, shift):
+    t, p = arx_series(0.8, 0.05, 2.0, n=400, noise=0.05)
+    near = runs.lead_pairs(runs.finite_runs(segmented(series(spark, t, p)), U, "us", "t", "p"), U)
+    far = near.withColumns({c: F.col(c) + shift for c in ("t", "p", "y")})
+    a, b = (arx.uncertainty(arx.fit(x, U, 10.0), U, 10.0).first() for x in (near, far))
+    for c in ("alpha", "tau"):
+        assert b[c] == pytest.approx(a[c], rel=1e-8)
+    assert b["se_tau"] == pytest.approx(a["se_tau"], rel=1e-6) and b["rss"] == pytest.approx(a["rss"], rel=1e-6)
+    folds = [evaluate.expanding_folds(x.withColumn("block", F.floor(F.col("idx") / 40)), U).orderBy("block").collect() for x in (near, far)]
+    assert [r["increment_r2"] for r in folds[1]] == pytest.approx([r["increment_r2"] for r in folds[0]], rel=1e-6)
+    m = [arx.residual_structure(arx.residuals(x, arx.fit(x, U, 10.0), U), U).first() for x in (near, far)]
+    assert m[1]["lag1"] == pytest.approx(m[0]["lag1"], rel=1e-5) and m[1]["std"] == pytest.approx(m[0]["std"], rel=1e-6)
+    lag = [resample.lcg_blocks(x, U, "unit", 8, 20, 30).orderBy("draw").collect() for x in (near, far)]
+    assert [r["alpha"] for r in lag[1]] == pytest.approx([r["alpha"] for r in lag[0]], rel=1e-7)
+
+
+def test_unions_of_blocks_have_the_moments_of_their_rows(spark):
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(1, k % 5, *map(float, 1e5 + rng.normal(size=3))) for k in range(200)], "unit long, block long, t double, p double, y double")
+    from pyspark.sql import Window
+
+    by = rows.groupBy("unit", "block").agg(*arx.moments())
+    got = arx.united(by, U, "block", ["block"], lambda c: F.sum(c).over(Window.partitionBy("unit")) - c).collect()
+    for r in got:
+        want = rows.where(F.col("block") != r["block"]).agg(*arx.moments()).first()
+        assert [r[c] for c in arx.MOMENTS] == pytest.approx([want[c] for c in arx.MOMENTS], rel=1e-8)
+
+
+def test_leaves_share_one_multinomial():
+    places, blocks, draws = 1000, 60, 400
+    parts = np.array([resample.share_of(k, places, blocks, draws, 5, 64) for k in range(-(-places // 64))])
+    assert (parts.sum(axis=0) == blocks).all()
+    want = np.array([min(64, places - 64 * k) for k in range(len(parts))]) * blocks / places
+    assert np.abs(parts.mean(axis=1) - want).max() < 0.5
+    assert np.abs(parts.var(axis=1) - want * (1 - want / blocks)).max() < 1.5
+
+
+def test_block_bootstrap_agrees_with_resampling_in_one_place(spark):
+    """Two runs and a short one, in leaves of different sizes, against a plain simulation."""
+    t, p = arx_series(0.85, 0.05, 2.0, n=500, noise=0.5)
+    us = [10_000_000 * (k + (1000 if k > 300 else 0) + (2000 if k > 490 else 0)) for k in range(500)]
+    rows = runs.finite_runs(segmented(series(spark, t, p, us)), U, "us", "t", "p")
+    got = [resample.block_bootstrap(rows, U, 10.0, 400, 200.0, size=size).first() for size in (37, 4096)]
+    block = 20
+    parts = [(np.array(t[a:b]), np.array(p[a:b])) for a, b in ((0, 301), (301, 491), (491, 500))]
+    starts = [(x, s) for x, (a, _) in enumerate(parts) for s in range(len(a) - block)]
+    rng, taus = np.random.default_rng(1), []
+    k = round((300 + 189) / block)
+    for _ in range(400):
+        x = np.concatenate([np.column_stack([parts[r][0][s : s + block], parts[r][1][s : s + block], np.ones(block), parts[r][0][s + 1 : s + block + 1]]) for r, s in (starts[j] for j in rng.integers(0, len(starts), k))])
+        taus.append(-10 / np.log(np.linalg.lstsq(x[:, :3], x[:, 3], rcond=None)[0][0]))
+    for r in got:
+        assert (r["block_pairs"], r["blocks"], r["valid"], r["draws"]) == (block, k, 400, 400)
+        assert r["tau_median"] == pytest.approx(np.median(taus), rel=0.05) and r["tau_std"] == pytest.approx(np.std(taus), rel=0.25)
+        assert r["ci_low"] == pytest.approx(np.percentile(taus, 2.5), rel=0.1) and r["ci_high"] == pytest.approx(np.percentile(taus, 97.5), rel=0.1)
