@@ -564,9 +564,9 @@ def paired_bootstrap_lcg(spark, d):
 # -- monitor
 
 
-def monitor_sql(samples: int = 8) -> str:
+def monitor_sql(samples: int = 8, gap_s: int = WIDE) -> str:
     least = int(0.6 * samples) + 1
-    return f"WITH {EV}, {seg(gap_s=WIDE)}, {RUNS[len(BASE) + 2 :]}, rw AS (SELECT *, idx // {samples} AS win, CASE WHEN (idx + 1) // {samples} = idx // {samples} THEN lead(t) OVER (PARTITION BY unit, run_id ORDER BY idx) END AS y FROM runs), nm AS (SELECT unit, run_id, win, min(us) AS first_us, count(*) AS samples, sum(p) / count(*) AS mean_p, sum(t) / count(*) AS mean_t FROM rw GROUP BY 1, 2, 3), wm AS (SELECT unit, run_id, win, {MOMENTS} FROM rw WHERE y IS NOT NULL GROUP BY 1, 2, 3), {solve('wm', 'unit')}, wt AS (SELECT nm.unit, nm.run_id, CAST(nm.win AS BIGINT) AS win, first_us, samples, mean_p, mean_t, {tau('fit.alpha')} AS tau FROM nm JOIN fit ON nm.unit = fit.unit AND nm.run_id = fit.run_id AND nm.win = fit.win WHERE samples >= {least}), roll AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY run_id, win) AS ord FROM wt WHERE tau IS NOT NULL)"
+    return f"WITH {EV}, {seg(gap_s=gap_s)}, {RUNS[len(BASE) + 2 :]}, rw AS (SELECT *, idx // {samples} AS win, CASE WHEN (idx + 1) // {samples} = idx // {samples} THEN lead(t) OVER (PARTITION BY unit, run_id ORDER BY idx) END AS y FROM runs), nm AS (SELECT unit, run_id, win, min(us) AS first_us, count(*) AS samples, sum(p) / count(*) AS mean_p, sum(t) / count(*) AS mean_t FROM rw GROUP BY 1, 2, 3), wm AS (SELECT unit, run_id, win, {MOMENTS} FROM rw WHERE y IS NOT NULL GROUP BY 1, 2, 3), {solve('wm', 'unit')}, wt AS (SELECT nm.unit, nm.run_id, CAST(nm.win AS BIGINT) AS win, first_us, samples, mean_p, mean_t, {tau('fit.alpha')} AS tau FROM nm JOIN fit ON nm.unit = fit.unit AND nm.run_id = fit.run_id AND nm.win = fit.win WHERE samples >= {least}), roll AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY run_id, win) AS ord FROM wt WHERE tau IS NOT NULL)"
 
 
 ROLL = monitor_sql()
@@ -638,26 +638,24 @@ PART, LATE, GAP = 6 * 86_400, 12 * 86_400, 129_600
 
 
 def _stream_sql() -> str:
-    """What a stream has emitted when its rows end: windows that were full, or whose run had ended, among the rows older than LATE."""
-    rest = monitor_sql()
-    rest = rest[rest.index("o AS (SELECT *, t IS NOT NULL") :]
-    closed = ", lastseg AS (SELECT unit, min(us) AS open_us FROM (SELECT unit, us, segment_id = max(segment_id) OVER (PARTITION BY unit) AS open FROM s) WHERE open GROUP BY 1), done AS (SELECT wt.*, row_number() OVER (PARTITION BY unit ORDER BY run_id, win) AS \"window\" FROM wt JOIN lastseg USING (unit) WHERE tau IS NOT NULL AND (samples = 8 OR first_us < open_us))"
+    """Every window of the batch, with the alerts that a stream gives as they come."""
+    done = ", done AS (SELECT roll.*, ord AS \"window\" FROM roll)"
     alerts = ", ba AS (SELECT unit, quantile_cont(tau, 0.5) AS med FROM done WHERE \"window\" <= 3 GROUP BY 1), bm2 AS (SELECT done.unit, min(med) AS med, quantile_cont(abs(tau - med), 0.5) AS mad FROM done JOIN ba ON done.unit = ba.unit WHERE \"window\" <= 3 GROUP BY 1), az AS (SELECT done.*, CASE WHEN \"window\" > 3 THEN abs(tau - med) / (1.4826 * mad + 1e-9) END AS z FROM done JOIN bm2 ON done.unit = bm2.unit), aa AS (SELECT *, coalesce(z > 1.5, false) AS alert FROM az), ai AS (SELECT *, sum(CASE WHEN alert THEN 0 ELSE 1 END) OVER (PARTITION BY unit ORDER BY \"window\" ROWS UNBOUNDED PRECEDING) AS island FROM aa), ap AS (SELECT *, alert AND sum(CASE WHEN alert THEN 1 ELSE 0 END) OVER (PARTITION BY unit, island ORDER BY \"window\" ROWS UNBOUNDED PRECEDING) >= 2 AS persisted FROM ai)"
-    return f"WITH {EV.replace('ev AS (SELECT', 'ev0 AS (SELECT', 1)}, ev AS (SELECT * FROM (SELECT *, max(us) OVER (PARTITION BY unit) AS newest FROM ev0) WHERE us <= newest - {LATE}000000), {seg(gap_s=GAP)}, {rest}{closed}{alerts}"
+    return monitor_sql(gap_s=GAP) + done + alerts
 
 
 STREAM = _stream_sql()
 
 
 def _streamed(spark, d):
-    """The events replayed in files of six days, every third row a file late, through a Parquet sink."""
-    e = events(spark, d).select("unit", "us", "t", "p", (F.floor(F.col("us") / (PART * 1_000_000)) + (F.col("event_id") % 3 == 0).cast("int")).alias("part"))
-    e = shared.written(e, "replay")
-    first, last = e.agg(F.min("part"), F.max("part")).first()
-    parts = [e.where(F.col("part") == k).drop("part") for k in range(first, last + 1)]  # six or so
+    """The events replayed in files of six days, every third row a file late, through a Parquet sink; then a beat, so that
+    the watermark passes the newest row's gap."""
+    e = events(spark, d).select("unit", "us", "t", "p", (F.floor(F.col("us") / (PART * 1_000_000)) + (F.col("event_id") % 3 == 0).cast("int")).cast("int").alias("part"))
+    none = F.lit(None).cast("double")
+    beat = e.agg(F.max("us").alias("us"), F.max("part").alias("part")).select(F.lit(rolling.BEAT).alias("unit"), (F.col("us") + (LATE + GAP + 2) * 1_000_000).alias("us"), none.alias("t"), none.alias("p"), (F.col("part") + 1).alias("part"))
     folder = shared.new_path(spark, "stream")
     job = lambda stream: rolling.count_windows(stream, 8, GAP, DT, LATE, baseline=3, threshold=1.5)
-    return rolling.replayed(parts, f"{folder}/in", job, f"{folder}/out")
+    return rolling.replayed(e.unionByName(beat), "part", f"{folder}/in", job, f"{folder}/out", 1)
 
 
 @register("stream_rolling_tau", f"{STREAM} SELECT unit, \"window\", first_us, CAST(samples AS INTEGER) AS samples, {rd('tau', 'mean_p', 'mean_t', digits=5)} FROM ap")

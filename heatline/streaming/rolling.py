@@ -6,15 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.package import ship
 
 COLUMNS = ["unit", "window", "first_us", "samples", "tau", "mean_p", "mean_t", "z", "alert", "persisted"]
 OUT = "unit long, window long, first_us long, samples int, tau double, mean_p double, mean_t double, z double, alert boolean, persisted boolean"
-STATE = "us array<long>, t array<double>, p array<double>, seen long, windows long, base array<double>, alerts long"
+WAITING = "us long, t double, p double"
+STATE = "windows long, base array<double>, alerts long"
+#: The unit of rows that only move the watermark.
+BEAT = -(1 << 63)
+#: Fixed value: the class that keeps state on disk, which timers need.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def tau_of(t: np.ndarray, p: np.ndarray, dt: float) -> float | None:
@@ -27,9 +32,10 @@ def tau_of(t: np.ndarray, p: np.ndarray, dt: float) -> float | None:
     return -dt / float(np.log(alpha)) if 0 < alpha < 1 else None
 
 
-def windows_of(us: np.ndarray, finite: np.ndarray, samples: int, gap_s: float) -> tuple[list[tuple[int, int]], int]:
+def windows_of(us: np.ndarray, finite: np.ndarray, samples: int, gap_s: float, silent: bool = False) -> tuple[list[tuple[int, int]], int]:
     """(start, stop) of the windows that are closed among rows in order of time, and the row from which the open one gathers.
-    A gap or a missing value ends a run; a run's last window counts with over 0.6 of its samples once the run has ended."""
+    A gap or a missing value ends a run, as does silence after the last row; a run's last window counts with over 0.6 of
+    its samples once the run has ended."""
     least = int(0.6 * samples) + 1
     ends = (np.diff(us) // 1_000_000 > gap_s) | ~finite[1:] | ~finite[:-1]
     cuts = [0, *((ends).nonzero()[0] + 1).tolist(), len(us)]
@@ -37,7 +43,7 @@ def windows_of(us: np.ndarray, finite: np.ndarray, samples: int, gap_s: float) -
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a == b or not finite[a]:
             continue
-        last = b == len(us)
+        last = b == len(us) and not silent
         full = a + (b - a) // samples * samples
         out += [(k, k + samples) for k in range(a, full, samples)]
         if last:
@@ -47,48 +53,88 @@ def windows_of(us: np.ndarray, finite: np.ndarray, samples: int, gap_s: float) -
     return out, open_from
 
 
-def _count_windows(samples: int, gap_s: float, dt: float, late_s: float, baseline: int, threshold: float, persist: int):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else ([], [], [], -(1 << 62), 0, [], 0)
-        rows = pd.concat([pd.DataFrame({"us": held[0], "t": held[1], "p": held[2]}, dtype=float).astype({"us": "int64"}), *(f[["us", "t", "p"]] for f in frames)])
-        seen, windows, base, alerts = held[3], held[4], list(held[5]), held[6]
-        fresh = np.arange(len(rows)) < len(held[0])  # what waits may be as old as it likes
-        rows = rows[fresh | (rows["us"].to_numpy() >= seen)].sort_values("us", kind="stable")
+class CountWindows(StatefulProcessor):
+    """Of a unit: the rows whose window is open or that the watermark hasn't reached (a list), and how many windows there were,
+    the baseline and the alerts in a row (a value). Rows at or before the watermark are complete, and are taken in order of
+    time when rows of the unit come, or when its timer fires: once the watermark has passed the gap after its newest row."""
+
+    def __init__(self, samples: int, gap_s: float, dt: float, baseline: int, threshold: float, persist: int):
+        self.samples, self.gap_s, self.dt, self.baseline, self.threshold, self.persist = samples, gap_s, dt, baseline, threshold, persist
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.seen = handle.getValueState("seen", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] == BEAT:
+            for _ in rows:
+                pass
+            return
+        fresh = [f[["us", "t", "p"]] for f in rows]
+        yield from self.advance(key, fresh, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.advance(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def advance(self, key, fresh: list[pd.DataFrame], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.waiting.get()), columns=["us", "t", "p"])
+        rows = pd.concat([held.astype({"us": "int64", "t": float, "p": float}), *fresh]).sort_values("us", kind="stable")
         us, t, p = rows["us"].to_numpy(np.int64), rows["t"].to_numpy(float), rows["p"].to_numpy(float)
-        ready = int(np.searchsorted(us, us[-1] - int(late_s * 1_000_000), side="right")) if len(us) else 0
-        closed, rest = windows_of(us[:ready], (np.isfinite(t) & np.isfinite(p))[:ready], samples, gap_s)
+        windows, base, alerts = (self.seen.get() if self.seen.exists() else None) or (0, [], 0)
+        base = list(base)
+        now = watermark_ms * 1000
+        ready = int(np.searchsorted(us, now, side="right"))
+        # whole seconds, as gaps are
+        silent = ready == len(us) > 0 and (now - int(us[-1])) // 1_000_000 > self.gap_s
+        closed, rest = windows_of(us[:ready], (np.isfinite(t) & np.isfinite(p))[:ready], self.samples, self.gap_s, silent)
         out = []
         for a, b in closed:
-            tau = tau_of(t[a:b], p[a:b], dt)
+            tau = tau_of(t[a:b], p[a:b], self.dt)
             if tau is None:
                 continue
             windows += 1
             z, alert = float("nan"), False
-            if len(base) < baseline:
+            if len(base) < self.baseline:
                 base.append(tau)
-            elif baseline:
+            elif self.baseline:
                 med = float(np.median(base))
                 z = abs(tau - med) / (1.4826 * float(np.median(np.abs(np.array(base) - med))) + 1e-9)
-                alert = z > threshold
+                alert = z > self.threshold
                 alerts = alerts + 1 if alert else 0
-            out.append((key[0], windows, int(us[a]), b - a, tau, float(p[a:b].mean()), float(t[a:b].mean()), z, alert, alert and alerts >= persist))
-        seen = max(seen, int(us[ready - 1])) if ready else seen
-        state.update((us[rest:].tolist(), t[rest:].tolist(), p[rest:].tolist(), seen, windows, base, alerts))
+            out.append((key[0], windows, int(us[a]), b - a, tau, float(p[a:b].mean()), float(t[a:b].mean()), z, alert, alert and alerts >= self.persist))
+        self.seen.update((windows, base, alerts))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rest < len(us):
+            self.waiting.put([(int(u), float(x), float(y)) for u, x, y in zip(us[rest:], t[rest:], p[rest:], strict=True)])
+            self.handle.registerTimer(max(watermark_ms + 1, int(us[-1]) // 1000 + int((self.gap_s + 1) * 1000) + 1))
+        else:
+            self.waiting.clear()
         if out:
             yield pd.DataFrame(out, columns=COLUMNS)
 
-    return run
+    def close(self) -> None:
+        pass
 
 
 def count_windows(stream: DataFrame, samples: int, gap_s: float, dt: float, late_s: float = 0.0, baseline: int = 0, threshold: float = 3.5, persist: int = 2) -> DataFrame:
     """Windows of `samples` rows of each unit's runs, emitted as they close: tau, and, against the first `baseline` windows,
     the robust z, an alert and whether it is the persist-th in a row or later (the ones before it were emitted unmarked).
 
-    Rows (unit, us, t, p) may come up to late_s out of order; older ones are dropped. State of a unit: its open window and
-    the rows of its last late_s."""
+    Rows (unit, us, t, p) may come up to late_s behind the newest of all units; older ones are dropped. State of a unit: its
+    open window and the rows that the watermark hasn't reached. A unit that falls silent has its last window closed once the
+    watermark has passed the gap; rows of the unit BEAT only move the watermark. The session must keep state by STORE."""
     ship(stream.sparkSession)
-    run = _count_windows(samples, gap_s, dt, late_s, baseline, threshold, persist)
-    return stream.groupBy("unit").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withColumn("_ts", F.timestamp_micros("us")).withWatermark("_ts", f"{int(late_s * 1000)} milliseconds")
+    return timed.groupBy("unit").transformWithStateInPandas(CountWindows(samples, gap_s, dt, baseline, threshold, persist), OUT, "append", "EventTime")
+
+
+def with_store(spark: SparkSession) -> SparkSession:
+    """A session beside this one whose streams keep state by STORE."""
+    own = spark.newSession()
+    own.conf.set(*STORE)
+    return own
 
 
 def sessions(stream: DataFrame, ts: str, keys: list[str], gap_s: int = 30, late: str = "1 minute") -> DataFrame:
@@ -96,12 +142,26 @@ def sessions(stream: DataFrame, ts: str, keys: list[str], gap_s: int = 30, late:
     return stream.withWatermark(ts, late).groupBy(*keys, F.session_window(ts, f"{gap_s} seconds").alias("s")).agg(F.count("*").alias("rows"), F.min(ts).alias("first"), F.max(ts).alias("last"))
 
 
-def replayed(batches: list[DataFrame], path: str, job, out: str) -> DataFrame:
-    """job(stream) over batches that arrive one by one as files below path; its rows go to Parquet at out, with a checkpoint beside them."""
-    spark = batches[0].sparkSession
-    for b in batches:
-        b.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+def replayed(rows: DataFrame, part: str, path: str, job, out: str, files: int = 8) -> DataFrame:
+    """job(stream) over rows that one job writes as files below path, by their `part` (a whole number), and that arrive in that
+    order, `files` of them at a time; the job's rows go to Parquet at out, with a checkpoint beside them."""
+    spark = rows.sparkSession
+    rows.repartition(part).write.partitionBy(part).parquet(path)
+    in_order(spark, path, part)
+    own = with_store(spark)
+    stream = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
     query = job(stream).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out)
+
+
+def in_order(spark: SparkSession, path: str, part: str) -> None:
+    """Give the files of each part a time of their own, which file streams go by: a second after the part before's."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(conf)
+    parts = sorted((int(s.getPath().getName().split("=")[1]), s.getPath()) for s in fs.listStatus(top) if s.getPath().getName().startswith(f"{part}="))  # names only
+    now = int(jvm.System.currentTimeMillis()) - 1000 * (len(parts) + 1)
+    for k, (_, folder) in enumerate(parts):
+        for status in fs.listStatus(folder):
+            fs.setTimes(status.getPath(), now + 1000 * k, -1)

@@ -156,17 +156,26 @@ def test_stream_in_any_order_of_files_equals_batch(spark, tmp_path):
     t, p = arx_series(0.8, 0.05, 2.0, n=300, noise=0.5)
     us = [int(x) * 1_000_000 for x in np.cumsum(rng.choice([10, 10, 10, 10, 200], 300))]
     t[40] = t[41] = float("nan")
-    rows = series(spark, t, p, us)
     order = np.argsort(np.arange(300) + rng.uniform(0, 20, 300))  # up to 20 places late
-    parts = [rows.where(F.col("us").isin([int(us[k]) for k in order[a : a + 60]])) for a in range(0, 300, 60)]
+    rows = series(spark, t, p, us).join(spark.createDataFrame([(int(us[k]), place // 60) for place, k in enumerate(order.tolist())], "us long, part int"), "us").select("unit", "us", "t", "p", "part")
     late = 20 * 200.0
-    got = rolling.replayed(parts, str(tmp_path / "in"), lambda s: rolling.count_windows(s, 8, 60, 10.0, late), str(tmp_path / "out")).orderBy("window").collect()
-    old = rows.where(F.col("us") <= int(us[-1] - late * 1_000_000))
-    batch = monitor.rolling(runs.finite_runs(segmented(old, 60), U, "us", "t", "p"), U, 10.0, 8).orderBy("ord").collect()
-    n = len(got)
-    assert len(batch) - 1 <= n <= len(batch) and n > 5
-    assert [r["tau"] for r in got] == pytest.approx([r["tau"] for r in batch[:n]])
-    assert [r["samples"] for r in got] == [r["samples"] for r in batch[:n]] and any(r["samples"] < 8 for r in got)
+    silent = spark.createDataFrame([(2, us[k], float(t[k + 50]), float(p[k + 50]), 0) for k in range(40)], rows.schema)  # another unit, which ends early
+    job = lambda s: rolling.count_windows(s, 8, 60, 10.0, late, baseline=3, threshold=1.0)
+    both = rows.unionByName(silent)
+    whole = {u: monitor.rolling(runs.finite_runs(segmented(both.where(F.col("unit") == u), 60), U, "us", "t", "p"), U, 10.0, 8).orderBy("ord").collect() for u in (1, 2)}
+    for beat in (False, True):
+        fed = both.unionByName(spark.createDataFrame([(rolling.BEAT, us[-1] + int((late + 62) * 1_000_000), None, None, 9)], rows.schema)) if beat else both
+        got = rolling.replayed(fed, "part", str(tmp_path / f"in{beat}"), job, str(tmp_path / f"out{beat}"), 1)
+        for u, batch in whole.items():
+            own = got.where(F.col("unit") == u).orderBy("window").collect()
+            n = len(own)
+            assert n == len(batch) if beat or u == 2 else 5 < n < len(batch)  # what falls silent is closed without a beat
+            assert [r["tau"] for r in own] == pytest.approx([r["tau"] for r in batch[:n]])
+            assert [r["samples"] for r in own] == [r["samples"] for r in batch[:n]]
+            assert [r["window"] for r in own] == list(range(1, n + 1))
+            base = np.array([r["tau"] for r in own[:3]])
+            z = [abs(r["tau"] - np.median(base)) / (1.4826 * np.median(np.abs(base - np.median(base))) + 1e-9) for r in own[3:]]
+            assert [r["z"] for r in own[3:]] == pytest.approx(z) and any(r["persisted"] for r in own) == any(a > 1 and b > 1 for a, b in zip(z, z[1:]))
 
 
 def test_session_stream_equals_segments(spark, tmp_path):
