@@ -12,8 +12,8 @@ from ..functions.scalar import correlation_of, effective, squares_about_mean, ti
 #: Of a group's (t, p, y): rows, means, and sums of products of distances from the means.
 MOMENTS = ("n", "mt", "mp", "my", "ctt", "ctp", "cpp", "cty", "cpy", "cyy")
 CROSS = MOMENTS[4:]
-#: A determinant below this part of its terms is rounding.
-SINGULAR = 1e-12
+#: A determinant below this part of its terms is rounding, and so is a sum of squares below this part of what it is the rest of.
+SINGULAR, ROUNDING = 1e-11, 1e-13
 
 
 def moments() -> list[Column]:
@@ -26,12 +26,14 @@ def of_sums(n: Column, sums: dict[str, Column], products: dict[str, Column], ori
     """The moments from sums of (t, p, y) and of their products, both taken from `origin` on (zero if none), which should be near."""
     mean = {x: F.try_divide(sums[x], n) for x in "tpy"}
     means = [(mean[x] + origin[x] if origin else mean[x]).alias(f"m{x}") for x in "tpy"]
-    return [n.alias("n"), *means, *[(products[c] - sums[c[1]] * mean[c[2]]).alias(c) for c in CROSS]]
+    rest = {c: products[c] - sums[c[1]] * mean[c[2]] for c in CROSS}
+    rest |= {c: F.when(rest[c] > ROUNDING * products[c], rest[c]).otherwise(F.when(n > 0, 0.0)) for c in ("ctt", "cpp", "cyy")}
+    return [n.alias("n"), *means, *[rest[c].alias(c) for c in CROSS]]
 
 
 def united(blocks: DataFrame, keys: list[str], order: str, others: list[str], combine: Callable[[Column], Column]) -> DataFrame:
-    """(keys, others, moments) of unions of a key's blocks. `combine` adds (or subtracts) a column over the blocks of a union;
-    what it gets are sums taken from the mean of the key's first block on, so that nothing cancels."""
+    """(keys, others, moments) of unions of a key's blocks. `combine` adds a column over the blocks of a union; what it gets are
+    sums taken from the mean of the key's first block on, so that nothing cancels."""
     first = Window.partitionBy(*keys).orderBy(order)
     n = F.col("n")
     out = blocks.withColumns({f"_{x}": F.first(f"m{x}").over(first) for x in "tpy"})
@@ -47,7 +49,7 @@ def solved(df: DataFrame) -> DataFrame:
     """Adds alpha, beta, gamma from the moments (null where singular), i00, the (t, t) entry of the inverse, and rss."""
     n, mt, mp, my, ctt, ctp, cpp, cty, cpy, cyy = (F.col(c) for c in MOMENTS)
     out = df.withColumn("_det", ctt * cpp - ctp * ctp)
-    det = F.when(F.col("_det") > SINGULAR * ctt * cpp, F.col("_det"))
+    det = F.when((n > 2) & (F.col("_det") > SINGULAR * ctt * cpp), F.col("_det"))
     out = out.withColumn("alpha", F.try_divide(cty * cpp - cpy * ctp, det)).withColumn("beta", F.try_divide(cpy * ctt - cty * ctp, det))
     out = out.withColumn("gamma", my - F.col("alpha") * mt - F.col("beta") * mp)
     rss = F.greatest(cyy - F.col("alpha") * cty - F.col("beta") * cpy, F.lit(0.0))

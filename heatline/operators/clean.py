@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import correlation_of, finite, node_hours, out_of_range, percent
-from ..sources.shared import remove, stored
-from .population import percentiles
+from .population import mode_of, quantiles, value_counts
 
 GRID_S, GAP_S, STEP_FLAG = 10, 30, 5.0
 
@@ -65,9 +64,9 @@ def median_gap_segments(df: DataFrame, keys: list[str], us: str, factor: float =
     """Rows with `seg`: a step of over `factor` medians of the key's steps begins another; segments of fewer than `least` rows go."""
     w = Window.partitionBy(*keys).orderBy(us)
     stepped = df.withColumn("_dt", (F.col(us) - F.lag(us).over(w)) / 1_000_000.0)
-    median = F.median("_dt").over(Window.partitionBy(*keys))
+    median = quantiles(value_counts(stepped, keys, "_dt"), keys, {"_m": 0.5})
     opens = F.coalesce((F.col("_dt") > factor * F.col("_m")).cast("long"), F.lit(0).cast("long"))
-    marked = stepped.withColumn("_m", median).withColumn("seg", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = stepped.join(median, keys, "left").withColumn("seg", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "seg"))).where(F.col("_n") >= least).drop("_dt", "_m", "_n")
 
 
@@ -113,13 +112,15 @@ def temporal_audit(segmented: DataFrame, keys: list[str], us: str, grid_s: int =
     step = F.when(F.col("dt_s") <= gap_s, F.col("dt_s"))
     sizes = segmented.groupBy(*keys, "segment_id").agg(F.count("*").alias("len")).groupBy(*keys).agg(F.max("len").alias("longest"))
     out = segmented.groupBy(*keys).agg(
-        F.count("*").alias("rows"), F.mode(step, True).alias("dominant_dt_s"), F.median(step).alias("median_dt_s"),
+        F.count("*").alias("rows"),
         percent(F.count_if(step == grid_s), F.count(step)).alias("pct_on_grid"), (F.count("*") - F.count_distinct(us)).alias("remaining_duplicate_ts"),
         (F.max("segment_id") + 1).alias("segments"), F.count_if((F.col("dt_s") > grid_s) & (F.col("dt_s") <= gap_s)).alias("short_gaps"), F.count_if(F.col("dt_s") > gap_s).alias("large_gaps"),
         F.coalesce(F.max("dt_s"), F.lit(0).cast("long")).alias("max_gap_s"), F.coalesce(F.min("dt_s") > 0, F.lit(True)).alias("monotonic"),
         node_hours(F.count("*"), grid_s).alias("node_hours"),
     )
-    return out.join(sizes, keys).withColumn("longest_segment_hours", node_hours(F.col("longest"), grid_s)).drop("longest")
+    steps = value_counts(segmented, keys, step)
+    typical = mode_of(steps, keys, "dominant_dt_s").join(quantiles(steps, keys, {"median_dt_s": 0.5}), keys).withColumn("dominant_dt_s", F.col("dominant_dt_s").cast("long"))
+    return out.join(sizes, keys).join(typical, keys, "left").withColumn("longest_segment_hours", node_hours(F.col("longest"), grid_s)).drop("longest")
 
 
 def physical_audit(segmented: DataFrame, keys: list[str], us: str, temp: str, power: str, low: float = 0.0, high: float = 125.0, step_flag: float = STEP_FLAG, least: int = 100) -> DataFrame:
@@ -168,10 +169,8 @@ def policy_report(bins: DataFrame, keys: list[str], grid_s: int = GRID_S) -> Dat
 
 
 def policy_totals(bins: DataFrame) -> DataFrame:
-    """One row over all keys. The spreads of merged bins are as many as readings, so their percentiles are found in passes."""
-    kept, path = stored(bins.select("n", F.when(F.col("n") > 1, F.col("spread")).alias("spread")), "policy")
-    median, high = percentiles(kept, "spread", (0.5, 0.99))
+    """One row over all keys, with the median and p99 of the spreads of merged bins, which are as many as readings."""
+    spreads = value_counts(bins.where("n > 1"), [], "spread")
     before, after = F.sum("n"), F.count("*")
-    row = kept.agg(before.alias("rows_before"), after.alias("rows_after"), (before - after).alias("removed"), percent(before - after, before).alias("pct_removed")).first()
-    remove(bins.sparkSession, path)
-    return bins.sparkSession.createDataFrame([(*row, median, high)], "rows_before long, rows_after long, removed long, pct_removed double, spread_median double, spread_p99 double")
+    totals = bins.agg(before.alias("rows_before"), after.alias("rows_after"), (before - after).alias("removed"), percent(before - after, before).alias("pct_removed"))
+    return totals.crossJoin(quantiles(spreads, [], {"spread_median": 0.5, "spread_p99": 0.99}))  # a row each

@@ -17,41 +17,45 @@ def summary(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFr
     return df.groupBy(*keys).agg(*parts) if keys else df.agg(*parts)
 
 
-#: Values that one task may sort for a percentile of readings, and ranges that each pass counts.
-SORTED, RANGES = 1_000_000, 4096
-
-
-def percentiles(df: DataFrame, column: str, qs: tuple[float, ...], most: int = SORTED) -> list[float | None]:
-    """Exact percentiles (linear between neighbours) of the finite values of a column of readings, whatever their number:
-    each pass counts equal ranges within the one that holds the wanted place, until the range has few enough values or one.
-    df should be cheap to read again."""
-    values = df.select(F.col(column).cast("double").alias("v")).where(finite(F.col("v")))
-    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None] * len(qs)
-
-    def at(place: int) -> float:
-        lo, hi, skipped, count = low, high, 0, n
-        while count > most and lo < hi:
-            bucket = F.least(F.floor((F.col("v") - lo) / (hi - lo) * RANGES), F.lit(RANGES - 1))
-            rows = sorted(map(tuple, values.where(F.col("v").between(lo, hi)).groupBy(bucket.alias("b")).agg(F.count("*"), F.min("v"), F.max("v")).collect()))  # at most RANGES rows
-            for _, size, least, greatest in rows:
-                if skipped + size > place:
-                    lo, hi, count = least, greatest, size
-                    break
-                skipped += size
-        if lo == hi:
-            return lo
-        rest = values.where(F.col("v").between(lo, hi)).groupBy("v").count()
-        order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` values
-        return rest.withColumn("c", F.sum("count").over(order)).where(F.col("c") > place - skipped).agg(F.min("v")).first()[0]
-
-    out = []
-    for q in qs:
-        x = q * (n - 1)
-        a = at(int(x))
-        out.append(a if x == int(x) else a + (at(int(x) + 1) - a) * (x - int(x)))
-    return out
+#: Ranges that a key's values are cut into: a task sorts the distinct values of some of them, never all of a key's.
+RANGES = 4096
+
+
+def value_counts(df: DataFrame, keys: list[str], column: str | Column) -> DataFrame:
+    """(keys, v, w): each finite value of readings and how often it comes, with map-side sums."""
+    v = (F.col(column) if isinstance(column, str) else column).cast("double")
+    return df.select(*keys, v.alias("v")).where(finite(F.col("v"))).groupBy(*keys, "v").agg(F.count("*").alias("w"))
+
+
+def placed_values(counts: DataFrame, keys: list[str], ranges: int = RANGES) -> DataFrame:
+    """value_counts() with `n`, a key's values, and `before`, how many of them are less. A key's span is cut into equal ranges;
+    their sizes are summed in order, a row each, and a task orders the values of a range."""
+    span = counts.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("w").alias("n"))
+    share = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * ranges), F.lit(ranges - 1))).otherwise(0)
+    rows = counts.join(span, keys).withColumn("_b", share.cast("int")).drop("_lo", "_hi")
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys, "_b").agg(F.sum("w").alias("_w")).select(*keys, "_b", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_skip"))
+    own = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(sizes, [*keys, "_b"]).select(*keys, "v", "w", "n", (F.col("_skip") + F.coalesce(F.sum("w").over(own), F.lit(0))).alias("before"))
+
+
+def quantiles(counts: DataFrame, keys: list[str], qs: dict[str, float], ranges: int = RANGES) -> DataFrame:
+    """(keys, a column for each name): exact quantiles, linear between neighbours, of what value_counts() counted; without keys
+    one row, of nulls if there are no values."""
+    own = keys or ["_all"]
+    rows = placed_values(counts if keys else counts.withColumn("_all", F.lit(0)), own, ranges)
+    parts = []
+    for name, q in qs.items():
+        x = F.lit(float(q)) * (F.col("n") - 1)
+        at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("w")), F.col("v")))
+        low, high = at(F.floor(x)), at(F.ceil(x))
+        parts.append((low + (high - low) * F.max(x - F.floor(x))).alias(name))
+    return rows.groupBy(*keys).agg(*parts) if keys else rows.agg(*parts)
+
+
+def mode_of(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): the value that comes most often, the least among equals."""
+    return counts.groupBy(*keys).agg(F.max_by("v", F.struct("w", -F.col("v"))).alias(name))
 
 
 def dispersion(stats: DataFrame) -> DataFrame:

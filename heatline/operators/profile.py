@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import column_role, correlation_of, finite, out_of_range, percent
+from .population import mode_of, quantiles, value_counts
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -39,25 +40,32 @@ def interval_histogram(df: DataFrame, keys: list[str], us: str, k: int = 5) -> D
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def interval_mode(df: DataFrame, keys: list[str], us: str) -> DataFrame:
+    """The dominant step of each key, ties to the smaller."""
+    return mode_of(value_counts(intervals(df, keys, us), keys, "dt"), keys, "dt_dominant")
+
+
 def sampling_summary(df: DataFrame, keys: list[str], us: str) -> DataFrame:
-    """Least, greatest, median and dominant step; steps off the dominant one; gaps of over three of it."""
-    steps = intervals(df, keys, us)
-    dominant = steps.groupBy(*keys).agg(F.mode("dt", True).alias("dominant"))
-    joined = steps.join(dominant, keys)
-    d = F.col("dominant")
-    return joined.groupBy(*keys).agg(
-        F.min("dt").alias("dt_min"), F.max("dt").alias("dt_max"), F.median("dt").alias("dt_median"), F.first("dominant").alias("dt_dominant"),
-        percent(F.count_if(F.col("dt") != d), F.count("*")).alias("pct_deviating"), F.count_if(F.col("dt") > 3 * d).alias("gaps"), F.count_if((F.col("dt") != d) & (F.col("dt") <= 3 * d)).alias("irregular"),
+    """Least, greatest, median and dominant step; steps off the dominant one; gaps of over three of it. All from the counts of
+    distinct steps."""
+    steps = value_counts(intervals(df, keys, us), keys, "dt")
+    dominant, median = mode_of(steps, keys, "dt_dominant"), quantiles(steps, keys, {"dt_median": 0.5})
+    v, d = F.col("v"), F.col("dt_dominant")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0))
+    out = steps.join(dominant, keys).groupBy(*keys).agg(
+        F.min("v").alias("dt_min"), F.max("v").alias("dt_max"), F.max(d).alias("dt_dominant"), percent(total(v != d), F.sum("w")).alias("pct_deviating"),
+        total(v > 3 * d).alias("gaps"), total((v != d) & (v <= 3 * d)).alias("irregular"),
     )
+    return out.join(median, keys).select(*keys, "dt_min", "dt_max", "dt_median", "dt_dominant", "pct_deviating", "gaps", "irregular")
 
 
 def quick_audit(df: DataFrame, keys: list[str], us: str) -> DataFrame:
     """Median, p05 and p95 steps, gaps of over three medians, span in hours."""
-    steps = intervals(df, keys, us)
-    median = steps.groupBy(*keys).agg(F.median("dt").alias("dt_median"), F.percentile("dt", 0.05).alias("dt_p05"), F.percentile("dt", 0.95).alias("dt_p95"))
-    gaps = steps.join(median, keys).groupBy(*keys).agg(F.count_if(F.col("dt") > 3 * F.col("dt_median")).alias("gaps"))
+    steps = value_counts(intervals(df, keys, us), keys, "dt")
+    of = quantiles(steps, keys, {"dt_median": 0.5, "dt_p05": 0.05, "dt_p95": 0.95})
+    gaps = steps.join(of, keys).groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("v") > 3 * F.col("dt_median"), F.col("w"))), F.lit(0)).alias("gaps"))
     span = df.groupBy(*keys).agg(F.count("*").alias("rows"), ((F.max(us) - F.min(us)) / 3.6e9).alias("span_hours"))
-    return span.join(median, keys).join(gaps, keys)
+    return span.join(of, keys).join(gaps, keys)
 
 
 def pair_quality(df: DataFrame, keys: list[str], temp: str, power: str) -> DataFrame:

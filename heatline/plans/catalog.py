@@ -11,7 +11,7 @@ from ..functions import scalar
 from ..operators import arx, clean, evaluate, monitor, population, profile, report, resample, runs
 from ..sources import shared, telemetry
 from ..streaming import rolling
-from .fixture import BASE, DT, EV, FITS, MOMENTS, PAIRS, RESID, RUNS, corr, events, hourly, rounded, seg, segmented, solve, tau, unit_fits, unit_pairs, unit_runs, with_faults
+from .fixture import BASE, DT, EV, FITS, MOMENTS, PAIRS, RESID, RUNS, SUMS, corr, events, hourly, rounded, seg, segmented, solve, tau, unit_fits, unit_pairs, unit_runs, with_faults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,7 +70,7 @@ DIFF = f"WITH {EV}, {HOURLY}, x AS (SELECT event_type, (us - lag(us) OVER (PARTI
 
 @register("interval_mode", f"{DIFF} SELECT event_type, dominant AS dt_dominant FROM md")
 def interval_mode(spark, d):
-    return profile.intervals(hourly(events(spark, d), "event_type"), ["event_type"], "us").groupBy("event_type").agg(F.mode("dt", True).alias("dt_dominant"))
+    return profile.interval_mode(hourly(events(spark, d), "event_type"), ["event_type"], "us")
 
 
 @register("interval_histogram_topk", f"{DIFF} SELECT event_type, dt, n, CAST(rank AS INTEGER) AS rank FROM (SELECT event_type, dt, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, dt) AS rank FROM d GROUP BY 1, 2) WHERE rank <= 5")
@@ -411,7 +411,7 @@ def _blocked_pairs(spark, d):
     return runs.lead_pairs(runs.with_blocks(unit_runs(spark, d), U, "us", seconds=DAY), U)
 
 
-CV = f"{BLOCKS}, bm AS (SELECT unit, block, {MOMENTS} FROM blk GROUP BY 1, 2), tr AS (SELECT unit, block, row_number() OVER (PARTITION BY unit ORDER BY block) AS fold, " + ", ".join(f"sum({m}) OVER (PARTITION BY unit ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {m}" for m in arx.MOMENTS) + f" FROM bm), tr2 AS (SELECT * FROM tr WHERE fold > 1), {solve('tr2', 'unit')}, te AS (SELECT blk.unit, blk.block, fit.n AS n_train, y, t, y - (alpha*t + beta*blk.p + gamma) AS r FROM blk JOIN fit ON blk.unit = fit.unit AND blk.block = fit.block WHERE alpha IS NOT NULL), cv AS (SELECT unit, block, CAST(min(n_train) AS BIGINT) AS n_train, count(*) AS n_test, sqrt(sum(r*r)/count(*)) AS rmse, sum(abs(r))/count(*) AS mae, 1.0::DOUBLE - sum(r*r) / nullif(sum(y*y) - sum(y)*sum(y)/count(*), 0) AS r2, 1.0::DOUBLE - sum(r*r) / nullif(sum((y-t)*(y-t)) - sum(y-t)*sum(y-t)/count(*), 0) AS increment_r2 FROM te GROUP BY 1, 2)"
+CV = f"{BLOCKS}, bm AS (SELECT unit, block, {MOMENTS} FROM blk GROUP BY 1, 2), tr AS (SELECT unit, block, row_number() OVER (PARTITION BY unit ORDER BY block) AS fold, " + ", ".join(f"sum({m}) OVER (PARTITION BY unit ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {m}" for m in SUMS) + f" FROM bm), tr2 AS (SELECT * FROM tr WHERE fold > 1), {solve('tr2', 'unit')}, te AS (SELECT blk.unit, blk.block, fit.n AS n_train, y, t, y - (alpha*t + beta*blk.p + gamma) AS r FROM blk JOIN fit ON blk.unit = fit.unit AND blk.block = fit.block WHERE alpha IS NOT NULL), cv AS (SELECT unit, block, CAST(min(n_train) AS BIGINT) AS n_train, count(*) AS n_test, sqrt(sum(r*r)/count(*)) AS rmse, sum(abs(r))/count(*) AS mae, 1.0::DOUBLE - sum(r*r) / nullif(sum(y*y) - sum(y)*sum(y)/count(*), 0) AS r2, 1.0::DOUBLE - sum(r*r) / nullif(sum((y-t)*(y-t)) - sum(y-t)*sum(y-t)/count(*), 0) AS increment_r2 FROM te GROUP BY 1, 2)"
 
 
 @register("expanding_cv", f"{CV} SELECT unit, block, n_train, n_test, {rd('rmse', 'mae', digits=3)}, {rd('r2', 'increment_r2', digits=4)} FROM cv")
@@ -697,12 +697,13 @@ def _analytic(spark, d):
 
 
 def _replicates(spark, d):
-    """(condition, unit, tau) of leave-one-block-out refits: sums of moments less those of one of eight interleaved blocks."""
+    """(condition, unit, tau) of leave-one-block-out refits: unions of moments but those of one of eight interleaved blocks."""
     pairs = _sweep_pairs(spark, d)
     keys = ["condition", "unit"]
     by = pairs.groupBy(*keys, "dt", (F.floor(F.col("idx") / 4) % 8).alias("left_out")).agg(*arx.moments())
-    w = Window.partitionBy(*keys)
-    rest = arx.united(by, keys, "left_out", ["dt"], lambda c: F.sum(c).over(w) - c)
+    w = Window.partitionBy(*keys).orderBy("left_out")
+    sides = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    rest = arx.united(by, keys, "left_out", ["dt"], lambda c: F.coalesce(F.sum(c).over(sides[0]), F.lit(0.0)) + F.coalesce(F.sum(c).over(sides[1]), F.lit(0.0)))
     return arx.solved(rest).select(*keys, F.when((F.col("alpha") > 0) & (F.col("alpha") < 1), -F.col("dt") / F.ln("alpha")).alias("tau"))
 
 
@@ -710,7 +711,7 @@ def _replicates_sql() -> str:
     parts = []
     for c in runs.CONDITIONS:
         k = c.code.lower()
-        parts.append(f"{k}b AS (SELECT unit, ((row_number() OVER (PARTITION BY unit, segment_id ORDER BY us) - 1) // 4) % 8 AS left_out, t, p, y FROM {k}p), {k}g AS (SELECT unit, left_out, {MOMENTS} FROM {k}b GROUP BY 1, 2), {k}h AS (SELECT unit, left_out, " + ", ".join(f"sum({m}) OVER (PARTITION BY unit) - {m} AS {m}" for m in arx.MOMENTS) + f" FROM {k}g), {solve(k + 'h', 'unit', k + 'j')}")
+        parts.append(f"{k}b AS (SELECT unit, ((row_number() OVER (PARTITION BY unit, segment_id ORDER BY us) - 1) // 4) % 8 AS left_out, t, p, y FROM {k}p), {k}g AS (SELECT unit, left_out, {MOMENTS} FROM {k}b GROUP BY 1, 2), {k}h AS (SELECT unit, left_out, " + ", ".join(f"sum({m}) OVER (PARTITION BY unit) - {m} AS {m}" for m in SUMS) + f" FROM {k}g), {solve(k + 'h', 'unit', k + 'j')}")
     union = " UNION ALL ".join(f"SELECT '{c.code}' AS condition, unit, {tau('alpha', c.dt)} AS tau FROM {c.code.lower()}j" for c in runs.CONDITIONS)
     return ", ".join(parts) + f", rp AS ({union})"
 

@@ -72,6 +72,7 @@ runs AS (SELECT * FROM j WHERE run_len >= 2)"""
 
 PAIR = """pairs AS (SELECT * FROM (SELECT *, lead(t) OVER (PARTITION BY unit, run_id ORDER BY idx) AS y FROM runs) WHERE y IS NOT NULL)"""
 
+SUMS = ("n", "st", "sp", "sy", "stt", "stp", "spp", "sty", "spy", "syy")
 MOMENTS = "CAST(count(*) AS DOUBLE) AS n, sum(t) AS st, sum(p) AS sp, sum(y) AS sy, sum(t*t) AS stt, sum(t*p) AS stp, sum(p*p) AS spp, sum(t*y) AS sty, sum(p*y) AS spy, sum(y*y) AS syy"
 
 
