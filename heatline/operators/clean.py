@@ -94,12 +94,35 @@ def within_segment_step(df: DataFrame, keys: list[str], us: str, column: str) ->
     return F.col(column) - F.lag(column).over(Window.partitionBy(*keys, "segment_id").orderBy(us))
 
 
-def null_runs(df: DataFrame, keys: list[str], us: str, column: str) -> DataFrame:
-    """Nulls, runs of them, the longest, runs of one, runs of over two."""
-    w = Window.partitionBy(*keys).orderBy(us)
+def chunked_islands(rows: DataFrame, keys: list[str], us: str, inside: Column, chunk_s: int) -> DataFrame:
+    """(keys, len) of each maximal stretch of a key's rows, in order of time, where `inside` holds. A task sorts one key's chunk
+    of time. A stretch within a chunk is whole; what touches a chunk's first or last row, two of a chunk at most, is put
+    together with what it touches in the key's next chunk."""
+    chunk = F.floor(F.col(us) / (chunk_s * 1_000_000))
+    own = Window.partitionBy(*keys, "_chunk")
+    marked = rows.select(*keys, us, chunk.alias("_chunk"), inside.alias("_in")).withColumns({
+        "_island": F.sum((~F.col("_in")).cast("long")).over(own.orderBy(us).rowsBetween(Window.unboundedPreceding, 0)), "_at": F.row_number().over(own.orderBy(us)), "_size": F.count("*").over(own),
+    })
+    chunks = marked.groupBy(*keys, "_chunk").agg(F.count("*").alias("_rows")).withColumn("_seq", F.row_number().over(Window.partitionBy(*keys).orderBy("_chunk"))).drop("_rows")
+    parts = marked.where("_in").groupBy(*keys, "_chunk", "_island").agg(F.count("*").alias("len"), (F.min("_at") == 1).alias("_opens"), (F.max("_at") == F.max("_size")).alias("_closes"))
+    whole = parts.where("not _opens and not _closes").select(*keys, "len")
+    order = Window.partitionBy(*keys).orderBy("_seq", "_island")
+    edges = parts.where("_opens or _closes").join(chunks, [*keys, "_chunk"])
+    follows = F.col("_opens") & F.lag("_closes").over(order) & (F.lag("_seq").over(order) == F.col("_seq") - 1)
+    named = edges.withColumn("_fresh", ~F.coalesce(follows, F.lit(False))).withColumn("_g", F.sum(F.col("_fresh").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return whole.unionByName(named.groupBy(*keys, "_g").agg(F.sum("len").alias("len")).drop("_g"))
+
+
+def null_runs(df: DataFrame, keys: list[str], us: str, column: str, chunk_s: int | None = None) -> DataFrame:
+    """Nulls, runs of them, the longest, runs of one, runs of over two. A key's history is one task's; with chunk_s, so long a
+    chunk of it is."""
     missing = F.col(column).isNull()
-    marked = df.select(*keys, us, missing.alias("m"), F.sum((~missing).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
-    runs = marked.where("m").groupBy(*keys, "island").agg(F.count("*").alias("len"))
+    if chunk_s:
+        runs = chunked_islands(df, keys, us, missing, chunk_s)
+    else:
+        w = Window.partitionBy(*keys).orderBy(us)
+        marked = df.select(*keys, us, missing.alias("m"), F.sum((~missing).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
+        runs = marked.where("m").groupBy(*keys, "island").agg(F.count("*").alias("len"))
     totals = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(missing.cast("long")).alias("nulls"))
     stats = runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.max("len").alias("max_run"), F.count_if(F.col("len") == 1).alias("isolated"), F.count_if(F.col("len") > 2).alias("clustered_gt2"))
     out = totals.join(stats, keys, "left")

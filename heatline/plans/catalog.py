@@ -168,6 +168,12 @@ def null_run_lengths(spark, d):
     return clean.null_runs(with_faults(events(spark, d)), U, "us", "t")
 
 
+@register("chunked_null_runs", ORACLE_SQL["null_run_lengths"])
+def chunked_null_runs(spark, d):
+    """The same in chunks of three days."""
+    return clean.null_runs(with_faults(events(spark, d)), U, "us", "t", 3 * 86_400)
+
+
 POLICY = f"WITH {EV}, pb AS (SELECT event_type, CAST(floor(us / 3600000000) AS BIGINT) AS hour, count(*) AS n, max(t) - min(t) AS spread, sum(t) / count(*) AS mean, arg_min(t, event_id) AS first FROM ev GROUP BY 1, 2)"
 
 

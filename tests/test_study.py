@@ -128,6 +128,21 @@ def test_chunks_of_time_give_the_same_segments(spark, chunk):
     assert key(clean.chunked_segments(rows, U, "us", 60, chunk)) == key(segmented(rows, 60))
 
 
+@pytest.mark.parametrize("chunk", [10, 25, 70, 10_000])
+def test_chunks_of_time_give_the_same_null_runs(spark, chunk):
+    rng = np.random.default_rng(9)
+    us = [int(x) * 1_000_000 for x in np.cumsum(rng.choice([10, 20, 90], 300))]
+    held, t = True, []
+    for _ in range(300):
+        held = held if rng.random() < 0.7 else not held
+        t.append(1.0 if held else None)
+    rows = series(spark, t, [1.0] * 300, us).withColumn("unit", F.col("us") % 3)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(clean.null_runs(rows, U, "us", "t", chunk)) == key(clean.null_runs(rows, U, "us", "t"))
+    nothing = rows.withColumn("t", F.lit(None).cast("double"))
+    assert {r["runs"] for r in clean.null_runs(nothing, U, "us", "t", chunk).collect()} == {1}
+
+
 @pytest.mark.parametrize("chunk", [25, 70, 10_000])
 def test_chunks_of_time_give_the_same_pairs(spark, chunk):
     rng = np.random.default_rng(6)
