@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import correlation_of, finite, node_hours, out_of_range, percent
 from .population import mode_of, quantiles, value_counts
+from .scan import carried, time_chunk
 
 GRID_S, GAP_S, STEP_FLAG = 10, 30, 5.0
 
@@ -94,6 +95,12 @@ def within_segment_step(df: DataFrame, keys: list[str], us: str, column: str) ->
     return F.col(column) - F.lag(column).over(Window.partitionBy(*keys, "segment_id").orderBy(us))
 
 
+def chunked_steps(df: DataFrame, keys: list[str], us: str, column: str, name: str, chunk_s: int) -> DataFrame:
+    """df with the step of a column since the row before of its segment, as within_segment_step() gives it, in chunks of time."""
+    rows = carried(df, keys, [us], time_chunk(us, chunk_s), lasts={"_before": F.struct("segment_id", F.col(column).alias("v"))})
+    return rows.withColumn(name, F.when(F.col("_before.segment_id") == F.col("segment_id"), F.col(column) - F.col("_before.v"))).drop("_before")
+
+
 def chunked_islands(rows: DataFrame, keys: list[str], us: str, inside: Column, chunk_s: int) -> DataFrame:
     """(keys, len) of each maximal stretch of a key's rows, in order of time, where `inside` holds. A task sorts one key's chunk
     of time. A stretch within a chunk is whole; what touches a chunk's first or last row, two of a chunk at most, is put
@@ -146,9 +153,10 @@ def temporal_audit(segmented: DataFrame, keys: list[str], us: str, grid_s: int =
     return out.join(sizes, keys).join(typical, keys, "left").withColumn("longest_segment_hours", node_hours(F.col("longest"), grid_s)).drop("longest")
 
 
-def physical_audit(segmented: DataFrame, keys: list[str], us: str, temp: str, power: str, low: float = 0.0, high: float = 125.0, step_flag: float = STEP_FLAG, least: int = 100) -> DataFrame:
-    """Ranges, steps within segments (flagged, never dropped), and the correlation of power and temperature over `least` pairs."""
-    rows = segmented.withColumn("step", within_segment_step(segmented, keys, us, temp))
+def physical_audit(segmented: DataFrame, keys: list[str], us: str, temp: str, power: str, low: float = 0.0, high: float = 125.0, step_flag: float = STEP_FLAG, least: int = 100, chunk_s: int | None = None) -> DataFrame:
+    """Ranges, steps within segments (flagged, never dropped), and the correlation of power and temperature over `least` pairs.
+    A segment is one task's to sort; with chunk_s, so long a chunk of a key."""
+    rows = chunked_steps(segmented, keys, us, temp, "step", chunk_s) if chunk_s else segmented.withColumn("step", within_segment_step(segmented, keys, us, temp))
     both = finite(F.col(temp)) & finite(F.col(power))
     return rows.groupBy(*keys).agg(
         F.min(temp).alias("temp_min"), F.max(temp).alias("temp_max"), F.count_if(out_of_range(F.col(temp), low, high)).alias("temp_out_of_range"),

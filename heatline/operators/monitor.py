@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import correlation_of, time_constant
+from ..sources.shared import written
 from .arx import moments, solved
+from .population import quantiles, value_counts
+from .scan import numbered, stretches, time_chunk
 
 THRESHOLD, PERSIST, MIN_WINDOWS, MIN_HALF, EPS = 3.5, 2, 12, 4, 1e-9
 
@@ -15,16 +18,19 @@ def window_samples(window_s: float, dt: float) -> int:
     return max(8, round(window_s / dt))
 
 
-def rolling(runs: DataFrame, keys: list[str], dt: float, samples: int, us: str = "us") -> DataFrame:
+def rolling(runs: DataFrame, keys: list[str], dt: float, samples: int, us: str = "us", chunk_s: int | None = None) -> DataFrame:
     """Count-tumbling windows within runs: tau, mean power and temperature of each stable one, with at least 0.6 of
-    its samples and one; no pair crosses a window. Windows are numbered over what survives, in order of time."""
+    its samples and one; no pair crosses a window. Windows are numbered over what survives, in order of time: a key's in
+    one task, or, with chunk_s, those that begin in so long a chunk (of chunked_runs(), no task then sorts a history)."""
     least = int(0.6 * samples) + 1
-    run = Window.partitionBy(*keys, "run_id").orderBy("idx")
-    rows = runs.withColumn("win", F.floor(F.col("idx") / samples)).withColumn("y", F.when(F.floor((F.col("idx") + 1) / samples) == F.col("win"), F.lead("t").over(run)))
+    rows = runs.withColumn("win", F.floor(F.col("idx") / samples))
+    rows = rows.withColumn("y", F.lead("t").over(Window.partitionBy(*keys, "run_id", "win").orderBy("idx")))
     named = rows.groupBy(*keys, "run_id", "win").agg(F.min(us).alias("first_us"), F.count("*").alias("samples"), (F.sum("p") / F.count("*")).alias("mean_p"), (F.sum("t") / F.count("*")).alias("mean_t"))
     fits = solved(rows.where("y is not null").groupBy(*keys, "run_id", "win").agg(*moments()))
     out = named.where(F.col("samples") >= least).join(fits.select(*keys, "run_id", "win", "alpha"), [*keys, "run_id", "win"])
     out = out.withColumn("tau", time_constant(F.col("alpha"), float(dt))).where("tau is not null")
+    if chunk_s:
+        return numbered(written(out.drop("alpha"), "windows"), keys, ["run_id", "win"], time_chunk("first_us", chunk_s), "ord")
     return out.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("run_id", "win")).cast("long")).drop("alpha")
 
 
@@ -43,6 +49,22 @@ def scored(windows: DataFrame, keys: list[str], threshold: float = THRESHOLD, pe
     return rows.withColumn("persisted", F.col("alert") & (run >= persist)).drop("island")
 
 
+def chunked_scored(windows: DataFrame, keys: list[str], threshold: float = THRESHOLD, persist: int = PERSIST, min_windows: int = MIN_WINDOWS, min_half: int = MIN_HALF, size: int = 4096) -> DataFrame:
+    """scored() of any number of windows a key: medians come from counts of values, and runs of alerts are put together over
+    chunks of `size` windows. Windows and scores are written to the shared folder, as both are read again. A key of null or with a tau that is not finite takes no part."""
+    half = F.floor(F.col("n") / 2)
+    windows = written(windows, "windows")
+    sizes = windows.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") >= min_windows) & (half >= min_half) & (F.col("n") - half >= min_half))
+    rows = windows.join(sizes, keys).withColumn("baseline", F.col("ord") <= half)
+    middle = lambda df, c, name: quantiles(value_counts(df.where("baseline"), keys, c), keys, {name: 0.5})
+    rows = rows.join(middle(rows, "tau", "med"), keys).join(middle(rows, "mean_p", "p_med"), keys, "left")
+    rows = rows.withColumn("dev", F.abs(F.col("tau") - F.col("med")))
+    rows = rows.join(middle(rows, "dev", "mad"), keys).withColumn("z", F.col("dev") / (1.4826 * F.col("mad") + EPS)).withColumn("alert", F.col("z") > threshold)
+    rows = written(rows, "scores")
+    found = stretches(rows, [*keys, "baseline"], ["ord"], F.floor(F.col("ord") / size), "alert", "_len")
+    return found.withColumn("persisted", F.col("alert") & (F.col("_len") >= persist)).drop("_len")
+
+
 def unit_report(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Of each unit: baseline and later medians, alert rates of both halves, and the correlation of |z| with the shift in power."""
     base, later = F.col("baseline"), ~F.col("baseline")

@@ -21,10 +21,11 @@ def summary(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFr
 RANGES = 4096
 
 
-def value_counts(df: DataFrame, keys: list[str], column: str | Column) -> DataFrame:
-    """(keys, v, w): each finite value of readings and how often it comes, with map-side sums."""
+def value_counts(df: DataFrame, keys: list[str], column: str | Column, weight: str | None = None) -> DataFrame:
+    """(keys, v, w): each finite value of readings and how often it comes (each row `weight` times), with map-side sums."""
     v = (F.col(column) if isinstance(column, str) else column).cast("double")
-    return df.select(*keys, v.alias("v")).where(finite(F.col("v"))).groupBy(*keys, "v").agg(F.count("*").alias("w"))
+    rows = df.select(*keys, v.alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
+    return rows.where(finite(F.col("v"))).groupBy(*keys, "v").agg(F.sum("w").alias("w"))
 
 
 def placed_values(counts: DataFrame, keys: list[str], ranges: int = RANGES) -> DataFrame:
@@ -117,16 +118,32 @@ def ratio_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.median("ratio").alias("median"), F.percentile("ratio", 0.05).alias("p05"), F.percentile("ratio", 0.95).alias("p95"), F.min("ratio").alias("min"), F.max("ratio").alias("max"), ratio(F.percentile("value", 0.75) - F.percentile("value", 0.25), F.percentile("ref", 0.75) - F.percentile("ref", 0.25)).alias("iqr_ratio"))
 
 
-def average_rank(column: str, keys: list[str]) -> Column:
-    """Rank with ties at their mean."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(column)) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2.0
-
-
-def spearman(pairs: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
-    """Rank correlation of each group; the pairs of a group are unit-level rows."""
-    ranked = pairs.withColumn("_x", average_rank(x, keys)).withColumn("_y", average_rank(y, keys))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), correlation_of(F.col("_x"), F.col("_y")).alias("rho"))
+def with_average_ranks(rows: DataFrame, keys: list[str], columns: dict[str, str], weight: str | None = None, ranges: int = RANGES) -> DataFrame:
+    """rows with, for each name of `columns`, the rank of its column within keys: from 1, ties at their mean, each row counting
+    `weight` times. Ranks come from counts of distinct values in ranges of a key's span, so no task sorts a key's rows.
+    Values that are not finite have no rank; a key of null or a zero weight is not ranked with others."""
+    own = keys or ["_all"]
+    base = out = rows if keys else rows.withColumn("_all", F.lit(0))
+    for name, column in columns.items():
+        placed = placed_values(value_counts(base, own, column, weight), own, ranges)
+        ranks = placed.select(*own, F.col("v").alias("_v"), (F.col("before") + (F.col("w") + 1) / 2).alias(name))
+        out = out.withColumn("_v", F.col(column).cast("double")).join(ranks, [*own, "_v"], "left").drop("_v")
+    return out if keys else out.drop("_all")
+
+
+def spearman(pairs: DataFrame, x: str, y: str, keys: list[str], weight: str | None = None) -> DataFrame:
+    """n and the rank correlation of each group's pairs, those with both values finite; each counts `weight` times. Null where
+    either is constant, or for fewer than three pairs."""
+    both = pairs.where(finite(F.col(x).cast("double")) & finite(F.col(y).cast("double")))
+    ranked = with_average_ranks(both, keys, {"_x": x, "_y": y}, weight)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    # twice a rank is whole and the mean rank known, so the sums need no second pass
+    parts = ranked.groupBy(*keys).agg(F.sum(w).cast("long").alias("n"), *[F.sum(w * F.col(a) * F.col(b)).alias(f"_{a}{b}") for a, b in (("_x", "_x"), ("_x", "_y"), ("_y", "_y"))])
+    n = F.col("n").cast("double")
+    off = n * (n + 1) * (n + 1) / 4  # n times the square of the mean rank
+    xx, yy = F.col("__x_x") - off, F.col("__y_y") - off
+    rho = F.when((n > 2) & (xx > 0) & (yy > 0), (F.col("__x_y") - off) / (F.sqrt(xx) * F.sqrt(yy)))
+    return parts.select(*keys, "n", rho.alias("rho"))
 
 
 def top_units(df: DataFrame, unit: str, n: int) -> DataFrame:

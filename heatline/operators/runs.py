@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, quantize
+from ..sources.shared import written
+from .scan import carried, joined, time_chunk
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,20 @@ def finite_runs(df: DataFrame, keys: list[str], us: str, temp: str, power: str,
     return out.where(F.col("run_len") >= least).select(*keys, "run_id", "idx", us, F.col(temp).cast("double").alias("t"), F.col(power).cast("double").alias("p"), "run_len")
 
 
+def chunked_runs(segmented: DataFrame, keys: list[str], us: str, temp: str, power: str, chunk_s: int = 30 * 86_400, least: int = 2) -> DataFrame:
+    """finite_runs() in chunks of time, so that a task sorts one key's chunk of readings, not its history. Readings with their
+    runs are written to the shared folder once: what follows reads them twice."""
+    ok = finite(F.col(temp).cast("double")) & finite(F.col(power).cast("double"))
+    rows = segmented.select(*keys, "segment_id", us, F.col(temp).cast("double").alias("t"), F.col(power).cast("double").alias("p"), ok.alias("_ok"))
+    chunk = time_chunk(us, chunk_s)
+    before = carried(rows, keys, [us], chunk, lasts={"_before": F.struct("segment_id", "_ok")})
+    begins = (F.col("_ok") & F.coalesce((F.col("segment_id") != F.col("_before.segment_id")) | ~F.col("_before._ok"), F.lit(True))).cast("long")
+    scanned = carried(before, keys, [us], chunk, {"run_id": begins, "_place": F.col("_ok").cast("long")}).withColumn("run_id", F.col("run_id") + begins).where("_ok")
+    named = written(scanned.select(*keys, "run_id", us, "t", "p", "_place"), "runs")
+    starts = named.groupBy(*keys, "run_id").agg(F.count("*").alias("run_len"), F.min("_place").alias("_first")).where(F.col("run_len") >= least)
+    return joined(named, starts, [*keys, "run_id"]).select(*keys, "run_id", (F.col("_place") - F.col("_first")).alias("idx"), us, "t", "p", "run_len")
+
+
 def decimate(runs: DataFrame, keys: list[str], step: int = 2, least: int = 2) -> DataFrame:
     """Every step-th row of each run from its first; runs left with fewer than `least` go."""
     kept = runs.where(F.col("idx") % step == 0).withColumn("idx", F.floor(F.col("idx") / step)).withColumn("run_len", F.floor((F.col("run_len") + step - 1) / step))

@@ -11,7 +11,7 @@ from ..functions import scalar
 from ..operators import arx, clean, evaluate, monitor, population, profile, report, resample, runs
 from ..sources import shared, telemetry
 from ..streaming import rolling
-from .fixture import BASE, DT, EV, FITS, MOMENTS, PAIRS, RESID, RUNS, SUMS, corr, events, hourly, rounded, seg, segmented, solve, tau, unit_fits, unit_pairs, unit_runs, with_faults
+from .fixture import BASE, DT, EV, GAP_S, FITS, MOMENTS, PAIRS, RESID, RUNS, SUMS, corr, events, hourly, rounded, seg, segmented, solve, tau, unit_fits, unit_pairs, unit_runs, with_faults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -156,6 +156,13 @@ def physical_audit(spark, d):
     return rounded(_physical(spark, d)[1])
 
 
+@register("chunked_physical_audit", ORACLE_SQL["physical_audit"])
+def chunked_physical_audit(spark, d):
+    """The same in chunks of four days."""
+    rows = clean.chunked_segments(hourly(events(spark, d), "event_type"), ["event_type"], "us", 7200, 4 * 86_400).withColumn("w", F.col("n_merged").cast("double") - 2)
+    return rounded(clean.physical_audit(rows, ["event_type"], "us", "t_max", "w", 0.0, 30000.0, chunk_s=4 * 86_400))
+
+
 @register("fail_loud_gates", f"{SEGH}, {TEMPORAL}, {PHYSICAL} SELECT ta.event_type, concat_ws('; ', CASE WHEN remaining_duplicate_ts <> 0 THEN 'duplicate timestamps remain' END, CASE WHEN NOT monotonic THEN 'timestamps not strictly increasing' END, CASE WHEN dominant_dt_s <> 3600 THEN 'dominant step is off the grid' END, CASE WHEN temp_out_of_range > 0 THEN 'temperature out of range' END, CASE WHEN power_negative > 0 THEN 'negative power' END) AS failures FROM ta LEFT JOIN dm USING (event_type) JOIN pa USING (event_type)")
 def fail_loud_gates(spark, d):
     s, physical = _physical(spark, d)
@@ -225,6 +232,13 @@ def finite_runs(spark, d):
     return _faulty_runs(spark, d)
 
 
+@register("chunked_runs", ORACLE_SQL["finite_runs"])
+def chunked_runs(spark, d):
+    """The same in chunks of three days."""
+    rows = clean.chunked_segments(with_faults(events(spark, d)), U, "us", GAP_S, 3 * 86_400)
+    return runs.chunked_runs(rows, U, "us", "t", "p", 3 * 86_400)
+
+
 @register("decimate", f"{RUNS} SELECT unit, run_id, CAST(idx // 2 AS BIGINT) AS idx, us, t, p, CAST((run_len + 1) // 2 AS BIGINT) AS run_len FROM runs WHERE idx % 2 = 0 AND (run_len + 1) // 2 >= 2")
 def decimate(spark, d):
     return runs.decimate(unit_runs(spark, d), U)
@@ -557,13 +571,13 @@ def block_bootstrap_lcg(spark, d):
 @register("paired_bootstrap")
 def paired_bootstrap(spark, d):
     pairs = population.paired(_sweep(spark, d).where("condition in ('F0', 'F1')"), U, "condition", "tau")
-    return rounded(resample.paired_bootstrap(pairs, ["value", "ref"], resample.rank_correlation))
+    return rounded(resample.paired_bootstrap(pairs, "value", "ref"))
 
 
 @register("paired_bootstrap_lcg", f"{PAIRED}, un AS (SELECT value, ref, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS places FROM pr WHERE condition = 'F1'), dr AS (SELECT draw, ((place * 7919 + draw * 104729 + 12345) * 48271 % 2147483647) % places AS place FROM un CROSS JOIN (SELECT unnest(range(2000)) AS draw)), x AS (SELECT draw, value, ref FROM dr JOIN un USING (place)), k AS (SELECT draw, rank() OVER (PARTITION BY draw ORDER BY value) + (count(*) OVER (PARTITION BY draw, value) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY draw ORDER BY ref) + (count(*) OVER (PARTITION BY draw, ref) - 1) / 2.0::DOUBLE AS b FROM x) SELECT draw, count(*) AS n, round({corr('a', 'b')}, 6) AS rho FROM k GROUP BY 1")
 def paired_bootstrap_lcg(spark, d):
     pairs = population.paired(_sweep(spark, d).where("condition in ('F0', 'F1')"), U, "condition", "tau")
-    drawn = resample.resampled_lcg(pairs.select("unit", "value", "ref"), U, 2000)
+    drawn = resample.resampled_lcg(pairs.select("unit", "value", "ref"), "unit", 2000)
     return rounded(population.spearman(drawn, "value", "ref", ["draw"]))
 
 
@@ -606,6 +620,31 @@ def persisted_alerts(spark, d):
     return _scored(spark, d).select("unit", "ord", "alert", "persisted")
 
 
+def _chunked_rolling(spark, d):
+    """Windows of runs in chunks of five days."""
+    rows = clean.chunked_segments(events(spark, d), U, "us", WIDE, 5 * 86_400)
+    return monitor.rolling(runs.chunked_runs(rows, U, "us", "t", "p", 5 * 86_400), U, DT, 8, chunk_s=5 * 86_400)
+
+
+@register("chunked_rolling", ORACLE_SQL["rolling_tau"])
+def chunked_rolling(spark, d):
+    return rounded(_chunked_rolling(spark, d), digits=5)
+
+
+@register("chunked_alerts", f"{ROLL}{SCORED} SELECT unit, ord, baseline, round(med, 5) AS med, round(mad, 5) AS mad, round(z, 4) AS z, alert, persisted FROM scored")
+def chunked_alerts(spark, d):
+    """Scores, with runs of alerts put together over chunks of four windows."""
+    rows = monitor.chunked_scored(_chunked_rolling(spark, d), U, 1.5, 2, 4, 2, size=4)
+    return rows.select("unit", "ord", "baseline", F.round("med", 5).alias("med"), F.round("mad", 5).alias("mad"), F.round("z", 4).alias("z"), "alert", "persisted")
+
+
+@register("paired_ratio_ci")
+def paired_ratio_ci(spark, d):
+    """The interval of the median of how far quantization moves a unit's time constant."""
+    pairs = population.paired(_sweep(spark, d).where("condition in ('F0', 'F1')"), U, "condition", "tau").withColumn("one", F.lit(1.0))
+    return rounded(resample.paired_bootstrap(pairs, "ratio", "one", resample.median_difference))
+
+
 UNITS = f"{ROLL}{SCORED}, un AS (SELECT unit, count(*) AS n_windows, avg(CASE WHEN NOT baseline THEN persisted::INT::DOUBLE END) AS oos, avg(CASE WHEN baseline THEN persisted::INT::DOUBLE END) AS base, min(mad) / (min(med) + 1e-9) AS rel FROM scored GROUP BY 1)"
 
 

@@ -66,22 +66,62 @@ def test_tables_of_a_study(spark):
     assert tables["table03_residual_prediction.md"].endswith("0.034 out of sample.\n")
 
 
-def test_average_ranks_and_their_correlation():
-    x, y = np.array([3.0, 1, 3, 2, 2, 2]), np.array([1.0, 5, 2, 2, 9, 9])
-    assert resample.average_ranks(x).tolist() == [5.5, 1, 5.5, 3, 3, 3]
-    assert resample.rank_correlation(x, x) == pytest.approx(1)
-    assert np.isnan(resample.rank_correlation(x, np.ones(6)))
-    assert resample.rank_correlation(x, y) == pytest.approx(np.corrcoef([5.5, 1, 5.5, 3, 3, 3], [1, 4, 2.5, 2.5, 5.5, 5.5])[0, 1])
-
-
-def test_paired_bootstrap_of_tied_ranks(spark):
+def plain_ranks(x):
+    return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+
+
+def test_average_ranks_and_their_correlation(spark):
+    x, y = np.array([3.0, 1, 3, 2, 2, 2, -7e9]), np.array([1.0, 5, 2, 2, 9, 9, 0])
+    rows = [("a", float(i), float(j), int(k)) for k, (i, j) in enumerate(zip(x, y))] + [("flat", 1.0, 1.0, 0), ("flat", 1.0, 2.0, 1), ("flat", 1.0, 3.0, 2), ("few", 1.0, 2.0, 0), ("odd", float("nan"), 2.0, 0), ("odd", None, 2.0, 1)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, k long")
+    for ranges in (1, 3, 4096):
+        got = population.with_average_ranks(df, ["g"], {"rx": "x", "ry": "y"}, ranges=ranges).where("g = 'a'").orderBy("k").collect()
+        assert [r["rx"] for r in got] == plain_ranks(x).tolist() and [r["ry"] for r in got] == plain_ranks(y).tolist()
+    assert {r["rx"] for r in population.with_average_ranks(df, ["g"], {"rx": "x"}).where("g = 'odd'").collect()} == {None}
+    rho = {r["g"]: (r["n"], r["rho"]) for r in population.spearman(df, "x", "y", ["g"]).collect()}
+    assert rho["a"] == (7, pytest.approx(np.corrcoef(plain_ranks(x), plain_ranks(y))[0, 1])) and rho["flat"] == (3, None) and rho["few"] == (1, None) and "odd" not in rho
+    whole = population.with_average_ranks(df.where("g = 'a'"), [], {"r": "x"}).orderBy("k")
+    assert [r["r"] for r in whole.collect()] == plain_ranks(x).tolist() and whole.columns == [*df.columns, "r"]
+    weighted = df.where("g = 'a'").withColumn("w", F.col("k") % 3 + 1)
+    w = np.arange(7) % 3 + 1
+    a, b = np.repeat(x, w), np.repeat(y, w)
+    assert population.spearman(weighted, "x", "y", ["g"], "w").first()["rho"] == pytest.approx(np.corrcoef(plain_ranks(a), plain_ranks(b))[0, 1])
+
+
+def test_spearman_sorts_no_group_in_one_task(spark):
+    df = spark.range(100).selectExpr("id % 2 g", "cast(id as double) x", "cast(-id as double) y")
+    plan = population.spearman(df, "x", "y", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_b#" in line for line in windows)
+
+
+def test_weights_are_one_multinomial_over_tasks_that_never_meet(spark):
+    table = spark.range(90).selectExpr("cast(id as double) x", "cast(id % 7 as double) y")
+    for size in (8, 90):
+        rows = resample.bootstrap_weights(table, ["x", "y"], 300, seed=3, size=size)
+        per = rows.groupBy("draw").agg(F.sum("w").alias("n"), F.count_distinct("x").alias("rows")).collect()
+        assert len(per) == 300 and {r["n"] for r in per} == {90}
+        assert np.mean([r["rows"] for r in per]) == pytest.approx(90 * (1 - (1 - 1 / 90) ** 90), abs=1.5)
+        of = rows.groupBy("x").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("s")).collect()
+        assert max(abs(r["n"] / 300 - 1) for r in of) < 0.3 and np.mean([r["s"] for r in of]) / 300 == pytest.approx(2, abs=0.1)  # mean 1, variance near 1
+        again = resample.bootstrap_weights(table.repartition(3), ["x", "y"], 300, seed=3, size=size)
+        assert rows.exceptAll(again).count() == 0 and again.exceptAll(rows).count() == 0
+
+
+@pytest.mark.parametrize("size", [16, 512])
+def test_paired_bootstrap_of_tied_ranks(spark, size):
     rng = np.random.default_rng(1)
-    a = rng.normal(size=60)
-    b = a + rng.normal(size=60)
-    table = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
-    got = resample.paired_bootstrap(table, ["a", "b"], resample.rank_correlation, draws=800).first()
-    plain = [resample.rank_correlation(a[i], b[i]) for i in (rng.integers(0, 60, 60) for _ in range(800))]
-    assert got["ci_low"] == pytest.approx(np.percentile(plain, 2.5), abs=0.05) and got["ci_high"] == pytest.approx(np.percentile(plain, 97.5), abs=0.05)
+    a = np.round(rng.normal(size=60), 1)
+    b = np.round(a + rng.normal(size=60), 1)
+    table = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)] + [(None, 1.0), (1.0, float("nan"))], "a double, b double")
+    got = resample.paired_bootstrap(table, "a", "b", draws=800, size=size).first()
+    draws = [rng.integers(0, 60, 60) for _ in range(800)]
+    plain = [np.corrcoef(plain_ranks(a[i]), plain_ranks(b[i]))[0, 1] for i in draws]
+    assert got["draws"] == 800 and got["ci_low"] == pytest.approx(np.percentile(plain, 2.5), abs=0.05) and got["ci_high"] == pytest.approx(np.percentile(plain, 97.5), abs=0.05)
+    got = resample.paired_bootstrap(table, "a", "b", resample.median_difference, draws=800, size=size).first()
+    plain = [np.median(a[i] - b[i]) for i in draws]
+    assert got["ci_low"] == pytest.approx(np.percentile(plain, 2.5), abs=0.1) and got["ci_high"] == pytest.approx(np.percentile(plain, 97.5), abs=0.1)
+    assert tuple(resample.paired_bootstrap(table.where("a > 1e9"), "a", "b", draws=5).first()) == (0, None, None)
 
 
 def test_lstm_gradients_and_learning(spark):
