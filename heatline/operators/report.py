@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.package import ship
+from ..sources.telemetry import OPENED, opened
+
 #: Phrases that a finished document must not hold.
 BANNED = {
     "draft": r"DRAFT PENDING",
@@ -156,10 +163,34 @@ def scatter(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFram
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(color) if color else F.lit(None)).cast("string").alias("color"))
 
 
+#: Bytes of a file that a task holds while it hashes.
+BLOCK = 8 << 20
+
+
+def _hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        found = []
+        for path in pdf["path"]:
+            mixed = hashlib.sha256()
+            with opened(path) as f:
+                while block := f.read(BLOCK):
+                    mixed.update(block)
+            found.append(mixed.hexdigest())
+        yield pd.DataFrame({"path": pdf["path"], "digest": pd.Series(found, dtype=object), "bytes": pdf["length"]})
+
+
 def digests(spark: SparkSession, path: str, length: int = 64) -> DataFrame:
-    """SHA-256 of each file below path, or its first hex digits."""
+    """SHA-256 of each file below path, or its first hex digits. Files of any size are hashed in blocks; on a store that is
+    not in telemetry.OPENED, as one value below 2 GB. Spark's source lists no file of zero bytes, so such a file has no row
+    (and drift() reports it as gone)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("source"), "path", F.substring(F.sha2("content", 256), 1, length).alias("digest"), F.col("length").alias("bytes"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() in OPENED:
+        ship(spark)
+        found = files.select("path", "length").mapInPandas(_hashed, "path string, digest string, bytes long")
+    else:
+        found = files.select("path", F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("source"), "path", F.substring("digest", 1, length).alias("digest"), "bytes")
 
 
 def markdown(df: DataFrame, formats: dict[str, str] | None = None) -> str:

@@ -870,3 +870,120 @@ def scatter_data(spark, d):
 @register("series_data", f"{SEGH} SELECT event_type AS kind, us::DOUBLE AS x, s2.name || ' ' || event_type AS series, s2.y AS y FROM s CROSS JOIN LATERAL (VALUES ('n_merged', n_merged::DOUBLE), ('segment_id', segment_id::DOUBLE)) AS s2(name, y)".replace("event_type AS kind, ", ""))
 def series_data(spark, d):
     return report.series(segmented(hourly(events(spark, d), "event_type"), "event_type", 7200), "us", ["n_merged", "segment_id"], "event_type")
+
+
+# -- sources and sinks, there and back
+
+TWO = ("p0_core_temp_mean", "p0_power")
+TREE = f"{EV}, tr AS (SELECT event_type AS host, us, CASE WHEN event_type <> 'error' THEN t END AS p0_core_temp_mean, p AS p0_power FROM ev)"
+
+
+def _tree(spark, d) -> str:
+    """The events as a telemetry tree, a folder for each type; error events have NaN for a temperature."""
+    e = with_faults(events(spark, d))
+    path = shared.new_path(spark, "tree")
+    rows = e.select(F.col("event_type").alias("host"), F.timestamp_micros("us").alias("timestamp"), F.coalesce("t", F.lit(float("nan"))).alias("p0_core_temp_mean"), F.col("p").alias("p0_power"))
+    rows.write.partitionBy("host").parquet(path)
+    return path
+
+
+@register("tree_hosts", "SELECT DISTINCT event_type AS host FROM events")
+def tree_hosts(spark, d):
+    return telemetry.hosts(spark, _tree(spark, d))
+
+
+@register("tree_readings", f"WITH {TREE} SELECT * FROM tr")
+def tree_readings(spark, d):
+    return telemetry.readings(spark, _tree(spark, d), TWO)
+
+
+@register("footer_rows", "SELECT event_type AS host, count(*) AS rows, 3::BIGINT AS columns FROM events GROUP BY 1")
+def footer_rows(spark, d):
+    """Rows and columns of each host, from footers alone."""
+    return telemetry.footers(spark, _tree(spark, d)).groupBy("host").agg(F.sum("rows").alias("rows"), F.max(F.size("columns")).cast("long").alias("columns"))
+
+
+@register("archive_members", "SELECT DISTINCT event_type AS host, event_type || '/all/00000.parquet' AS first, true AS sound FROM events")
+def archive_members(spark, d):
+    path = shared.new_path(spark, "archives")
+    telemetry.write_archives(spark, _tree(spark, d), path)
+    return telemetry.archive_members(spark, path).groupBy("host").agg(F.min("member").alias("first"), F.every(F.col("error").isNull() & (F.col("offset") % 512 == 0)).alias("sound"))
+
+
+@register("archive_readings", f"WITH {TREE} SELECT * FROM tr")
+def archive_readings(spark, d):
+    """The tree packed into an archive for each host, and its members read by byte range."""
+    path = shared.new_path(spark, "archives")
+    telemetry.write_archives(spark, _tree(spark, d), path)
+    return telemetry.archive_readings(spark, path, list(TWO))
+
+
+@register("file_digests", "SELECT event_type AS host, sha256(string_agg(CAST(event_id AS VARCHAR) || chr(10), '' ORDER BY event_id)) AS digest, CAST(sum(length(CAST(event_id AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM events GROUP BY 1")
+def file_digests(spark, d):
+    """A file of each type's ids, in order, hashed in blocks."""
+    path = shared.new_path(spark, "ids")
+    e = events(spark, d).select("event_type", F.col("event_id").cast("string").alias("value"), "event_id")
+    e.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(path)
+    return report.digests(spark, path).where("source like 'part-%'").select(F.regexp_extract("path", "event_type=([^/]+)/", 1).alias("host"), "digest", "bytes")
+
+
+CLEANED = f"{SEGH}, cl AS (SELECT event_type AS host, us, t, t_max, p, n_merged, dt_s, segment_id FROM s)"
+
+
+def _cleaned(spark, d):
+    return segmented(hourly(events(spark, d), "event_type"), "event_type", 7200).withColumnRenamed("event_type", "host")
+
+
+@register("cleaned_round_trip", f"{CLEANED} SELECT host, us, round(t, 6) AS t, t_max, n_merged, segment_id, coalesce(dt_s, -1) AS dt_s FROM cl")
+def cleaned_round_trip(spark, d):
+    path = shared.new_path(spark, "cleaned")
+    telemetry.write_cleaned(_cleaned(spark, d), path)
+    back = spark.read.parquet(path)
+    return back.select("host", "us", F.round("t", 6).alias("t"), "t_max", "n_merged", "segment_id", F.coalesce("dt_s", F.lit(-1).cast("long")).alias("dt_s"))
+
+
+@register("mask_round_trip", f"{CLEANED} SELECT host, us, n_merged, segment_id, coalesce(dt_s, -1) AS dt_s, n_merged > 1 AS was_merged FROM cl")
+def mask_round_trip(spark, d):
+    path = shared.new_path(spark, "mask")
+    telemetry.write_mask(clean.quality_mask(_cleaned(spark, d), ["host"], "us"), path)
+    return spark.read.parquet(path).withColumn("dt_s", F.coalesce("dt_s", F.lit(-1).cast("long"))).select("host", "us", "n_merged", "segment_id", "dt_s", "was_merged")
+
+
+@register("pilot_round_trip", "SELECT host, us, t_max FROM (" + CLEANED + " SELECT * FROM cl WHERE host < 'm')")
+def pilot_round_trip(spark, d):
+    path = shared.new_path(spark, "pilot")
+    telemetry.write_pilot(_cleaned(spark, d).where("host < 'm'"), path, ["t_max"])
+    return spark.read.parquet(path).select("host", "us", "t_max")
+
+
+@register("manifest_round_trip", f"{CLEANED}, rb AS (SELECT event_type AS host, count(*) AS rows_before FROM events GROUP BY 1) SELECT host, min(rows_before) AS rows_before, count(*) AS rows_after, min(rows_before) - count(*) AS removed, count(*) FILTER (n_merged > 1) AS merged_bins, max(t_max) AS greatest FROM cl JOIN rb USING (host) GROUP BY 1")
+def manifest_round_trip(spark, d):
+    """Documents of what cleaning did, written and read back."""
+    path = shared.new_path(spark, "manifests")
+    cleaned = _cleaned(spark, d)
+    audits = cleaned.groupBy("host").agg(F.max("t_max").alias("greatest"))
+    telemetry.write_manifests(telemetry.host_manifest(cleaned, telemetry.footers(spark, _tree(spark, d)), audits), path)
+    back = spark.read.schema("host string, cleaning struct<rows_before: long, rows_after: long, removed: long, merged_bins: long>, audit struct<greatest: double>").json(path)
+    return back.select("host", "cleaning.*", "audit.greatest")
+
+
+@register("csv_round_trip", ORACLE_SQL["gap_segments"])
+def csv_round_trip(spark, d):
+    path = shared.new_path(spark, "csv")
+    segments = gap_segments(spark, d)
+    telemetry.write_table(segments, path)
+    return spark.read.schema(segments.schema).option("header", True).csv(path)
+
+
+@register("resumed", ORACLE_SQL["gap_segments"])
+def resumed(spark, d):
+    """A job that stopped after half of the units, and its second run, which computes the rest."""
+    path = shared.new_path(spark, "resumed")
+    segments = gap_segments(spark, d)
+    telemetry.checkpointed(segments.where("unit % 2 = 0"), path, U)
+    return telemetry.checkpointed(segments, path, U)
+
+
+@register("month_blocks", f"{RUNS} SELECT unit, run_id, strftime(make_timestamp(min(us)), '%Y-%m') AS block, count(*) AS rows FROM runs GROUP BY 1, 2")
+def month_blocks(spark, d):
+    return runs.with_blocks(unit_runs(spark, d), U, "us").groupBy("unit", "run_id", "block").agg(F.count("*").alias("rows"))

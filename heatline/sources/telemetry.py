@@ -59,19 +59,27 @@ FOOTER = "path string, host string, rows long, bytes long, columns array<string>
 OPENED = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
 
 
+def uri(path: str) -> str:
+    """Hadoop's name of a file as PyArrow takes it."""
+    return path if "://" in path or not path.startswith("file:") else "file://" + path[5:]
+
+
+def opened(path: str):
+    """A file of one of the OPENED stores, to be read at any place."""
+    from pyarrow.fs import FileSystem
+
+    fs, at = FileSystem.from_uri(uri(path))
+    return fs.open_input_file(at)
+
+
 def _footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import pyarrow.parquet as pq
-    from pyarrow.fs import FileSystem
 
     for pdf in frames:
         out = []
         for row in pdf.itertuples():
             try:
-                if "content" in pdf.columns:
-                    f = pq.ParquetFile(io.BytesIO(row.content))
-                else:
-                    fs, at = FileSystem.from_uri(row.path if "://" in row.path or not row.path.startswith("file:") else "file://" + row.path[5:])
-                    f = pq.ParquetFile(fs.open_input_file(at))
+                f = pq.ParquetFile(io.BytesIO(row.content) if "content" in pdf.columns else opened(row.path))
                 names = f.schema_arrow.names
                 out.append((row.path, row.host, f.metadata.num_rows, row.length, names, ",".join(f"{n}:{t}" for n, t in zip(names, map(str, f.schema_arrow.types), strict=True)), None))
             except Exception as e:  # an unreadable file is a row that says so
@@ -90,36 +98,169 @@ def footers(spark: SparkSession, path: str) -> DataFrame:
     return files.select(*columns).mapInPandas(_footers, FOOTER)
 
 
-def _members(columns: list[str], want_rows: bool):
+class _Slice(io.RawIOBase):
+    """A member of an archive as a file of its own: reads go to the archive, at the member's place."""
+
+    def __init__(self, file, offset: int, size: int):
+        self.file, self.offset, self.size, self.at = file, offset, size, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, place: int, whence: int = 0) -> int:
+        self.at = place + (0, self.at, self.size)[whence]
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        self.file.seek(self.offset + self.at)
+        found = self.file.read(max(0, min(len(buffer), self.size - self.at)))
+        buffer[: len(found)] = found
+        self.at += len(found)
+        return len(found)
+
+
+MEMBER = "member string, host string, bytes long, path string, offset long, error string"
+#: Members that an index passes on at once, and the bytes of archives to a reading task.
+INDEXED, TASK_BYTES = 10_000, 128 << 20
+COMPRESSED = (b"\x1f\x8b", b"BZh", b"\xfd7zXZ")
+
+
+def _is_reading(m: tarfile.TarInfo) -> bool:
+    return m.isfile() and m.name.endswith(".parquet")
+
+
+def _member_host(name: str) -> str:
+    parts = name.strip("./").split("/")
+    return parts[-3] if len(parts) >= 3 else parts[0]
+
+
+def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members by their headers alone; of a compressed archive, which has no places to seek, without offsets."""
+    columns = ["member", "host", "bytes", "path", "offset", "error"]
+    for pdf in frames:
+        for path, length, content in zip(pdf["path"], pdf["length"], pdf["content"] if "content" in pdf else [None] * len(pdf), strict=True):
+            out = []
+            try:
+                with io.BytesIO(content) if content is not None else opened(path) as f:
+                    packed = f.read(6).startswith(COMPRESSED)
+                    f.seek(0)
+                    with tarfile.open(fileobj=f, mode="r|*" if packed else "r:") as tar:
+                        for m in tar:
+                            tar.members = []  # or it would keep them all
+                            if not _is_reading(m):
+                                continue
+                            cut = not packed and m.offset_data + m.size > length
+                            out.append((m.name, _member_host(m.name), m.size, path, None if packed else m.offset_data, "truncated" if cut else None))
+                            if len(out) == INDEXED:
+                                yield pd.DataFrame(out, columns=columns, dtype=object)
+                                out = []
+            except Exception as e:  # what can't be read is a row that says so
+                if not (out and out[-1][-1]):
+                    out.append((None, None, None, path, None, str(e)[:200] or type(e).__name__))
+            yield pd.DataFrame(out, columns=columns, dtype=object)
+
+
+def _batches(file, host: str, columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Readings of a Parquet file, only of the columns asked for; one that it lacks is null."""
+    import pyarrow.parquet as pq
+
+    f = pq.ParquetFile(file)
+    have = [c for c in columns if c in f.schema_arrow.names]
+    for batch in f.iter_batches(columns=["timestamp", *have]):
+        rows = batch.to_pandas()
+        us = pd.to_datetime(rows["timestamp"], utc=True).astype("datetime64[us, UTC]").astype("int64")
+        yield pd.DataFrame({"host": pd.Series([host] * len(rows), dtype=object), "us": us, **{c: rows[c].astype("float64") if c in have else float("nan") for c in columns}})
+
+
+def _ranged(columns: list[str]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+
+        for pdf in frames:
+            for row in pdf.itertuples():
+                if row.error:
+                    raise ValueError(f"{row.path}: {row.member or 'archive'}: {row.error}")
+                with opened(row.path) as f:
+                    yield from _batches(pa.PythonFile(_Slice(f, int(row.offset), int(row.bytes)), mode="r"), row.host, columns)
+
+    return run
+
+
+def _streamed(columns: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for content in pdf["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+            for path, content in zip(pdf["path"], pdf["content"] if "content" in pdf else [None] * len(pdf), strict=True):
+                with io.BytesIO(content) if content is not None else opened(path) as f, tarfile.open(fileobj=f, mode="r|*") as tar:
                     for m in tar:
-                        if not (m.isfile() and m.name.endswith(".parquet")):
-                            continue
-                        host = m.name.strip("./").split("/")[-3] if m.name.count("/") >= 2 else m.name.split("/")[0]
-                        if not want_rows:
-                            yield pd.DataFrame([(m.name, host, m.size)], columns=["member", "host", "bytes"], dtype=object)
-                            continue
-                        rows = pd.read_parquet(io.BytesIO(tar.extractfile(m).read()), columns=["timestamp", *columns])
-                        rows["us"] = pd.to_datetime(rows["timestamp"], utc=True).astype("datetime64[us, UTC]").astype("int64")
-                        yield rows.assign(host=pd.Series([host] * len(rows), dtype=object))[["host", "us", *columns]].astype({c: "float64" for c in columns})
+                        tar.members = []
+                        if _is_reading(m):
+                            yield from _batches(io.BytesIO(tar.extractfile(m).read()), _member_host(m.name), columns)
 
     return run
 
 
-def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet members of TAR archives, with their hosts."""
+def _archives(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """(path, length) of archives, and whether tasks can open them at any place; else with their content."""
     ship(spark)
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_members([], False), "member string, host string, bytes long")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    by_place = at.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() in OPENED
+    return spark.read.format("binaryFile").load(path).select("path", "length", *([] if by_place else ["content"])), by_place
 
 
-def archive_readings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Readings of the Parquet members of TAR archives; an archive is read by one task, a member at a time."""
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet members of TAR archives, with their hosts and places, from the headers alone; an archive or a member that is
+    cut off, or can't be read, is a row with an error."""
+    return _archives(spark, path)[0].mapInPandas(_index, MEMBER)
+
+
+def archive_readings(spark: SparkSession, path: str, columns: list[str], broken: str = "raise", tasks: int | None = None) -> DataFrame:
+    """Readings of the Parquet members of TAR archives of any size. Members are read by byte range, the columns asked for alone,
+    and spread over tasks (one for each TASK_BYTES of archives, if not given). A compressed archive is read by one task, a
+    member at a time, and so is one on a store not in OPENED, which must be below 2 GB. A member or an archive that is cut
+    off is an error, or is left out with broken="skip"; a column that a member lacks is null."""
+    if broken not in ("raise", "skip"):
+        raise ValueError(broken)
+    schema = "host string, us long, " + ", ".join(f"`{c}` double" for c in columns)
+    files, by_place = _archives(spark, path)
+    if not by_place:
+        return files.mapInPandas(_streamed(columns), schema).select("host", "us", *[nan_to_null(F.col(c)).alias(c) for c in columns])
+    tasks = tasks or max(1, -(-(files.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    members = files.mapInPandas(_index, MEMBER)
+    sound = members.where("error is null")
+    ranged = sound.where("offset is not null").unionByName(members.where("error is not null" if broken == "raise" else "false"))
+    whole = sound.where("offset is null").select("path").distinct()
+    rows = ranged.repartition(tasks, "path", "offset").mapInPandas(_ranged(columns), schema).unionByName(whole.mapInPandas(_streamed(columns), schema))
+    return rows.select("host", "us", *[nan_to_null(F.col(c)).alias(c) for c in columns])
+
+
+def write_archives(spark: SparkSession, tree: str, path: str) -> None:
+    """A TAR archive for each host of a tree, host/month/file; files go through in blocks. Tasks write to a local path, or to one
+    that PyArrow can write to."""
     ship(spark)
-    schema = "host string, us long, " + ", ".join(f"{c} double" for c in columns)
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_members(columns, True), schema)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow.fs import FileSystem
+
+        host = pdf["host"].iloc[0]
+        fs, at = FileSystem.from_uri(uri(f"{path}/{host}.tar"))
+        with fs.open_output_stream(at) as out, tarfile.open(fileobj=out, mode="w|") as tar:
+            for k, row in enumerate(pdf.sort_values("path").itertuples()):
+                info = tarfile.TarInfo(f"{host}/all/{k:05d}.parquet")
+                info.size = int(row.length)
+                with opened(row.path) as f:
+                    tar.addfile(info, f)
+        return pd.DataFrame({"host": [host]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(tree)
+    files.select("path", "length", host_of(F.col("path")).alias("host")).groupBy("host").applyInPandas(pack, "host string").write.format("noop").mode("overwrite").save()
 
 
 def json_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -128,12 +269,13 @@ def json_documents(spark: SparkSession, path: str, schema: str | None = None) ->
 
 
 def write_cleaned(cleaned: DataFrame, path: str) -> None:
-    """Parquet partitioned by host, each host's rows together and in order."""
-    cleaned.repartition("host").sortWithinPartitions("host", "us").write.mode("overwrite").partitionBy("host").parquet(path)
+    """Parquet partitioned by host, in order within files and from file to file; a host of many rows is written by many tasks."""
+    cleaned.repartitionByRange("host", "us").sortWithinPartitions("host", "us").write.mode("overwrite").partitionBy("host").parquet(path)
 
 
 def write_mask(mask: DataFrame, path: str) -> None:
-    mask.repartition("host").sortWithinPartitions("host", "us").write.mode("overwrite").partitionBy("host").parquet(path)
+    """As write_cleaned()."""
+    mask.repartitionByRange("host", "us").sortWithinPartitions("host", "us").write.mode("overwrite").partitionBy("host").parquet(path)
 
 
 def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:

@@ -1,5 +1,6 @@
 """Small cases with known answers."""
 
+import hashlib
 import inspect
 import io
 import tarfile
@@ -9,10 +10,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heatline.functions import scalar
-from heatline.operators import arx, clean, evaluate, monitor, population, report, resample, runs
+from heatline.operators import arx, clean, evaluate, monitor, population, report, resample, runs, scan
 from heatline.plans import catalog
 from heatline.sources import telemetry
 from heatline.streaming import rolling
@@ -144,6 +146,90 @@ def test_archive_members_and_readings(spark, tmp_path):
     assert [tuple(r) for r in telemetry.archive_readings(spark, str(tmp_path / "x.tar"), ["p0_power"]).collect()] == [("h1", 0, 1.0), ("h1", 10_000_000, 2.0)]
 
 
+def _tar(path, members, mode="w"):
+    with tarfile.open(path, mode) as tar:
+        for name, data in members:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+
+
+def _parquet(seconds, **columns):
+    buffer = io.BytesIO()
+    pd.DataFrame({"timestamp": pd.to_datetime(seconds, unit="s", utc=True), **columns}).to_parquet(buffer)
+    return buffer.getvalue()
+
+
+def test_archives_plain_packed_and_cut(spark, tmp_path):
+    one, two = _parquet([0, 10], p0_power=[1.0, None], p1_power=[5.0, 6.0]), _parquet([20], p1_power=[7.0])
+    _tar(tmp_path / "a.tar", [("h1/202001/1.parquet", one), ("h1/readme.txt", b"x"), ("h2/202001/1.parquet", two)])
+    _tar(tmp_path / "b.tar.gz", [("./h3/202001/1.parquet", one)], "w:gz")
+    _tar(tmp_path / "empty.tar", [])
+    want = [("h1", 0, 1.0), ("h1", 10_000_000, None), ("h2", 20_000_000, None), ("h3", 0, 1.0), ("h3", 10_000_000, None)]
+    for tasks in (None, 5):
+        assert sorted(map(tuple, telemetry.archive_readings(spark, str(tmp_path / "*"), ["p0_power"], tasks=tasks).collect()), key=str) == want
+    members = {r["member"]: r for r in telemetry.archive_members(spark, str(tmp_path / "*")).collect()}
+    assert set(members) == {"h1/202001/1.parquet", "h2/202001/1.parquet", "./h3/202001/1.parquet"} and members["./h3/202001/1.parquet"]["offset"] is None
+    at = members["h2/202001/1.parquet"]["offset"]
+    assert (tmp_path / "a.tar").read_bytes()[at : at + len(two)] == two
+    (tmp_path / "cut.tar").write_bytes((tmp_path / "a.tar").read_bytes()[: at + 100])
+    (tmp_path / "junk.tar").write_bytes(b"no archive" * 100)
+    errors = sorted((r["path"].rsplit("/", 1)[1], r["member"], r["error"] == "truncated") for r in telemetry.archive_members(spark, str(tmp_path / "*.tar")).where("error is not null").collect())
+    assert errors == [("cut.tar", "h2/202001/1.parquet", True), ("junk.tar", None, False)]
+    with pytest.raises(Exception, match="truncated"):
+        telemetry.archive_readings(spark, str(tmp_path / "cut.tar"), ["p0_power"]).collect()
+    assert telemetry.archive_readings(spark, str(tmp_path / "cut.tar"), ["p0_power"], broken="skip").count() == 2
+
+
+def test_archive_of_three_gigabytes_reads_in_many_tasks(spark, tmp_path):
+    member = _parquet([0, 10], p0_power=[1.0, 2.0])
+    with open(tmp_path / "big.tar", "wb") as f:
+        for k in range(3):  # a hole of a gigabyte lies between the members, so the file takes no disk
+            for name, data, size in ((f"h{k}/202001/1.parquet", member, len(member)), (f"h{k}/hole.bin", b"", 1 << 30)):
+                info = tarfile.TarInfo(name)
+                info.size = size
+                f.write(info.tobuf(tarfile.GNU_FORMAT) + data)
+                f.seek((f.tell() + size - len(data) + 511) // 512 * 512)
+        f.write(b"\0" * 1024)
+    assert (tmp_path / "big.tar").stat().st_size > 3 << 30
+    rows = telemetry.archive_readings(spark, str(tmp_path / "big.tar"), ["p0_power"])
+    assert rows.rdd.getNumPartitions() >= 24 and sorted(map(tuple, rows.where("us = 0").collect())) == [(f"h{k}", 0, 1.0) for k in range(3)]
+
+
+def test_digests_in_blocks(spark, tmp_path, monkeypatch):
+    files = {"a.bin": b"x" * 1000, "empty": b"", "b.bin": bytes(range(256)) * 40_000}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["source"]: (r["digest"], r["bytes"]) for r in report.digests(spark, str(tmp_path)).collect()}
+    assert got == {n: (hashlib.sha256(x).hexdigest(), len(x)) for n, x in files.items() if x}
+    monkeypatch.setattr(report, "OPENED", ())
+    assert {r["source"]: (r["digest"], r["bytes"]) for r in report.digests(spark, str(tmp_path)).collect()} == got
+
+
+@pytest.mark.parametrize("days", [1, 3, 400])
+def test_scans_agree_at_every_chunk_size(spark, days):
+    rng = np.random.default_rng(4)
+    us = np.cumsum(rng.choice([3600, 7200, 90_000], 300)) * 1_000_000
+    rows = [(int(k % 2), int(u), None if rng.random() < 0.1 else float(v), float(v)) for k, (u, v) in enumerate(zip(us, rng.normal(size=300)))]
+    df = spark.createDataFrame([*rows, *[(None, u, t, p) for _, u, t, p in rows[:40]]], "unit int, us long, t double, p double")
+    w = Window.partitionBy("unit").orderBy("us")
+    want = df.select("unit", "us", F.coalesce(F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("s"), F.lag("t").over(w).alias("before"), F.row_number().over(w).alias("n"))
+    got = scan.carried(df, ["unit"], ["us"], scan.time_chunk("us", days * 86_400), {"s": F.col("p"), "n": F.lit(1)}, {"before": F.col("t")})
+    key = lambda rs: sorted((str(r["unit"]), r["us"], round(r["s"], 9), r["before"]) for r in rs)
+    assert key(got.collect()) == key(want.collect())
+    seg = clean.with_segments(clean.with_gaps(df.where("unit is not null"), ["unit"], "us"), ["unit"], "us", 50_000)
+    plain, cut = runs.finite_runs(seg, ["unit"], "us", "t", "p"), runs.chunked_runs(seg, ["unit"], "us", "t", "p", days * 86_400)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.select(plain.columns).collect()))
+    steps = clean.chunked_steps(seg, ["unit"], "us", "p", "step", days * 86_400).select("unit", "us", F.round("step", 9).alias("step"))
+    assert sorted(map(str, steps.collect())) == sorted(map(str, seg.select("unit", "us", F.round(clean.within_segment_step(seg, ["unit"], "us", "p"), 9).alias("step")).collect()))
+    alerts = df.where("unit is not null").withColumn("hot", F.col("p") > 0)
+    island = F.sum((~F.col("hot")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    size = F.sum(F.col("hot").cast("long")).over(Window.partitionBy("unit", "i"))
+    lengths = alerts.withColumn("i", island).select("unit", "us", F.when(F.col("hot"), size).otherwise(0).alias("len"))
+    found = scan.stretches(alerts, ["unit"], ["us"], scan.time_chunk("us", days * 86_400), "hot", "len").select("unit", "us", "len")
+    assert sorted(map(tuple, lengths.collect())) == sorted(map(tuple, found.collect()))
+
+
 def test_sinks_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0)], "host string, us long, t double")
     telemetry.write_cleaned(df, str(tmp_path / "c"))
