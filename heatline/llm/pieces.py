@@ -17,6 +17,8 @@ from functools import cache
 import numpy as np
 
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The same for texts of ASCII alone, where the engines' classes are plain sets of characters: no text needs the slow way.
+ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 #: White space by the Unicode property, which the tokenizers' engines use.
 WHITE = set("\t\n\x0b\x0c\r \x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
 #: Entries and bytes of the cache at most (an entry has some 200 bytes beside its piece and ids), and the longest piece kept.
@@ -93,6 +95,8 @@ class PieceIds(dict):
 
     def _between(self, text: str) -> bytes:
         """The ids of a text without added tokens."""
+        if text.isascii():
+            return b"".join(map(self.__getitem__, ASCII.findall(text)))
         if plain(text):
             return b"".join(map(self.__getitem__, FAST.findall(text)))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from heatline.llm import binary_output, bpe, lm, packing, pii, quality, queries, secrets, sharding, simhash, topk
+from heatline.llm import binary_output, bpe, lm, packing, pieces, pii, quality, queries, secrets, sharding, simhash, topk
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, tile string, kind int, _n string"
@@ -544,3 +544,12 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 
 def test_registered(spark):
     assert {q.split("_")[0] for q in queries.QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
+
+
+def test_ids_of_texts_of_ascii_and_of_single_other_characters():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, library, rng = pieces.piece_ids(path), Tokenizer.from_file(path), random.Random(3)
+    bits = [*map(chr, range(128)), *["'s", "'ll", " ", "  ", "\n\n", "\x1c", "\x1f\x1f", "<|endoftext|>"] * 6]
+    for k in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randrange(40))) + ("" if k % 3 else rng.choice("é²\x85\xa0ſ日٣"))
+        assert ours.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
