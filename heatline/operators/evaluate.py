@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import squares_about_mean
 from ..sources.package import ship
+from ..sources.shared import written
 from .arx import moments, solved, united
 
 FEATURES = ("p", "dp", "t", "lag_p", "lag_t")
@@ -77,6 +79,8 @@ def residual_model(train: DataFrame, test: DataFrame, kind: str = "linear", y: s
 
 #: Ranges of the order, by draw: a task sorts one, not a draw.
 RANGES = 10
+#: Rows times draws to a task that computes permuted places.
+DRAWN = 4_000_000
 
 
 def placed(df: DataFrame, keys: list[str], bucket: Column, order: list[Column]) -> DataFrame:
@@ -103,6 +107,63 @@ def permutation_null(predicted: DataFrame, y: str, prediction: str, order: str,
     return r2(mixed.join(by_key, "i"), "_y", F.col("_p"), ["draw"])
 
 
+def permuted(df: DataFrame, place: str, n: int, draw: str, mix: Callable[[Column, Column, int], Column], rounds: int = 4) -> DataFrame:
+    """df with `j`, its place (from 0, below n) moved by a permutation that the draw names: rounds that add a mix of one half of
+    the place to the other, over the least square of at least n; a place that leaves the range moves on until it is back. At
+    most 2 sqrt(n) of a draw's places leave it, and none can stay out for longer than there are places outside."""
+    side = math.isqrt(max(n, 1) - 1) + 1
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        low = x % side
+        return ((x - low) / side).cast("long"), low
+
+    def turned(high: Column, low: Column, k: int) -> Column:
+        return (high + F.pmod(mix(low, F.col(draw), k), F.lit(side))) % side
+
+    def walked(x: Column, steps: int) -> Column:
+        def moved(at: Column) -> Column:
+            pair = F.struct(*(h.alias(name) for h, name in zip(halves(at), ("_h", "_l"), strict=True)))
+            turn = lambda k: lambda p: F.struct(p["_l"].alias("_h"), turned(p["_h"], p["_l"], k).alias("_l"))
+            pairs = F.array(pair)
+            for k in range(rounds):
+                pairs = F.transform(pairs, turn(k))
+            return F.transform(pairs, lambda p: p["_h"] * side + p["_l"])[0]
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, lambda at, _: F.when(at < n, at).otherwise(moved(at)))
+
+    high, low = halves(F.col(place))
+    out = df.select("*", high.alias("_0"), low.alias("_1"))
+    for k in range(rounds):  # columns, so that each round is computed once
+        out = out.withColumn(f"_{k + 2}", turned(F.col(f"_{k}"), F.col(f"_{k + 1}"), k))
+    out = out.withColumn("_x", F.col(f"_{rounds}") * side + F.col(f"_{rounds + 1}"))
+    out = out.withColumn("_x", F.when(F.col("_x") < n, F.col("_x")).otherwise(walked(F.col("_x"), 8)))
+    out = out.withColumn("j", F.when(F.col("_x") < n, F.col("_x")).otherwise(walked(F.col("_x"), max(1, side * side - n))))
+    return out.select(*df.columns, "j")
+
+
+def keyed_permutation_null(predicted: DataFrame, y: str, prediction: str, key: str, draws: int = 200, batch: int = 50, seed: int = 0, mix: Callable[[Column, Column, int], Column] | None = None, spread: Callable[[Column], Column] | None = None, bits: int = 64) -> DataFrame:
+    """The R2 of y permuted against fixed predictions, for each draw, by permutations of places that are computed, not sorted.
+
+    Rows get a place once, by `spread` of their key (a hash of so many `bits`, so ranges are even for any ids) and the key;
+    a row then computes its partner's place in each draw and meets it in one exchange. `batch` draws run at a time, so
+    an exchange holds rows times `batch`; each batch is written before the next starts. Rows with a null y or prediction
+    take no part; equal keys are placed by y and prediction, and share a range."""
+    mix = mix or (lambda v, draw, k: F.xxhash64(v, draw, F.lit(k), F.lit(seed)))
+    spread = spread or (lambda k: F.xxhash64(k, F.lit(seed)))
+    spark = predicted.sparkSession
+    rows = predicted.select(F.col(key).alias("_k"), F.col(y).cast("double").alias("_y"), F.col(prediction).cast("double").alias("_p")).where("_y is not null and _p is not null").withColumn("_m", F.coalesce(spread(F.col("_k")), F.lit(0)))
+    places = written(placed(rows, [], F.shiftright("_m", bits - RANGES), [F.col("_m"), F.col("_k"), F.col("_y"), F.col("_p")]).select((F.col("i") - 1).alias("i"), "_y", "_p"), "places")
+    n = places.count()
+    partners, out = places.select(F.col("i").alias("j"), "_y"), None
+    spread_out = places.select("i", "_p").repartition(max(spark.sparkContext.defaultParallelism, -(-n * batch // DRAWN)), "i")  # a task draws so many at most
+    for first in range(0, draws if n else 0, batch):
+        drawn = spread_out.select("i", "_p", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(min(first + batch, draws) - 1).cast("long"))).alias("draw"))
+        met = permuted(drawn, "i", n, "draw", mix).drop("i").join(partners, "j")
+        part = written(r2(met, "_y", F.col("_p"), ["draw"]), "nulls")
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "draw long, n long, r2 double") if out is None else out
+
+
 def null_summary(nulls: DataFrame) -> DataFrame:
     return nulls.agg(F.count("*").alias("draws"), F.percentile("r2", 0.95).alias("null_p95"), F.avg("r2").alias("null_mean"))
 

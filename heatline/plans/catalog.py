@@ -472,11 +472,27 @@ def perm_null_lcg(spark, d):
     return rounded(evaluate.permutation_null(base, "y", "pred", "event_id", shuffle=lambda k, draw: ((k * 7919 + draw * 104729) * 48271) % 2147483647, bits=31))
 
 
+#: A move of a place, for one draw: halves, then rounds that add a mix of one half to the other.
+MIX = "((({v}) * 7919 + draw * 104729 + {k} * 15485863) * 48271) % 2147483647"
+_ROUND = lambda k: f"(h{k} + ({MIX.format(v=f'l{k}', k=k)}) % side) % side AS l{k + 1}, l{k} AS h{k + 1}"
+MOVED = "x // side AS h0, x % side AS l0, " + ", ".join(map(_ROUND, range(4))) + ", h4 * side + l4 AS moved"
+PLACED = f"base AS (SELECT event_id, t AS y, 50 * p + 5000 AS pred FROM ev WHERE t IS NOT NULL AND p IS NOT NULL), pl AS (SELECT y, pred, row_number() OVER (ORDER BY event_id * 48271 % 2147483647, event_id, y, pred) - 1 AS i, count(*) OVER () AS n FROM base), sd AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS side FROM pl)"
+WALKED = f"w AS (SELECT draw, i, n, side, moved AS j FROM (SELECT draw, i, n, side, i AS x, {MOVED} FROM sd, (SELECT unnest(range(200)) AS draw)) UNION ALL SELECT draw, i, n, side, moved FROM (SELECT draw, i, n, side, j AS x, {MOVED} FROM w WHERE j >= n))"
+
+
+@register("perm_null_keyed", f"WITH RECURSIVE {EV}, {PLACED}, {WALKED} SELECT draw, count(*) AS n, round(1.0::DOUBLE - sum((b.y-a.pred)*(b.y-a.pred)) / nullif(sum(b.y*b.y) - sum(b.y)*sum(b.y)/count(*), 0), 6) AS r2 FROM w JOIN pl a ON a.i = w.i JOIN pl b ON b.i = w.j WHERE w.j < w.n GROUP BY 1")
+def perm_null_keyed(spark, d):
+    """Permutations computed from places, in whole numbers, in the operator's own number of draws."""
+    base = events(spark, d).select("event_id", F.col("t").alias("y"), (50 * F.col("p") + 5000).alias("pred"))
+    mix = lambda v, draw, k: ((v * 7919 + draw * 104729 + k * 15485863) * 48271) % 2147483647
+    return rounded(evaluate.keyed_permutation_null(base, "y", "pred", "event_id", mix=mix, spread=lambda k: (k * 48271) % 2147483647, bits=31))
+
+
 @register("perm_null")
 def perm_null(spark, d):
     """The same by a hash, which SQL elsewhere doesn't have."""
     base = events(spark, d).select("event_id", F.col("t").alias("y"), (50 * F.col("p") + 5000).alias("pred"))
-    return rounded(evaluate.permutation_null(base, "y", "pred", "event_id"))
+    return rounded(evaluate.keyed_permutation_null(base, "y", "pred", "event_id"))
 
 
 @register("perm_null_summary", f"WITH pn AS ({ORACLE_SQL['perm_null_lcg']}) SELECT count(*) AS draws, round(quantile_cont(r2, 0.95), 5) AS null_p95, round(avg(r2), 5) AS null_mean FROM pn")

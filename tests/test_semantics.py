@@ -352,3 +352,28 @@ def test_block_bootstrap_agrees_with_resampling_in_one_place(spark):
         assert (r["block_pairs"], r["blocks"], r["valid"], r["draws"]) == (block, k, 400, 400)
         assert r["tau_median"] == pytest.approx(np.median(taus), rel=0.05) and r["tau_std"] == pytest.approx(np.std(taus), rel=0.25)
         assert r["ci_low"] == pytest.approx(np.percentile(taus, 2.5), rel=0.1) and r["ci_high"] == pytest.approx(np.percentile(taus, 97.5), rel=0.1)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 16, 37, 200])
+def test_places_are_permuted_whole_in_every_draw(spark, n):
+    mix = lambda v, draw, k: F.xxhash64(v, draw, F.lit(k))
+    moved = evaluate.permuted(spark.range(n).crossJoin(spark.range(20).withColumnRenamed("id", "draw")), "id", n, "draw", mix).collect()
+    by = {draw: [r["j"] for r in sorted(moved) if r["draw"] == draw] for draw in range(20)}
+    assert all(sorted(js) == list(range(n)) for js in by.values())
+    assert n < 16 or len(set(map(tuple, by.values()))) == 20
+    stuck = evaluate.permuted(spark.range(n).withColumn("draw", F.lit(0)), "id", n, "draw", lambda v, draw, k: F.lit(k).cast("long")).collect()  # every half moves alike
+    assert sorted(r["j"] for r in stuck) == list(range(n))
+
+
+def test_keyed_permutation_null(spark):
+    rows = [(k // 2, float(k * k % 97), float(k % 13)) for k in range(61)] + [(None, 3.0, 1.0), (7, None, 1.0), (8, 1.0, None)]
+    base = spark.createDataFrame(rows, "k long, y double, pred double")
+    got = evaluate.keyed_permutation_null(base, "y", "pred", "k", batch=64).collect()
+    assert sorted(r["draw"] for r in got) == list(range(200)) and {r["n"] for r in got} == {62}
+    assert {r["draw"]: r["r2"] for r in got} == pytest.approx({r["draw"]: r["r2"] for r in evaluate.keyed_permutation_null(base, "y", "pred", "k", batch=200).repartition(3).collect()})
+    y, p = np.array([(r[1], r[2]) for r in rows if None not in r[1:]]).T
+    rng, total = np.random.default_rng(0), ((y - y.mean()) ** 2).sum()
+    free = [1 - ((rng.permutation(y) - p) ** 2).sum() / total for _ in range(2000)]
+    found = np.array([r["r2"] for r in got])
+    assert abs(found.mean() - np.mean(free)) < 4 * np.std(free) / np.sqrt(200) and 0.8 < found.std() / np.std(free) < 1.25
+    assert evaluate.keyed_permutation_null(base.where("false"), "y", "pred", "k").count() == 0
