@@ -93,6 +93,13 @@ def column_coverage(footers: DataFrame) -> DataFrame:
     return footers.select("host", F.explode("columns").alias("column")).groupBy("column").agg(F.count_distinct("host").alias("hosts")).withColumn("role", column_role(F.col("column")))
 
 
+def footer_profile(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """By keys and column of column_ranges(): files, rows, nulls and their percentage, least and greatest value, bytes read beside
+    footers. Unreadable files take no part."""
+    per = ranges.where("error is null").groupBy(*keys, "column").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("data_bytes").alias("data_bytes"))
+    return per.withColumn("null_pct", percent(F.col("nulls"), F.col("rows")))
+
+
 def fleet_inventory(df: DataFrame, host: str, us: str, temp: str, low: float = 0.0, high: float = 125.0) -> DataFrame:
     """One row: hosts, rows, time range, and hosts with duplicates or range violations."""
     per = df.groupBy(host).agg(F.count("*").alias("rows"), F.min(us).alias("lo"), F.max(us).alias("hi"), (F.count("*") - F.count_distinct(us)).alias("dup"), F.count_if(out_of_range(F.col(temp), low, high)).alias("bad"))

@@ -131,6 +131,24 @@ def schema_signatures(spark, d):
     return profile.schema_signatures(telemetry.footers(spark, d))
 
 
+#: Tables with nulls and the columns that have a range.
+RANGED = {"events": ("event_id", "user_id", "value", "ts"), "sales": ("sale_id", "client_id", "total", "priority", "sold_at", "arrived_at"), "clicks": ("click_id", "client_id", "value", "ts", "arrived_at")}
+UNRANGED = {"events": ("event_type", "props"), "sales": ("status",), "clicks": ("kind", "props")}
+
+
+def _range_sql(t: str, c: str, ranged: bool) -> str:
+    v = f"epoch_us({c})" if c in ("ts", "sold_at", "arrived_at") else c
+    ends = f"CAST(min({v}) AS DOUBLE) AS least, CAST(max({v}) AS DOUBLE) AS greatest" if ranged else "CAST(NULL AS DOUBLE) AS least, CAST(NULL AS DOUBLE) AS greatest"
+    return f"SELECT '{t}' AS host, '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, {ends} FROM {t}"
+
+
+@register("footer_profile", " UNION ALL ".join(_range_sql(t, c, ranged) for group, ranged in ((RANGED, True), (UNRANGED, False)) for t, cs in group.items() for c in cs))
+def footer_profile(spark, d):
+    """Rows, nulls and ranges of whole tables from their footers, as a scan gives them."""
+    tables = telemetry.column_ranges(spark, d).withColumn("host", F.regexp_extract("path", r"([^/]+)\.parquet", 1)).where(F.col("host").isin(*RANGED))
+    return profile.footer_profile(tables, ["host"]).select("host", "column", "rows", "nulls", "least", "greatest")
+
+
 SEGH = f"WITH {EV}, {HOURLY}, {seg('h', 'event_type', 7200)}"
 TEMPORAL = """ln AS (SELECT event_type, max(len) AS longest FROM (SELECT event_type, segment_id, count(*) AS len FROM s GROUP BY 1, 2) GROUP BY 1),
 dm AS (SELECT event_type, dt_s AS dominant_dt_s FROM (SELECT event_type, dt_s, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, dt_s) AS k FROM s WHERE dt_s <= 7200 GROUP BY 1, 2) WHERE k = 1),

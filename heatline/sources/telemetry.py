@@ -87,15 +87,110 @@ def _footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "host", "rows", "bytes", "columns", "signature", "error"], dtype=object)
 
 
-def footers(spark: SparkSession, path: str) -> DataFrame:
-    """Rows, bytes, columns and types of each Parquet file, or why it can't be read. Only footers are read where the store
-    is one of OPENED; files of other stores are read whole."""
+def _parquet_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, host, length) of a tree's files, with their content where tasks can't open them at any place."""
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     scheme = at.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme()
-    columns = ["path", host_of(F.col("path")).alias("host"), "length", *([] if scheme in OPENED else ["content"])]
-    return files.select(*columns).mapInPandas(_footers, FOOTER)
+    return files.select("path", host_of(F.col("path")).alias("host"), "length", *([] if scheme in OPENED else ["content"]))
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """Rows, bytes, columns and types of each Parquet file, or why it can't be read. Only footers are read where the store
+    is one of OPENED; files of other stores are read whole."""
+    return _parquet_files(spark, path).mapInPandas(_footers, FOOTER)
+
+
+RANGES = "path string, host string, column string, rows long, nulls long, least double, greatest double, data_bytes long, error string"
+
+
+def _scale(kind):
+    """What a stored number of an Arrow type is multiplied with: stamps become microseconds. None for types without ranges."""
+    import pyarrow as pa
+
+    if pa.types.is_timestamp(kind):
+        return {"s": 1_000_000.0, "ms": 1000.0, "us": 1.0, "ns": 0.001}[kind.unit]
+    return 1.0 if (pa.types.is_integer(kind) and not pa.types.is_unsigned_integer(kind)) or kind in (pa.float32(), pa.float64()) else None
+
+
+def _stated(meta, k: int, scale: float | None):
+    """(nulls, least, greatest) of a column from the statistics of its row groups, None if any of them lacks one."""
+    nulls, lows, highs = 0, [], []
+    for g in range(meta.num_row_groups):
+        if not meta.row_group(g).num_rows:
+            continue
+        chunk = meta.row_group(g).column(k)
+        stats = chunk.statistics if chunk.is_stats_set else None
+        if stats is None or not stats.has_null_count:
+            return None
+        nulls += stats.null_count
+        if scale is not None and stats.null_count < chunk.num_values:
+            if not stats.has_min_max or stats.min_raw != stats.min_raw or stats.max_raw != stats.max_raw:
+                return None
+            lows.append(stats.min_raw)
+            highs.append(stats.max_raw)
+    return nulls, *((min(lows) * scale + 0.0, max(highs) * scale + 0.0) if lows else (None, None))
+
+
+def _scanned(f, name: str, scale: float | None):
+    """The same from the column itself, in batches; NaN counts in no range."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    nulls, low, high = 0, None, None
+    for batch in f.iter_batches(columns=[name]):
+        values = batch.column(0)
+        nulls += values.null_count
+        if scale is None:
+            continue
+        if pa.types.is_floating(values.type):
+            values = values.filter(pc.invert(pc.is_nan(values)))
+        elif pa.types.is_timestamp(values.type):
+            values = values.view(pa.int64())
+        ends = pc.min_max(values).as_py()
+        if ends["min"] is not None:
+            low, high = (ends["min"] if low is None else min(low, ends["min"])), (ends["max"] if high is None else max(high, ends["max"]))
+    return nulls, *((None, None) if low is None else (low * scale + 0.0, high * scale + 0.0))
+
+
+def _ranges(wanted: list[str] | None):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
+        names = [field.split()[0] for field in RANGES.split(", ")]
+        for pdf in frames:
+            for row in pdf.itertuples():
+                out = []
+                try:
+                    f = pq.ParquetFile(io.BytesIO(row.content) if "content" in pdf.columns else opened(row.path))
+                    meta, flat = f.metadata, {}
+                    for k in range(meta.num_columns):
+                        flat.setdefault(meta.schema.column(k).path.split(".")[0], []).append(k)
+                    for field in f.schema_arrow:
+                        if wanted is not None and field.name not in wanted:
+                            continue
+                        at = flat[field.name] if "." not in field.name else []
+                        single = len(at) == 1 and meta.schema.column(at[0]).path == field.name  # nested values have counts of their own
+                        scale = _scale(field.type)
+                        found, read = (_stated(meta, at[0], scale) if single else None), 0
+                        if found is None:
+                            found = _scanned(f, field.name, scale)
+                            read = sum(meta.row_group(g).column(k).total_compressed_size for g in range(meta.num_row_groups) for k in at)
+                        out.append((row.path, row.host, field.name, meta.num_rows, *found, read, None))
+                except Exception as e:  # an unreadable file is a row that says so
+                    out = [(row.path, row.host, None, None, None, None, None, None, str(e)[:200] or type(e).__name__)]
+                yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return run
+
+
+def column_ranges(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Of each Parquet file and column (or those named): rows, nulls, and the least and greatest of signed integers, floats and
+    stamps (as microseconds), as doubles. They come from the statistics of row groups; a column for which any group lacks
+    them, or which is nested, is read, alone and in batches, and `data_bytes` says how much of it. An unreadable file is a row
+    with an error, an empty file has no nulls and no range. Of stores not in OPENED files are read whole, as in footers()."""
+    return _parquet_files(spark, path).mapInPandas(_ranges(columns), RANGES)
 
 
 class _Slice(io.RawIOBase):

@@ -351,3 +351,22 @@ def test_audits_hold_no_keys_values(spark):
     for df in (clean.temporal_audit(segmented(rows), U, "us"), profile.sampling_summary(rows, U, "us"), profile.quick_audit(rows, U, "us"), clean.median_gap_segments(rows, U, "us", least=2)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert not [x for x in ("median(", "percentile(", "mode(") if x in plan.lower()]
+
+
+def test_ranges_come_from_footers_and_from_data_where_those_lack_them(spark, tmp_path):
+    stamps = pa.array([None, 5, 7_000], pa.timestamp("ms"))
+    table = pa.table({"timestamp": stamps, "a": pa.array([float("nan"), 2.5, None]), "b": pa.array([3, None, None], pa.int32()), "c": ["x", None, "y"], "d": [[1, None], None, []], "none": pa.array([None] * 3, pa.int64())})
+    for host, stated in (("h1", True), ("h2", False), ("h3", ["timestamp"])):
+        (tmp_path / host / "2020").mkdir(parents=True)
+        pq.write_table(table, tmp_path / host / "2020" / "x.parquet", write_statistics=stated, row_group_size=2)
+    pq.write_table(table.slice(0, 0), tmp_path / "h1" / "2020" / "y.parquet")
+    (tmp_path / "h2" / "2020" / "z.parquet").write_bytes(b"not a file")
+    rows = telemetry.column_ranges(spark, str(tmp_path))
+    got = {(r["host"], r["column"]): r for r in profile.footer_profile(rows, ["host"]).collect()}
+    want = {"timestamp": (1, 5_000.0, 7_000_000.0), "a": (1, 2.5, 2.5), "b": (2, 3.0, 3.0), "c": (1, None, None), "d": (1, None, None), "none": (3, None, None)}
+    assert {k: (r["nulls"], r["least"], r["greatest"]) for k, r in got.items()} == {(h, c): v for h in ("h1", "h2", "h3") for c, v in want.items()}
+    assert {r["rows"] for r in got.values()} == {3} and got["h1", "a"]["files"] == 2
+    assert {c for h, c in got if h == "h1" and got[h, c]["data_bytes"]} == {"d"}
+    assert all(got["h2", c]["data_bytes"] for c in want) and not got["h3", "timestamp"]["data_bytes"] and got["h3", "a"]["data_bytes"]
+    assert rows.where("error is not null").count() == 1
+    assert {r["column"] for r in telemetry.column_ranges(spark, str(tmp_path / "h1"), ["b"]).collect()} == {"b"}
