@@ -131,6 +131,12 @@ def with_average_ranks(rows: DataFrame, keys: list[str], columns: dict[str, str]
     return out if keys else out.drop("_all")
 
 
+def rank_correlation_of(n: Column, xx: Column, xy: Column, yy: Column) -> Column:
+    """From n and the sums of products of average ranks, whose mean is known; null where either is constant or n is below 3."""
+    off = n * (n + 1) * (n + 1) / 4  # n times the square of the mean rank
+    return F.when((n > 2) & (xx - off > 0) & (yy - off > 0), (xy - off) / (F.sqrt(xx - off) * F.sqrt(yy - off)))
+
+
 def spearman(pairs: DataFrame, x: str, y: str, keys: list[str], weight: str | None = None) -> DataFrame:
     """n and the rank correlation of each group's pairs, those with both values finite; each counts `weight` times. Null where
     either is constant, or for fewer than three pairs."""
@@ -139,10 +145,7 @@ def spearman(pairs: DataFrame, x: str, y: str, keys: list[str], weight: str | No
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     # twice a rank is whole and the mean rank known, so the sums need no second pass
     parts = ranked.groupBy(*keys).agg(F.sum(w).cast("long").alias("n"), *[F.sum(w * F.col(a) * F.col(b)).alias(f"_{a}{b}") for a, b in (("_x", "_x"), ("_x", "_y"), ("_y", "_y"))])
-    n = F.col("n").cast("double")
-    off = n * (n + 1) * (n + 1) / 4  # n times the square of the mean rank
-    xx, yy = F.col("__x_x") - off, F.col("__y_y") - off
-    rho = F.when((n > 2) & (xx > 0) & (yy > 0), (F.col("__x_y") - off) / (F.sqrt(xx) * F.sqrt(yy)))
+    rho = rank_correlation_of(F.col("n").cast("double"), F.col("__x_x"), F.col("__x_y"), F.col("__y_y"))
     return parts.select(*keys, "n", rho.alias("rho"))
 
 
