@@ -373,9 +373,9 @@ def write_mask(mask: DataFrame, path: str) -> None:
     mask.repartitionByRange("host", "us").sortWithinPartitions("host", "us").write.mode("overwrite").partitionBy("host").parquet(path)
 
 
-def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """A small result as one CSV (with a header), JSON or Parquet file."""
-    writer = df.coalesce(1).write.mode("overwrite")
+def write_table(df: DataFrame, path: str, kind: str = "csv", one: bool = True) -> None:
+    """A small result as one CSV (with a header), JSON or Parquet file, by one task; or, of any length, a file for each task."""
+    writer = (df.coalesce(1) if one else df).write.mode("overwrite")
     {"csv": writer.option("header", True).csv, "json": writer.json, "parquet": writer.parquet}[kind](path)
 
 
