@@ -157,3 +157,20 @@ def test_f13_tables_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
     for one, files in ((True, 1), (False, 4)):
         write(spark.range(0, 8, 1, 4), str(tmp_path / "out"), one=one)
         assert len(list((tmp_path / "out").glob("part-*"))) == files
+
+
+def test_f14_a_unit_of_one_leaf_gives_one_row(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(u, r, k, *map(float, rng.normal(size=2))) for u in range(3) for r in range(2) for k in range(9 if u else 60)]
+    runs, kept, write = spark.createDataFrame(rows, "unit long, run_id long, idx long, t double, p double"), [], resample.written
+    monkeypatch.setattr(resample, "written", lambda df, tag: (kept.append(write(df, tag)), kept[-1])[1])
+    one, many = ({r["unit"]: r for r in resample.block_bootstrap(runs, ["unit"], 10.0, 80, 80.0, size=size).collect()} for size in (4096, 16))
+    assert [k.count() for k in kept] == [3, 7 * 80 + 2]  # 102 starts in 7 leaves, and two units of 2
+    for u in (1, 2):
+        assert one[u] == many[u]
+    sums = kept[1].where("draw is not null").groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("n", *resample.SUMS)]).toPandas()
+    alpha = resample.alphas(sums["n"].to_numpy(), sums[list(resample.SUMS)].to_numpy())
+    assert many[0]["valid"] == int(((alpha > 0) & (alpha < 1)).sum()) > 20
+    q50, low, high, *rest = resample.stats_of(alpha, 10.0)
+    got = [many[0][c] for c in ("tau_median", "ci_low", "ci_high", "tau_mean", "tau_std", "alpha_median", "alpha_std")]
+    assert got == pytest.approx([q50, low, high, *rest], rel=1e-9)
