@@ -174,3 +174,16 @@ def test_f14_a_unit_of_one_leaf_gives_one_row(spark, monkeypatch):
     q50, low, high, *rest = resample.stats_of(alpha, 10.0)
     got = [many[0][c] for c in ("tau_median", "ci_low", "ci_high", "tau_mean", "tau_std", "alpha_median", "alpha_std")]
     assert got == pytest.approx([q50, low, high, *rest], rel=1e-9)
+
+
+def test_f15_residual_rows_are_made_once(spark, tmp_path):
+    write_events(spark, tmp_path, [(k, (k // 40 + k // 400 * 24) * 3_600_000_000, k % 40, k * k % 97 / 4, k * 7 % 13) for k in range(12_000)])
+    train, test = catalog._split(spark, str(tmp_path), 500)
+    whole, scored = catalog._split(spark, str(tmp_path))
+    for rows in (train, test, whole):
+        assert rows.inputFiles() and not any("events.parquet" in f for f in rows.inputFiles())
+    names = ["unit", "run_id", "idx", *evaluate.FEATURES, "r"]
+    key = F.concat_ws("|", "unit", "run_id", "idx")
+    got, want = train.select(names).collect(), evaluate.capped(whole, key, 500).select(names).collect()
+    assert len(got) == 500 and got == want and train.rdd.getNumPartitions() == 1  # in order, as the trees sample by place
+    assert test.count() == scored.count() > 0
