@@ -17,8 +17,8 @@ so pairs seen once are never sampled and stay at home until the end.
 Layout: each task packs its tokens into one blob for each bucket of words (a range of hashes), counts pre-aggregated, so
 all contexts of a word meet in one task, one entry for each pair and chunk, and fold there as they come. Buckets are as
 many as the text's bytes ask for. What a restaurant has over all buckets is summed by ranges of contexts, to which each
-bucket sends one sum for each of its contexts. In the end tokens meet their bucket's model as a stream; buckets with
-more tokens than their share are salted over several tasks. Texts are read twice (counts, scores), not stored.
+bucket sends one sum for each of its contexts. In the end tokens meet the models of a group of buckets as a stream; groups
+with more tokens than their share are salted over several tasks. Texts are read twice (counts, scores), not stored.
 
 Defined results: null text is empty and has one token, its end; a null doc_id is a training text; repeated rows train
 and score as often as they come; long texts are read whole; with no training texts every probability is that of the
@@ -48,6 +48,8 @@ CHUNK_TOKENS, CHUNK_DOCS = 3_000_000, 1 << 15
 SLICE_BYTES, SLICE_DOCS = 1 << 20, 1 << 12
 #: Bytes of text whose words share a bucket, and buckets at least.
 BUCKET_BYTES, BUCKETS = 16 << 20, 24
+#: Buckets that score their tokens in one task at most, and such groups from which on they are several.
+GROUP, GROUPS = 8, 96
 ROUNDS, SWEEPS = 2, 2
 STRENGTH = 1.0
 FOLD = 1_000_000
@@ -582,11 +584,14 @@ SUMS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binar
 
 
 def _score(level: Level):
-    """Streams, for each bucket and salt, its model and then its tokens; sums by text within each chunk."""
+    """Streams, for each group of buckets and salt, their models and then their tokens, by chunk; sums by text within each
+    chunk. Salts of one group may meet in a task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        size, of, parts, model = 0, None, {}, None
+        size, of = 0, None
+        models: dict[int, Model] = {}
+        parts: dict[int, dict[int, list]] = {}
 
         def flush():
             nonlocal held, size
@@ -597,22 +602,26 @@ def _score(level: Level):
             held, size = {}, 0
 
         for batch in it:
-            for bucket, kind, part, chunk, a, b in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "part", "chunk", "a", "b")), strict=True):
+            for group, salt, bucket, kind, chunk, a, b in zip(*(batch[c].to_pylist() for c in ("group", "salt", "bucket", "kind", "chunk", "a", "b")), strict=True):
                 if kind == TEXTS:
                     yield pa.RecordBatch.from_pydict({"chunk": [chunk], "kind": [TEXTS], "blob": [a]}, schema=SUMS)
                     continue
-                if bucket != of:
-                    of, parts, model = bucket, {MODEL: [], STATE: [], TOTALS: []}, None
+                if (group, salt) != of:
+                    if of and group != of[0]:  # else a further salt of the group, whose models are the same
+                        models = {}
+                    of, parts = (group, salt), {}
                 if kind != TOKENS:
-                    parts[kind].append((a, b))
+                    if bucket not in models:
+                        parts.setdefault(bucket, {MODEL: [], STATE: [], TOTALS: []})[kind].append((a, b))
                     continue
-                if model is None:
-                    (names, counts), = parts[MODEL]
-                    model, parts = Model(level, names, counts, [x for x, _ in parts[STATE]], [x for x, _ in parts[TOTALS]]), None
+                if bucket not in models:
+                    own = parts.pop(bucket)
+                    (names, counts), = own[MODEL]
+                    models[bucket] = Model(level, names, counts, [x for x, _ in own[STATE]], [x for x, _ in own[TOTALS]])
                 words, per, contexts, before, docs, doc, times = load(a)
                 h, contexts = np.cumsum(words, dtype="<u8"), np.cumsum(contexts, dtype="<u8")
                 word = np.repeat(np.arange(len(h)), per)
-                count, p = model.look(h, contexts, word, before.astype(np.int64))
+                count, p = models[bucket].look(h, contexts, word, before.astype(np.int64))
                 base = np.log10((count + 1) / (level.n + (level.v + 1.0)))
                 times = times.astype(np.int64)
                 held.setdefault(chunk, []).append((doc, times * np.repeat(base[word], docs), times * np.repeat(np.log10(p), docs), times * np.repeat(count[word] > 0, docs)))
@@ -685,20 +694,24 @@ def score(docs: DataFrame, buckets: int | None = None, rounds: int = ROUNDS) ->
         c0, t0 = states[-1].where("part = -1").select(F.sum(F.get("stats", F.lit(0))), F.sum(F.get("stats", F.lit(1)))).first()
         level.parent.append((c0 or 0, t0 or 0))
 
-    sizes = {r["bucket"]: r["size"] for r in models.select("bucket", "size").collect()}  # a row for each bucket
+    # neighbours share a task, which sums up each text of a chunk over them
+    per = min(GROUP, max(1, buckets // GROUPS))
+    group = F.floor(F.col("bucket") / per).cast("int").alias("group")
+    sizes = {r["group"]: r["size"] for r in models.groupBy(group).agg(F.sum("size").alias("size")).collect()}  # a row for each group
     share = 2 * sum(sizes.values()) / max(1, len(sizes))
-    salts = {b: math.ceil(s / share) for b, s in sizes.items() if s > share}
-    salted = spark.createDataFrame(list(salts.items()) or [(-2, 1)], "bucket int, salts int")
+    salts = {g: math.ceil(s / share) for g, s in sizes.items() if s > share}
+    salted = spark.createDataFrame(list(salts.items()) or [(-2, 1)], "group int, salts int")
     some, none, long = F.coalesce("salts", F.lit(1)), F.lit(None).cast("binary"), F.lit(None).cast("long")
     model = models.select("bucket", F.lit(MODEL).alias("kind"), "part", "a", "b")
     for r, s in enumerate(states):
         model = model.unionByName(s.where("part = -1").select("bucket", F.lit(STATE).alias("kind"), F.lit(r).alias("part"), F.col("blob").alias("a"), none.alias("b")))
-    model = model.unionByName(totals().select("bucket", F.lit(TOTALS).alias("kind"), "part", F.col("blob").alias("a"), none.alias("b"))).withColumn("chunk", long)
-    model = model.join(F.broadcast(salted), "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), some - 1))).drop("salts")
-    packed = texts.mapInArrow(_pack(buckets), "bucket int, kind int, chunk long, blob binary").select("bucket", "kind", F.lit(0).alias("part"), "chunk", F.col("blob").alias("a"), none.alias("b"))
+    model = model.unionByName(totals().select("bucket", F.lit(TOTALS).alias("kind"), "part", F.col("blob").alias("a"), none.alias("b"))).select("*", group, long.alias("chunk"))
+    model = model.join(F.broadcast(salted), "group", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), some - 1))).drop("salts")
+    packed = texts.mapInArrow(_pack(buckets), "bucket int, kind int, chunk long, blob binary").select("bucket", "kind", F.lit(0).alias("part"), "chunk", F.col("blob").alias("a"), none.alias("b"), group)
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("chunk"), F.lit(tasks))).otherwise(F.pmod(F.xxhash64("chunk"), some)).cast("int")
-    packed = packed.join(F.broadcast(salted), "bucket", "left").withColumn("salt", spread).drop("salts")
-    stream = model.unionByName(packed).repartition(tasks, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind", "part", "chunk")
+    packed = packed.join(F.broadcast(salted), "group", "left").withColumn("salt", spread).drop("salts")
+    # a model has no chunk, so comes first
+    stream = model.unionByName(packed).repartition(tasks, "group", "salt").sortWithinPartitions("group", "salt", F.asc_nulls_first("chunk"), "bucket", "kind", "part")
     scored = stream.mapInArrow(_score(level), "chunk long, kind int, blob binary")
     return scored.groupBy("chunk").applyInArrow(_finish(level.n), SCORED)
 
